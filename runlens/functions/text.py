@@ -60,11 +60,15 @@ def tail_lines(col: Column | str, n: int = C.TAIL_LINES) -> Column:
 
 
 def line_count(col: Column | str) -> Column:
-    """Number of lines as ``readlines()`` counts them (0 for empty text)."""
+    """Number of lines as text-mode ``readlines()`` counts them.
+
+    Universal newlines: ``\r\n``, ``\r`` and ``\n`` each end a line; a last line
+    without an ending counts too; empty text has 0 lines.
+    """
     c = _c(col)
-    newlines = F.length(c) - F.length(F.regexp_replace(c, "\n", ""))
-    unterminated = F.when((F.length(c) > 0) & ~c.endswith("\n"), 1).otherwise(0)
-    return (newlines + unterminated).cast("int")
+    breaks = F.size(F.split(c, r"\r\n|\r|\n", -1)) - 1
+    unterminated = F.when((F.length(c) > 0) & ~c.rlike(r"[\r\n]\z"), 1).otherwise(0)
+    return (breaks + unterminated).cast("int")
 
 
 def parse_percent(col: Column | str) -> Column:

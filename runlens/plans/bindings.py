@@ -193,8 +193,9 @@ def b_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stdout log per generation, worded by event type."""
     g = b_generations(spark, sf_dir)
-    v = F.format_number(F.col("accuracy"), 2)
-    v = F.regexp_replace(v, ",", "")
+    cents = F.round(F.col("accuracy") * 100).cast("bigint")
+    v = F.concat((cents / 100).cast("bigint").cast("string"), F.lit("."),
+                 F.lpad((cents % 100).cast("string"), 2, "0"))
     k = F.col("event_id") % 100
     text = (
         F.when(F.col("event_type") == "view", F.concat(F.lit("Epoch done\nAccuracy: "), v, F.lit("%")))
@@ -238,7 +239,17 @@ def b_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as trajectories of four runs (run = conv_id % 4, gen 1)."""
     c = table(spark, sf_dir, "conversations")
     return c.select(
+        (F.col("conv_id") % 4).alias("run_id"), F.lit(1).cast("bigint").alias("gen"),
         F.col("conv_id").alias("question_id"), F.col("turn"), F.col("role"), F.col("text"),
     )
+
+
+# Fixed parameters of the usage binding: USD per million tokens, by model.
+PRICES = [("A", 0.15, 0.60), ("N", 3.00, 15.00), ("R", 0.00, 0.00)]
+
+
+def b_prices(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PRICES, "model string, input_price double, output_price double")

@@ -215,3 +215,7 @@ SELECT task, run_id, gen, question_id, status, status = 'CORRECT' AS correct FRO
 def open_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = G.grade_open(B.b_truth_open(spark, sf_dir), B.b_answers_open(spark, sf_dir))
     return graded.select("task", "run_id", "gen", "question_id", "status", "correct")
+
+
+# Further registrations live in sibling modules (imported for their side effect).
+from . import q_history, q_traces  # noqa: E402,F401
