@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import containment as X
 from ..operators import grading as G
 from ..operators import rewards as R
 from ..operators import trajectories as T
@@ -12,7 +13,7 @@ from ..operators import usage as U
 from . import bindings as B
 from .catalog import register
 from ..functions.text import WS_CLASS
-from .oracle import MC_CTES, OPEN_CTES, mc_status, q
+from .oracle import MC_CTES, OPEN_CTES, mc_status, q, strip
 
 SOLUTION_FIELD = q("(?i)solution" + WS_CLASS + "*=")
 
@@ -124,3 +125,23 @@ def first_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = B.table(spark, sf_dir, "documents")
     firsts = d.groupBy(F.col("source").alias("label")).agg(F.min("doc_id").alias("first_pos"))
     return firsts.orderBy("first_pos").limit(10)
+
+
+@register("extract_label", f"""
+WITH c AS (SELECT item_id AS pos, substr(text, 1, 40) AS label FROM benchmark),
+d AS (SELECT doc_id, {strip('text')} AS t1 FROM documents),
+d2 AS (SELECT doc_id, t1, {strip("replace(replace(replace(t1, '罪名：', ''), '[罪名]', ''), '罪', '')")} AS t2 FROM d),
+p1 AS (SELECT d2.doc_id, min(c.pos) AS pos FROM d2 JOIN c ON contains(d2.t1, c.label) GROUP BY d2.doc_id),
+p2 AS (SELECT d2.doc_id, min(c.pos) AS pos FROM d2 JOIN c ON contains(d2.t2, {strip("replace(c.label, '罪', '')")})
+       GROUP BY d2.doc_id),
+f AS (SELECT arg_min(label, pos) AS label, min(pos) AS pos FROM c),
+best AS (SELECT d2.doc_id,
+                CASE WHEN p1.pos IS NOT NULL THEN 1 WHEN p2.pos IS NOT NULL THEN 2 ELSE 0 END AS pass,
+                coalesce(p1.pos, p2.pos, (SELECT pos FROM f)) AS pos
+         FROM d2 LEFT JOIN p1 ON d2.doc_id = p1.doc_id LEFT JOIN p2 ON d2.doc_id = p2.doc_id)
+SELECT best.doc_id, c.label, CAST(best.pass AS INTEGER) AS pass, CAST(best.pos AS BIGINT) AS pos
+FROM best JOIN c ON best.pos = c.pos
+""")
+def extract_label_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return X.extract_label(docs, B.b_classes(spark, sf_dir), ["doc_id"])
