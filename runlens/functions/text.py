@@ -26,9 +26,17 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# Fixed value: the same characters as a plain string, for end trimming.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def py_strip(col: Column | str) -> Column:
-    """``str.strip()`` with Python's whitespace set."""
-    return F.regexp_replace(_c(col), rf"^{WS_CLASS}+|{WS_CLASS}+\z", "")
+    """``str.strip()`` with Python's whitespace set (touches only the two ends)."""
+    return F.btrim(_c(col), F.lit(WS_CHARS))
 
 
 def py_rstrip_chars(col: Column | str, chars: str) -> Column:

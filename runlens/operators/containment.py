@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import py_strip
-from .joins import small_side
+from .joins import DEFAULT_BROADCAST_ROWS
 
 MAX_GRAM = 8
 MAX_STRIDE = 16
@@ -50,22 +50,32 @@ def clean_class(label: Column) -> Column:
     return py_strip(F.replace(label, F.lit(C.LABEL_SUFFIX_CHAR), F.lit("")))
 
 
-def _bounds(classes: DataFrame) -> tuple[int, int]:
-    """(shortest, longest) non-empty pattern length; one small aggregate."""
-    row = classes.where(F.length("pattern") > 0).agg(
-        F.min(F.length("pattern")).alias("m"), F.max(F.length("pattern")).alias("M")
+def class_stats(patterns: DataFrame) -> dict:
+    """One small aggregate over the class patterns: shortest and longest
+    non-empty length, row count, empty-pattern presence and the first class."""
+    n = F.length("pattern")
+    p1 = F.col("pass") == 1
+    row = patterns.agg(
+        F.min(F.when(n > 0, n)).alias("m"),
+        F.max(n).alias("M"),
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(n == 0).alias("empty"),
+        F.min_by(F.when(p1, F.col("pattern")), F.when(p1, F.col("pos"))).alias("first_label"),
+        F.min(F.when(p1, F.col("pos"))).alias("first_pos"),
     ).first()
-    return (row["m"] or 0, row["M"] or 0)
+    return row.asDict()
 
 
-def contains_first(texts: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
+def contains_first(texts: DataFrame, classes: DataFrame, keys: list[str], stats: dict | None = None,
+                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """For each text row, the best (pass, pos) of a class contained in it.
 
     ``texts``: keys + ``variant`` + ``passes`` (array<int>) + ``t`` -- one row per
     distinct text variant of a key; ``classes``: ``pass``, ``pos``, ``pattern``.
     Returns keys + ``best`` (struct<pass, pos>) for texts with any match.
     """
-    m, M = _bounds(classes)
+    stats = stats or class_stats(classes)
+    m, M = stats["m"] or 0, stats["M"] or 0
     empty = classes.where(F.length("pattern") == 0).groupBy("pass").agg(F.min("pos").alias("pos"))
     parts = []
     if m > 0:
@@ -75,28 +85,37 @@ def contains_first(texts: DataFrame, classes: DataFrame, keys: list[str]) -> Dat
         anchors = classes.where(F.length("pattern") > 0).select(
             "pass", "pos", "pattern", F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("o")
         ).select("pass", "pos", "pattern", "o", F.col("pattern").substr(F.col("o") + 1, F.lit(k)).alias("gram"))
+        # Cut each text once into stride-sized chunks (a linear scan); grams and
+        # context slices are then built from a few neighbouring chunks, so no
+        # step indexes into the long text by character position.
+        chunks = F.regexp_extract_all(F.col("t"), F.lit("(?s).{1,%d}" % stride), 0)
         n_windows = F.floor((F.length("t") - k) / stride)
-        win = texts.where(F.length("t") >= k).select(
-            *keys, "passes",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(0), n_windows.cast("int")),
-                    lambda j: F.struct(
-                        (j * stride + 1).alias("q"),
-                        F.col("t").substr(j * stride + 1, F.lit(k)).alias("gram"),
-                        F.greatest(F.lit(1), j * stride + 1 - (stride - 1)).alias("cs"),
-                        F.col("t").substr(F.greatest(F.lit(1), j * stride + 1 - (stride - 1)), F.lit(ctx_len)).alias("ctx"),
-                    ),
-                )
-            ).alias("w"),
-        ).select(*keys, F.explode("passes").alias("pass"), "w.*")
-        cand = win.join(small_side(anchors), ["pass", "gram"], "inner")
+        gram_chunks = -(-k // stride)
+        ctx_chunks = 1 + -(-(stride + M) // stride)
+
+        def window(j):
+            q = j * stride + 1
+            prev = F.greatest(F.lit(0), j - 1)
+            return F.struct(
+                q.alias("q"),
+                F.substring(F.array_join(F.slice("c", j + 1, gram_chunks), ""), 1, k).alias("gram"),
+                (prev * stride + 1).alias("cs"),
+                F.array_join(F.slice("c", prev + 1, ctx_chunks), "").alias("ctx"),
+            )
+
+        win = texts.where(F.length("t") >= k).select(*keys, "passes", chunks.alias("c"), n_windows.alias("nw")) \
+            .select(*keys, "passes", F.explode(F.transform(F.sequence(F.lit(0), F.col("nw").cast("int")), window))
+                    .alias("w")) \
+            .select(*keys, "passes", "w.*")
+        # The anchor table has exactly rows * stride rows: its size is known.
+        fits = stats["rows"] * stride <= max_broadcast_rows
+        cand = win.join(F.broadcast(anchors) if fits else anchors, ["gram"], "inner")
         start = F.col("q") - F.col("o")
-        hit = (start >= 1) & (
+        hit = F.array_contains("passes", F.col("pass")) & (start >= 1) & (
             F.col("ctx").substr(start - F.col("cs") + 1, F.length("pattern")) == F.col("pattern")
         )
         parts.append(cand.where(hit).select(*keys, "pass", "pos"))
-    if empty.limit(1).count() > 0:
+    if stats["empty"]:
         parts.append(
             texts.select(*keys, F.explode("passes").alias("pass")).join(F.broadcast(empty), "pass")
             .select(*keys, "pass", "pos")
@@ -118,32 +137,29 @@ def extract_label(texts: DataFrame, classes: DataFrame, keys: list[str], text_co
     ``pass`` (1 or 2; 0 for the first-class fallback) + ``pos``.
     """
     t1 = py_strip(F.col(text_col))
-    t2 = clean_text(t1)
-    base = texts.select(*keys, t1.alias("t1"), t2.alias("t2"))
-    same = base.where(F.col("t1") == F.col("t2")).select(
-        *keys, F.array(F.lit(1), F.lit(2)).alias("passes"), F.col("t1").alias("t"))
-    diff = base.where(F.col("t1") != F.col("t2"))
-    variants = same.unionByName(diff.select(*keys, F.array(F.lit(1)).alias("passes"), F.col("t1").alias("t"))) \
-        .unionByName(diff.select(*keys, F.array(F.lit(2)).alias("passes"), F.col("t2").alias("t")))
+    vtype = "array<struct<passes:array<int>,t:string>>"
+    one = F.array(F.struct(F.array(F.lit(1), F.lit(2)).alias("passes"), F.col("t1").alias("t")))
+    two = F.array(
+        F.struct(F.array(F.lit(1)).alias("passes"), F.col("t1").alias("t")),
+        F.struct(F.array(F.lit(2)).alias("passes"), F.col("t2").alias("t")),
+    )
+    # One scan: a text whose cleaned form equals it serves both passes.
+    variants = texts.select(*keys, t1.alias("t1")).select(*keys, "t1", clean_text(F.col("t1")).alias("t2")) \
+        .select(*keys, F.explode(F.when(F.col("t1") == F.col("t2"), one).otherwise(two).cast(vtype)).alias("v")) \
+        .select(*keys, "v.passes", "v.t")
     cls = classes.select("pos", "label")
     patterns = cls.select(F.lit(1).alias("pass"), "pos", F.col("label").alias("pattern")).unionByName(
         cls.select(F.lit(2).alias("pass"), "pos", clean_class(F.col("label")).alias("pattern"))
     )
-    best = contains_first(variants, patterns, keys)
-    first = cls.agg(F.min_by("label", "pos").alias("first_label"), F.min("pos").alias("first_pos"))
-    labels = best.select(*keys, "best.pass", "best.pos").join(small_side(cls), "pos", "left")
+    stats = class_stats(patterns)
+    best = contains_first(variants, patterns, keys, stats)
+    lookup = F.broadcast(cls) if stats["rows"] <= DEFAULT_BROADCAST_ROWS else cls
+    labels = best.select(*keys, "best.pass", "best.pos").join(lookup, "pos", "left")
     out = texts.select(*keys).join(labels, keys, "left")
-    return _with_fallback(out, first, keys)
-
-
-def _with_fallback(out: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
-    """Texts without a match take the first class; ``first`` is a one-row table."""
-    f = first.first()
-    if f is None or f["first_pos"] is None:
-        return out.select(*keys, "label", F.coalesce(F.col("pass"), F.lit(0)).alias("pass"), "pos")
+    # Texts without a match take the first class of the list (one known value).
     return out.select(
         *keys,
-        F.coalesce(F.col("label"), F.lit(f["first_label"])).alias("label"),
+        F.coalesce(F.col("label"), F.lit(stats["first_label"])).alias("label"),
         F.coalesce(F.col("pass"), F.lit(0)).cast("int").alias("pass"),
-        F.coalesce(F.col("pos"), F.lit(f["first_pos"])).cast("bigint").alias("pos"),
+        F.coalesce(F.col("pos"), F.lit(stats["first_pos"]).cast("bigint")).cast("bigint").alias("pos"),
     )
