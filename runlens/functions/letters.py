@@ -19,12 +19,9 @@ from .. import config as C
 from .json import strict_json
 from .text import py_strip
 
-_LETTERS = F.lit(C.LETTERS)
-
-
 def _is_letter_substring(u: Column) -> Column:
     # Python: ``u in "ABCD"`` -- a substring test, true for "".
-    return F.contains(_LETTERS, u)
+    return F.contains(F.lit(C.LETTERS), u)
 
 
 def normalize_letter(col: Column) -> Column:
