@@ -35,6 +35,7 @@ AGENT_EXECUTION_DIR = "agent_execution"
 AGENT_EXECUTION_JSON = "agent_execution.json"
 OPENHANDS_DIR = "openhands_trajectory"
 COMPLETED_MARKER = "COMPLETED"
+EVAL_LOG = "evaluation.log"
 
 # Known text artefacts of a generation: label -> file name.
 TEXT_ARTIFACTS = {

@@ -35,7 +35,7 @@ GEN = ["run_id", "gen"]
 _SPLITLINES = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 
 
-def _layout(df: DataFrame, root: str) -> DataFrame:
+def _layout(df: DataFrame, root: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Derive run/gen keys and the path inside the generation from ``path``."""
     root_uri = root.rstrip("/")
     rel = F.regexp_replace(F.col("path"), r"^.*?" + _escape(root_uri.split(":", 1)[-1]) + "/", "")
@@ -56,6 +56,7 @@ def _layout(df: DataFrame, root: str) -> DataFrame:
         F.col("path"),
         F.col("modificationTime").alias("mtime"),
         F.col("length"),
+        *extra,
     ).where(F.col("run_name").rlike(C.RUN_DIR_PATTERN))
 
 
@@ -329,15 +330,12 @@ def domain_stats_from_details(details: DataFrame) -> DataFrame:
         .withColumn("accuracy_percent", F.round(F.col("correct") * 100.0 / F.col("total"), 6))
 
 
-def evaluation_outcome(files: DataFrame, evaluator_ran: DataFrame | None = None) -> DataFrame:
-    """Per generation ``success`` when ``results.json`` exists, else
-    ``warning`` (the evaluator ran but wrote nothing the loop reads); ``skipped``
-    when no evaluator is configured for the generation (``evaluator_ran`` false)."""
+def evaluation_outcome(files: DataFrame) -> DataFrame:
+    """Per generation, ``skipped`` when the evaluator never ran (no
+    ``evaluation.log``), ``success`` when it left ``results.json``, else
+    ``warning`` (it ran but wrote nothing the loop reads)."""
+    rel = F.col("rel_path")
     has = files.where(F.col("gen").isNotNull()).groupBy(*GEN).agg(
-        F.bool_or(F.col("rel_path") == "results.json").alias("has_results"))
-    if evaluator_ran is not None:
-        has = has.join(evaluator_ran.select(*GEN, "ran"), GEN, "left")
-    else:
-        has = has.withColumn("ran", F.lit(True))
-    return has.select(*GEN, F.when(~F.coalesce(F.col("ran"), F.lit(True)), "skipped")
+        F.bool_or(rel == "results.json").alias("has_results"), F.bool_or(rel == C.EVAL_LOG).alias("ran"))
+    return has.select(*GEN, F.when(~F.col("ran") & ~F.col("has_results"), "skipped")
                       .when(F.col("has_results"), "success").otherwise("warning").alias("status"))
