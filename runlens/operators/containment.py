@@ -125,9 +125,13 @@ def contains_first(texts: DataFrame, classes: DataFrame, keys: list[str], stats:
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
-    return hits.groupBy(*keys).agg(
-        F.min(F.struct(F.col("pass").cast("int").alias("pass"), F.col("pos").cast("bigint").alias("pos"))).alias("best")
-    )
+    # (pass, pos) ordered as one fixed-width key: positions are list indexes
+    # below 2**48, so the minimum is a hash aggregate, not a sort.
+    code = F.col("pass").cast("bigint") * F.lit(1 << 48) + F.col("pos").cast("bigint")
+    best = hits.groupBy(*keys).agg(F.min(code).alias("_c"))
+    return best.select(*keys, F.struct(
+        F.floor(F.col("_c") / F.lit(1 << 48)).cast("int").alias("pass"),
+        F.pmod(F.col("_c"), F.lit(1 << 48)).cast("bigint").alias("pos")).alias("best"))
 
 
 def extract_label(texts: DataFrame, classes: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:

@@ -50,9 +50,24 @@ def generations_of(answers: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- #
 # Multiple choice
 # --------------------------------------------------------------------------- #
+# Fixed value: every possible output of the grader's normalisation (the
+# substrings of "ABCD"), so the last-wins choice can run on an integer code.
+LETTER_FORMS = ["", "A", "B", "C", "D", "AB", "BC", "CD", "ABC", "BCD", "ABCD"]
+
+
 def _normalized_answers(answers: DataFrame) -> DataFrame:
-    keyed = last_answer(answers, GEN_KEYS + ["question_id"], "answer")
-    return keyed.select(*GEN_KEYS, "question_id", normalize_letter(F.col("answer")).alias("model_answer"))
+    """Normalise (P1), then keep the last answer per question.
+
+    The normalised letter is encoded as its index in ``LETTER_FORMS`` so the
+    last-wins aggregate has a fixed-width buffer and runs as a hash aggregate
+    with map-side combining (a string ``max_by`` would sort every row).
+    """
+    forms = F.array(*(F.lit(x) for x in LETTER_FORMS))
+    code = F.array_position(forms, normalize_letter(F.col("answer"))).cast("int")
+    pos = F.col("pos") if "pos" in answers.columns else F.lit(0).cast("bigint")
+    keyed = answers.select(*GEN_KEYS, "question_id", code.alias("code"), pos.alias("pos")) \
+        .groupBy(*GEN_KEYS, "question_id").agg(F.max_by("code", "pos").alias("code"))
+    return keyed.select(*GEN_KEYS, "question_id", F.element_at(forms, F.col("code")).alias("model_answer"))
 
 
 def _mc_status(model_answer: Column, correct: Column) -> Column:

@@ -6,11 +6,11 @@ Inputs:
 * ``generations`` (run_id, gen, accuracy DOUBLE[, success BOOLEAN])
 * ``metrics``     long rows (run_id, gen, key, num DOUBLE[, str STRING, kind STRING])
 
-Windows here are partitioned by run (or by one generation's metrics): a run
-is a sequential loop bounded by its configured maximum generations, so a
-window group is bounded by construction.  Whole-run statistics that feed every
-row are computed as a grouped aggregate joined back on the run key (partial
-aggregation, AQE skew-join splitting) instead of an unbounded window.
+Windows here are partitioned by run: a run is a sequential loop bounded by
+its configured maximum generations, so a window group is bounded by
+construction (the data that grows -- answers, turns, tokens -- is keyed by
+question and never windowed whole).  Each operator keeps the run partitioning
+from its first exchange to its output: window, then aggregate, no self-joins.
 """
 
 from __future__ import annotations
@@ -58,16 +58,20 @@ def runs_newest_first(summary: DataFrame) -> DataFrame:
 
 def run_finals(generations: DataFrame) -> DataFrame:
     """Totals, best generation (strict > so the earliest tie wins), first to
-    last accuracy change.  Generations without a metric never become "best"."""
+    last accuracy change.  Generations without a metric never become "best".
+
+    One exchange: the run's best accuracy is a window over the run, and the
+    aggregate that follows reuses the run partitioning (hash aggregate only).
+    """
     success = F.coalesce(F.col("success"), F.lit(True)) if "success" in generations.columns else F.lit(True)
     acc = F.col("accuracy")
-    has = acc.isNotNull()
-    return generations.groupBy(*RUN).agg(
+    g = generations.withColumn("_best", F.max(acc).over(Window.partitionBy(*RUN)))
+    return g.groupBy(*RUN).agg(
         F.count(F.lit(1)).cast("bigint").alias("total_generations"),
         F.count_if(success).cast("bigint").alias("successful_generations"),
         F.min("gen").alias("first_gen"),
         F.max("gen").alias("last_gen"),
-        F.max_by(F.when(has, F.col("gen")), F.when(has, F.struct(acc, -F.col("gen")))).alias("best_gen"),
+        F.min(F.when(acc == F.col("_best"), F.col("gen"))).alias("best_gen"),
         F.max(acc).alias("best_accuracy"),
         F.min_by(acc, "gen").alias("first_accuracy"),
         F.max_by(acc, "gen").alias("last_accuracy"),
@@ -76,12 +80,10 @@ def run_finals(generations: DataFrame) -> DataFrame:
 
 def accuracy_series(generations: DataFrame) -> DataFrame:
     """(gen, accuracy) points per run and the chart's upper bound
-    ``max(50, max accuracy of the run)``."""
-    top = generations.groupBy(*RUN).agg(F.max("accuracy").alias("_top"))
-    bound = F.greatest(F.lit(C.ACCURACY_AXIS_FLOOR), F.coalesce(F.col("_top"), F.lit(C.ACCURACY_AXIS_FLOOR)))
-    return generations.select(*RUN, "gen", "accuracy").join(top, RUN).select(
-        *RUN, "gen", "accuracy", bound.alias("y_max")
-    )
+    ``max(50, max accuracy of the run)`` (a window over the run's generations)."""
+    top = F.max("accuracy").over(Window.partitionBy(*RUN))
+    bound = F.greatest(F.lit(C.ACCURACY_AXIS_FLOOR), F.coalesce(top, F.lit(C.ACCURACY_AXIS_FLOOR)))
+    return generations.select(*RUN, "gen", "accuracy", bound.alias("y_max"))
 
 
 def best_so_far(generations: DataFrame) -> DataFrame:
@@ -92,47 +94,55 @@ def best_so_far(generations: DataFrame) -> DataFrame:
 
 def latest_generation(generations: DataFrame) -> DataFrame:
     """T-5: the latest generation of each run (the default selection)."""
-    cols = [c for c in generations.columns if c not in RUN]
-    latest = generations.groupBy(*RUN).agg(F.max_by(F.struct(*cols), "gen").alias("g"))
-    return latest.select(*RUN, *(F.col("g")[c].alias(c) for c in cols))
+    w = Window.partitionBy(*RUN).orderBy(F.col("gen").desc())
+    return generations.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+
 
+def _paired(metrics: DataFrame) -> DataFrame:
+    """Each metric row in two roles -- "current" at its generation and
+    "previous" at the run's next generation -- grouped per (run, gen, key).
 
-def _ranked_gens(metrics: DataFrame) -> DataFrame:
-    """Dense position of each generation in its run (gaps in numbering closed)."""
-    gens = metrics.select(*RUN, "gen").distinct()
-    return gens.withColumn("rank", F.row_number().over(Window.partitionBy(*RUN).orderBy("gen")))
+    The next generation is a RANGE window (the smallest gen above this one);
+    the first generation of a run takes no role as current.  Every step keeps
+    the run partitioning: one exchange in total, no self-join.
+    """
+    vals = metrics.select(*RUN, "gen", "key", metric_value(metrics).alias("value"))
+    by_run = Window.partitionBy(*RUN)
+    nxt = F.min("gen").over(by_run.orderBy("gen").rangeBetween(1, Window.unboundedFollowing))
+    v = vals.select("*", nxt.alias("next_gen"), F.min("gen").over(by_run).alias("first_gen"))
+    roles = F.array(
+        F.struct(F.col("gen").alias("at"), F.lit(True).alias("cur"), F.col("value").alias("v"),
+                 F.lit(None).cast(v.schema["gen"].dataType).alias("pg")),
+        F.struct(F.col("next_gen").alias("at"), F.lit(False).alias("cur"), F.col("value").alias("v"),
+                 F.col("gen").alias("pg")),
+    )
+    r = v.select(*RUN, "key", "first_gen", F.explode(roles).alias("r")).where(
+        F.col("r.at").isNotNull() & (F.col("r.at") != F.col("first_gen")))
+    return r.groupBy(*RUN, F.col("r.at").alias("gen"), "key").agg(
+        F.max(F.when(F.col("r.cur"), F.col("r.v"))).alias("curr_value"),
+        F.max(F.when(~F.col("r.cur"), F.col("r.v"))).alias("prev_value"),
+        F.bool_or(F.col("r.cur")).alias("in_curr"),
+        F.bool_or(~F.col("r.cur")).alias("in_prev"),
+        F.max(F.col("r.pg")).alias("prev_gen"),
+    )
 
 
 def metric_deltas(metrics: DataFrame) -> DataFrame:
     """Per key present in a generation *and* the immediately previous one,
     ``current - previous`` when both are numeric."""
-    vals = metrics.select(*RUN, "gen", "key", metric_value(metrics).alias("value"))
-    ranked = vals.join(_ranked_gens(metrics), RUN + ["gen"])
-    prev = ranked.select(*RUN, (F.col("rank") + 1).alias("rank"), "key", F.col("value").alias("prev_value"),
-                         F.col("gen").alias("prev_gen"))
-    j = ranked.join(prev, RUN + ["rank", "key"], "inner")
-    return j.where(F.col("value").isNotNull() & F.col("prev_value").isNotNull()).select(
-        *RUN, "gen", "prev_gen", "key", "prev_value", "value", _r(F.col("value") - F.col("prev_value")).alias("delta")
-    )
+    p = _paired(metrics)
+    return p.where(F.col("in_curr") & F.col("in_prev") & F.col("curr_value").isNotNull()
+                   & F.col("prev_value").isNotNull()).select(
+        *RUN, "gen", "prev_gen", "key", "prev_value", F.col("curr_value").alias("value"),
+        _r(F.col("curr_value") - F.col("prev_value")).alias("delta"))
 
 
 def metric_comparison(metrics: DataFrame) -> DataFrame:
     """W2 + U1: every key of a generation or its predecessor; values missing on
     one side are NULL with a presence flag; delta only when both are numeric."""
-    vals = metrics.select(*RUN, "gen", "key", metric_value(metrics).alias("value"))
-    ranked_g = _ranked_gens(metrics)
-    cur = vals.join(ranked_g, RUN + ["gen"]).select(*RUN, "rank", "key", F.col("value").alias("curr_value"),
-                                                    F.lit(True).alias("in_curr"))
-    prev = vals.join(ranked_g, RUN + ["gen"]).select(*RUN, (F.col("rank") + 1).alias("rank"), "key",
-                                                     F.col("value").alias("prev_value"), F.lit(True).alias("in_prev"))
-    both = cur.join(prev, RUN + ["rank", "key"], "full_outer")
-    pairs = both.join(ranked_g.where(F.col("rank") > 1), RUN + ["rank"], "inner")
-    return pairs.select(
-        *RUN, "gen", "key", "prev_value", "curr_value",
-        F.coalesce(F.col("in_prev"), F.lit(False)).alias("in_prev"),
-        F.coalesce(F.col("in_curr"), F.lit(False)).alias("in_curr"),
-        _r(F.col("curr_value") - F.col("prev_value")).alias("delta"),
-    )
+    p = _paired(metrics)
+    return p.select(*RUN, "gen", "key", "prev_value", "curr_value", "in_prev", "in_curr",
+                    _r(F.col("curr_value") - F.col("prev_value")).alias("delta"))
 
 
 def code_growth(versions: DataFrame) -> DataFrame:

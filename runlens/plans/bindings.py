@@ -185,9 +185,9 @@ def b_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long metrics: ('accuracy', value) for every generation and (event_type, value)."""
     g = b_generations(spark, sf_dir)
-    acc = g.select("run_id", "gen", F.lit("accuracy").alias("key"), F.col("accuracy").alias("num"))
-    other = g.select("run_id", "gen", F.col("event_type").alias("key"), F.col("accuracy").alias("num"))
-    return acc.unionByName(other)
+    pairs = F.array(F.struct(F.lit("accuracy").alias("key"), F.col("accuracy").alias("num")),
+                    F.struct(F.col("event_type").alias("key"), F.col("accuracy").alias("num")))
+    return g.select("run_id", "gen", F.inline(pairs))
 
 
 def b_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
