@@ -34,7 +34,7 @@ from ..functions.text import py_strip
 from .joins import DEFAULT_BROADCAST_ROWS
 
 MAX_GRAM = 8
-MAX_STRIDE = 16
+MAX_STRIDE = 64
 
 
 def clean_text(text: Column) -> Column:
