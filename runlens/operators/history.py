@@ -169,7 +169,9 @@ def resolve_metrics(*sources: DataFrame) -> DataFrame:
     return tagged.withColumn("_best", F.min("prio").over(w)).where(F.col("prio") == F.col("_best")).drop("_best")
 
 
-def leaderboard(summary: DataFrame, metric: str = "accuracy") -> DataFrame:
-    """T-6: every generation of every run with its score and rank within the run."""
-    w = Window.partitionBy(*RUN).orderBy(F.col(metric).desc_nulls_last(), F.col("gen").asc())
+def leaderboard(summary: DataFrame, metric: str = "accuracy", partition: list[str] | None = None) -> DataFrame:
+    """T-6: every generation of every run with its score and rank within the run
+    (best first, earliest generation on ties)."""
+    part = partition or RUN
+    w = Window.partitionBy(*part).orderBy(F.col(metric).desc_nulls_last(), F.col("gen").asc())
     return summary.withColumn("rank_in_run", F.row_number().over(w))
