@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import WS_CLASS
+from .sequence import ordinal
 
 
 def group_advantage(rollouts: DataFrame, group: list[str], reward: str = "reward") -> DataFrame:
@@ -57,7 +58,9 @@ def episode_rewards(steps: DataFrame, graded: DataFrame, keys: list[str]) -> Dat
 def assign_batches(tasks: DataFrame, partition: list[str], order: list[str], size: int = C.BATCH_SIZE) -> DataFrame:
     """``ceil(n/size)`` batches in order, numbered from 0, within each partition.
 
-    Partitioned by run: a global row number would put every row in one task.
+    Numbered with the skew-safe ordinal (``operators.sequence``): a partition
+    (a run's task list) may be large, so it is never sorted in one task.
+    ``order`` must be unique within a partition.
     """
-    w = Window.partitionBy(*partition).orderBy(*order)
-    return tasks.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
+    numbered = ordinal(tasks, partition, order, name="_ord")
+    return numbered.withColumn("batch", F.floor((F.col("_ord") - 1) / size).cast("bigint")).drop("_ord")

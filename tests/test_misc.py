@@ -119,3 +119,19 @@ def test_label_loaders(spark, tmp_root):
     assert [(r.id, r.pred_label) for r in p] == [(1, "盗窃")]
     df = spark.createDataFrame([(1, "a", "b")], "id int, label string, other string")
     assert resolve_label_column(df).columns == ["id", "pred_label", "other"]
+
+
+def test_ordinal_matches_row_number_with_a_hot_group(spark):
+    from pyspark.sql import Window
+
+    from runlens.operators.sequence import ordinal
+
+    # one group holds most rows: it must be split across partitions and still count 1..n
+    df = spark.range(0, 5000).select(F.when(F.col("id") % 10 < 7, F.lit("hot")).otherwise(
+        (F.col("id") % 10).cast("string")).alias("g"), F.col("id"))
+    got = ordinal(df, ["g"], ["id"], partitions=8)
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("id")))
+    diff = got.join(want, ["g", "id"]).where(F.col("ordinal") != F.col("rn")).count()
+    assert diff == 0 and got.count() == 5000
+    hot_parts = got.where(F.col("g") == "hot").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert hot_parts > 1
