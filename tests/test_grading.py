@@ -43,10 +43,10 @@ def test_label_fanout_missing_invalid(spark):
 
 def test_open_submission_driven(spark):
     truth_doc = spark.createDataFrame([(json.dumps({"1": "218", "2": ["e4", "e4", "d5"], "3": "x"}),)], "t string")
-    truth = truth_open_from_docs(truth_doc.select(strict_json(F.col("t")).alias("doc")), F.lit("chess"))
+    truth = truth_open_from_docs(truth_doc.select(strict_json(F.col("t")).alias("doc")), F.lit("open"))
     resp = spark.createDataFrame(
-        [("chess", 1, 1, "1", "solution = 0218"), ("chess", 1, 1, "2", "solution = ['e4', 'd5', 'd5']"),
-         ("chess", 1, 1, "3", "no answer"), ("chess", 1, 1, "9", "solution = 1"), ("chess", 1, 1, "1", "solution = 5")],
+        [("open", 1, 1, "1", "solution = 0218"), ("open", 1, 1, "2", "solution = ['e4', 'd5', 'd5']"),
+         ("open", 1, 1, "3", "no answer"), ("open", 1, 1, "9", "solution = 1"), ("open", 1, 1, "1", "solution = 5")],
         "task string, run_id bigint, gen bigint, question_id string, r string")
     answers = resp.select("task", "run_id", "gen", "question_id", extract_solution(F.col("r")).alias("solution"))
     graded = G.grade_open(truth, answers)
