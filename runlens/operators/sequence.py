@@ -14,8 +14,13 @@ core.  ``ordinal`` instead:
    (a group spans at most every partition, so that window is bounded);
 4. joins the offsets back on (group, partition).
 
-``order`` must be a total order within a group (add a unique tie-break), so
-the numbering is the same on every recomputation.
+Steps 3 and 4 read the rows of step 2 twice.  Two reads of a sampled range
+exchange are not guaranteed to split rows the same way (each read may plan its
+own exchange with its own sample), so the numbered rows are written once with
+``checkpoint()`` to the cluster's shared checkpoint folder: both reads then see
+the same partition ids, and a lost executor re-reads files instead of
+re-sampling.  ``order`` must be a total order within a group (add a unique
+tie-break).
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 LOCAL_BITS = 33
 
 
@@ -34,6 +41,8 @@ def ordinal(df: DataFrame, group: list[str], order: list[str], name: str = "ordi
         .withColumn("_mid", F.monotonically_increasing_id())
     s = s.withColumn("_pid", F.shiftright("_mid", LOCAL_BITS)) \
         .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1)))
+    ensure_checkpoint_dir(spark)
+    s = s.checkpoint(eager=True)
     seg = s.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_first"))
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.select(*group, "_pid", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

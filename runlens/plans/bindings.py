@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.solution import extract_solution, solution_from_json
+from ..operators.sequence import ordinal
 
 N_RUNS = 5        # runs answering every multiple-choice question
 N_GENS = 4        # generations per run
@@ -168,31 +169,32 @@ def b_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as generations: run = user, gen = event order within the user.
 
-    The window covers one run's generations, which a sequential improvement
-    loop bounds (max generations); it is never a window over a whole table.
+    Numbered with the skew-safe ordinal (range partitioning + per-segment
+    offsets): a user holding a large share of all events is spread over many
+    tasks instead of being sorted in one.
     """
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select(
+    numbered = ordinal(ev, ["user_id"], ["ts", "event_id"], name="gen")
+    return numbered.select(
         F.col("user_id").alias("run_id"),
-        F.row_number().over(w).cast("bigint").alias("gen"),
+        F.col("gen").cast("bigint").alias("gen"),
         "event_id", "ts", "event_type",
         F.col("value").alias("accuracy"),
         (F.col("event_type") != "error").alias("success"),
     )
 
 
-def b_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def b_metrics(spark: SparkSession, sf_dir: str, gens: DataFrame | None = None) -> DataFrame:
     """Long metrics: ('accuracy', value) for every generation and (event_type, value)."""
-    g = b_generations(spark, sf_dir)
+    g = gens if gens is not None else b_generations(spark, sf_dir)
     pairs = F.array(F.struct(F.lit("accuracy").alias("key"), F.col("accuracy").alias("num")),
                     F.struct(F.col("event_type").alias("key"), F.col("accuracy").alias("num")))
     return g.select("run_id", "gen", F.inline(pairs))
 
 
-def b_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def b_log_lines(spark: SparkSession, sf_dir: str, gens: DataFrame | None = None) -> DataFrame:
     """One stdout log per generation, worded by event type."""
-    g = b_generations(spark, sf_dir)
+    g = gens if gens is not None else b_generations(spark, sf_dir)
     cents = F.round(F.col("accuracy") * 100).cast("bigint")
     v = F.concat((cents / 100).cast("bigint").cast("string"), F.lit("."),
                  F.lpad((cents % 100).cast("string"), 2, "0"))

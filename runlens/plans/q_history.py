@@ -151,8 +151,8 @@ log_long AS (
   UNION ALL SELECT run_id, gen, 'total', total FROM lm WHERE total IS NOT NULL)"""
 
 
-def _log_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = B.b_log_lines(spark, sf_dir)
+def _log_long(spark: SparkSession, sf_dir: str, gens: DataFrame | None = None) -> DataFrame:
+    logs = B.b_log_lines(spark, sf_dir, gens)
     m = logs.select("run_id", "gen", log_metrics_struct(F.col("log")).alias("m"))
     pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col("m")[k].alias("value")) for k in C.LOG_METRIC_PATTERNS))
     return m.select("run_id", "gen", F.inline(pairs)).where(F.col("value").isNotNull())
@@ -180,15 +180,16 @@ SELECT run_id, gen, key, num, str, prio FROM (
   SELECT *, min(prio) OVER (PARTITION BY run_id, gen) AS best FROM src) WHERE prio = best
 """)
 def resolve_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = B.b_metrics(spark, sf_dir)
-    g = B.b_generations(spark, sf_dir).select("run_id", "gen", "event_type")
+    gens = B.b_generations(spark, sf_dir)
+    m = B.b_metrics(spark, sf_dir, gens)
+    g = gens.select("run_id", "gen", "event_type")
     nostr = F.lit(None).cast("string").alias("str")
     results = m.join(g.where(F.col("event_type").isin("click", "purchase")), ["run_id", "gen"], "left_semi") \
         .select("run_id", "gen", "key", "num", nostr)
     detailed = m.where(F.col("key") == "accuracy").join(
         g.where(F.col("event_type").isin("click", "signup", "view")), ["run_id", "gen"], "left_semi"
     ).select("run_id", "gen", "key", "num", nostr)
-    logs = _log_long(spark, sf_dir).select("run_id", "gen", "key", F.col("value").alias("num"), nostr)
+    logs = _log_long(spark, sf_dir, gens).select("run_id", "gen", "key", F.col("value").alias("num"), nostr)
     return H.resolve_metrics(results, detailed, logs)
 
 

@@ -118,8 +118,13 @@ def history_sink(table_path: str):
 
 
 def read_history(spark: SparkSession, table_path: str) -> DataFrame:
-    """The appended history with deltas to the previous generation of each run."""
-    from ..operators.history import best_so_far
+    """The appended history: each generation with its delta to the previous
+    generation of the run and the running best (windows over one run's rows)."""
+    from pyspark.sql import Window
 
     h = spark.read.parquet(table_path).drop("batch")
-    return best_so_far(h.select(*GEN, "accuracy"))
+    w = Window.partitionBy("run_id").orderBy("gen")
+    prev = F.lag("accuracy").over(w)
+    best = F.max("accuracy").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return h.select(*GEN, "accuracy", prev.alias("prev_accuracy"),
+                    F.round(F.col("accuracy") - prev, 6).alias("delta"), best.alias("best_so_far"))

@@ -82,3 +82,17 @@ def test_submission_shapes_and_truth(spark):
     truth = truth_mc_from_docs(tdf, F.lit("t"))
     d = {r.question_id: (r.model_answer, r.status) for r in G.grade_mc(truth, answers).collect()}
     assert d == {1: ("A", "incorrect"), 3: ("", "missing")}
+
+
+def test_grid_salted_path_equals_broadcast_path(spark):
+    """Above the broadcast bound the truth grid is salted; the result is the same."""
+    from runlens.operators.joins import expand_over, small_side
+
+    gens = spark.createDataFrame([("t", r, g) for r in range(3) for g in range(1, 3)] + [("u", 9, 1)],
+                                 "task string, run_id int, gen int")
+    truth = spark.createDataFrame([("t", q) for q in range(50)] + [("u", 7)], "task string, question_id int")
+    fast = sorted(tuple(r) for r in expand_over(gens, truth, "task", salt_col="question_id").collect())
+    salted = sorted(tuple(r) for r in expand_over(gens, truth, "task", max_rows=0, salt=8,
+                                                  salt_col="question_id").collect())
+    assert fast == salted and len(fast) == 6 * 50 + 1
+    assert small_side(truth, max_rows=0) is truth

@@ -135,3 +135,18 @@ def test_ordinal_matches_row_number_with_a_hot_group(spark):
     assert diff == 0 and got.count() == 5000
     hot_parts = got.where(F.col("g") == "hot").select(F.spark_partition_id().alias("p")).distinct().count()
     assert hot_parts > 1
+
+
+def test_ordinal_with_wide_rows(spark):
+    """Extra columns must not change the numbering (both reads see one partitioning)."""
+    from pyspark.sql import Window
+
+    from runlens.operators.sequence import ordinal
+
+    df = spark.range(0, 20000).select((F.col("id") % 7).alias("g"), F.col("id"),
+                                      F.sha2(F.col("id").cast("string"), 256).alias("payload"),
+                                      (F.col("id") * 3).alias("other"))
+    got = ordinal(df, ["g"], ["id"], partitions=12)
+    want = df.select("g", "id", F.row_number().over(Window.partitionBy("g").orderBy("id")).alias("rn"))
+    j = got.join(want, ["g", "id"])
+    assert j.count() == 20000 and j.where(F.col("ordinal") != F.col("rn")).count() == 0

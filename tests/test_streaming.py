@@ -106,5 +106,5 @@ def test_history_sink_is_idempotent(spark, tmp_root):
         q.stop()
     h = spark.read.parquet(table)
     assert sorted((r.run_id, r.gen) for r in h.collect()) == [(1, 1), (1, 2)]
-    best = {r.gen: r.best_so_far for r in L.read_history(spark, table).collect()}
-    assert best == {1: 40.0, 2: 50.0}
+    hist = {r.gen: (r.delta, r.best_so_far) for r in L.read_history(spark, table).collect()}
+    assert hist == {1: (None, 40.0), 2: (10.0, 50.0)}
