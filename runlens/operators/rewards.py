@@ -16,9 +16,15 @@ from .sequence import ordinal
 
 
 def group_advantage(rollouts: DataFrame, group: list[str], reward: str = "reward") -> DataFrame:
-    """``reward - mean(reward)`` within each rollout group."""
-    w = Window.partitionBy(*group)
-    return rollouts.withColumn("advantage", F.round(F.col(reward) - F.avg(reward).over(w), 6))
+    """``reward - mean(reward)`` within each rollout group.
+
+    The group mean is a partial (map-side combined) aggregate joined back on the
+    group key, so a group with very many rollouts is never one task's window;
+    AQE's skew join splits it on the big side.
+    """
+    means = rollouts.groupBy(*group).agg(F.avg(reward).alias("_mean"))
+    return rollouts.join(means, group).withColumn(
+        "advantage", F.round(F.col(reward) - F.col("_mean"), 6)).drop("_mean")
 
 
 def has_solution_field(text: Column) -> Column:

@@ -49,3 +49,23 @@ def ordinal(df: DataFrame, group: list[str], order: list[str], name: str = "ordi
     out = s.join(seg, group + ["_pid"])
     pos = (F.col("_off") + F.col("_loc") - F.col("_first") + 1).cast("bigint")
     return out.withColumn(name, pos).drop("_mid", "_pid", "_loc", "_first", "_off")
+
+
+def top_k_per_group(df: DataFrame, group: list[str], order: list[str], k: int, salt: int = 32,
+                    rank: str | None = None) -> DataFrame:
+    """The first ``k`` rows of each group by ``order``, without one task per group.
+
+    Stage 1 keeps the top ``k`` of each (group, salt) slice -- a hot group is
+    split ``salt`` ways; stage 2 ranks the at most ``k * salt`` survivors of each
+    group.  Exact: the group's top ``k`` is inside the union of the slices' top
+    ``k``.  ``order`` must be a total order within a group.
+    """
+    h = F.pmod(F.xxhash64(*(F.col(c) for c in df.columns)), F.lit(salt))
+    s1 = df.withColumn("_salt", h)
+    w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
+    c = s1.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= k).drop("_r1", "_salt")
+    if not group:
+        raise ValueError("top_k_per_group needs at least one group column")
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    out = c.withColumn("_rk", F.row_number().over(w2)).where(F.col("_rk") <= k)
+    return out.withColumnRenamed("_rk", rank) if rank else out.drop("_rk")

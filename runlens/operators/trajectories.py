@@ -2,18 +2,18 @@
 (A8, A13, T-3, J9, P20, P13).
 
 ``turns`` rows are (run_id, gen, question_id, turn, role, text); the per-turn
-text is the normalised form produced by ``functions.turns.normalize_turn``.
-A conversation is one question's trajectory: bounded by the agent's turn limit,
-so grouping it into one ordered string is a bounded aggregate.
+text is the normalised form produced by ``sources.artifacts.normalize_turn``.
+Counts are hash aggregates; ordered text is only ever assembled for a bounded
+number of turns (the ones a preview can show).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.text import preview
+from .sequence import top_k_per_group
 
 
 def turn_counts(turns: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,7 +26,10 @@ def turn_counts(turns: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def transcript(turns: DataFrame, keys: list[str]) -> DataFrame:
-    """One string per trajectory: ``role: text`` lines in turn order."""
+    """One string per trajectory: ``role: text`` lines in turn order.
+
+    Collects the turns it is given: callers bound them first (see
+    ``first_trajectories``)."""
     line = F.concat(F.col("role"), F.lit(": "), F.coalesce(F.col("text"), F.lit("")))
     ordered = F.array_sort(F.collect_list(F.struct(F.col("turn"), line.alias("line"))))
     return turns.groupBy(*keys).agg(
@@ -40,23 +43,26 @@ def first_trajectories(turns: DataFrame, group: list[str], file_key: str,
     """T-3 + P13: the first ``n`` trajectories of each group in *lexicographic*
     file-name order (``execution_q10`` before ``execution_q2``), previewed.
 
-    Only the selected trajectories are assembled: the top-n keys are chosen
-    from the distinct keys first, then joined back.
+    Bounded at every step: the top ``n`` keys come from a salted two-stage
+    top-k, and only the turns that can reach the preview are collected -- a
+    line is at least 3 characters (``": "`` plus the separator), so a
+    ``TRAJECTORY_PREVIEW_LIMIT``-character preview needs at most ``limit // 3 + 1``
+    turns however long the conversation is.
     """
     name = F.concat(F.lit("execution_q"), F.col(file_key).cast("string"), F.lit(".json"))
     keys = turns.select(*group, file_key).distinct().withColumn("file_name", name)
-    w = Window.partitionBy(*group).orderBy("file_name") if group else Window.orderBy("file_name")
-    if group:
-        top = keys.withColumn("sample", F.row_number().over(w)).where(F.col("sample") <= n)
-    else:
-        top = keys.orderBy("file_name").limit(n).withColumn("sample", F.row_number().over(w))
-    chosen = turns.join(F.broadcast(top.select(*group, file_key)) if not group else top.select(*group, file_key),
-                        group + [file_key], "left_semi")
-    t = transcript(chosen, group + [file_key])
-    return t.join(top, group + [file_key]).select(
-        *group, F.col("sample").cast("int").alias("sample"), file_key, "file_name", "messages",
-        preview(F.col("transcript"), C.TRAJECTORY_PREVIEW_LIMIT, C.TRAJECTORY_MARKER).alias("preview"),
-    )
+    top = top_k_per_group(keys, group, ["file_name"], n, rank="sample")
+    chosen = turns.join(top.select(*group, file_key), group + [file_key], "left_semi")
+    counts = chosen.groupBy(*group, file_key).agg(F.count(F.lit(1)).cast("bigint").alias("messages"))
+    max_turns = C.TRAJECTORY_PREVIEW_LIMIT // 3 + 1
+    head = top_k_per_group(chosen, group + [file_key], ["turn"], max_turns)
+    t = transcript(head, group + [file_key]).drop("messages")
+    j = t.join(counts, group + [file_key]).join(top, group + [file_key])
+    cut = (F.length("transcript") > C.TRAJECTORY_PREVIEW_LIMIT) | (F.col("messages") > max_turns)
+    text = F.when(cut, F.concat(F.substring("transcript", 1, C.TRAJECTORY_PREVIEW_LIMIT),
+                                F.lit(C.TRAJECTORY_MARKER))).otherwise(F.col("transcript"))
+    return j.select(*group, F.col("sample").cast("int").alias("sample"), file_key, "file_name", "messages",
+                    text.alias("preview"))
 
 
 def trajectory_outcomes(executions: DataFrame, keys: list[str]) -> DataFrame:

@@ -150,3 +150,17 @@ def test_ordinal_with_wide_rows(spark):
     want = df.select("g", "id", F.row_number().over(Window.partitionBy("g").orderBy("id")).alias("rn"))
     j = got.join(want, ["g", "id"])
     assert j.count() == 20000 and j.where(F.col("ordinal") != F.col("rn")).count() == 0
+
+
+def test_preview_of_a_very_long_conversation(spark):
+    from runlens.operators.trajectories import first_trajectories
+
+    long_conv = [(1, 1, 10, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(2000)]
+    short = [(1, 1, 2, 0, "user", "hello"), (1, 1, 3, 0, "user", "x")]
+    df = spark.createDataFrame(long_conv + short, "run_id int, gen int, question_id int, turn int, role string, text string")
+    rows = {r.question_id: r for r in first_trajectories(df, ["run_id", "gen"], "question_id").collect()}
+    assert [rows[q].sample for q in (10, 2, 3)] == [1, 2, 3]        # lexicographic file names
+    full = "\n".join(f"{'user' if t % 2 == 0 else 'assistant'}: t{t}" for t in range(2000))
+    assert rows[10].messages == 2000
+    assert rows[10].preview == full[:1000] + "\n  ... (truncated)"
+    assert rows[2].preview == "user: hello"
