@@ -64,17 +64,29 @@ def _escape(s: str) -> str:
     return "".join("\\" + ch if ch in r".^$*+?()[]{}|\\" else ch for ch in s)
 
 
+def binary_files(spark: SparkSession, root: str, name_glob: str | None = None) -> DataFrame:
+    """The raw ``binaryFile`` scan of a tree, empty when nothing matches.
+
+    The tree is loaded as ``<root>/run_*`` -- one path per run -- so listing a
+    tree of millions of files is spread over a Spark job (parallel partition
+    discovery) instead of one recursive walk on the driver.
+    """
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if name_glob:
+        r = r.option("pathGlobFilter", name_glob)
+    try:
+        return r.load(root.rstrip("/") + "/run_*")
+    except AnalysisException:
+        return spark.createDataFrame([], BINARY_FILE_SCHEMA)
+
+
 def scan_runs(spark: SparkSession, root: str) -> DataFrame:
     """Every file under ``run_<id>/``; other names are ignored; a missing root is empty.
 
     ``run_07`` and ``run_7`` share index 7 but stay apart by ``run_name``;
     ``gen`` is NULL for run-level files.
     """
-    try:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    except AnalysisException:
-        raw = spark.createDataFrame([], BINARY_FILE_SCHEMA)
-    return _layout(raw, root)
+    return _layout(binary_files(spark, root), root)
 
 
 def with_content(spark: SparkSession, files: DataFrame, root: str, max_bytes: int) -> DataFrame:
@@ -83,10 +95,7 @@ def with_content(spark: SparkSession, files: DataFrame, root: str, max_bytes: in
     The cap is a pushed ``length`` filter on a second scan of the same root, and
     rows are matched back on ``path`` -- chosen files first, bytes second.
     """
-    try:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    except AnalysisException:
-        raw = spark.createDataFrame([], BINARY_FILE_SCHEMA)
+    raw = binary_files(spark, root)
     body = raw.where(F.col("length") <= max_bytes).select("path", "content")
     return files.join(body.hint("shuffle_hash"), "path", "left")
 
@@ -104,6 +113,28 @@ def read_text_capped(spark: SparkSession, files: DataFrame, root: str,
     )
 
 
+def read_capped(spark: SparkSession, root: str, name_glob: str,
+                max_bytes: int = C.MAX_CONTEXT_FILE_SIZE) -> DataFrame:
+    """S2 in one pass for files chosen by name: only files whose name matches
+    ``name_glob`` are listed, only those within the cap are opened (the cap is
+    a pushed ``length`` filter) and oversize files come from a metadata-only
+    read.  No join back to a file list."""
+    def load(with_body: bool) -> DataFrame:
+        raw = binary_files(spark, root, name_glob)
+        if with_body:
+            return raw.where(F.col("length") <= max_bytes)
+        return raw.where(F.col("length") > max_bytes).select(
+            "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+
+    both = load(True).unionByName(load(False))
+    laid = _layout(both, root, extra=("content",))
+    return laid.select(
+        *FILES_COLUMNS,
+        F.when(F.col("length") <= max_bytes, F.decode("content", "UTF-8")).alias("text"),
+        F.when(F.col("length") > max_bytes, F.lit("TOO_LARGE")).alias("bad_reason"),
+    )
+
+
 def read_json_capped(spark: SparkSession, files: DataFrame, root: str,
                      max_bytes: int = C.MAX_CONTEXT_FILE_SIZE) -> DataFrame:
     """S3: parsed JSON (VARIANT) or NULL with a reason: too large, unreadable, invalid."""
@@ -163,7 +194,8 @@ def load_executions(spark: SparkSession, files: DataFrame, root: str,
     in_dir = files.where(F.col("gen").isNotNull() & rel.startswith(C.AGENT_EXECUTION_DIR + "/"))
     dir_gens = in_dir.select(*GEN).distinct()
     traj = in_dir.where(F.col("name").rlike(r"^execution_q[^/]*\.json$") & (F.size(F.split(rel, "/")) == 2))
-    traj_t = read_text_capped(spark, traj, root, max_bytes)
+    traj_t = read_capped(spark, root, "execution_q*.json", max_bytes).where(
+        F.col("gen").isNotNull() & rel.startswith(C.AGENT_EXECUTION_DIR + "/") & (F.size(F.split(rel, "/")) == 2))
     w = Window.partitionBy(*GEN).orderBy("name")
     doc = strict_json(F.col("text"))
     multi = traj_t.select(
@@ -181,7 +213,8 @@ def load_executions(spark: SparkSession, files: DataFrame, root: str,
         F.lit(None).cast("bigint").alias("file_chars"),
     )
     single = files.where(F.col("gen").isNotNull() & (rel == C.AGENT_EXECUTION_JSON)).join(dir_gens, GEN, "left_anti")
-    single_t = read_text_capped(spark, single, root, max_bytes)
+    single_t = read_capped(spark, root, C.AGENT_EXECUTION_JSON, max_bytes).where(rel == C.AGENT_EXECUTION_JSON) \
+        .join(dir_gens, GEN, "left_anti")
     sdoc = strict_json(F.col("text"))
     single_rows = single_t.select(
         *GEN, F.lit(False).alias("is_multi"), F.col("name").alias("file"), F.lit(1).alias("ord"), sdoc.alias("doc"),
@@ -243,8 +276,8 @@ def parse_context(spark: SparkSession, files: DataFrame, root: str) -> DataFrame
     lower-cased and the last occurrence wins; ``max generations`` becomes an
     int or NULL.
     """
-    ctx = read_text_capped(spark, files.where(F.col("gen").isNull() & (F.col("rel_path") == C.CONTEXT_FILE)),
-                           root, C.MAX_CONTEXT_FILE_SIZE)
+    ctx = read_capped(spark, root, C.CONTEXT_FILE).where(
+        F.col("gen").isNull() & (F.col("rel_path") == C.CONTEXT_FILE))
     lines = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), _SPLITLINES, -1), lambda x: py_strip(x))
     ix = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     cut = F.coalesce(F.element_at(F.filter(ix, lambda e: e["x"].startswith("## ")), 1)["i"], F.size(lines))
@@ -294,8 +327,12 @@ def eval_summaries(spark: SparkSession, files: DataFrame, root: str) -> DataFram
     ``results.json``) with P10 accuracy percent and T15's ``total`` rule."""
     from ..functions.json import accuracy_percent
 
-    chosen = pick_by_priority(files.where(F.col("gen").isNotNull()), C.EVAL_RESULT_NAMES)
-    docs = read_json_capped(spark, chosen, root, C.MAX_CONTEXT_FILE_SIZE)
+    glob = "{" + ",".join(C.EVAL_RESULT_NAMES) + "}"
+    cand = read_capped(spark, root, glob).where(F.col("gen").isNotNull() & F.col("rel_path").isin(*C.EVAL_RESULT_NAMES))
+    rank = F.array_position(F.array(*(F.lit(n) for n in C.EVAL_RESULT_NAMES)), F.col("rel_path"))
+    chosen = cand.groupBy(*GEN).agg(F.min_by(F.struct("rel_path", "text", "bad_reason"), rank).alias("f")) \
+        .select(*GEN, "f.*")
+    docs = chosen.select(*GEN, "rel_path", strict_json(F.col("text")).alias("doc"))
     d = F.col("doc")
     is_obj = F.schema_of_variant(d).startswith("OBJECT")
 

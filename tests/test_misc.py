@@ -164,3 +164,16 @@ def test_preview_of_a_very_long_conversation(spark):
     assert rows[10].messages == 2000
     assert rows[10].preview == full[:1000] + "\n  ... (truncated)"
     assert rows[2].preview == "user: hello"
+
+
+def test_history_and_trajectory_sinks(spark, tmp_root):
+    hist = os.path.join(tmp_root, "hist")
+    K.write_history(spark.createDataFrame([(1, 1, 40.0), (1, 2, 50.0), (2, 1, 10.0)], "run_id int, gen int, acc double"),
+                    hist)
+    K.write_history(spark.createDataFrame([(1, 1, 41.0)], "run_id int, gen int, acc double"), hist)
+    back = sorted((r.run_id, r.gen, r.acc) for r in spark.read.parquet(hist).collect())
+    assert back == [(1, 1, 41.0), (2, 1, 10.0)]                    # run 1 replaced as a whole, run 2 kept
+    tr = os.path.join(tmp_root, "traj")
+    K.write_trajectories(spark.createDataFrame([(1, 1, 3, 0, "user", "q")],
+                                               "run_id int, gen int, question_id int, turn int, role string, text string"), tr)
+    assert spark.read.parquet(tr).count() == 1
