@@ -206,13 +206,14 @@ def worst_best(classes: DataFrame, n: int = C.WORST_BEST_N) -> DataFrame:
         F.row_number().over(w_asc).alias("worst_rank"),
         F.row_number().over(w_desc).alias("best_rank"),
     )
-    worst = ranked.where(F.col("worst_rank") <= n).select(
-        *GEN_KEYS, F.lit("worst").alias("side"), F.col("worst_rank").cast("int").alias("rank"), "label", "accuracy"
-    )
-    best = ranked.where(F.col("best_rank") <= n).select(
-        *GEN_KEYS, F.lit("best").alias("side"), F.col("best_rank").cast("int").alias("rank"), "label", "accuracy"
-    )
-    return worst.unionByName(best)
+    sides = F.filter(F.array(
+        F.when(F.col("worst_rank") <= n, F.struct(F.lit("worst").alias("side"), F.col("worst_rank").alias("rank"))),
+        F.when(F.col("best_rank") <= n, F.struct(F.lit("best").alias("side"), F.col("best_rank").alias("rank"))),
+    ), lambda x: x.isNotNull())
+    # One pass: a class can be among the worst and the best of a small generation.
+    return ranked.where((F.col("worst_rank") <= n) | (F.col("best_rank") <= n)).select(
+        *GEN_KEYS, F.explode(sides).alias("s"), "label", "accuracy"
+    ).select(*GEN_KEYS, "s.side", F.col("s.rank").cast("int").alias("rank"), "label", "accuracy")
 
 
 def missing_ids(truth: DataFrame, answers: DataFrame, gens: DataFrame | None = None) -> DataFrame:
