@@ -8,8 +8,8 @@ matter for artefacts (see the README):
 * duplicate object keys make the whole document NULL (Python keeps the last);
 * bare ``NaN``/``Infinity`` are rejected (Python accepts them).
 
-The last two are reported through ``json_bad_reason`` rather than silently
-turned into NULLs.
+The last two are reported through ``json_bad_reason`` (``DUP_KEY`` for a
+repeated top-level key, ``NAN_LITERAL``) rather than silently turned into NULLs.
 """
 
 from __future__ import annotations
@@ -47,11 +47,14 @@ def json_kind(v: Column) -> Column:
 def json_bad_reason(text: Column) -> Column:
     """Why a document did not parse: NULL when it did."""
     parsed = strict_json(text)
+    # A top-level object read as a map keeps repeated keys, which VARIANT rejects.
+    top = F.from_json(text, "map<string,string>")
     return (
         F.when(parsed.isNotNull(), F.lit(None))
         .when(text.isNull(), F.lit("UNREADABLE"))
         .when(F.length(F.trim(text)) == 0, F.lit("EMPTY"))
         .when(text.rlike(r"(^|[\[:,\s])(NaN|-?Infinity)([\]},\s]|$)"), F.lit("NAN_LITERAL"))
+        .when(F.size(F.map_keys(top)) > F.size(F.array_distinct(F.map_keys(top))), F.lit("DUP_KEY"))
         .when(F.try_parse_json(text).isNotNull(), F.lit("TRAILING_DATA"))
         .otherwise(F.lit("INVALID_JSON"))
     )

@@ -191,3 +191,37 @@ def test_best_generation_rules(spark):
                                "run_id int, gen int, accuracy double")
     got = {r.run_id: r.best_gen for r in run_finals(df).collect()}
     assert got == {1: 2, 2: None}
+
+
+def test_bad_json_reasons(spark):
+    from runlens.functions.json import json_bad_reason
+
+    rows = [('{"a":1,"a":2}', "DUP_KEY"), ('{"a": NaN}', "NAN_LITERAL"), ("[1] x", "TRAILING_DATA"),
+            ("{bad", "INVALID_JSON"), ("  ", "EMPTY"), ('{"ok": [1, 2]}', None)]
+    df = spark.createDataFrame(rows, "t string, want string")
+    for r in df.select("t", "want", json_bad_reason(F.col("t")).alias("got")).collect():
+        assert r.got == r.want, r
+
+
+def test_run_names_sharing_an_index(spark, tmp_root):
+    root = os.path.join(tmp_root, "runs")
+    write(os.path.join(root, "run_7", "gen_1", "a.txt"), "x")
+    write(os.path.join(root, "run_07", "gen_2", "b.txt"), "y")
+    write(os.path.join(root, "run_7x", "gen_1", "c.txt"), "z")
+    rows = sorted((r.run_name, r.run_id, r.gen) for r in S.scan_runs(spark, root).collect())
+    assert rows == [("run_07", 7, 2), ("run_7", 7, 1)]
+
+
+def test_history_edges(spark):
+    """Gaps in generation numbers, percent strings, zero previous size."""
+    from runlens.operators.history import code_growth, metric_deltas
+
+    m = spark.createDataFrame(
+        [(1, 1, "accuracy", "string", None, "48.5%"), (1, 3, "accuracy", "float", 50.0, None),
+         (1, 3, "note", "string", None, "n/a"), (1, 4, "note", "string", None, "x")],
+        "run_id int, gen int, key string, kind string, num double, str string")
+    got = [(r.gen, r.prev_gen, r.key, r.delta) for r in metric_deltas(m).collect()]
+    assert got == [(3, 1, "accuracy", 1.5)]          # gen 3 follows gen 1; "n/a" never parses
+    v = spark.createDataFrame([(1, 1, 0, 0), (1, 2, 10, 2)], "run_id int, gen int, size int, lines int")
+    g = {r.gen: (r.size_pct, r.lines_delta) for r in code_growth(v).collect()}
+    assert g == {1: (None, None), 2: (None, 2)}
