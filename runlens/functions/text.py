@@ -74,7 +74,7 @@ def line_count(col: Column | str) -> Column:
     without an ending counts too; empty text has 0 lines.
     """
     c = _c(col)
-    breaks = F.size(F.split(c, r"\r\n|\r|\n", -1)) - 1
+    breaks = F.regexp_count(c, F.lit(r"\r\n|\r|\n"))
     unterminated = F.when((F.length(c) > 0) & ~c.rlike(r"[\r\n]\z"), 1).otherwise(0)
     return (breaks + unterminated).cast("int")
 

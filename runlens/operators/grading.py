@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.letters import normalize_letter
 from ..functions.solution import open_equal
-from .joins import expand_over, small_side
+from .joins import DEFAULT_BROADCAST_ROWS, expand_over, has_at_most, small_side
 
 GEN_KEYS = ["task", "run_id", "gen"]
 
@@ -109,7 +109,8 @@ def summarize_mc(truth: DataFrame, answers: DataFrame) -> DataFrame:
     Computed without materialising the truth grid: matched answers are counted
     and ``missing`` is the remainder of the task's truth count.
     """
-    t = small_side(truth.select("task", "question_id", "correct_answer"))
+    fits = has_at_most(truth, DEFAULT_BROADCAST_ROWS)   # one check covers the truth and its aggregate
+    t = small_side(truth.select("task", "question_id", "correct_answer"), fits=fits)
     per_task = truth.groupBy("task").agg(F.count(F.lit(1)).alias("total_questions"))
     matched = _normalized_answers(answers).join(t, ["task", "question_id"], "left")
     status = F.when(F.col("correct_answer").isNotNull(), _mc_status(F.col("model_answer"), F.col("correct_answer")))
@@ -118,7 +119,7 @@ def summarize_mc(truth: DataFrame, answers: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "incorrect").alias("incorrect"),
         F.count_if(F.col("status") == "invalid").alias("invalid"),
     )
-    out = counts.join(small_side(per_task), "task", "left").fillna(0, ["total_questions"])
+    out = counts.join(small_side(per_task, fits=fits), "task", "left").fillna(0, ["total_questions"])
     attempted = F.col("correct") + F.col("incorrect")
     accuracy = F.coalesce(F.try_divide(F.col("correct").cast("double"), attempted.cast("double")), F.lit(0.0))
     return out.select(
@@ -145,11 +146,12 @@ def domain_stats(truth: DataFrame, answers: DataFrame) -> DataFrame:
     dom = F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.lit(C.DOMAIN_FALSY))
     t = truth.select("task", "question_id", "correct_answer", dom.alias("domain"))
     totals = t.groupBy("task", "domain").agg(F.count(F.lit(1)).alias("total"))
-    matched = _normalized_answers(answers).join(small_side(t), ["task", "question_id"], "inner")
+    fits = has_at_most(t, DEFAULT_BROADCAST_ROWS)
+    matched = _normalized_answers(answers).join(small_side(t, fits=fits), ["task", "question_id"], "inner")
     correct = matched.where(_mc_status(F.col("model_answer"), F.col("correct_answer")) == "correct").groupBy(
         *GEN_KEYS, "domain"
     ).agg(F.count(F.lit(1)).alias("correct"))
-    frame = expand_over(generations_of(answers), totals, "task")
+    frame = expand_over(generations_of(answers), totals, "task", fits=fits)
     out = frame.join(correct, GEN_KEYS + ["domain"], "left").fillna(0, ["correct"])
     return out.select(
         *GEN_KEYS,

@@ -28,9 +28,15 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def small_side(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its size is within the bound, else ``df`` unchanged."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
+def small_side(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, fits: bool | None = None) -> DataFrame:
+    """``broadcast(df)`` when its size is within the bound, else ``df`` unchanged.
+
+    ``fits`` passes a check already made on a table this one derives from with
+    no more rows (an aggregate or projection of it), so it is not repeated.
+    """
+    if fits is None:
+        fits = has_at_most(df, max_rows)
+    return F.broadcast(df) if fits else df
 
 
 def expand_over(
@@ -40,6 +46,7 @@ def expand_over(
     max_rows: int = DEFAULT_BROADCAST_ROWS,
     salt: int = DEFAULT_SALT,
     salt_col: str | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Inner equi-join of ``left`` with a dimension that many left rows share.
 
@@ -50,7 +57,9 @@ def expand_over(
     key holding most rows is spread over ``salt`` reducers.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    if has_at_most(dim, max_rows):
+    if fits is None:
+        fits = has_at_most(dim, max_rows)
+    if fits:
         return left.join(F.broadcast(dim), keys, "inner")
     hashed = F.xxhash64(*(F.col(c) for c in ([salt_col] if salt_col else dim.columns)))
     dim_s = dim.withColumn("_salt", F.pmod(hashed, F.lit(salt)))
