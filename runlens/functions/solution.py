@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .. import config as C
 from .json import json_kind, strict_json, variant_elements
 from .text import WS_BODY, WS_CLASS, py_strip, py_strip_chars
 
@@ -112,4 +111,3 @@ def open_equal(pred: Column, exp: Column) -> Column:
 
 
 __all__ = ["SOLUTION_TYPE", "extract_solution", "solution_from_json", "open_equal", "canonical_int"]
-_ = C
