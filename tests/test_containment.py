@@ -38,3 +38,11 @@ def test_long_classes_and_empty_class(spark):
     classes = [texts[5][10:50], texts[9][0:40], "gammadeltagammadeltaalphabeta alpha beta", texts[20][-35:]]
     _check(spark, texts, classes)
     _check(spark, texts[:5], classes + [""])
+
+
+def test_supplementary_characters(spark):
+    rnd = random.Random(11)
+    alphabet = "ab😀é 𝔸"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 200))) for _ in range(40)]
+    classes = [texts[3][5:30] or "ab", "😀😀a", texts[7][:18] or "b😀", "𝔸é𝔸", "zzz"]
+    _check(spark, texts, classes)
