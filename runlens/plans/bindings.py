@@ -128,7 +128,7 @@ def b_truth_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def b_responses_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw responses: the first 80 characters of a document, then a solution line."""
+    """Raw responses: a whole document as the model's reasoning, then a solution line."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", "n_chars")
     k = _open_kind(F.col("doc_id"))
     n = F.col("n_chars").cast("string")
@@ -140,7 +140,7 @@ def b_responses_open(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("doc_id") % 10 == 9, F.lit("solution = ['a', 'b', 'b']"))
         .otherwise(F.lit("solution = ['a', 'b']"))
     )
-    response = F.concat(F.substring("text", 1, 80), F.lit("\n"), line)
+    response = F.concat(F.col("text"), F.lit("\n"), line)
     base = docs.select(
         F.col("lang").alias("task"), F.lit(1).cast("bigint").alias("run_id"),
         (F.col("doc_id") % 3 + 1).cast("bigint").alias("gen"),
@@ -161,9 +161,9 @@ def b_answers_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Containment classes, generations, metrics, logs, notes, usage, turns
 # --------------------------------------------------------------------------- #
 def b_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class list: benchmark items in item_id order, class = first 40 characters."""
+    """Class list: benchmark passages (whole texts) in item_id order."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("pos"), F.substring("text", 1, 40).alias("label"))
+    return b.select(F.col("item_id").alias("pos"), F.col("text").alias("label"))
 
 
 def b_generations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,18 @@ def parse_letter_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                     parse_letter(F.col("answer")).alias("letter"))
 
 
+@register("parse_letter_docs", f"""
+SELECT doc_id, {_parse_letter_sql('text')} AS letter, {O.norm_letter('text')} AS normalized FROM documents
+""")
+def parse_letter_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 and P2 over whole documents read as raw model responses."""
+    from ..functions.letters import normalize_letter
+
+    d = B.table(spark, sf_dir, "documents")
+    return d.select("doc_id", parse_letter(F.col("text")).alias("letter"),
+                    normalize_letter(F.col("text")).alias("normalized"))
+
+
 # --------------------------------------------------------------------------- #
 # Labels: J2 A2 A5 T-2 J5 J6
 # --------------------------------------------------------------------------- #

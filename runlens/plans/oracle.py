@@ -117,7 +117,7 @@ truth_open AS (
 resp_base AS (
   SELECT lang AS task, CAST(1 AS BIGINT) AS run_id, CAST(doc_id % 3 + 1 AS BIGINT) AS gen,
          CAST(doc_id AS VARCHAR) AS question_id,
-         substr(text, 1, 80) || chr(10) ||
+         text || chr(10) ||
          CASE doc_id % 5 WHEN 0 THEN ''
               WHEN 1 THEN 'solution = ' || CAST(n_chars AS VARCHAR)
               WHEN 2 THEN 'solution = "' || CAST(n_chars AS VARCHAR) || '"'

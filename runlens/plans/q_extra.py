@@ -28,24 +28,25 @@ def tail_lines_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _options():
-    return F.create_map(*[x for i, letter in enumerate("ABCD") for x in
-                          (F.lit(letter), F.substring("text", 201 + 20 * i, 20))])
+    """Four options from the document's own fields."""
+    values = [F.col("lang"), F.col("source"), F.col("n_chars").cast("string"), F.col("doc_id").cast("string")]
+    return F.create_map(*[x for letter, v in zip("ABCD", values) for x in (F.lit(letter), v)])
 
 
 @register("format_question", f"""
 SELECT d.doc_id AS question_id,
-       {q(P.MC_HEAD)} || substr(d.text, 1, 120) || chr(10) || chr(10)
-       || 'A) ' || substr(d.text, 201, 20) || chr(10) || 'B) ' || substr(d.text, 221, 20) || chr(10)
-       || 'C) ' || substr(d.text, 241, 20) || chr(10) || 'D) ' || substr(d.text, 261, 20)
+       {q(P.MC_HEAD)} || d.text || chr(10) || chr(10)
+       || 'A) ' || d.lang || chr(10) || 'B) ' || d.source || chr(10)
+       || 'C) ' || CAST(d.n_chars AS VARCHAR) || chr(10) || 'D) ' || CAST(d.doc_id AS VARCHAR)
        || {q(P.MC_TAIL)} AS prompt
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id
 """)
 def format_question_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     labels = B.table(spark, sf_dir, "labels").select("doc_id")
-    q_ = labels.join(docs, "doc_id")
-    return q_.select(F.col("doc_id").alias("question_id"),
-                     P.format_question(F.substring("text", 1, 120), _options()).alias("prompt"))
+    questions = labels.join(docs, "doc_id")
+    return questions.select(F.col("doc_id").alias("question_id"),
+                            P.format_question(F.col("text"), _options()).alias("prompt"))
 
 
 @register("few_shot_prompt", f"""
@@ -54,7 +55,7 @@ WITH fl AS (SELECT source AS label, min(doc_id) AS first_pos FROM documents GROU
 ex AS (SELECT CASE WHEN count(*) > 0 THEN {q(P.CASE_EXAMPLES_HEAD)}
                    || string_agg('- ' || label, chr(10) ORDER BY first_pos) || chr(10) ELSE '' END AS block FROM fl),
 cl AS (SELECT string_agg(label, ', ' ORDER BY pos) AS classes FROM (
-         SELECT item_id AS pos, substr(text, 1, 40) AS label FROM benchmark ORDER BY item_id LIMIT 20))
+         SELECT item_id AS pos, text AS label FROM benchmark ORDER BY item_id LIMIT 20))
 SELECT d.doc_id, {q(P.CASE_HEAD)} || ex.block || {q(P.CASE_FACTS)} || d.text || {q(P.CASE_CHOOSE)}
        || coalesce(cl.classes, '') || {q(P.CASE_TAIL)} AS prompt
 FROM documents d, ex, cl

@@ -128,7 +128,7 @@ def first_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("extract_label", f"""
-WITH c AS (SELECT item_id AS pos, substr(text, 1, 40) AS label FROM benchmark),
+WITH c AS (SELECT item_id AS pos, text AS label FROM benchmark),
 d AS (SELECT doc_id, {strip('text')} AS t1 FROM documents),
 d2 AS (SELECT doc_id, t1, {strip("replace(replace(replace(t1, '罪名：', ''), '[罪名]', ''), '罪', '')")} AS t2 FROM d),
 p1 AS (SELECT d2.doc_id, min(c.pos) AS pos FROM d2 JOIN c ON contains(d2.t1, c.label) GROUP BY d2.doc_id),
