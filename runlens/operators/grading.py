@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.letters import normalize_letter
 from ..functions.solution import open_equal
-from .joins import DEFAULT_BROADCAST_ROWS, expand_over, has_at_most, small_side
+from .joins import DEFAULT_BROADCAST_ROWS, DEFAULT_EXPAND_ROWS, expand_over, has_at_most, small_side
 
 GEN_KEYS = ["task", "run_id", "gen"]
 
@@ -146,7 +146,7 @@ def domain_stats(truth: DataFrame, answers: DataFrame) -> DataFrame:
     dom = F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.lit(C.DOMAIN_FALSY))
     t = truth.select("task", "question_id", "correct_answer", dom.alias("domain"))
     totals = t.groupBy("task", "domain").agg(F.count(F.lit(1)).alias("total"))
-    fits = has_at_most(t, DEFAULT_BROADCAST_ROWS)
+    fits = has_at_most(t, DEFAULT_EXPAND_ROWS)   # also bounds ``totals``, an aggregate of ``t``
     matched = _normalized_answers(answers).join(small_side(t, fits=fits), ["task", "question_id"], "inner")
     correct = matched.where(_mc_status(F.col("model_answer"), F.col("correct_answer")) == "correct").groupBy(
         *GEN_KEYS, "domain"

@@ -6,11 +6,11 @@ Two rules hold across the library:
   (``limit(bound + 1).count()`` reads at most ``bound + 1`` rows).  Above the
   bound the plain join is returned and Spark/AQE plan a shuffle join, with
   AQE's runtime size check and skew-join splitting as the second line.
-* Expanding every generation over its task's truth set (the grading grid) is an
-  equi-join on the task key.  A single task is a hot key by construction, so the
-  unbroadcastable case salts it: the truth side is spread over ``salt``
-  buckets and the generation side is replicated once per bucket, which keeps
-  every reducer's share bounded.
+* Expanding every generation over its task's truth set (the grading grid)
+  packs a checked-small truth set into one broadcast map and explodes it per
+  generation -- no join at all; beyond the bound it is an equi-join on the task
+  key salted over ``salt`` buckets (a single task is a hot key by construction),
+  which keeps every reducer's share bounded.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 # Broadcast bound for dimension tables (truth sets, class lists, price tables).
 DEFAULT_BROADCAST_ROWS = 2_000_000
+# Bound for packing a dimension into one broadcast value (a scalar subquery).
+DEFAULT_EXPAND_ROWS = 200_000
 DEFAULT_SALT = 64
 
 
@@ -43,24 +45,36 @@ def expand_over(
     left: DataFrame,
     dim: DataFrame,
     key: str | list[str],
-    max_rows: int = DEFAULT_BROADCAST_ROWS,
+    max_rows: int = DEFAULT_EXPAND_ROWS,
     salt: int = DEFAULT_SALT,
     salt_col: str | None = None,
     fits: bool | None = None,
 ) -> DataFrame:
-    """Inner equi-join of ``left`` with a dimension that many left rows share.
+    """Every ``left`` row followed by each ``dim`` row of its key (an inner
+    equi-join where many left rows share a key: the truth set of a task).
 
-    ``dim`` rows per key are expected to be few (a truth set, a class list);
-    ``left`` may be large.  When ``dim`` fits the bound it is broadcast and
-    ``left`` is not shuffled.  Otherwise ``dim`` is salted by ``salt_col`` (or a
-    hash of all its columns) and ``left`` replicated over the salt range, so a
-    key holding most rows is spread over ``salt`` reducers.
+    Small ``dim`` (checked: at most ``max_rows`` rows): it is packed once into a
+    scalar subquery -- a map from key to the key's rows -- and each ``left`` row
+    explodes its entry.  No join, no shuffle of ``left``, and no join condition
+    for the optimizer to fold into a cartesian product when the key is a
+    constant (one task).
+
+    Larger ``dim``: ``dim`` is salted by ``salt_col`` (or a hash of all its
+    columns) and ``left`` replicated over the salt range, then equi-joined on
+    (key, salt), so a key holding most rows is spread over ``salt`` reducers.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if fits is None:
         fits = has_at_most(dim, max_rows)
     if fits:
-        return left.join(F.broadcast(dim), keys, "inner")
+        rest = [c for c in dim.columns if c not in keys]
+        k_dim = F.struct(*keys) if len(keys) > 1 else F.col(keys[0])
+        packed = dim.where(F.coalesce(*[F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(
+            F.collect_list(F.struct(*rest)).alias("_rows"))
+        table = packed.agg(F.map_from_entries(F.collect_list(F.struct(k_dim, F.col("_rows")))).alias("m")).scalar()
+        k_left = F.struct(*[F.col(k) for k in keys]) if len(keys) > 1 else F.col(keys[0])
+        out = left.select("*", F.explode(F.element_at(table, k_left)).alias("_d"))
+        return out.select(*left.columns, *[F.col("_d")[c].alias(c) for c in rest])
     hashed = F.xxhash64(*(F.col(c) for c in ([salt_col] if salt_col else dim.columns)))
     dim_s = dim.withColumn("_salt", F.pmod(hashed, F.lit(salt)))
     left_s = left.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))

@@ -51,6 +51,14 @@ def ordinal(df: DataFrame, group: list[str], order: list[str], name: str = "ordi
     return out.withColumn(name, pos).drop("_mid", "_pid", "_loc", "_first", "_off")
 
 
+def first_per_group(df: DataFrame, group: list[str], order: list) -> DataFrame:
+    """The first row of each small group by ``order`` (a group's candidate files,
+    one question's duplicates): a window over the group, no struct ordering
+    aggregate (which would sort every row)."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn("_first", F.row_number().over(w)).where(F.col("_first") == 1).drop("_first")
+
+
 def top_k_per_group(df: DataFrame, group: list[str], order: list[str], k: int, salt: int = 32,
                     rank: str | None = None) -> DataFrame:
     """The first ``k`` rows of each group by ``order``, without one task per group.

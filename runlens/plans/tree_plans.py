@@ -99,3 +99,22 @@ def run_history(spark: SparkSession, root: str) -> dict[str, DataFrame]:
         "insights": tree_insights(spark, files, root),
         "finals": finals,
     }
+
+
+def label_leaderboard(spark: SparkSession, root: str, truth: DataFrame, task: str) -> DataFrame:
+    """T-6 over a tree: every generation of every run graded against the label
+    truth (A2), best first within a run; a generation whose submission cannot be
+    read is an error row with ``bad_reason`` instead of a score."""
+    from ..operators import grading as G
+    from ..sources.artifacts import label_submissions
+
+    files = S.scan_runs(spark, root)
+    subs = label_submissions(spark, files, root).withColumn("task", F.lit(task))
+    ok = subs.where(F.col("bad_reason").isNull())
+    gens = ok.select("task", "run_id", "gen").distinct()
+    scores = G.summarize_label(G.grade_label(truth.withColumn("task", F.lit(task)), ok, gens))
+    errors = subs.where(F.col("bad_reason").isNotNull()).select(
+        "task", "run_id", "gen", F.lit(None).cast("double").alias("accuracy"),
+        F.lit(None).cast("bigint").alias("n_correct"), F.lit(None).cast("bigint").alias("n_total"), "bad_reason")
+    board = scores.withColumn("bad_reason", F.lit(None).cast("string")).unionByName(errors)
+    return H.leaderboard(board, partition=["task", "run_id"])

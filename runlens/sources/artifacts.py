@@ -15,6 +15,7 @@ from .. import config as C
 from ..functions.json import json_kind, strict_json, variant_elements, variant_entries
 from ..functions.solution import py_str_of_json, solution_from_json
 from ..functions.text import py_strip
+from ..operators.sequence import first_per_group
 
 GEN = ["run_id", "gen"]
 
@@ -60,9 +61,8 @@ def truth_mc_from_docs(docs: DataFrame, task: Column) -> DataFrame:
     rows = items.select("task", "pos", qid.alias("question_id"), letter.alias("correct_answer"),
                         meta("domain").alias("domain"), meta("subdomain").alias("subdomain"))
     rows = rows.where(F.col("question_id").isNotNull() & (F.coalesce(F.col("correct_answer"), F.lit("")) != ""))
-    last = rows.groupBy("task", "question_id").agg(
-        F.max_by(F.struct("correct_answer", "domain", "subdomain"), "pos").alias("r"))
-    return last.select("task", "question_id", "r.*")
+    last = first_per_group(rows, ["task", "question_id"], [F.col("pos").desc()])
+    return last.select("task", "question_id", "correct_answer", "domain", "subdomain")
 
 
 def load_truth_mc(spark: SparkSession, path: str, task: str) -> DataFrame:
@@ -191,3 +191,37 @@ def trajectory_turns(executions: DataFrame) -> DataFrame:
     return rows.select(*GEN, "question_id", "file", "turn", t["role"].alias("role"), t["text"].alias("text"),
                        F.col("msg").alias("content"))
 
+
+
+def label_submissions(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
+    """S4 + S10 over a tree: each generation's label submission
+    (``submission.csv`` before ``predictions.csv``), parsed with its own header.
+
+    Every file keeps its own column choice (``label`` if present, else the last
+    column), so one job reads generations whose files differ.  Rows:
+    run_id, gen, file, id, pred_label, bad_reason (``NO_ID_COLUMN``,
+    ``UNREADABLE``; NULL when fine).  Plain comma-separated values only (no
+    quoted commas).
+    """
+    from . import tree as S
+
+    chosen = S.pick_by_priority(files.where(F.col("gen").isNotNull()), C.LABEL_SUBMISSION_NAMES)
+    t = S.read_text_capped(spark, chosen, root, C.MAX_CONTEXT_FILE_SIZE)
+    lines = F.filter(F.split(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\r\n?", "\n"), "\n"),
+                     lambda x: x != "")
+    header = F.transform(F.split(F.element_at(lines, 1), ","), lambda x: py_strip(x))
+    label_ix = F.coalesce(F.nullif(F.array_position(header, F.lit("label")), F.lit(0)), F.size(header))
+    id_ix = F.array_position(header, F.lit("id"))
+    parsed = t.select(*GEN, F.col("rel_path").alias("file"), lines.alias("lines"), label_ix.alias("li"),
+                      id_ix.alias("ii"), F.col("text").isNull().alias("unreadable"))
+    bad = parsed.where(F.col("unreadable") | (F.col("ii") == 0)).select(
+        *GEN, "file", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("pred_label"),
+        F.when(F.col("unreadable"), F.lit("UNREADABLE")).otherwise(F.lit("NO_ID_COLUMN")).alias("bad_reason"))
+    rows = parsed.where(~F.col("unreadable") & (F.col("ii") > 0)).select(
+        *GEN, "file", "li", "ii", F.explode(F.slice("lines", 2, 1 << 30)).alias("line"))
+    cells = F.split(F.col("line"), ",")
+    good = rows.select(
+        *GEN, "file", _int_key(F.element_at(cells, F.col("ii").cast("int"))).alias("id"),
+        F.nullif(F.element_at(cells, F.col("li").cast("int")), F.lit("")).alias("pred_label"),
+        F.lit(None).cast("string").alias("bad_reason"))
+    return good.unionByName(bad)

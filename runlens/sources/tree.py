@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from .. import config as C
 from ..functions.json import json_bad_reason, strict_json
 from ..functions.text import WS_CLASS, line_count, py_strip
+from ..operators.sequence import first_per_group
 
 BINARY_FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType(), False),
@@ -150,8 +151,7 @@ def pick_by_priority(files: DataFrame, names: tuple[str, ...] | list[str], keys:
     """Per key, the first existing file of ``names`` (in that order)."""
     cand = files.where(F.col("rel_path").isin(*names))
     rank = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("rel_path"))
-    return cand.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in files.columns if c not in keys]), rank).alias("f")) \
-        .select(*keys, "f.*")
+    return first_per_group(cand, keys, [rank])
 
 
 def _glob(pattern: str) -> str:
@@ -175,9 +175,8 @@ def discover_submission(files: DataFrame, open_task: bool = False) -> DataFrame:
         tier = tier.when(rel.rlike(_glob(pat)), F.lit(2 + i))
     tier = tier.when(top_json, F.lit(9))
     cand = files.where(F.col("gen").isNotNull()).withColumn("tier", tier).where(F.col("tier").isNotNull())
-    order = F.struct(F.col("tier"), -F.unix_micros(F.col("mtime")), F.col("path"))
-    return cand.groupBy(*GEN).agg(F.min_by(F.struct("path", "rel_path", "mtime", "length", "tier"), order).alias("s")) \
-        .select(*GEN, "s.*")
+    best = first_per_group(cand, GEN, [F.col("tier"), F.col("mtime").desc(), F.col("path")])
+    return best.select(*GEN, "path", "rel_path", "mtime", "length", "tier")
 
 
 def load_executions(spark: SparkSession, files: DataFrame, root: str,
@@ -330,8 +329,7 @@ def eval_summaries(spark: SparkSession, files: DataFrame, root: str) -> DataFram
     glob = "{" + ",".join(C.EVAL_RESULT_NAMES) + "}"
     cand = read_capped(spark, root, glob).where(F.col("gen").isNotNull() & F.col("rel_path").isin(*C.EVAL_RESULT_NAMES))
     rank = F.array_position(F.array(*(F.lit(n) for n in C.EVAL_RESULT_NAMES)), F.col("rel_path"))
-    chosen = cand.groupBy(*GEN).agg(F.min_by(F.struct("rel_path", "text", "bad_reason"), rank).alias("f")) \
-        .select(*GEN, "f.*")
+    chosen = first_per_group(cand, GEN, [rank]).select(*GEN, "rel_path", "text", "bad_reason")
     docs = chosen.select(*GEN, "rel_path", strict_json(F.col("text")).alias("doc"))
     d = F.col("doc")
     is_obj = F.schema_of_variant(d).startswith("OBJECT")

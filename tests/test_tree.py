@@ -225,3 +225,21 @@ def test_history_edges(spark):
     v = spark.createDataFrame([(1, 1, 0, 0), (1, 2, 10, 2)], "run_id int, gen int, size int, lines int")
     g = {r.gen: (r.size_pct, r.lines_delta) for r in code_growth(v).collect()}
     assert g == {1: (None, None), 2: (None, 2)}
+
+
+def test_label_leaderboard_over_a_tree(spark, tmp_root):
+    from runlens.plans.tree_plans import label_leaderboard
+
+    root = os.path.join(tmp_root, "runs")
+    r = os.path.join(root, "run_1")
+    write(os.path.join(r, "gen_1", "submission.csv"), "id,label\n1,盗窃\n2,诈骗\n3,盗窃\n")
+    write(os.path.join(r, "gen_1", "predictions.csv"), "id,label\n1,x\n")          # submission.csv wins
+    write(os.path.join(r, "gen_2", "predictions.csv"), "id,text,charge\n1,a,盗窃\n2,b,盗窃\n")
+    write(os.path.join(r, "gen_3", "submission.csv"), "row,label\n1,盗窃\n")       # no id column
+    write(os.path.join(r, "gen_4", "notes.txt"), "no submission")
+    truth = spark.createDataFrame([(1, "盗窃"), (2, "诈骗"), (3, "盗窃")], "id bigint, label string")
+    rows = {r.gen: r for r in label_leaderboard(spark, root, truth, "law").collect()}
+    assert set(rows) == {1, 2, 3}
+    assert (rows[1].accuracy, rows[1].n_correct, rows[1].n_total, rows[1].rank_in_run) == (1.0, 3, 3, 1)
+    assert (round(rows[2].accuracy, 6), rows[2].n_correct, rows[2].n_total) == (round(1 / 3, 6), 1, 3)
+    assert rows[3].accuracy is None and rows[3].bad_reason == "NO_ID_COLUMN"
