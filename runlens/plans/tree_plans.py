@@ -87,10 +87,9 @@ def run_history(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     growth = H.code_growth(gens.select(*GEN, "size", "lines"))
     finals = H.run_finals(gens.select(*GEN, "accuracy"))
     first_last = gens.groupBy("run_id").agg(
-        F.min_by(F.struct("size", "lines"), "gen").alias("first"), F.max_by(F.struct("size", "lines"), "gen").alias("last"))
-    finals = finals.join(first_last, "run_id").select(
-        "*", (F.col("last.lines") - F.col("first.lines")).alias("lines_growth"),
-        (F.col("last.size") - F.col("first.size")).alias("size_growth")).drop("first", "last")
+        (F.max_by("lines", "gen") - F.min_by("lines", "gen")).alias("lines_growth"),
+        (F.max_by("size", "gen") - F.min_by("size", "gen")).alias("size_growth"))
+    finals = finals.join(first_last, "run_id")
     return {
         "generations": gens.join(growth.drop("size", "lines"), GEN, "left"),
         "metrics": metrics,
