@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.solution import extract_solution
 from ..operators import containment as X
 from ..operators import grading as G
 from ..operators import rewards as R
@@ -114,7 +115,12 @@ FROM agg LEFT JOIN g ON agg.question_id = g.question_id
 def episode_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = B.b_turns(spark, sf_dir).where(F.col("role") == "assistant")
     steps = turns.select(F.col("question_id").cast("string").alias("question_id"), "text")
-    graded = G.grade_open(B.b_truth_open(spark, sf_dir), B.b_answers_open(spark, sf_dir))
+    # Only episodes that exist need a grade: restrict responses before extracting solutions.
+    wanted = steps.select("question_id").distinct()
+    resp = B.b_responses_open(spark, sf_dir).join(wanted, "question_id", "left_semi")
+    answers = resp.select("task", "run_id", "gen", "question_id",
+                          extract_solution(F.col("model_response")).alias("solution"))
+    graded = G.grade_open(B.b_truth_open(spark, sf_dir), answers)
     return R.episode_rewards(steps, graded.select("question_id", "correct"), ["question_id"])
 
 
