@@ -113,3 +113,20 @@ def test_insights_matches_reference(spark):
     df = _col(spark, notes).select("s", insights(F.col("s")).alias("got"))
     for r in df.collect():
         assert list(r.got) == pyref.insights(r.s), r.s
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text(alphabet="0123456789abc '\"[],_+-\n\r=", max_size=14), min_size=5, max_size=40))
+def test_extract_solution_random(spark, tails):
+    # documented divergences excluded: floats (no '.'), nested lists (one '[' at most)
+    values = [f"x Solution = {t}" for t in tails if t.count("[") <= 1]
+    if not values:
+        return
+    df = _col(spark, values).select("s", extract_solution(F.col("s")).alias("got"),
+                                    open_equal(extract_solution(F.col("s")),
+                                               solution_from_json(F.parse_json(F.lit('["1", "a"]')))).alias("eq"))
+    for r in df.collect():
+        want = _py_solution_kind(pyref.extract_solution(r.s))
+        got = None if r.got is None else (r.got.kind, r.got.list, r.got.scalar)
+        assert got == want, r.s
+        assert r.eq == pyref.open_equal(pyref.extract_solution(r.s), ["1", "a"]), r.s
