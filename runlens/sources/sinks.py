@@ -54,3 +54,55 @@ def ingest(spark: SparkSession, root: str, out: str, max_bytes: int = C.MAX_CONT
     rows = read_text_capped(spark, files, root, max_bytes)
     _overwrite_partitions(rows.repartition("run_id"), out, ["run_id"])
     return spark.read.parquet(out)
+
+
+# --------------------------------------------------------------------------- #
+# K1 layouts: one evaluation document per generation
+# --------------------------------------------------------------------------- #
+GEN = ["run_id", "gen"]
+
+
+def eval_documents(summary: DataFrame, details: DataFrame | None, layout: str) -> DataFrame:
+    """K1: one JSON evaluation document per generation, in one of three layouts.
+
+    * ``details``  -- the summary's fields at the top level plus a ``details`` array
+      (multiple choice);
+    * ``per_class`` -- the summary's fields plus a ``per_class`` object
+      label -> accuracy (labels); ``details`` are per-class rows;
+    * ``nested``   -- ``{"summary": {...}, "results": [...]}`` (open answers).
+
+    A generation's detail rows are bounded by its truth set, so gathering them
+    into one document is a bounded collect.
+    """
+    fields = [c for c in summary.columns if c not in GEN and c != "task"]
+    s = summary.select(*GEN, F.struct(*fields).alias("_s"))
+    if details is None:
+        d = s.select(*GEN).withColumn("_d", F.lit(None))
+    elif layout == "per_class":
+        d = details.groupBy(*GEN).agg(F.map_from_entries(F.collect_list(F.struct("label", "accuracy"))).alias("_d"))
+    else:
+        cols = [c for c in details.columns if c not in GEN and c != "task"]
+        order = "question_id" if "question_id" in cols else cols[0]
+        d = details.groupBy(*GEN).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in cols if c != order])))
+                                      .alias("_d"))
+    j = s.join(d, GEN, "left")
+    if layout == "nested":
+        doc = F.struct(F.col("_s").alias("summary"), F.col("_d").alias("results"))
+    elif layout in ("details", "per_class"):
+        doc = F.struct(*[F.col("_s")[f].alias(f) for f in fields], F.col("_d").alias(layout))
+    else:
+        raise ValueError(f"unknown layout {layout!r}")
+    # Python writes null fields; keep them.
+    return j.select(*GEN, F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def write_eval_documents(docs: DataFrame, path: str) -> None:
+    """K1: the documents as JSON text, one partition folder per generation."""
+    _overwrite_partitions(docs.select(*GEN, "json"), path, GEN, "text")
+
+
+def read_eval_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Read K1 documents back as VARIANT, ready for the tree readers' functions."""
+    from ..functions.json import strict_json
+
+    return spark.read.text(path).select(*GEN, strict_json(F.col("value")).alias("doc"))

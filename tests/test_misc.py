@@ -177,3 +177,38 @@ def test_history_and_trajectory_sinks(spark, tmp_root):
     K.write_trajectories(spark.createDataFrame([(1, 1, 3, 0, "user", "q")],
                                                "run_id int, gen int, question_id int, turn int, role string, text string"), tr)
     assert spark.read.parquet(tr).count() == 1
+
+
+def test_eval_document_layouts_round_trip(spark, tmp_root):
+    from runlens.functions.json import accuracy_percent
+    from runlens.operators import grading as G
+
+    truth = spark.createDataFrame([("t", 1, "A", "Physics", "s"), ("t", 2, "B", "Bio", "s")],
+                                  "task string, question_id bigint, correct_answer string, domain string, subdomain string")
+    answers = spark.createDataFrame([("t", 1, 1, 1, "a", 0), ("t", 1, 2, 2, "c", 0)],
+                                    "task string, run_id bigint, gen bigint, question_id bigint, answer string, pos bigint")
+    summary = G.summarize_mc(truth, answers)
+    details = G.grade_mc(truth, answers)
+    path = os.path.join(tmp_root, "eval_mc")
+    K.write_eval_documents(K.eval_documents(summary, details, "details"), path)
+    back = K.read_eval_documents(spark, path)
+    got = {r.gen: (r.pct, r.n) for r in back.select(
+        "gen", accuracy_percent(F.col("doc")).alias("pct"),
+        F.size(F.try_variant_get("doc", "$.details", "array<variant>")).alias("n")).collect()}
+    assert got == {1: (100.0, 2), 2: (0.0, 2)}
+    dom = {r.domain: (r.total, r.correct) for r in S.domain_stats_from_details(
+        S.eval_details(back.where(F.col("gen") == 1))).collect()}
+    assert dom == {"Physics": (1, 1), "Bio": (1, 0)}
+
+    lt = spark.createDataFrame([("t", 1, "x"), ("t", 2, "y")], "task string, id bigint, label string")
+    la = spark.createDataFrame([("t", 1, 1, 1, "x")], "task string, run_id bigint, gen bigint, id bigint, pred_label string")
+    merged = G.grade_label(lt, la)
+    docs = K.eval_documents(G.summarize_label(merged), G.per_class(merged), "per_class")
+    d = json.loads(docs.collect()[0].json)
+    assert d["accuracy"] == 0.5 and d["n_correct"] == 1 and d["per_class"] == {"x": 1.0, "y": 0.0}
+
+    nested = K.eval_documents(G.summarize_open(spark.createDataFrame(
+        [("t", 1, 1, "q1", "CORRECT")], "task string, run_id bigint, gen bigint, question_id string, status string")),
+        None, "nested")
+    d = json.loads(nested.collect()[0].json)
+    assert d["summary"]["accuracy_percent"] == 100.0 and d["results"] is None
