@@ -243,3 +243,17 @@ def test_label_leaderboard_over_a_tree(spark, tmp_root):
     assert (rows[1].accuracy, rows[1].n_correct, rows[1].n_total, rows[1].rank_in_run) == (1.0, 3, 3, 1)
     assert (round(rows[2].accuracy, 6), rows[2].n_correct, rows[2].n_total) == (round(1 / 3, 6), 1, 3)
     assert rows[3].accuracy is None and rows[3].bad_reason == "NO_ID_COLUMN"
+
+
+def test_trajectory_outcomes_on_executions(spark, tmp_root):
+    from runlens.operators.trajectories import trajectory_outcomes
+
+    root = os.path.join(tmp_root, "runs")
+    d = os.path.join(root, "run_1", "gen_1", "agent_execution")
+    write(os.path.join(d, "execution_q0.json"), json.dumps([{"role": "user", "content": "q"}]))
+    write(os.path.join(d, "execution_q1.json"), "{broken")
+    write(os.path.join(d, "execution_q2.json"), json.dumps({"error": "agent crashed"}))
+    write(os.path.join(d, "execution_q3.json"), json.dumps({"note": "no error key"}))
+    files = S.scan_runs(spark, root)
+    o = trajectory_outcomes(S.load_executions(spark, files, root), ["run_id", "gen"]).collect()[0]
+    assert (o["count"], o.successful, o.failed) == (4, 1, 2)
