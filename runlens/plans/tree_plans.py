@@ -11,6 +11,7 @@ from .. import config as C
 from ..functions.json import scalar_metrics
 from ..functions.logs import insight_preview, insights, log_metrics_struct
 from ..operators import history as H
+from ..operators.sequence import first_per_group
 from ..sources import tree as S
 
 GEN = ["run_id", "gen"]
@@ -19,12 +20,17 @@ GEN = ["run_id", "gen"]
 def tree_metrics(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     """A14 over a tree: ``results.json`` scalars, else ``detailed_results.json``
     scalars, else stdout-log regexes (first log name that exists)."""
-    gens = files.where(F.col("gen").isNotNull())
-    docs = S.read_json_capped(spark, gens.where(F.col("rel_path").isin(*C.METRIC_SOURCE_NAMES)), root)
+    from ..functions.json import strict_json
+
+    def named(names) -> DataFrame:
+        return S.read_capped(spark, root, "{" + ",".join(names) + "}").where(
+            F.col("gen").isNotNull() & F.col("rel_path").isin(*names))
+
+    docs = named(C.METRIC_SOURCE_NAMES).withColumn("doc", strict_json(F.col("text")))
     results = scalar_metrics(docs.where(F.col("rel_path") == C.METRIC_SOURCE_NAMES[0]), "doc", GEN)
     detailed = scalar_metrics(docs.where(F.col("rel_path") == C.METRIC_SOURCE_NAMES[1]), "doc", GEN)
-    log_file = S.pick_by_priority(gens, C.STDOUT_LOG_NAMES)
-    logs = S.read_text_capped(spark, log_file, root)
+    rank = F.array_position(F.array(*(F.lit(n) for n in C.STDOUT_LOG_NAMES)), F.col("rel_path"))
+    logs = first_per_group(named(C.STDOUT_LOG_NAMES), GEN, [rank])
     m = logs.select(*GEN, log_metrics_struct(F.col("text")).alias("m"))
     pairs = F.array(*(F.struct(F.lit(k).alias("key"), F.col("m")[k].alias("num")) for k in C.LOG_METRIC_PATTERNS))
     log_rows = m.select(*GEN, F.inline(pairs)).where(F.col("num").isNotNull()).select(
@@ -51,8 +57,8 @@ def tree_generations(spark: SparkSession, files: DataFrame, root: str, metrics:
 
 
 def tree_insights(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
-    imp = files.where(F.col("rel_path") == C.TEXT_ARTIFACTS["improvement"])
-    t = S.read_text_capped(spark, imp, root)
+    name = C.TEXT_ARTIFACTS["improvement"]
+    t = S.read_capped(spark, root, name).where(F.col("gen").isNotNull() & (F.col("rel_path") == name))
     ex = t.select(*GEN, F.posexplode(insights(F.col("text"))).alias("p", "insight"))
     return ex.select(*GEN, (F.col("p") + 1).alias("pos"), "insight", insight_preview(F.col("insight")).alias("preview"),
                      (F.col("p") < C.INSIGHTS_SHOWN).alias("shown"))

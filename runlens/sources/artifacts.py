@@ -205,8 +205,11 @@ def label_submissions(spark: SparkSession, files: DataFrame, root: str) -> DataF
     """
     from . import tree as S
 
-    chosen = S.pick_by_priority(files.where(F.col("gen").isNotNull()), C.LABEL_SUBMISSION_NAMES)
-    t = S.read_text_capped(spark, chosen, root, C.MAX_CONTEXT_FILE_SIZE)
+    names = C.LABEL_SUBMISSION_NAMES
+    cand = S.read_capped(spark, root, "{" + ",".join(names) + "}").where(
+        F.col("gen").isNotNull() & F.col("rel_path").isin(*names))
+    rank = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("rel_path"))
+    t = first_per_group(cand, GEN, [rank])
     lines = F.filter(F.split(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\r\n?", "\n"), "\n"),
                      lambda x: x != "")
     header = F.transform(F.split(F.element_at(lines, 1), ","), lambda x: py_strip(x))

@@ -244,8 +244,7 @@ def trajectory_ids(files: DataFrame) -> DataFrame:
 
 def source_stats(spark: SparkSession, files: DataFrame, root: str, name: str = "target_agent.py") -> DataFrame:
     """Bytes and line count of one artefact per generation; unreadable -> (0, 0)."""
-    f = files.where(F.col("rel_path") == name)
-    t = read_text_capped(spark, f, root, C.MAX_CONTEXT_FILE_SIZE)
+    t = read_capped(spark, root, name).where(F.col("gen").isNotNull() & (F.col("rel_path") == name))
     return t.select(*GEN, F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("length")).alias("size"),
                     F.coalesce(line_count(F.col("text")), F.lit(0)).alias("lines"))
 
