@@ -23,7 +23,7 @@ def tree_metrics(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     from ..functions.json import strict_json
 
     def named(names) -> DataFrame:
-        return S.read_capped(spark, root, "{" + ",".join(names) + "}").where(
+        return S.named_texts(spark, files, root, names).where(
             F.col("gen").isNotNull() & F.col("rel_path").isin(*names))
 
     docs = named(C.METRIC_SOURCE_NAMES).withColumn("doc", strict_json(F.col("text")))
@@ -58,15 +58,17 @@ def tree_generations(spark: SparkSession, files: DataFrame, root: str, metrics:
 
 def tree_insights(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     name = C.TEXT_ARTIFACTS["improvement"]
-    t = S.read_capped(spark, root, name).where(F.col("gen").isNotNull() & (F.col("rel_path") == name))
+    t = S.named_texts(spark, files, root, (name,)).where(F.col("gen").isNotNull() & (F.col("rel_path") == name))
     ex = t.select(*GEN, F.posexplode(insights(F.col("text"))).alias("p", "insight"))
     return ex.select(*GEN, (F.col("p") + 1).alias("pos"), "insight", insight_preview(F.col("insight")).alias("preview"),
                      (F.col("p") < C.INSIGHTS_SHOWN).alias("shown"))
 
 
-def run_overview(spark: SparkSession, root: str) -> DataFrame:
-    """A6 + S11 + J8 + A7 + S7: one nested row per run, newest id first."""
-    files = S.scan_runs(spark, root)
+def run_overview(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
+    """A6 + S11 + J8 + A7 + S7: one nested row per run, newest id first.
+
+    ``files``: the ingested table (``sinks.ingest``) to read instead of the tree."""
+    files = files if files is not None else S.scan_runs(spark, root)
     runs = files.select("run_name", "run_id").distinct()
     ctx = S.parse_context(spark, files, root).drop("entries")
     ev = S.eval_summaries(spark, files, root).drop("doc")
@@ -85,9 +87,9 @@ def run_overview(spark: SparkSession, root: str) -> DataFrame:
     return out.orderBy(F.col("run_id").desc())
 
 
-def run_history(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+def run_history(spark: SparkSession, root: str, files: DataFrame | None = None) -> dict[str, DataFrame]:
     """K4 content: generations with deltas, metric deltas, insights and finals."""
-    files = S.scan_runs(spark, root)
+    files = files if files is not None else S.scan_runs(spark, root)
     metrics = tree_metrics(spark, files, root)
     gens = tree_generations(spark, files, root, metrics)
     growth = H.code_growth(gens.select(*GEN, "size", "lines"))
@@ -106,14 +108,15 @@ def run_history(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
 
 
-def label_leaderboard(spark: SparkSession, root: str, truth: DataFrame, task: str) -> DataFrame:
+def label_leaderboard(spark: SparkSession, root: str, truth: DataFrame, task: str,
+                      files: DataFrame | None = None) -> DataFrame:
     """T-6 over a tree: every generation of every run graded against the label
     truth (A2), best first within a run; a generation whose submission cannot be
     read is an error row with ``bad_reason`` instead of a score."""
     from ..operators import grading as G
     from ..sources.artifacts import label_submissions
 
-    files = S.scan_runs(spark, root)
+    files = files if files is not None else S.scan_runs(spark, root)
     subs = label_submissions(spark, files, root).withColumn("task", F.lit(task))
     ok = subs.where(F.col("bad_reason").isNull())
     gens = ok.select("task", "run_id", "gen").distinct()

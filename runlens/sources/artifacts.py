@@ -206,7 +206,7 @@ def label_submissions(spark: SparkSession, files: DataFrame, root: str) -> DataF
     from . import tree as S
 
     names = C.LABEL_SUBMISSION_NAMES
-    cand = S.read_capped(spark, root, "{" + ",".join(names) + "}").where(
+    cand = S.named_texts(spark, files, root, names).where(
         F.col("gen").isNotNull() & F.col("rel_path").isin(*names))
     rank = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("rel_path"))
     t = first_per_group(cand, GEN, [rank])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .tree import read_text_capped, scan_runs
+from .tree import FILES_COLUMNS, _layout, binary_files
 
 
 def _overwrite_partitions(df: DataFrame, path: str, cols: list[str], fmt: str = "parquet", **options) -> None:
@@ -44,14 +44,23 @@ def write_history(history: DataFrame, path: str) -> None:
     _overwrite_partitions(history, path, ["run_id"])
 
 
-def ingest(spark: SparkSession, root: str, out: str, max_bytes: int = C.MAX_CONTEXT_FILE_SIZE) -> DataFrame:
+def ingest(spark: SparkSession, root: str, out: str, max_bytes: int = C.MAX_EXECUTION_LOG_SIZE) -> DataFrame:
     """Scan a runs tree once and keep every file row (text for files under the
-    cap) as parquet partitioned by ``run_id``; analytics then read parquet.
+    largest cap any reader uses) as parquet partitioned by ``run_id``.
 
-    Partitioning by run (not by generation) keeps partitions few and large.
+    The result is a ``files`` table carrying ``text``: pass it to the tree
+    readers and plans (``files=``) and they filter it instead of listing and
+    reading the tree again.  Partitioning by run (not by generation) keeps
+    partitions few and large.
     """
-    files = scan_runs(spark, root)
-    rows = read_text_capped(spark, files, root, max_bytes)
+
+    raw = binary_files(spark, root)
+    ok = raw.where(F.col("length") <= max_bytes)
+    big = raw.where(F.col("length") > max_bytes).select(
+        "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+    laid = _layout(ok.unionByName(big), root, extra=("content",))
+    rows = laid.select(*FILES_COLUMNS, F.decode("content", "UTF-8").alias("text"),
+                       F.when(F.col("length") > max_bytes, F.lit("TOO_LARGE")).alias("bad_reason"))
     _overwrite_partitions(rows.repartition("run_id"), out, ["run_id"])
     return spark.read.parquet(out)
 

@@ -136,6 +136,26 @@ def read_capped(spark: SparkSession, root: str, name_glob: str,
     )
 
 
+def named_texts(spark: SparkSession, files: DataFrame, root: str, names: tuple[str, ...] | list[str] | None = None,
+                pattern: str | None = None, max_bytes: int = C.MAX_CONTEXT_FILE_SIZE) -> DataFrame:
+    """Text of the files with the given names (or a ``*`` name pattern).
+
+    When ``files`` is the ingested table (it carries ``text``), rows are only
+    filtered and the reader's cap applied -- no listing, no scan.  Otherwise one
+    name-filtered ``binaryFile`` scan of the tree (``read_capped``).
+    """
+    if "text" in files.columns:
+        cond = F.col("name").isin(*names) if names else F.col("name").rlike(_glob(pattern))
+        return files.where(cond).select(
+            *FILES_COLUMNS,
+            F.when(F.col("length") <= max_bytes, F.col("text")).alias("text"),
+            F.when(F.col("length") > max_bytes, F.lit("TOO_LARGE"))
+            .otherwise(F.col("bad_reason") if "bad_reason" in files.columns else F.lit(None)).alias("bad_reason"),
+        )
+    glob = ("{" + ",".join(names) + "}") if names else pattern
+    return read_capped(spark, root, glob, max_bytes)
+
+
 def read_json_capped(spark: SparkSession, files: DataFrame, root: str,
                      max_bytes: int = C.MAX_CONTEXT_FILE_SIZE) -> DataFrame:
     """S3: parsed JSON (VARIANT) or NULL with a reason: too large, unreadable, invalid."""
@@ -193,7 +213,7 @@ def load_executions(spark: SparkSession, files: DataFrame, root: str,
     in_dir = files.where(F.col("gen").isNotNull() & rel.startswith(C.AGENT_EXECUTION_DIR + "/"))
     dir_gens = in_dir.select(*GEN).distinct()
     traj = in_dir.where(F.col("name").rlike(r"^execution_q[^/]*\.json$") & (F.size(F.split(rel, "/")) == 2))
-    traj_t = read_capped(spark, root, "execution_q*.json", max_bytes).where(
+    traj_t = named_texts(spark, files, root, pattern="execution_q*.json", max_bytes=max_bytes).where(
         F.col("gen").isNotNull() & rel.startswith(C.AGENT_EXECUTION_DIR + "/") & (F.size(F.split(rel, "/")) == 2))
     w = Window.partitionBy(*GEN).orderBy("name")
     doc = strict_json(F.col("text"))
@@ -212,7 +232,8 @@ def load_executions(spark: SparkSession, files: DataFrame, root: str,
         F.lit(None).cast("bigint").alias("file_chars"),
     )
     single = files.where(F.col("gen").isNotNull() & (rel == C.AGENT_EXECUTION_JSON)).join(dir_gens, GEN, "left_anti")
-    single_t = read_capped(spark, root, C.AGENT_EXECUTION_JSON, max_bytes).where(rel == C.AGENT_EXECUTION_JSON) \
+    single_t = named_texts(spark, files, root, (C.AGENT_EXECUTION_JSON,), max_bytes=max_bytes) \
+        .where(rel == C.AGENT_EXECUTION_JSON) \
         .join(dir_gens, GEN, "left_anti")
     sdoc = strict_json(F.col("text"))
     single_rows = single_t.select(
@@ -244,7 +265,7 @@ def trajectory_ids(files: DataFrame) -> DataFrame:
 
 def source_stats(spark: SparkSession, files: DataFrame, root: str, name: str = "target_agent.py") -> DataFrame:
     """Bytes and line count of one artefact per generation; unreadable -> (0, 0)."""
-    t = read_capped(spark, root, name).where(F.col("gen").isNotNull() & (F.col("rel_path") == name))
+    t = named_texts(spark, files, root, (name,)).where(F.col("gen").isNotNull() & (F.col("rel_path") == name))
     return t.select(*GEN, F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("length")).alias("size"),
                     F.coalesce(line_count(F.col("text")), F.lit(0)).alias("lines"))
 
@@ -274,7 +295,7 @@ def parse_context(spark: SparkSession, files: DataFrame, root: str) -> DataFrame
     lower-cased and the last occurrence wins; ``max generations`` becomes an
     int or NULL.
     """
-    ctx = read_capped(spark, root, C.CONTEXT_FILE).where(
+    ctx = named_texts(spark, files, root, (C.CONTEXT_FILE,)).where(
         F.col("gen").isNull() & (F.col("rel_path") == C.CONTEXT_FILE))
     lines = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), _SPLITLINES, -1), lambda x: py_strip(x))
     ix = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
@@ -312,7 +333,8 @@ def agent_events(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     parts = F.split(rel, "/")
     ev = files.where(rel.startswith(C.OPENHANDS_DIR + "/") & (F.size(parts) == 4)
                      & (parts.getItem(2) == "events") & F.col("name").endswith(".json"))
-    t = read_text_capped(spark, ev, root, C.MAX_CONTEXT_FILE_SIZE)
+    t = named_texts(spark, files, root, pattern="*.json").where(
+        rel.startswith(C.OPENHANDS_DIR + "/") & (F.size(parts) == 4) & (parts.getItem(2) == "events"))
     doc = strict_json(F.col("text"))
     rows = t.select(*GEN, parts.getItem(1).alias("session"), F.col("name").alias("event_file"), doc.alias("event")) \
         .where(F.schema_of_variant("event").startswith("OBJECT"))
@@ -325,8 +347,8 @@ def eval_summaries(spark: SparkSession, files: DataFrame, root: str) -> DataFram
     ``results.json``) with P10 accuracy percent and T15's ``total`` rule."""
     from ..functions.json import accuracy_percent
 
-    glob = "{" + ",".join(C.EVAL_RESULT_NAMES) + "}"
-    cand = read_capped(spark, root, glob).where(F.col("gen").isNotNull() & F.col("rel_path").isin(*C.EVAL_RESULT_NAMES))
+    cand = named_texts(spark, files, root, C.EVAL_RESULT_NAMES).where(
+        F.col("gen").isNotNull() & F.col("rel_path").isin(*C.EVAL_RESULT_NAMES))
     rank = F.array_position(F.array(*(F.lit(n) for n in C.EVAL_RESULT_NAMES)), F.col("rel_path"))
     chosen = first_per_group(cand, GEN, [rank]).select(*GEN, "rel_path", "text", "bad_reason")
     docs = chosen.select(*GEN, "rel_path", strict_json(F.col("text")).alias("doc"))

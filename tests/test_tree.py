@@ -257,3 +257,19 @@ def test_trajectory_outcomes_on_executions(spark, tmp_root):
     files = S.scan_runs(spark, root)
     o = trajectory_outcomes(S.load_executions(spark, files, root), ["run_id", "gen"]).collect()[0]
     assert (o["count"], o.successful, o.failed) == (4, 1, 2)
+
+
+def test_plans_read_the_ingested_table(spark, runs_root, tmp_root):
+    """Analytics off the ingested parquet equal analytics off the tree."""
+    from runlens.sources import sinks as K
+
+    ing = K.ingest(spark, runs_root, os.path.join(tmp_root, "ingested"))
+    a = run_overview(spark, runs_root).collect()[0]
+    b = run_overview(spark, runs_root, files=ing).collect()[0]
+    assert a.asDict(recursive=True) == b.asDict(recursive=True)
+    files = S.scan_runs(spark, runs_root)
+    t1 = sorted(tuple(r) for r in trajectory_turns(S.load_executions(spark, files, runs_root))
+                .drop("content").collect())
+    t2 = sorted(tuple(r) for r in trajectory_turns(S.load_executions(spark, ing, runs_root))
+                .drop("content").collect())
+    assert t1 == t2 and len(t1) == 3
