@@ -24,7 +24,7 @@ def format_question(question: Column, options: Column) -> Column:
     """Question text and the four options of a ``MAP<STRING,STRING>``."""
     parts = [F.lit(MC_HEAD), question, F.lit("\n\n")]
     for i, letter in enumerate("ABCD"):
-        parts += [F.lit(("\n" if i else "") + f"{letter}) "), F.element_at(options, F.lit(letter))]
+        parts += [F.lit(("\n" if i else "") + f"{letter}) "), F.try_element_at(options, F.lit(letter))]
     parts.append(F.lit(MC_TAIL))
     return F.concat(*parts)
 

@@ -67,7 +67,7 @@ def _normalized_answers(answers: DataFrame) -> DataFrame:
     pos = F.col("pos") if "pos" in answers.columns else F.lit(0).cast("bigint")
     keyed = answers.select(*GEN_KEYS, "question_id", code.alias("code"), pos.alias("pos")) \
         .groupBy(*GEN_KEYS, "question_id").agg(F.max_by("code", "pos").alias("code"))
-    return keyed.select(*GEN_KEYS, "question_id", F.element_at(forms, F.col("code")).alias("model_answer"))
+    return keyed.select(*GEN_KEYS, "question_id", F.try_element_at(forms, F.col("code")).alias("model_answer"))
 
 
 def _mc_status(model_answer: Column, correct: Column) -> Column:

@@ -73,7 +73,7 @@ def expand_over(
             F.collect_list(F.struct(*rest)).alias("_rows"))
         table = packed.agg(F.map_from_entries(F.collect_list(F.struct(k_dim, F.col("_rows")))).alias("m")).scalar()
         k_left = F.struct(*[F.col(k) for k in keys]) if len(keys) > 1 else F.col(keys[0])
-        out = left.select("*", F.explode(F.element_at(table, k_left)).alias("_d"))
+        out = left.select("*", F.explode(F.try_element_at(table, k_left)).alias("_d"))
         return out.select(*left.columns, *[F.col("_d")[c].alias(c) for c in rest])
     hashed = F.xxhash64(*(F.col(c) for c in ([salt_col] if salt_col else dim.columns)))
     dim_s = dim.withColumn("_salt", F.pmod(hashed, F.lit(salt)))

@@ -199,7 +199,7 @@ def label_submissions(spark: SparkSession, files: DataFrame, root: str) -> DataF
 
     Every file keeps its own column choice (``label`` if present, else the last
     column), so one job reads generations whose files differ.  Rows:
-    run_id, gen, file, id, pred_label, bad_reason (``NO_ID_COLUMN``,
+    run_id, gen, file, id, pred_label, bad_reason (``NO_ID_COLUMN``, ``EMPTY``,
     ``UNREADABLE``; NULL when fine).  Plain comma-separated values only (no
     quoted commas).
     """
@@ -212,19 +212,21 @@ def label_submissions(spark: SparkSession, files: DataFrame, root: str) -> DataF
     t = first_per_group(cand, GEN, [rank])
     lines = F.filter(F.split(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\r\n?", "\n"), "\n"),
                      lambda x: x != "")
-    header = F.transform(F.split(F.element_at(lines, 1), ","), lambda x: py_strip(x))
+    header = F.transform(F.split(F.try_element_at(lines, F.lit(1)), ","), lambda x: py_strip(x))
     label_ix = F.coalesce(F.nullif(F.array_position(header, F.lit("label")), F.lit(0)), F.size(header))
-    id_ix = F.array_position(header, F.lit("id"))
+    id_ix = F.coalesce(F.array_position(header, F.lit("id")), F.lit(0))
     parsed = t.select(*GEN, F.col("rel_path").alias("file"), lines.alias("lines"), label_ix.alias("li"),
                       id_ix.alias("ii"), F.col("text").isNull().alias("unreadable"))
+    reason = (F.when(F.col("unreadable"), F.lit("UNREADABLE"))
+              .when(F.size("lines") == 0, F.lit("EMPTY")).otherwise(F.lit("NO_ID_COLUMN")))
     bad = parsed.where(F.col("unreadable") | (F.col("ii") == 0)).select(
         *GEN, "file", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("pred_label"),
-        F.when(F.col("unreadable"), F.lit("UNREADABLE")).otherwise(F.lit("NO_ID_COLUMN")).alias("bad_reason"))
+        reason.alias("bad_reason"))
     rows = parsed.where(~F.col("unreadable") & (F.col("ii") > 0)).select(
         *GEN, "file", "li", "ii", F.explode(F.slice("lines", 2, 1 << 30)).alias("line"))
     cells = F.split(F.col("line"), ",")
     good = rows.select(
-        *GEN, "file", _int_key(F.element_at(cells, F.col("ii").cast("int"))).alias("id"),
-        F.nullif(F.element_at(cells, F.col("li").cast("int")), F.lit("")).alias("pred_label"),
+        *GEN, "file", _int_key(F.try_element_at(cells, F.col("ii").cast("int"))).alias("id"),
+        F.nullif(F.try_element_at(cells, F.col("li").cast("int")), F.lit("")).alias("pred_label"),
         F.lit(None).cast("string").alias("bad_reason"))
     return good.unionByName(bad)

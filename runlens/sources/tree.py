@@ -53,7 +53,7 @@ def _layout(df: DataFrame, root: str, extra: tuple[str, ...] = ()) -> DataFrame:
         gen_name.alias("gen_name"),
         F.regexp_extract(gen_name, C.GEN_DIR_PATTERN, 1).cast("int").alias("gen"),
         inner.alias("rel_path"),
-        F.element_at(parts, -1).alias("name"),
+        F.try_element_at(parts, F.lit(-1)).alias("name"),
         F.col("path"),
         F.col("modificationTime").alias("mtime"),
         F.col("length"),
@@ -299,7 +299,7 @@ def parse_context(spark: SparkSession, files: DataFrame, root: str) -> DataFrame
         F.col("gen").isNull() & (F.col("rel_path") == C.CONTEXT_FILE))
     lines = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), _SPLITLINES, -1), lambda x: py_strip(x))
     ix = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    cut = F.coalesce(F.element_at(F.filter(ix, lambda e: e["x"].startswith("## ")), 1)["i"], F.size(lines))
+    cut = F.coalesce(F.try_element_at(F.filter(ix, lambda e: e["x"].startswith("## ")), F.lit(1))["i"], F.size(lines))
     pat = r"^\*\*([^*]+)\*\*:" + WS_CLASS + r"*(.*)$"
     entries = F.transform(
         F.filter(F.col("_head"), lambda e: e["x"].rlike("(?s)" + pat)),
@@ -310,7 +310,7 @@ def parse_context(spark: SparkSession, files: DataFrame, root: str) -> DataFrame
     )
 
     def last(key: str) -> Column:
-        return F.element_at(F.filter(F.col("_e"), lambda e: e["k"] == key), -1)["v"]
+        return F.try_element_at(F.filter(F.col("_e"), lambda e: e["k"] == key), F.lit(-1))["v"]
 
     out = ctx.select("run_name", "run_id", ix.alias("_ix"), cut.alias("_cut")) \
         .select("run_name", "run_id", F.filter("_ix", lambda e: e["i"] < F.col("_cut")).alias("_head")) \
@@ -332,9 +332,9 @@ def agent_events(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     rel = F.col("rel_path")
     parts = F.split(rel, "/")
     ev = files.where(rel.startswith(C.OPENHANDS_DIR + "/") & (F.size(parts) == 4)
-                     & (parts.getItem(2) == "events") & F.col("name").endswith(".json"))
+                     & (F.try_element_at(parts, F.lit(3)) == "events") & F.col("name").endswith(".json"))
     t = named_texts(spark, files, root, pattern="*.json").where(
-        rel.startswith(C.OPENHANDS_DIR + "/") & (F.size(parts) == 4) & (parts.getItem(2) == "events"))
+        rel.startswith(C.OPENHANDS_DIR + "/") & (F.size(parts) == 4) & (F.try_element_at(parts, F.lit(3)) == "events"))
     doc = strict_json(F.col("text"))
     rows = t.select(*GEN, parts.getItem(1).alias("session"), F.col("name").alias("event_file"), doc.alias("event")) \
         .where(F.schema_of_variant("event").startswith("OBJECT"))

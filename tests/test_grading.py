@@ -96,3 +96,12 @@ def test_grid_salted_path_equals_broadcast_path(spark):
                                                   salt_col="question_id").collect())
     assert fast == salted and len(fast) == 6 * 50 + 1
     assert small_side(truth, max_rows=0) is truth
+
+
+def test_grid_with_tasks_missing_from_truth(spark):
+    from runlens.operators.joins import expand_over
+
+    gens = spark.createDataFrame([("t", 1), ("nope", 2)], "task string, run_id int")
+    truth = spark.createDataFrame([("t", 1), ("t", 2)], "task string, question_id int")
+    got = sorted(tuple(r) for r in expand_over(gens, truth, "task").collect())
+    assert got == [("t", 1, 1), ("t", 1, 2)]

@@ -273,3 +273,47 @@ def test_plans_read_the_ingested_table(spark, runs_root, tmp_root):
     t2 = sorted(tuple(r) for r in trajectory_turns(S.load_executions(spark, ing, runs_root))
                 .drop("content").collect())
     assert t1 == t2 and len(t1) == 3
+
+
+def test_context_header_matches_reference_rules(spark, tmp_root):
+    import random
+
+    import pyref
+
+    rnd = random.Random(5)
+    keys = ["Task", "Meta Model", "task", "Agent impl", "Started", "Max Generations", "max generations"]
+    pieces = ["# Run Context", "## Generation 1", "#not a heading", "  **Task**:  spaced  ", "**Bad*Key**: x",
+              "**Max Generations**: 1_0", "**Max Generations**: +3", "", "text", "##nospace", "\x0c"]
+    root = os.path.join(tmp_root, "runs")
+    texts = {}
+    for run in range(1, 25):
+        lines = [rnd.choice(pieces) if rnd.random() < 0.4 else f"**{rnd.choice(keys)}**: v{rnd.randint(0, 9)}"
+                 for _ in range(rnd.randint(0, 12))]
+        sep = rnd.choice(["\n", "\r\n", "\r"])
+        texts[run] = sep.join(lines)
+        write(os.path.join(root, f"run_{run}", "context.md"), texts[run] or "x")
+        texts[run] = texts[run] or "x"
+    files = S.scan_runs(spark, root)
+    got = {r.run_id: r for r in S.parse_context(spark, files, root).collect()}
+    for run, text in texts.items():
+        want = pyref.parse_context(text)
+        r = got[run]
+        assert r.task == want.get("task") and r.meta_model == want.get("meta model"), (text, want)
+        assert r.agent_impl == want.get("agent impl") and r.started == want.get("started"), (text, want)
+        mg = want.get("max generations")
+        try:
+            mg = int(mg) if mg is not None else None
+        except ValueError:
+            mg = None
+        assert r.max_generations == mg, (text, want)
+
+
+def test_label_submissions_with_ragged_rows(spark, tmp_root):
+    from runlens.sources.artifacts import label_submissions
+
+    root = os.path.join(tmp_root, "runs")
+    write(os.path.join(root, "run_1", "gen_1", "submission.csv"), "id,label\n1,a\n2\n3,c,extra\n")
+    write(os.path.join(root, "run_1", "gen_2", "submission.csv"), "\n\n")
+    files = S.scan_runs(spark, root)
+    rows = sorted((r.gen, r.id, r.pred_label, r.bad_reason) for r in label_submissions(spark, files, root).collect())
+    assert rows == [(1, 1, "a", None), (1, 2, None, None), (1, 3, "c", None), (2, None, None, "EMPTY")]
