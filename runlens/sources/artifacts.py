@@ -31,7 +31,7 @@ def _int_key(v: Column) -> Column:
     sign and digit underscores accepted; NULL when it would raise."""
     s = py_strip(v)
     ok = s.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$")
-    return F.when(ok, F.regexp_replace(s, "_", "").cast("decimal(38,0)").cast("bigint"))
+    return F.when(ok, F.regexp_replace(s, "_", "").try_cast("decimal(38,0)").try_cast("bigint"))
 
 
 def _numeric_id(v: Column) -> Column:
@@ -41,7 +41,7 @@ def _numeric_id(v: Column) -> Column:
     as_double = F.try_variant_get(v, "$", "double")
     return (
         F.when(kind == "int", F.try_variant_get(v, "$", "bigint"))
-        .when((kind == "float") & (as_double == F.floor(as_double)), as_double.cast("bigint"))
+        .when((kind == "float") & (as_double == F.floor(as_double)), as_double.try_cast("bigint"))
         .when(kind == "bool", F.try_variant_get(v, "$", "boolean").cast("bigint"))
     )
 
@@ -136,7 +136,7 @@ def load_label_submission(spark: SparkSession, path: str) -> DataFrame:
     """A label submission CSV with whatever columns it has; ``id`` as BIGINT."""
     df = spark.read.csv(path, header=True, inferSchema=False)
     df = resolve_label_column(df)
-    return df.select(F.col("id").cast("bigint").alias("id"), "pred_label")
+    return df.select(F.col("id").try_cast("bigint").alias("id"), "pred_label")
 
 
 # --------------------------------------------------------------------------- #
@@ -184,7 +184,7 @@ def normalize_turn(msg: Column) -> Column:
 def trajectory_turns(executions: DataFrame) -> DataFrame:
     """Turns of every trajectory file: one row per message object, in order."""
     rows = executions.where(F.col("status") == "ok").select(
-        *GEN, "file", F.regexp_extract("file", C.EXEC_FILE_PATTERN, 1).cast("int").alias("question_id"),
+        *GEN, "file", F.regexp_extract("file", C.EXEC_FILE_PATTERN, 1).try_cast("int").alias("question_id"),
         F.posexplode(variant_elements(F.col("doc"))).alias("turn", "msg"))
     rows = rows.where(F.schema_of_variant("msg").startswith("OBJECT"))
     t = normalize_turn(F.col("msg"))

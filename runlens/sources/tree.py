@@ -49,9 +49,9 @@ def _layout(df: DataFrame, root: str, extra: tuple[str, ...] = ()) -> DataFrame:
         F.array_join(F.slice(parts, 2, 1_000_000), "/"))
     return df.select(
         run_name.alias("run_name"),
-        F.regexp_extract(run_name, C.RUN_DIR_PATTERN, 1).cast("int").alias("run_id"),
+        F.regexp_extract(run_name, C.RUN_DIR_PATTERN, 1).try_cast("int").alias("run_id"),
         gen_name.alias("gen_name"),
-        F.regexp_extract(gen_name, C.GEN_DIR_PATTERN, 1).cast("int").alias("gen"),
+        F.regexp_extract(gen_name, C.GEN_DIR_PATTERN, 1).try_cast("int").alias("gen"),
         inner.alias("rel_path"),
         F.try_element_at(parts, F.lit(-1)).alias("name"),
         F.col("path"),
@@ -260,7 +260,7 @@ def trajectory_ids(files: DataFrame) -> DataFrame:
     qid = F.regexp_extract("name", C.EXEC_FILE_PATTERN, 1)
     t = files.where(F.col("rel_path").startswith(C.AGENT_EXECUTION_DIR + "/") & (qid != "")
                     & (F.size(F.split("rel_path", "/")) == 2))
-    return t.groupBy(*GEN).agg(F.sort_array(F.collect_list(qid.cast("int"))).alias("trajectories"))
+    return t.groupBy(*GEN).agg(F.sort_array(F.collect_list(qid.try_cast("int"))).alias("trajectories"))
 
 
 def source_stats(spark: SparkSession, files: DataFrame, root: str, name: str = "target_agent.py") -> DataFrame:
@@ -321,7 +321,7 @@ def parse_context(spark: SparkSession, files: DataFrame, root: str) -> DataFrame
         last("task").alias("task"), last("meta model").alias("meta_model"), last("task model").alias("task_model"),
         last("agent impl").alias("agent_impl"), last("started").alias("started"),
         F.when(py_strip(mg).rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"),
-               F.regexp_replace(py_strip(mg), "_", "").cast("int")).alias("max_generations"),
+               F.regexp_replace(py_strip(mg), "_", "").try_cast("int")).alias("max_generations"),
         F.col("_e").alias("entries"),
     )
 

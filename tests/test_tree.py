@@ -317,3 +317,16 @@ def test_label_submissions_with_ragged_rows(spark, tmp_root):
     files = S.scan_runs(spark, root)
     rows = sorted((r.gen, r.id, r.pred_label, r.bad_reason) for r in label_submissions(spark, files, root).collect())
     assert rows == [(1, 1, "a", None), (1, 2, None, None), (1, 3, "c", None), (2, None, None, "EMPTY")]
+
+
+def test_oversized_numbers_do_not_raise(spark, tmp_root):
+    """ANSI casts raise on overflow; names and headers with huge numbers give NULL instead."""
+    root = os.path.join(tmp_root, "runs")
+    write(os.path.join(root, "run_99999999999", "gen_1", "a.txt"), "x")
+    write(os.path.join(root, "run_2", "context.md"), "**Max Generations**: 99999999999\n")
+    write(os.path.join(root, "run_2", "gen_1", "agent_execution", "execution_q99999999999.json"), "[]")
+    files = S.scan_runs(spark, root)
+    assert sorted((r.run_name, r.run_id) for r in files.select("run_name", "run_id").distinct().collect()) == [
+        ("run_2", 2), ("run_99999999999", None)]
+    assert S.parse_context(spark, files, root).collect()[0].max_generations is None
+    assert trajectory_turns(S.load_executions(spark, files, root)).count() == 0
