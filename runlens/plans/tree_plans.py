@@ -71,7 +71,7 @@ def run_overview(spark: SparkSession, root: str, files: DataFrame | None = None)
     files = files if files is not None else S.scan_runs(spark, root)
     runs = files.select("run_name", "run_id").distinct()
     ctx = S.parse_context(spark, files, root).drop("entries")
-    ev = S.eval_summaries(spark, files, root).drop("doc")
+    ev = S.eval_summaries(spark, files, root).drop("doc", "details")
     traj = S.trajectory_ids(files)
     art = S.artifact_matrix(files)
     gens = files.where(F.col("gen").isNotNull()).select("run_id", "gen", "gen_name").distinct()

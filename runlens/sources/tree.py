@@ -342,9 +342,21 @@ def agent_events(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(w))
 
 
-def eval_summaries(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
+def eval_summaries(spark: SparkSession, files: DataFrame, root: str, as_reference: bool = False) -> DataFrame:
     """The evaluation summary of each generation (``evaluation_results.json`` >
-    ``results.json``) with P10 accuracy percent and T15's ``total`` rule."""
+    ``results.json``) in one canonical schema, whichever of the three layouts
+    wrote it (T5):
+
+    * flat with ``details`` (multiple choice): the fields as written;
+    * flat with ``per_class`` (labels): ``correct``/``total`` from
+      ``n_correct``/``n_total``;
+    * ``{summary, results}`` (open answers): fields from ``summary``; its
+      ``accuracy`` is already a percent (T4) and ``results`` are the details.
+
+    ``total`` follows T15 (``total_questions`` unless 0, else ``total``).
+    ``as_reference=True`` reads only the flat names, reproducing the NULLs a
+    reader of the flat layout gets for the other two.
+    """
     from ..functions.json import accuracy_percent
 
     cand = named_texts(spark, files, root, C.EVAL_RESULT_NAMES).where(
@@ -358,20 +370,37 @@ def eval_summaries(spark: SparkSession, files: DataFrame, root: str) -> DataFram
     def num(path: str) -> Column:
         return F.try_variant_get(d, path, "bigint")
 
+    flat_total = F.coalesce(F.nullif(num("$.total_questions"), F.lit(0)), num("$.total"))
+    flat_pct = accuracy_percent(d)
+    if as_reference:
+        total, correct, pct = flat_total, num("$.correct"), flat_pct
+        incorrect, missing = num("$.incorrect"), num("$.missing")
+        details = F.try_variant_get(d, "$.details", "variant")
+    else:
+        nested = F.try_variant_get(d, "$.summary", "variant").isNotNull()
+        total = F.when(nested, F.coalesce(F.nullif(num("$.summary.total_questions"), F.lit(0)),
+                                          num("$.summary.total"))).otherwise(F.coalesce(flat_total, num("$.n_total")))
+        correct = F.when(nested, num("$.summary.correct")).otherwise(F.coalesce(num("$.correct"), num("$.n_correct")))
+        incorrect = F.when(nested, num("$.summary.wrong_answer")).otherwise(num("$.incorrect"))
+        missing = F.when(nested, num("$.summary.failed_inference")).otherwise(num("$.missing"))
+        pct = F.when(nested, F.try_variant_get(d, "$.summary.accuracy", "double")).otherwise(flat_pct)
+        details = F.coalesce(F.try_variant_get(d, "$.details", "variant"), F.try_variant_get(d, "$.results", "variant"))
     return docs.select(
         *GEN, F.col("rel_path").alias("eval_file"), d.alias("doc"),
-        F.when(is_obj, F.coalesce(F.nullif(num("$.total_questions"), F.lit(0)), num("$.total"))).alias("total"),
-        F.when(is_obj, num("$.correct")).alias("correct"),
-        F.when(is_obj, num("$.incorrect")).alias("incorrect"),
-        F.when(is_obj, num("$.missing")).alias("missing"),
+        F.when(is_obj, total).alias("total"),
+        F.when(is_obj, correct).alias("correct"),
+        F.when(is_obj, incorrect).alias("incorrect"),
+        F.when(is_obj, missing).alias("missing"),
         F.when(is_obj, num("$.invalid")).alias("invalid"),
-        F.when(is_obj, accuracy_percent(d)).alias("accuracy_percent"),
+        F.when(is_obj, pct).alias("accuracy_percent"),
+        F.when(is_obj, details).alias("details"),
     )
 
 
 def eval_details(summaries: DataFrame) -> DataFrame:
-    """The ``details`` array of an evaluation summary (NULL unless a list), exploded."""
-    arr = F.try_variant_get("doc", "$.details", "array<variant>")
+    """The per-question rows of an evaluation summary (NULL unless a list), exploded."""
+    arr = F.try_variant_get("details", "$", "array<variant>") if "details" in summaries.columns else \
+        F.try_variant_get("doc", "$.details", "array<variant>")
     return summaries.select(*GEN, F.posexplode(arr).alias("pos", "detail"))
 
 

@@ -330,3 +330,27 @@ def test_oversized_numbers_do_not_raise(spark, tmp_root):
         ("run_2", 2), ("run_99999999999", None)]
     assert S.parse_context(spark, files, root).collect()[0].max_generations is None
     assert trajectory_turns(S.load_executions(spark, files, root)).count() == 0
+
+
+def test_three_result_layouts_read_canonically(spark, tmp_root):
+    root = os.path.join(tmp_root, "runs")
+    r = os.path.join(root, "run_1")
+    write(os.path.join(r, "gen_1", "evaluation_results.json"), json.dumps(
+        {"total_questions": 4, "correct": 3, "incorrect": 1, "missing": 0, "accuracy": 0.75, "details": [{}]}))
+    write(os.path.join(r, "gen_2", "results.json"), json.dumps(
+        {"accuracy": 0.5, "n_correct": 2, "n_total": 4, "per_class": {"a": 0.5}}))
+    write(os.path.join(r, "gen_3", "evaluation_results.json"), json.dumps(
+        {"summary": {"total_questions": 5, "correct": 2, "wrong_answer": 2, "failed_inference": 1, "accuracy": 40.0},
+         "results": [{"question_id": "1"}, {"question_id": "2"}]}))
+    write(os.path.join(r, "gen_4", "results.json"), json.dumps({"total_questions": 0, "total": 9, "accuracy": True}))
+    files = S.scan_runs(spark, root)
+    canon = {x.gen: (x.total, x.correct, x.incorrect, x.missing, x.accuracy_percent)
+             for x in S.eval_summaries(spark, files, root).collect()}
+    assert canon == {1: (4, 3, 1, 0, 75.0), 2: (4, 2, None, None, 50.0), 3: (5, 2, 2, 1, 40.0),
+                     4: (9, None, None, None, 100.0)}
+    ref = {x.gen: (x.total, x.correct, x.accuracy_percent) for x in
+           S.eval_summaries(spark, files, root, as_reference=True).collect()}
+    assert ref[2] == (None, None, 50.0) and ref[3] == (None, None, None)
+    n = {x.gen: x.c for x in S.eval_details(S.eval_summaries(spark, files, root)).groupBy("gen")
+         .agg(F.count("*").alias("c")).collect()}
+    assert n == {1: 1, 3: 2}
