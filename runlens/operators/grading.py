@@ -66,8 +66,10 @@ def _normalized_answers(answers: DataFrame) -> DataFrame:
     code = F.array_position(forms, normalize_letter(F.col("answer"))).cast("int")
     pos = F.col("pos") if "pos" in answers.columns else F.lit(0).cast("bigint")
     keyed = answers.select(*GEN_KEYS, "question_id", code.alias("code"), pos.alias("pos")) \
-        .groupBy(*GEN_KEYS, "question_id").agg(F.max_by("code", "pos").alias("code"))
-    return keyed.select(*GEN_KEYS, "question_id", F.try_element_at(forms, F.col("code")).alias("model_answer"))
+        .groupBy(*GEN_KEYS, "question_id").agg(F.max_by("code", "pos").alias("code"),
+                                                F.count(F.lit(1)).alias("n_answers"))
+    return keyed.select(*GEN_KEYS, "question_id", F.try_element_at(forms, F.col("code")).alias("model_answer"),
+                        "n_answers")
 
 
 def _mc_status(model_answer: Column, correct: Column) -> Column:
@@ -108,6 +110,8 @@ def summarize_mc(truth: DataFrame, answers: DataFrame) -> DataFrame:
 
     Computed without materialising the truth grid: matched answers are counted
     and ``missing`` is the remainder of the task's truth count.
+    ``duplicate_ids`` (T24) counts question ids answered more than once in the
+    generation; the last answer is the one graded.
     """
     fits = has_at_most(truth, DEFAULT_BROADCAST_ROWS)   # one check covers the truth and its aggregate
     t = small_side(truth.select("task", "question_id", "correct_answer"), fits=fits)
@@ -118,6 +122,7 @@ def summarize_mc(truth: DataFrame, answers: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "correct").alias("correct"),
         F.count_if(F.col("status") == "incorrect").alias("incorrect"),
         F.count_if(F.col("status") == "invalid").alias("invalid"),
+        F.count_if(F.col("n_answers") > 1).alias("duplicate_ids"),
     )
     out = counts.join(small_side(per_task, fits=fits), "task", "left").fillna(0, ["total_questions"])
     attempted = F.col("correct") + F.col("incorrect")
@@ -131,6 +136,7 @@ def summarize_mc(truth: DataFrame, answers: DataFrame) -> DataFrame:
         .cast("bigint")
         .alias("missing"),
         F.col("invalid").cast("bigint").alias("invalid"),
+        F.col("duplicate_ids").cast("bigint").alias("duplicate_ids"),
         _round(accuracy).alias("accuracy"),
         _round(accuracy * 100.0).alias("accuracy_percent"),
     )

@@ -38,21 +38,22 @@ def register(name: str, sql: str | None = None):
 # --------------------------------------------------------------------------- #
 @register("mc_accuracy", f"""
 WITH {O.MC_CTES},
-m AS (SELECT n.task, n.run_id, n.gen,
+m AS (SELECT n.task, n.run_id, n.gen, n.n_answers,
              CASE WHEN t.correct_answer IS NULL THEN NULL
                   ELSE {O.mc_status('n.model_answer', 't.correct_answer')} END AS status
       FROM mc_norm n LEFT JOIN truth_mc t ON n.task = t.task AND n.question_id = t.question_id),
 c AS (SELECT task, run_id, gen,
              count(*) FILTER (WHERE status = 'correct') AS correct,
              count(*) FILTER (WHERE status = 'incorrect') AS incorrect,
-             count(*) FILTER (WHERE status = 'invalid') AS invalid
+             count(*) FILTER (WHERE status = 'invalid') AS invalid,
+             count(*) FILTER (WHERE n_answers > 1) AS duplicate_ids
       FROM m GROUP BY task, run_id, gen),
 tot AS (SELECT task, count(*) AS total_questions FROM truth_mc GROUP BY task)
 SELECT c.task, c.run_id, c.gen,
        CAST(coalesce(tot.total_questions, 0) AS BIGINT) AS total_questions,
        CAST(correct AS BIGINT) AS correct, CAST(incorrect AS BIGINT) AS incorrect,
        CAST(coalesce(tot.total_questions, 0) - correct - incorrect - invalid AS BIGINT) AS missing,
-       CAST(invalid AS BIGINT) AS invalid,
+       CAST(invalid AS BIGINT) AS invalid, CAST(duplicate_ids AS BIGINT) AS duplicate_ids,
        round(CASE WHEN correct + incorrect > 0 THEN correct / (correct + incorrect) ELSE 0.0 END, 6) AS accuracy,
        round(CASE WHEN correct + incorrect > 0 THEN correct / (correct + incorrect) ELSE 0.0 END * 100.0, 6)
          AS accuracy_percent

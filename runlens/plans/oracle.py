@@ -55,8 +55,8 @@ WHERE (d.doc_id + g.gen) % 11 <> 0
 """
 
 MC_NORM = f"""
-SELECT task, run_id, gen, question_id, {norm_letter('answer')} AS model_answer
-FROM (SELECT task, run_id, gen, question_id, arg_max(answer, pos) AS answer
+SELECT task, run_id, gen, question_id, {norm_letter('answer')} AS model_answer, n_answers
+FROM (SELECT task, run_id, gen, question_id, arg_max(answer, pos) AS answer, count(*) AS n_answers
       FROM answers_mc GROUP BY task, run_id, gen, question_id)
 """
 

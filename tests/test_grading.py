@@ -19,6 +19,7 @@ def test_mc_last_duplicate_wins_and_missing(spark):
         "task string, run_id bigint, gen bigint, question_id bigint, answer string, pos bigint")
     s = G.summarize_mc(truth, answers).collect()[0]
     assert (s.total_questions, s.correct, s.incorrect, s.missing, s.invalid) == (3, 1, 1, 1, 0)
+    assert s.duplicate_ids == 1            # question 1 answered twice; the later answer was graded
     assert s.accuracy == 0.5 and s.accuracy_percent == 50.0
     d = {r.question_id: r.status for r in G.grade_mc(truth, answers).collect()}
     assert d == {1: "correct", 2: "incorrect", 3: "missing"}
