@@ -108,7 +108,7 @@ agg AS (SELECT question_id, CAST(count(*) AS BIGINT) AS steps, sum(CAST(r AS DEC
         FROM steps GROUP BY question_id),
 g AS (SELECT question_id, status = 'CORRECT' AS ok FROM open_graded)
 SELECT agg.question_id, steps, round(CAST(s AS DOUBLE), 6) AS step_reward,
-       CASE WHEN coalesce(g.ok, false) THEN 1.0 ELSE 0.0 END AS final_reward,
+       CAST(CASE WHEN coalesce(g.ok, false) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS final_reward,
        round(CAST(s AS DOUBLE) + CASE WHEN coalesce(g.ok, false) THEN 1.0 ELSE 0.0 END, 6) AS total_reward
 FROM agg LEFT JOIN g ON agg.question_id = g.question_id
 """)
