@@ -52,3 +52,16 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert "accuracy" in df.columns
+
+
+SPARK_TO_DUCK = {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE", "StringType": "VARCHAR",
+                 "BooleanType": "BOOLEAN", "TimestampNTZType": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_column_types_match_oracle(spark, duck, name):
+    df = E.queries()[name](spark, SF)
+    spark_types = {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__)
+                   for f in df.schema.fields}
+    duck_types = {d[0]: str(d[1]) for d in duck.execute(E.oracle_sql()[name]).description}
+    assert spark_types == duck_types
