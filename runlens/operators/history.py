@@ -56,7 +56,7 @@ def runs_newest_first(summary: DataFrame) -> DataFrame:
     return summary.orderBy(F.col("run_id").desc())
 
 
-def run_finals(generations: DataFrame) -> DataFrame:
+def run_finals(generations: DataFrame, run: list[str] | None = None) -> DataFrame:
     """Totals, best generation (strict > so the earliest tie wins), first to
     last accuracy change.  Generations without a metric never become "best".
 
@@ -65,8 +65,9 @@ def run_finals(generations: DataFrame) -> DataFrame:
     """
     success = F.coalesce(F.col("success"), F.lit(True)) if "success" in generations.columns else F.lit(True)
     acc = F.col("accuracy")
-    g = generations.withColumn("_best", F.max(acc).over(Window.partitionBy(*RUN)))
-    return g.groupBy(*RUN).agg(
+    run = run or RUN
+    g = generations.withColumn("_best", F.max(acc).over(Window.partitionBy(*run)))
+    return g.groupBy(*run).agg(
         F.count(F.lit(1)).cast("bigint").alias("total_generations"),
         F.count_if(success).cast("bigint").alias("successful_generations"),
         F.min("gen").alias("first_gen"),
@@ -98,7 +99,7 @@ def latest_generation(generations: DataFrame) -> DataFrame:
     return generations.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def _paired(metrics: DataFrame) -> DataFrame:
+def _paired(metrics: DataFrame, run: list[str] | None = None) -> DataFrame:
     """Each metric row in two roles -- "current" at its generation and
     "previous" at the run's next generation -- grouped per (run, gen, key).
 
@@ -106,8 +107,9 @@ def _paired(metrics: DataFrame) -> DataFrame:
     the first generation of a run takes no role as current.  Every step keeps
     the run partitioning: one exchange in total, no self-join.
     """
-    vals = metrics.select(*RUN, "gen", "key", metric_value(metrics).alias("value"))
-    by_run = Window.partitionBy(*RUN)
+    RUN_ = run or RUN
+    vals = metrics.select(*RUN_, "gen", "key", metric_value(metrics).alias("value"))
+    by_run = Window.partitionBy(*RUN_)
     nxt = F.min("gen").over(by_run.orderBy("gen").rangeBetween(1, Window.unboundedFollowing))
     v = vals.select("*", nxt.alias("next_gen"), F.min("gen").over(by_run).alias("first_gen"))
     roles = F.array(
@@ -116,9 +118,9 @@ def _paired(metrics: DataFrame) -> DataFrame:
         F.struct(F.col("next_gen").alias("at"), F.lit(False).alias("cur"), F.col("value").alias("v"),
                  F.col("gen").alias("pg")),
     )
-    r = v.select(*RUN, "key", "first_gen", F.explode(roles).alias("r")).where(
+    r = v.select(*RUN_, "key", "first_gen", F.explode(roles).alias("r")).where(
         F.col("r.at").isNotNull() & (F.col("r.at") != F.col("first_gen")))
-    return r.groupBy(*RUN, F.col("r.at").alias("gen"), "key").agg(
+    return r.groupBy(*RUN_, F.col("r.at").alias("gen"), "key").agg(
         F.max(F.when(F.col("r.cur"), F.col("r.v"))).alias("curr_value"),
         F.max(F.when(~F.col("r.cur"), F.col("r.v"))).alias("prev_value"),
         F.bool_or(F.col("r.cur")).alias("in_curr"),
@@ -127,32 +129,33 @@ def _paired(metrics: DataFrame) -> DataFrame:
     )
 
 
-def metric_deltas(metrics: DataFrame) -> DataFrame:
+def metric_deltas(metrics: DataFrame, run: list[str] | None = None) -> DataFrame:
     """Per key present in a generation *and* the immediately previous one,
     ``current - previous`` when both are numeric."""
-    p = _paired(metrics)
+    p = _paired(metrics, run)
     return p.where(F.col("in_curr") & F.col("in_prev") & F.col("curr_value").isNotNull()
                    & F.col("prev_value").isNotNull()).select(
-        *RUN, "gen", "prev_gen", "key", "prev_value", F.col("curr_value").alias("value"),
+        *(run or RUN), "gen", "prev_gen", "key", "prev_value", F.col("curr_value").alias("value"),
         _r(F.col("curr_value") - F.col("prev_value")).alias("delta"))
 
 
-def metric_comparison(metrics: DataFrame) -> DataFrame:
+def metric_comparison(metrics: DataFrame, run: list[str] | None = None) -> DataFrame:
     """W2 + U1: every key of a generation or its predecessor; values missing on
     one side are NULL with a presence flag; delta only when both are numeric."""
-    p = _paired(metrics)
-    return p.select(*RUN, "gen", "key", "prev_value", "curr_value", "in_prev", "in_curr",
+    p = _paired(metrics, run)
+    return p.select(*(run or RUN), "gen", "key", "prev_value", "curr_value", "in_prev", "in_curr",
                     _r(F.col("curr_value") - F.col("prev_value")).alias("delta"))
 
 
-def code_growth(versions: DataFrame) -> DataFrame:
+def code_growth(versions: DataFrame, run: list[str] | None = None) -> DataFrame:
     """W3 (+P15 on the input): bytes percent change and line delta to the
     previous generation; a zero previous size gives NULL, not an error."""
-    w = Window.partitionBy(*RUN).orderBy("gen")
+    run = run or RUN
+    w = Window.partitionBy(*run).orderBy("gen")
     prev_size = F.lag("size").over(w)
     prev_lines = F.lag("lines").over(w)
     return versions.select(
-        *RUN, "gen", "size", "lines",
+        *run, "gen", "size", "lines",
         _r(F.try_divide((F.col("size") - prev_size) * 100.0, prev_size.cast("double"))).alias("size_pct"),
         (F.col("lines") - prev_lines).alias("lines_delta"),
     )

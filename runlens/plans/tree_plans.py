@@ -14,7 +14,8 @@ from ..operators import history as H
 from ..operators.sequence import first_per_group
 from ..sources import tree as S
 
-GEN = ["run_id", "gen"]
+GEN = S.GEN            # (run_name, run_id, gen_name, gen): directory names are the keys
+RUN = S.RUN            # (run_name, run_id)
 
 
 def tree_metrics(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
@@ -69,21 +70,20 @@ def run_overview(spark: SparkSession, root: str, files: DataFrame | None = None)
 
     ``files``: the ingested table (``sinks.ingest``) to read instead of the tree."""
     files = files if files is not None else S.scan_runs(spark, root)
-    runs = files.select("run_name", "run_id").distinct()
+    runs = files.select(*RUN).distinct()
     ctx = S.parse_context(spark, files, root).drop("entries")
     ev = S.eval_summaries(spark, files, root).drop("doc", "details")
     traj = S.trajectory_ids(files)
     art = S.artifact_matrix(files)
-    gens = files.where(F.col("gen").isNotNull()).select("run_id", "gen", "gen_name").distinct()
+    gens = files.where(F.col("gen").isNotNull()).select(*GEN).distinct()
     g = gens.join(ev, GEN, "left").join(art, GEN, "left").join(traj, GEN, "left")
     g = g.withColumn("num_trajectories", F.coalesce(F.size("trajectories"), F.lit(0)))
-    nested = g.groupBy("run_id").agg(
+    nested = g.groupBy(*RUN).agg(
         F.count(F.lit(1)).alias("num_generations"),
         F.max("accuracy_percent").alias("best_accuracy_percent"),
-        F.array_sort(F.collect_list(F.struct(*[c for c in g.columns if c != "run_id"]))).alias("generations"),
+        F.array_sort(F.collect_list(F.struct(*[c for c in g.columns if c not in RUN]))).alias("generations"),
     )
-    out = runs.join(ctx.drop("run_name"), "run_id", "left").join(nested, "run_id", "left").fillna(
-        0, ["num_generations"])
+    out = runs.join(ctx, RUN, "left").join(nested, RUN, "left").fillna(0, ["num_generations"])
     return out.orderBy(F.col("run_id").desc())
 
 
@@ -92,17 +92,17 @@ def run_history(spark: SparkSession, root: str, files: DataFrame | None = None)
     files = files if files is not None else S.scan_runs(spark, root)
     metrics = tree_metrics(spark, files, root)
     gens = tree_generations(spark, files, root, metrics)
-    growth = H.code_growth(gens.select(*GEN, "size", "lines"))
-    finals = H.run_finals(gens.select(*GEN, "accuracy"))
-    first_last = gens.groupBy("run_id").agg(
+    growth = H.code_growth(gens.select(*GEN, "size", "lines"), run=RUN)
+    finals = H.run_finals(gens.select(*GEN, "accuracy"), run=RUN)
+    first_last = gens.groupBy(*RUN).agg(
         (F.max_by("lines", "gen") - F.min_by("lines", "gen")).alias("lines_growth"),
         (F.max_by("size", "gen") - F.min_by("size", "gen")).alias("size_growth"))
-    finals = finals.join(first_last, "run_id")
+    finals = finals.join(first_last, RUN)
     return {
-        "generations": gens.join(growth.drop("size", "lines"), GEN, "left"),
+        "generations": gens.join(growth.drop("size", "lines"), RUN + ["gen"], "left"),
         "metrics": metrics,
-        "deltas": H.metric_deltas(metrics),
-        "comparison": H.metric_comparison(metrics),
+        "deltas": H.metric_deltas(metrics, run=RUN),
+        "comparison": H.metric_comparison(metrics, run=RUN),
         "insights": tree_insights(spark, files, root),
         "finals": finals,
     }

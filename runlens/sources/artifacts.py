@@ -18,6 +18,7 @@ from ..functions.text import py_strip
 from ..operators.sequence import first_per_group
 
 GEN = ["run_id", "gen"]
+TREE_GEN = ["run_name", "run_id", "gen_name", "gen"]   # tree-level keys (see sources.tree)
 
 
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -184,11 +185,11 @@ def normalize_turn(msg: Column) -> Column:
 def trajectory_turns(executions: DataFrame) -> DataFrame:
     """Turns of every trajectory file: one row per message object, in order."""
     rows = executions.where(F.col("status") == "ok").select(
-        *GEN, "file", F.regexp_extract("file", C.EXEC_FILE_PATTERN, 1).try_cast("int").alias("question_id"),
+        *TREE_GEN, "file", F.regexp_extract("file", C.EXEC_FILE_PATTERN, 1).try_cast("int").alias("question_id"),
         F.posexplode(variant_elements(F.col("doc"))).alias("turn", "msg"))
     rows = rows.where(F.schema_of_variant("msg").startswith("OBJECT"))
     t = normalize_turn(F.col("msg"))
-    return rows.select(*GEN, "question_id", "file", "turn", t["role"].alias("role"), t["text"].alias("text"),
+    return rows.select(*TREE_GEN, "question_id", "file", "turn", t["role"].alias("role"), t["text"].alias("text"),
                        F.col("msg").alias("content"))
 
 
@@ -209,24 +210,24 @@ def label_submissions(spark: SparkSession, files: DataFrame, root: str) -> DataF
     cand = S.named_texts(spark, files, root, names).where(
         F.col("gen").isNotNull() & F.col("rel_path").isin(*names))
     rank = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("rel_path"))
-    t = first_per_group(cand, GEN, [rank])
+    t = first_per_group(cand, TREE_GEN, [rank])
     lines = F.filter(F.split(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\r\n?", "\n"), "\n"),
                      lambda x: x != "")
     header = F.transform(F.split(F.try_element_at(lines, F.lit(1)), ","), lambda x: py_strip(x))
     label_ix = F.coalesce(F.nullif(F.array_position(header, F.lit("label")), F.lit(0)), F.size(header))
     id_ix = F.coalesce(F.array_position(header, F.lit("id")), F.lit(0))
-    parsed = t.select(*GEN, F.col("rel_path").alias("file"), lines.alias("lines"), label_ix.alias("li"),
+    parsed = t.select(*TREE_GEN, F.col("rel_path").alias("file"), lines.alias("lines"), label_ix.alias("li"),
                       id_ix.alias("ii"), F.col("text").isNull().alias("unreadable"))
     reason = (F.when(F.col("unreadable"), F.lit("UNREADABLE"))
               .when(F.size("lines") == 0, F.lit("EMPTY")).otherwise(F.lit("NO_ID_COLUMN")))
     bad = parsed.where(F.col("unreadable") | (F.col("ii") == 0)).select(
-        *GEN, "file", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("pred_label"),
+        *TREE_GEN, "file", F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("pred_label"),
         reason.alias("bad_reason"))
     rows = parsed.where(~F.col("unreadable") & (F.col("ii") > 0)).select(
-        *GEN, "file", "li", "ii", F.explode(F.slice("lines", 2, 1 << 30)).alias("line"))
+        *TREE_GEN, "file", "li", "ii", F.explode(F.slice("lines", 2, 1 << 30)).alias("line"))
     cells = F.split(F.col("line"), ",")
     good = rows.select(
-        *GEN, "file", _int_key(F.try_element_at(cells, F.col("ii").cast("int"))).alias("id"),
+        *TREE_GEN, "file", _int_key(F.try_element_at(cells, F.col("ii").cast("int"))).alias("id"),
         F.nullif(F.try_element_at(cells, F.col("li").cast("int")), F.lit("")).alias("pred_label"),
         F.lit(None).cast("string").alias("bad_reason"))
     return good.unionByName(bad)

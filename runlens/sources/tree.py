@@ -30,7 +30,10 @@ BINARY_FILE_SCHEMA = T.StructType([
 ])
 
 FILES_COLUMNS = ["run_name", "run_id", "gen_name", "gen", "rel_path", "name", "path", "mtime", "length"]
-GEN = ["run_id", "gen"]
+# A generation is keyed by its directory names (T27: gen_1 and gen_01 are two
+# generations sharing index 1); the numeric indexes ride along as attributes.
+GEN = ["run_name", "run_id", "gen_name", "gen"]
+RUN = ["run_name", "run_id"]
 
 # Python's str.splitlines() separators.
 _SPLITLINES = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
@@ -397,11 +400,16 @@ def eval_summaries(spark: SparkSession, files: DataFrame, root: str, as_referenc
     )
 
 
+def _keys_of(df: DataFrame) -> list[str]:
+    """The generation keys a table carries (tree tables have the names too)."""
+    return [c for c in GEN if c in df.columns]
+
+
 def eval_details(summaries: DataFrame) -> DataFrame:
     """The per-question rows of an evaluation summary (NULL unless a list), exploded."""
     arr = F.try_variant_get("details", "$", "array<variant>") if "details" in summaries.columns else \
         F.try_variant_get("doc", "$.details", "array<variant>")
-    return summaries.select(*GEN, F.posexplode(arr).alias("pos", "detail"))
+    return summaries.select(*_keys_of(summaries), F.posexplode(arr).alias("pos", "detail"))
 
 
 def domain_stats_from_details(details: DataFrame) -> DataFrame:
@@ -410,7 +418,8 @@ def domain_stats_from_details(details: DataFrame) -> DataFrame:
     falsy = dom.isNull() | (dom == "")
     ok = F.coalesce(F.try_variant_get("detail", "$.is_correct", "boolean"), F.lit(False))
     obj = F.schema_of_variant("detail").startswith("OBJECT")
-    return details.where(obj).groupBy(*GEN, F.when(falsy, F.lit(C.DOMAIN_FALSY)).otherwise(dom).alias("domain")) \
+    return details.where(obj).groupBy(*_keys_of(details),
+                                      F.when(falsy, F.lit(C.DOMAIN_FALSY)).otherwise(dom).alias("domain")) \
         .agg(F.count(F.lit(1)).cast("bigint").alias("total"), F.count_if(ok).cast("bigint").alias("correct")) \
         .withColumn("accuracy_percent", F.round(F.col("correct") * 100.0 / F.col("total"), 6))
 

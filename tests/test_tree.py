@@ -354,3 +354,15 @@ def test_three_result_layouts_read_canonically(spark, tmp_root):
     n = {x.gen: x.c for x in S.eval_details(S.eval_summaries(spark, files, root)).groupBy("gen")
          .agg(F.count("*").alias("c")).collect()}
     assert n == {1: 1, 3: 2}
+
+
+def test_same_index_different_names_stay_apart(spark, tmp_root):
+    """run_7 / run_07 and gen_1 / gen_01 are different directories sharing an index."""
+    root = os.path.join(tmp_root, "runs")
+    _ = [write(os.path.join(root, run, gen, "evaluation_results.json"), json.dumps({"accuracy_percent": acc}))
+         for run, gen, acc in (("run_7", "gen_1", 10.0), ("run_7", "gen_01", 20.0), ("run_07", "gen_1", 30.0))]
+    rows = {r.run_name: r for r in run_overview(spark, root).collect()}
+    assert set(rows) == {"run_7", "run_07"} and rows["run_7"].run_id == rows["run_07"].run_id == 7
+    assert rows["run_7"].num_generations == 2 and rows["run_07"].num_generations == 1
+    assert rows["run_7"].best_accuracy_percent == 20.0 and rows["run_07"].best_accuracy_percent == 30.0
+    assert sorted(g.gen_name for g in rows["run_7"].generations) == ["gen_01", "gen_1"]
