@@ -118,11 +118,19 @@ def label_leaderboard(spark: SparkSession, root: str, truth: DataFrame, task: st
 
     files = files if files is not None else S.scan_runs(spark, root)
     subs = label_submissions(spark, files, root).withColumn("task", F.lit(task))
-    ok = subs.where(F.col("bad_reason").isNull())
+    # Grade on keys derived from the directory names (T27: run_7 and run_07 stay
+    # apart), then restore the names and indexes.
+    names = subs.select(*GEN).distinct().select(
+        *GEN, F.xxhash64("run_name").alias("_rk"), F.xxhash64("run_name", "gen_name").alias("_gk"))
+    keyed = subs.join(names, GEN).select("task", F.col("_rk").alias("run_id"), F.col("_gk").alias("gen"),
+                                         "id", "pred_label", "bad_reason")
+    ok = keyed.where(F.col("bad_reason").isNull())
     gens = ok.select("task", "run_id", "gen").distinct()
     scores = G.summarize_label(G.grade_label(truth.withColumn("task", F.lit(task)), ok, gens))
-    errors = subs.where(F.col("bad_reason").isNotNull()).select(
+    errors = keyed.where(F.col("bad_reason").isNotNull()).select(
         "task", "run_id", "gen", F.lit(None).cast("double").alias("accuracy"),
         F.lit(None).cast("bigint").alias("n_correct"), F.lit(None).cast("bigint").alias("n_total"), "bad_reason")
-    board = scores.withColumn("bad_reason", F.lit(None).cast("string")).unionByName(errors)
-    return H.leaderboard(board, partition=["task", "run_id"])
+    board = scores.withColumn("bad_reason", F.lit(None).cast("string")).unionByName(errors) \
+        .withColumnRenamed("run_id", "_rk").withColumnRenamed("gen", "_gk").join(names, ["_rk", "_gk"]) \
+        .drop("_rk", "_gk")
+    return H.leaderboard(board, partition=["task", *RUN])

@@ -366,3 +366,15 @@ def test_same_index_different_names_stay_apart(spark, tmp_root):
     assert rows["run_7"].num_generations == 2 and rows["run_07"].num_generations == 1
     assert rows["run_7"].best_accuracy_percent == 20.0 and rows["run_07"].best_accuracy_percent == 30.0
     assert sorted(g.gen_name for g in rows["run_7"].generations) == ["gen_01", "gen_1"]
+
+
+def test_label_leaderboard_keeps_run_names_apart(spark, tmp_root):
+    from runlens.plans.tree_plans import label_leaderboard
+
+    root = os.path.join(tmp_root, "runs")
+    write(os.path.join(root, "run_7", "gen_1", "submission.csv"), "id,label\n1,a\n2,b\n")
+    write(os.path.join(root, "run_07", "gen_1", "submission.csv"), "id,label\n1,a\n2,x\n")
+    truth = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, label string")
+    got = {r.run_name: (r.run_id, r.gen, r.accuracy, r.rank_in_run) for r in
+           label_leaderboard(spark, root, truth, "law").collect()}
+    assert got == {"run_7": (7, 1, 1.0, 1), "run_07": (7, 1, 0.5, 1)}
