@@ -20,7 +20,9 @@ from ..functions.json import accuracy_percent, strict_json
 from ..functions.logs import log_metrics_struct
 from ..sources.tree import BINARY_FILE_SCHEMA, _layout
 
-GEN = ["run_id", "gen"]
+# Directory names are the keys (T27); the indexes ride along.
+GEN = ["run_name", "run_id", "gen_name", "gen"]
+RUN = ["run_name", "run_id"]
 
 
 def tree_stream(spark: SparkSession, root: str, glob: str | None = None,
@@ -47,8 +49,8 @@ def live_leaderboard(generations: DataFrame) -> DataFrame:
     Re-delivered files do not inflate the count: generations are counted as a
     set per run (bounded by the run's maximum generations).
     """
-    return generations.groupBy("run_id").agg(
-        F.size(F.collect_set("gen")).cast("bigint").alias("num_generations"),
+    return generations.groupBy(*RUN).agg(
+        F.size(F.collect_set("gen_name")).cast("bigint").alias("num_generations"),
         F.max("accuracy").alias("best_accuracy"),
     )
 
@@ -65,7 +67,7 @@ def log_metric_stream(spark: SparkSession, logs_dir: str) -> DataFrame:
 
 
 STOP_STATE = "stop_gen int"
-STOP_OUTPUT = "run_id int, gen int, name string, status string"
+STOP_OUTPUT = "run_name string, run_id int, gen int, name string, status string"
 
 
 def _early_stop(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -79,20 +81,20 @@ def _early_stop(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterato
     for row in batch.itertuples(index=False):
         if row.name == C.COMPLETED_MARKER:
             stop = row.gen if stop is None else min(stop, row.gen)
-            out.append((key[0], row.gen, row.name, "stop"))
+            out.append((key[0], key[1], row.gen, row.name, "stop"))
         elif stop is not None and row.gen >= stop:
-            out.append((key[0], row.gen, row.name, "after_stop"))
+            out.append((key[0], key[1], row.gen, row.name, "after_stop"))
         else:
-            out.append((key[0], row.gen, row.name, "ok"))
+            out.append((key[0], key[1], row.gen, row.name, "ok"))
     if stop is not None:
         state.update((int(stop),))
-    yield pd.DataFrame(out, columns=["run_id", "gen", "name", "status"])
+    yield pd.DataFrame(out, columns=["run_name", "run_id", "gen", "name", "status"])
 
 
 def early_stop(stream: DataFrame) -> DataFrame:
     """ST3: flag files by whether their run had already been stopped."""
-    rows = stream.where(F.col("gen").isNotNull()).select("run_id", "gen", F.col("rel_path").alias("name"))
-    return rows.groupBy("run_id").applyInPandasWithState(
+    rows = stream.where(F.col("gen").isNotNull()).select("run_name", "run_id", "gen", F.col("rel_path").alias("name"))
+    return rows.groupBy("run_name", "run_id").applyInPandasWithState(
         _early_stop, STOP_OUTPUT, STOP_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -106,10 +108,11 @@ def history_sink(table_path: str):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(GEN)
+        keys = [c for c in GEN if c in batch.columns]
+        rows = batch.dropDuplicates(keys)
         try:
-            existing = spark.read.parquet(table_path).where(F.col("batch") != batch_id).select(*GEN)
-            rows = rows.join(existing, GEN, "left_anti")
+            existing = spark.read.parquet(table_path).where(F.col("batch") != batch_id).select(*keys)
+            rows = rows.join(existing, keys, "left_anti")
         except Exception:  # noqa: BLE001 - first batch: no table yet
             pass
         rows.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/batch={batch_id}")
@@ -123,8 +126,9 @@ def read_history(spark: SparkSession, table_path: str) -> DataFrame:
     from pyspark.sql import Window
 
     h = spark.read.parquet(table_path).drop("batch")
-    w = Window.partitionBy("run_id").orderBy("gen")
+    run = [c for c in RUN if c in h.columns]
+    w = Window.partitionBy(*run).orderBy("gen")
     prev = F.lag("accuracy").over(w)
     best = F.max("accuracy").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return h.select(*GEN, "accuracy", prev.alias("prev_accuracy"),
+    return h.select(*[c for c in GEN if c in h.columns], "accuracy", prev.alias("prev_accuracy"),
                     F.round(F.col("accuracy") - prev, 6).alias("delta"), best.alias("best_so_far"))

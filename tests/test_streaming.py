@@ -39,13 +39,15 @@ def test_live_leaderboard_equals_batch(spark, tmp_root):
         # The same generation delivered again under a second name: no double count.
         _eval(root, 1, 2, 55.0, name="results.json")
         q.processAllAvailable()
-        live = {r.run_id: (r.num_generations, r.best_accuracy) for r in spark.sql("SELECT * FROM st1_board").collect()}
+        live = {r.run_name: (r.num_generations, r.best_accuracy) for r in spark.sql("SELECT * FROM st1_board").collect()}
     finally:
         q.stop()
     files = S.scan_runs(spark, root)
-    ev = S.eval_summaries(spark, files, root).select("run_id", "gen", F.col("accuracy_percent").alias("accuracy"))
-    batch = {r.run_id: (r.num_generations, r.best_accuracy) for r in run_summary(ev).collect()}
-    assert live == batch == {1: (2, 55.0), 2: (2, 10.0)}
+    ev = S.eval_summaries(spark, files, root).select("run_name", "gen", F.col("accuracy_percent").alias("accuracy"))
+    batch = {r.run_name: (r.num_generations, r.best_accuracy)
+             for r in run_summary(ev.withColumnRenamed("run_name", "run_id")).withColumnRenamed("run_id", "run_name")
+             .collect()}
+    assert live == batch == {"run_1": (2, 55.0), "run_2": (2, 10.0)}
 
 
 def test_log_metric_stream(spark, tmp_root):
