@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules
+from . import chat_format, quality_rules, secret_scan, sharding, token_counts
 
 QUERIES = {
+    "op2_sharding": sharding.query,
+    "op3_token_counts": token_counts.query,
+    "op5_secret_scan": secret_scan.query,
     "op8_chat_format": chat_format.query,
     "op10_quality_rules": quality_rules.query,
 }
 
 ORACLE = {
+    "op5_secret_scan": secret_scan.ORACLE_SQL,
     "op8_chat_format": chat_format.ORACLE_SQL,
     "op10_quality_rules": quality_rules.ORACLE_SQL,
 }
