@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules, secret_scan, sharding, token_counts
+from . import chat_format, language_id, pii, quality_rules, secret_scan, sharding, token_counts
 
 QUERIES = {
+    "op1_language_id": language_id.query,
     "op2_sharding": sharding.query,
     "op3_token_counts": token_counts.query,
     "op5_secret_scan": secret_scan.query,
+    "op6_pii": pii.query,
     "op8_chat_format": chat_format.query,
     "op10_quality_rules": quality_rules.query,
 }
