@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, pii, quality_rules, secret_scan, sharding, token_counts
+from . import (
+    chat_format,
+    decontaminate,
+    language_id,
+    ngram_join,
+    pii,
+    quality_rules,
+    secret_scan,
+    sentencepiece_lattice,
+    sharding,
+    token_counts,
+)
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op2_sharding": sharding.query,
     "op3_token_counts": token_counts.query,
+    "op4_sentencepiece": sentencepiece_lattice.query,
     "op5_secret_scan": secret_scan.query,
     "op6_pii": pii.query,
+    "op7_ngram_join": ngram_join.query,
     "op8_chat_format": chat_format.query,
+    "op9_decontamination": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
 }
 
