@@ -33,7 +33,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import scratch, table, written
 
 LIMIT = 512
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -118,7 +118,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str, text: str = "
     # one text per digest: copies are combined before the exchange
     encode_misses(texts.groupBy("digest").agg(F.first("text").alias("text")), spec, version).write.mode("append").parquet(cache)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), F.octet_length(content).cast("long").alias("n_bytes"), digest)
-    return rows.join(_cached(spark, cache, version), "digest").select("_row.*", "n_bytes", "n_tokens")
+    # a written table on that side leaves the planner free to split a digest that very many rows have
+    return rows.join(written(_cached(spark, cache, version), "token-counts"), "digest").select("_row.*", "n_bytes", "n_tokens")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
