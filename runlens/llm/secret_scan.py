@@ -85,7 +85,9 @@ def _present(low: Column, trigrams: list[str]) -> Column:
 def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Postings ``(trigram, key)``: trigram by its number in the rules' list."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return (docs.select(_key(t).alias("key"), F.explode(_present(F.lower(t), needed([r.pattern for r in rules]))).alias("trigram"))
+    names = needed([r.pattern for r in rules])
+    present = _present(F.lower(t), names) if names else F.array().cast("array<int>")
+    return (docs.select(_key(t).alias("key"), F.explode(present).alias("trigram"))
             .groupBy("trigram", "key").agg(F.count(F.lit(1)).alias("copies")).select("trigram", "key"))
 
 
@@ -95,6 +97,8 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     clauses = [(no, c, number[t], len(clause)) for no, r in enumerate(rules) if trigram_query(r.pattern) != ANY
                for c, clause in enumerate(trigram_query(r.pattern)) for t in clause]
     # as many rows as the rules have trigrams
+    if not clauses:
+        return postings.select("key", F.array().cast("array<int>").alias("admitted")).where(F.lit(False))
     fields = ("rule", "clause", "trigram", "n")
     named = postings.sparkSession.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(fields, c, strict=True)]) for c in clauses])))
     held = (postings.join(F.broadcast(named), "trigram").groupBy("key", "rule", "clause", "n").agg(F.count(F.lit(1)).alias("c"))
@@ -112,13 +116,14 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", c
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")
     d = docs.select(carried, t.alias("_text"), F.lower(t).alias("_low")).withColumn("_hit", hit)
     full = [spans_of(F.col("_text"), r, no) for no, (r, q) in enumerate(zip(rules, queries, strict=True)) if q == ANY]
-    # rows without a posting need no candidates: their key only spreads them
+    # rows without a posting need no candidates: their key only spreads them; "_held" is a name
+    # of its own, as an alias "_text" would also be met inside the lambdas beside it
     d = d.select(
-        "_row", F.when(F.col("_hit"), F.col("_text")).alias("_text"),
+        "_row", F.when(F.col("_hit"), F.col("_text")).alias("_held"),
         F.when(F.col("_hit"), _key(F.col("_text"))).otherwise(F.unhex(F.hex(F.xxhash64("_row", "_text")))).alias("key"),
         F.concat(F.array().cast(SPAN), *full).alias("_full"))
     d = d.join(candidates(index(docs, rules, text), rules), "key", "left")
-    some = [F.when(F.array_contains("admitted", no), spans_of(F.col("_text"), r, no)).otherwise(F.array().cast(SPAN))
+    some = [F.when(F.array_contains("admitted", no), spans_of(F.col("_held"), r, no)).otherwise(F.array().cast(SPAN))
             for no, (r, q) in enumerate(zip(rules, queries, strict=True)) if q != ANY]
     return d.select("_row.*", F.sort_array(F.concat("_full", *some)).alias("spans"))
 
