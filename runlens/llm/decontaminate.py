@@ -107,7 +107,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_SEEDS) -
 def clean(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_SEEDS) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns."""
     bad = hits(docs, benchmark, bound).select(F.col("key").alias("_bad")).distinct()
-    return docs.join(bad, content_key(docs["text"]) == F.col("_bad"), "left_anti")
+    return docs.join(bad, content_key(docs["text"]) == bad["_bad"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

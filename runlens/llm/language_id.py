@@ -37,10 +37,12 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from ..operators.joins import small_side
+from .common import table, written
 
 ORDER = 5
 TRAIN_DOCS = 1500
+MOST_LANGS = 10_000
 #: Share of true-language texts that the rejection limit accepts on the calibration rows.
 ACCEPTED = 0.999
 MEMO = 300_000
@@ -147,11 +149,12 @@ class Scorer:
 def sample(labelled: DataFrame, per_lang: int = TRAIN_DOCS) -> DataFrame:
     """At most ``per_lang`` different texts of each language, by a hash: ``lang, text, h``."""
     rows = labelled.select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # a row per language: broadcast if they are as few as languages are, so no text is exchanged by language
+    counts = small_side(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), MOST_LANGS)
     # first a share of about twice the bound by the hash alone; copies then meet in one row; the window sees no more
     share = F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("n")) * (1 << 30)
     few = rows.join(counts, "lang").where(F.pmod(F.col("h"), F.lit(1 << 30)) < share).groupBy("lang", "h").agg(F.first("text").alias("text"))
-    return few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("r") <= per_lang).drop("r")
+    return written(few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("r") <= per_lang).drop("r"), "lang-sample")
 
 
 def _held_back(h: pd.Series) -> pd.Series:

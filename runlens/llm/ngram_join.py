@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.joins import has_at_most
-from .common import scratch, table, written  # noqa: F401
+from .common import table, written
 from .components import components
 
 LEAST_FREQUENT, MOST_FREQUENT = 8, 1_000_000
@@ -175,12 +175,8 @@ def _folded(maps: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-def _arrow(names: list[str], kinds: list, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-
-def _over_sets(docs: DataFrame, text: str, size: int, make, schema: str, once: bool, first: list[Column] = ()) -> DataFrame:
-    """``make(node, tokens)`` gives columns for each text; ``once``: only for the first copy that a task meets."""
+def _over_sets(docs: DataFrame, text: str, size: int, make, schema: str) -> DataFrame:
+    """``make(node, tokens)`` gives columns for the first copy of each text that a task meets."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -191,12 +187,11 @@ def _over_sets(docs: DataFrame, text: str, size: int, make, schema: str, once: b
                 if not words:
                     continue
                 node = _node(words)
-                if once:
-                    if node in seen:
-                        continue
-                    if len(seen) > MEMO:  # a copy may then be given twice, which the exchange puts right
-                        seen.clear()
-                    seen.add(node)
+                if node in seen:
+                    continue
+                if len(seen) > MEMO:  # a copy may then be given twice, which the exchange puts right
+                    seen.clear()
+                seen.add(node)
                 got = make(node, shingles(words, size))
                 if got is not None:
                     out.append(got)
@@ -227,7 +222,7 @@ def _frequent(docs: DataFrame, text: str, size: int, law: Law) -> np.ndarray:
     def early(node: int, tokens: np.ndarray):
         return (_signed(tokens[:2 * law.prefix(len(tokens)) + 8]),)
 
-    counted = _over_sets(docs, text, size, early, "token long", once=True).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counted = _over_sets(docs, text, size, early, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     often = written(counted.where(F.col("n") > LEAST_FREQUENT), "token-counts")
     # how many tokens are in more than T sets, by the bits of T: a few dozen rows
     by = {r.b: r.c for r in often.groupBy(F.ceil(F.log2("n")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()}
@@ -254,7 +249,7 @@ def _postings(docs: DataFrame, text: str, size: int, law: Law, frequent: np.ndar
         n = len(keys)
         return _signed(keys), np.full(n, node, dtype=np.int64), np.full(n, len(tokens), dtype=np.int32), rest.astype(np.int32)
 
-    rows = _over_sets(docs, text, size, indexed, "key long, id long, n int, rest int", once=True)
+    rows = _over_sets(docs, text, size, indexed, "key long, id long, n int, rest int")
     # one exchange, by key; equal rows of copies in several tasks then meet
     rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     rows = rows.groupBy("key", "id", "n").agg(F.max("rest").alias("rest"))
@@ -271,9 +266,9 @@ def _chosen(docs: DataFrame, text: str, size: int, ids: DataFrame, make, schema:
         def some(node: int, tokens: np.ndarray):
             return make(node, tokens) if _is_in(np.array([node]), wanted.value)[0] else None
 
-        rows = _over_sets(docs, text, size, some, schema, once=True)
+        rows = _over_sets(docs, text, size, some, schema)
     else:
-        rows = _over_sets(docs, text, size, make, schema, once=True).join(ids, "id", "left_semi")
+        rows = _over_sets(docs, text, size, make, schema).join(ids, "id", "left_semi")
     return rows.groupBy("id").agg(*[F.first(c).alias(c) for c in rest])
 
 
@@ -429,11 +424,12 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "tex
     def node(t: pd.Series) -> pd.Series:
         return pd.Series([_node(w) if (w := _words(x)) else None for x in t], dtype="Int64")
 
-    marked = docs.withColumn("_id", node(F.col(text)))
-    kept = marked.join(chosen, (F.col("_id") == F.col("_node")) & F.col(key).eqNullSafe(F.col("_keep")), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = docs.select(whole, F.col(key).alias("_key"), node(F.col(text)).alias("_id"))
+    kept = marked.join(chosen, (F.col("_id") == F.col("_node")) & F.col("_key").eqNullSafe(F.col("_keep")), "left_semi")
     # rows with one key and one text that are there more than once
-    kept = kept.dropDuplicates([key, "_id"])
-    return kept.unionByName(marked.where("_id IS NULL")).select(*docs.columns)
+    kept = kept.dropDuplicates(["_key", "_id"])
+    return kept.unionByName(marked.where("_id IS NULL")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
