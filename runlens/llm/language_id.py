@@ -192,6 +192,8 @@ def _counts(chosen: DataFrame) -> pd.DataFrame:
 def estimate(counts: pd.DataFrame) -> Model:
     """Interpolated Kneser-Ney log-probabilities of every n-gram in every language."""
     langs = sorted(counts["lang"].unique())
+    if not langs:
+        return Model([], [], [], [], [], np.zeros(0))
     column = {x: i for i, x in enumerate(langs)}
     grams, logs, contexts, backoffs = [], [], [], []
     base = np.full(len(langs), 1.0 / (counts.loc[counts["n"] == 1, "gram"].nunique() + 1))
