@@ -3,9 +3,9 @@ r"""Benchmark decontamination by spaced-seed hashing; DataFrame functions only.
 A text is its lower-cased runs of letters and digits, as 64-bit word hashes.  A
 seed is a window of ``SPAN`` words seen through a mask that ignores some of its
 positions.  ``MASKS`` ignores every third position, at each of three phases, so one
-changed word in a window leaves at least one seed as it was.  All seeds of the
-benchmark items meet the seeds of every second window of the documents; around
-each hit the whole item is laid over the document on the hit's diagonal and the
+changed word in a window leaves at least one seed as it was.  The seeds of
+all windows of the items meet those of all windows of the documents; around each hit
+the whole item is laid over the document on the hit's diagonal and the
 words that agree are counted, where a word off the diagonal by up to ``SHIFT``
 counts if a neighbour agrees at the same shift (a word was put in or left out).
 A document holds an item if the agreeing words are ``SHARE`` of it or more.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import has_at_most
 from .common import table
 
-SPAN, STRIDE, SHIFT = 9, 2, 2
+SPAN, SHIFT = 9, 2
 #: The positions of a window that each mask keeps.
 MASKS = tuple(tuple(p for p in range(SPAN) if p % 3 != phase) for phase in range(3))
 SHARE = 60  # percent of the item's words
@@ -48,11 +48,11 @@ def content_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def _windows(df: DataFrame, stride: int, at: str) -> DataFrame:
+def _windows(df: DataFrame, at: str) -> DataFrame:
     """``df`` (with ``_h``, the word hashes) by window and mask: ``at`` and ``seed``."""
     n = F.size("_h")
     # no filter on the size: it would be pushed below the projection and hash all words twice
-    w = df.withColumn(at, F.explode(F.when(n >= SPAN, F.sequence(F.lit(0), n - SPAN, F.lit(stride)))))
+    w = df.withColumn(at, F.explode(F.when(n >= SPAN, F.sequence(F.lit(0), n - SPAN))))
     seeds = [F.xxhash64(F.lit(m), *[F.get("_h", F.col(at) + p) for p in mask]) for m, mask in enumerate(MASKS)]
     return w.withColumn("seed", F.explode(F.array(*seeds)))
 
@@ -82,10 +82,10 @@ def _verified(hits: DataFrame) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_SEEDS) -> DataFrame:
     """Verified overlaps by content: ``key, item_id, n_words, matched``."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("_h"))
-    seeds = _windows(items, 1, "_p").select("seed", "item_id", "_p").distinct()
+    seeds = _windows(items, "_p").select("seed", "item_id", "_p").distinct()
     items = items.where(F.size("_h") >= SPAN).select("item_id", F.col("_h").alias("_b"))
     texts = docs.select(content_key(F.col("text")).alias("key"), word_hashes(F.col("text")).alias("_h"))
-    found = _windows(texts, STRIDE, "_q")
+    found = _windows(texts, "_q")
     if has_at_most(seeds, bound):
         near = found.join(F.broadcast(seeds), "seed").withColumn("diagonal", F.col("_q") - F.col("_p"))
         return _verified(near.join(F.broadcast(items), "item_id"))
