@@ -26,8 +26,8 @@ ceil(t n) tokens with the other.
    can link, and these are verified on the whole sets.  No link between components can
    be missed, so the components are exact.
 
-Copies (equal word sequences) are one node from the first step on.  Nodes are 64-bit
-hashes of the word sequence.
+Copies (equal word sequences) are one node from the first step on.  Nodes, words and
+shingles are told apart by 64-bit hashes.
 
 Defined results: null text and text without words have an empty set, link with
 nothing and are components of their own; with fewer words than a shingle has, the
@@ -43,8 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,21 +58,28 @@ MOST_IDS = 4_000_000
 BLOCK = 2048
 MOST_BITS = 8192
 MEMO = 500_000
-_WORD_HASH: dict[bytes, int] = {}
+#: Bytes of text that are hashed at once (a longer text alone).
+CHUNK = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _WORD_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F  # odd, so they have inverses modulo 2^64
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    memo = _WORD_HASH
-    if len(memo) > MEMO:
-        memo.clear()
-    try:
-        return np.array(list(map(memo.__getitem__, words)), dtype=np.uint64)
-    except KeyError:
-        for w in set(words):
-            if w not in memo:
-                memo[w] = xxhash.xxh64_intdigest(w)
-        return np.array(list(map(memo.__getitem__, words)), dtype=np.uint64)
+def _powers(base: int, n: int) -> np.ndarray:
+    """The powers of ``base`` modulo 2^64."""
+    if len(_POWERS.get(base, ())) < n:
+        steps = np.full(max(n, CHUNK + 1), np.uint64(base), dtype=np.uint64)
+        steps[0] = 1
+        _POWERS[base] = np.multiply.accumulate(steps)
+    return _POWERS[base][:n]
+
+
+def _ranges(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Polynomial hashes of the ranges, whatever place they stand at."""
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values * _powers(base, len(values)), dtype=np.uint64)])
+    return (sums[end] - sums[begin]) * _powers(pow(base, -1, 2**64), len(values) + 1)[begin]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -82,24 +88,41 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(words: list[bytes], size: int) -> np.ndarray:
-    """The distinct shingle hashes of a word sequence, ascending."""
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = _word_hashes(words)
-    k = min(size, len(words))
-    out = np.full(len(words) - k + 1, np.uint64(k), dtype=np.uint64)
+def shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a sequence of word hashes, ascending."""
+    if not len(h):
+        return h
+    k = min(size, len(h))
+    out = np.full(len(h) - k + 1, np.uint64(k), dtype=np.uint64)
     for i in range(k):
-        out = _mixed(out * _MIX + h[i:len(words) - k + 1 + i])
-    return np.unique(out)
-
-
-def _words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def _node(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words)) - 2**63
+        out = _mixed(out * _MIX + h[i:len(h) - k + 1 + i])
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The texts as word hashes, some at a time: the first one's place, all their word
+    hashes, where each one's begin (and the last one's end), and each one's node."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, side="right")) - 1)
+        at = offsets[first:last + 1] - offsets[first]
+        raw = data[offsets[first]:offsets[last]]
+        inside = ~_SPACE[raw]
+        # one place more on either side, so that texts without bytes do no harm
+        before, after = np.zeros(len(raw) + 1, dtype=bool), np.zeros(len(raw) + 1, dtype=bool)
+        before[1:], after[:-1] = inside, inside
+        before[at], after[at] = False, False  # no word runs on from the text before
+        begin = np.flatnonzero(inside & ~before[:-1])
+        end = np.flatnonzero(inside & ~after[1:]) + 1
+        h = _mixed(_ranges(_LOWER[raw], begin, end, _BASE) ^ (end - begin).astype(np.uint64) * _MIX)
+        of = np.searchsorted(begin, at)
+        node = _mixed(_ranges(h, of[:-1], of[1:], _WORD_BASE) ^ np.diff(of).astype(np.uint64) * _MIX)
+        yield first, h, of, _signed(node)
+        first = last
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -175,44 +198,46 @@ def _folded(maps: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-def _over_sets(docs: DataFrame, text: str, size: int, make, schema: str) -> DataFrame:
-    """``make(node, tokens)`` gives columns for the first copy of each text that a task meets."""
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            out = []
-            for t in batch.column(0):
-                words = _words(t.as_py())
-                if not words:
-                    continue
-                node = _node(words)
-                if node in seen:
-                    continue
-                if len(seen) > MEMO:  # a copy may then be given twice, which the exchange puts right
-                    seen.clear()
-                seen.add(node)
-                got = make(node, shingles(words, size))
-                if got is not None:
-                    out.append(got)
-                if sum(len(x[0]) for x in out[-64:]) > 500_000 or len(out) >= 4096:
-                    yield _table(out)
-                    out = []
-            if out:
-                yield _table(out)
 
+def _over_sets(docs: DataFrame, text: str, size: int, make, schema: str, wanted=None) -> DataFrame:
+    """``make(node, tokens)`` gives columns for the first copy of each text that a task
+    meets; ``wanted``: a broadcast of the only nodes that matter, ascending."""
     fields = [f.split() for f in schema.split(", ")]
-    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
-    def _table(rows: list) -> pa.RecordBatch:
+    def batch_of(rows: list) -> pa.RecordBatch:
         arrays = []
         for i, (_, kind) in enumerate(fields):
-            if isinstance(rows[0][i], np.ndarray) and kind in ("long", "int"):
-                arrays.append(pa.array(np.concatenate([r[i] for r in rows]), type=types[kind]))
+            if kind in ("long", "int"):
+                arrays.append(pa.array(np.concatenate([np.asarray(r[i]) for r in rows]), type=_TYPES[kind]))
             else:
-                arrays.append(pa.array([x for r in rows for x in r[i]], type=types[kind]))
+                arrays.append(pa.array([x for r in rows for x in r[i]], type=_TYPES[kind]))
         return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
 
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, h, of, nodes in chunks(batch.column(0)):
+                out, room = [], 0
+                these = np.flatnonzero(np.diff(of))
+                if wanted is not None:
+                    these = these[_is_in(nodes[these], wanted.value)]
+                for i in these:
+                    node = int(nodes[i])
+                    if node in seen:
+                        continue
+                    if len(seen) > MEMO:  # a copy may then be given twice, which the exchange puts right
+                        seen.clear()
+                    seen.add(node)
+                    out.append(make(node, shingles(h[of[i]:of[i + 1]], size)))
+                    room += of[i + 1] - of[i]
+                    if room > 200_000:
+                        yield batch_of(out)
+                        out, room = [], 0
+                if out:
+                    yield batch_of(out)
+
     return docs.select(F.col(text).alias("t")).where("t IS NOT NULL").mapInArrow(mapped, schema)
 
 
@@ -250,23 +275,19 @@ def _postings(docs: DataFrame, text: str, size: int, law: Law, frequent: np.ndar
         return _signed(keys), np.full(n, node, dtype=np.int64), np.full(n, len(tokens), dtype=np.int32), rest.astype(np.int32)
 
     rows = _over_sets(docs, text, size, indexed, "key long, id long, n int, rest int")
-    # one exchange, by key; equal rows of copies in several tasks then meet
+    # one exchange, by key; equal rows of copies in several tasks then meet, and members are counted where they are
     rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     rows = rows.groupBy("key", "id", "n").agg(F.max("rest").alias("rest"))
-    members = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return written(rows.join(members.hint("shuffle_hash"), "key"), "postings")
+    rows = rows.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    return written(rows.where("members > 1"), "postings")
 
 
 def _chosen(docs: DataFrame, text: str, size: int, ids: DataFrame, make, schema: str) -> DataFrame:
     """``make``'s rows (first column ``id``) for the nodes in ``ids``, one row each."""
     rest = [f.split()[0] for f in schema.split(", ")][1:]
     if has_at_most(ids, MOST_IDS):
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column(0).to_numpy()))
-
-        def some(node: int, tokens: np.ndarray):
-            return make(node, tokens) if _is_in(np.array([node]), wanted.value)[0] else None
-
-        rows = _over_sets(docs, text, size, some, schema)
+        few = np.sort(ids.toArrow().column(0).to_numpy())
+        rows = _over_sets(docs, text, size, make, schema, docs.sparkSession.sparkContext.broadcast(few))
     else:
         rows = _over_sets(docs, text, size, make, schema).join(ids, "id", "left_semi")
     return rows.groupBy("id").agg(*[F.first(c).alias(c) for c in rest])
@@ -375,14 +396,16 @@ def _rest_pairs(lists: DataFrame, comps: DataFrame, maps: DataFrame, law: Law) -
 def nodes(docs: DataFrame, size: int, carry: list[Column], schema: str, text: str = "text") -> DataFrame:
     """``carry`` (typed by ``schema``) with ``id`` (null without words) and ``n_shingles``, row by row."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            split = [_words(t) for t in b.pop("_text")]
-            b["id"] = pd.array([_node(w) if w else None for w in split], dtype="Int64")
-            b["n_shingles"] = [len(shingles(w, size)) for w in split]
-            yield b
+            n, ids = np.zeros(b.num_rows, dtype=np.int64), np.zeros(b.num_rows, dtype=np.int64)
+            for first, h, of, found in chunks(b.column(b.num_columns - 1)):
+                ids[first:first + len(found)] = found
+                n[first:first + len(found)] = [len(shingles(h[i:j], size)) for i, j in zip(of[:-1], of[1:], strict=True)]
+            columns = [*b.columns[:-1], pa.array(ids, mask=n == 0), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-1], "id", "n_shingles"])
 
-    return docs.select(*carry, F.col(text).alias("_text")).mapInPandas(rows, f"{schema}, id long, n_shingles long")
+    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(rows, f"{schema}, id long, n_shingles long")
 
 
 def labels(docs: DataFrame, size: int, percent: int, text: str = "text") -> DataFrame:
@@ -422,7 +445,9 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "tex
 
     @F.pandas_udf(T.LongType())
     def node(t: pd.Series) -> pd.Series:
-        return pd.Series([_node(w) if (w := _words(x)) else None for x in t], dtype="Int64")
+        got = [(found, np.diff(of) > 0) for _, _, of, found in chunks(pa.array(t, type=pa.string()))]
+        ids, has = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, dtype=np.int64) for i in (0, 1))
+        return pd.Series(pd.arrays.IntegerArray(ids, ~has.astype(bool)))
 
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     marked = docs.select(whole, F.col(key).alias("_key"), node(F.col(text)).alias("_id"))
