@@ -69,7 +69,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def _powers(base: int, n: int) -> np.ndarray:
     """The powers of ``base`` modulo 2^64."""
-    if len(_POWERS.get(base, ())) < n:
+    if base not in _POWERS or len(_POWERS[base]) < n:
         steps = np.full(max(n, CHUNK + 1), np.uint64(base), dtype=np.uint64)
         steps[0] = 1
         _POWERS[base] = np.multiply.accumulate(steps)
