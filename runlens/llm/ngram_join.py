@@ -7,7 +7,7 @@ ceil(t n) tokens with the other.
 
 1. *Classes.*  Tokens in the first part of each set, by hash, are counted over all
    documents; those in more than T sets are *frequent* (T is the least power of two
-   from 8 for which there are at most ``MOST_FREQUENT``, so they can be broadcast).
+   for which there are at most ``MOST_FREQUENT``, so they can be broadcast).
    Each set is ordered rare tokens first.  Any such classes give right results;
    they decide how long posting lists are.
 2. *Index.*  Rare tokens among the first p = n - ceil(t n) + 1 are indexed singly.  If
@@ -20,11 +20,13 @@ ceil(t n) tokens with the other.
 3. *Stars.*  In every list, the pairs of its largest set with the others are verified
    on the whole sets; the links give first components.
 4. *The rest.*  Lists that still span several components are gone through pair by
-   pair, in blocks of bounded size dealt over the tasks.  Pairs of one component need
-   no proof; of the others, the sizes, the places in the prefixes and a bitmap of the
-   tokens (differing bits bound the symmetric difference from below) leave those that
-   can link, and these are verified on the whole sets.  No link between components can
-   be missed, so the components are exact.
+   pair: short ones by a join, longer ones in blocks of bounded size dealt over the
+   tasks.  Pairs of one component need no proof; of the others, the sizes and a bitmap
+   of the tokens (differing bits bound the symmetric difference from below) leave those
+   that can link, and these are verified on the whole sets.  A pair that shares several
+   lists is given in the one of its least shared key, as far as the ``FIRST_KEYS``
+   least keys of both tell.  No link between components can be missed, so the
+   components are exact.
 
 Copies (equal word sequences) are one node from the first step on.  Nodes, words and
 shingles are told apart by 64-bit hashes.
@@ -51,15 +53,19 @@ from ..operators.joins import has_at_most
 from .common import table, written
 from .components import components
 
-LEAST_FREQUENT, MOST_FREQUENT = 8, 1_000_000
+LEAST_FREQUENT, MOST_FREQUENT = 1, 4_000_000
 #: Node ids that may be broadcast to choose the sets that verification needs (8 bytes each).
 MOST_IDS = 4_000_000
-#: Members of a list that meet in one task at most.
+#: Lists of up to so many members are paired by a join, longer ones in blocks with bitmaps.
+SMALL = 8
+#: Members of one side of a block.
 BLOCK = 2048
-MOST_BITS = 8192
+BITS, MOST_BITS = 16, 16_384
+#: Keys that a member carries to tell in which of its lists a pair is given.
+FIRST_KEYS = 64
 MEMO = 500_000
 #: Bytes of text that are hashed at once (a longer text alone).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE, _WORD_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F  # odd, so they have inverses modulo 2^64
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
@@ -155,35 +161,31 @@ class Law:
     def buckets(self, c: int) -> int:
         return max(1, 2 ** (c - 1))
 
-    def keys(self, tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index keys of a set (ascending ``tokens``; ``frequent`` marks) and how many
-        tokens come after the key's last one in the set's order."""
+    def keys(self, tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+        """Index keys of a set (ascending ``tokens``; ``frequent`` marks), ascending."""
         n = len(tokens)
         p = self.prefix(n)
         rare = tokens[~frequent]
-        keys, rest = [_mixed(rare[:p])], [n - 1 - np.arange(min(p, len(rare)))]
+        keys = [_mixed(rare[:p])]
         if len(rare) < p:
             often = tokens[frequent]
             if n == 1:
                 keys.append(_mixed(often ^ _MIX))
-                rest.append(np.zeros(1, dtype=np.int64))
             else:
                 for c in self.classes(n):
                     b = self.buckets(c)
                     part = often[:p + b - len(rare)]
                     by = (part >> np.uint64(7)) % np.uint64(b)
-                    for x in range(b) if b > 1 else [0]:
+                    for x in range(b):
                         at = np.flatnonzero(by == x)
                         i, j = np.triu_indices(len(at), 1)
-                        i, j = at[i], at[j]
-                        keys.append(_mixed(part[i] * _MIX + _mixed(part[j]) + np.uint64(c)))
-                        rest.append(n - 1 - len(rare) - j)
-        return np.concatenate(keys), np.concatenate(rest)
+                        keys.append(_mixed(part[at[i]] * _MIX + _mixed(part[at[j]]) + np.uint64(c)))
+        return np.unique(np.concatenate(keys))
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
     """Bits of the tokens' hashes; their number follows the set's size."""
-    bits = min(MOST_BITS, 1 << max(8, int(4 * len(tokens) - 1).bit_length()))
+    bits = min(MOST_BITS, 1 << max(8, int(BITS * len(tokens) - 1).bit_length()))
     out = np.zeros(bits // 64, dtype=np.uint64)
     at = (_mixed(tokens) % np.uint64(bits)).astype(np.int64)
     np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
@@ -265,19 +267,16 @@ def _is_in(tokens: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[at] == tokens
 
 
-def _postings(docs: DataFrame, text: str, size: int, law: Law, frequent: np.ndarray) -> DataFrame:
-    """Lists of two or more: ``key, id, n, rest, members``."""
-    shipped = docs.sparkSession.sparkContext.broadcast(frequent)
+def _postings(docs: DataFrame, text: str, size: int, law: Law, frequent) -> DataFrame:
+    """Lists of two or more: ``key, id, n, members``; ``frequent`` is a broadcast."""
 
     def indexed(node: int, tokens: np.ndarray):
-        keys, rest = law.keys(tokens, _is_in(tokens, shipped.value))
-        n = len(keys)
-        return _signed(keys), np.full(n, node, dtype=np.int64), np.full(n, len(tokens), dtype=np.int32), rest.astype(np.int32)
+        keys = law.keys(tokens, _is_in(tokens, frequent.value))
+        return _signed(keys), np.full(len(keys), node, dtype=np.int64), np.full(len(keys), len(tokens), dtype=np.int32)
 
-    rows = _over_sets(docs, text, size, indexed, "key long, id long, n int, rest int")
+    rows = _over_sets(docs, text, size, indexed, "key long, id long, n int")
     # one exchange, by key; equal rows of copies in several tasks then meet, and members are counted where they are
-    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    rows = rows.groupBy("key", "id", "n").agg(F.max("rest").alias("rest"))
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").distinct()
     rows = rows.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key")))
     return written(rows.where("members > 1"), "postings")
 
@@ -311,14 +310,19 @@ def _star_pairs(lists: DataFrame, law: Law) -> DataFrame:
     return p.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
 
 
-def _pairs_of(run: dict[str, np.ndarray], maps: list[bytes], across: bool, law: Law) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of one block that may link: different components, fitting sizes and
-    places, few enough differing bits.  ``across``: only between the block's two sides."""
+def _few_bits(differing: np.ndarray, total: np.ndarray, law: Law) -> np.ndarray:
+    """Whether sets of ``total`` tokens together may link with so many bits differing."""
+    return differing * (100 + law.percent) <= total * (100 - law.percent)
+
+
+def _pairs_of(run: dict[str, np.ndarray], maps: list[bytes], firsts: list[np.ndarray], across: bool, law: Law) -> tuple[list, list]:
+    """The pairs of one block that may link and are given in its list; ``across``: only
+    between the block's two sides."""
     by = np.argsort(run["n"], kind="stable")
     run = {k: v[by] for k, v in run.items()}
     sizes = np.array([len(m) for m in maps])[by]
-    maps = [maps[i] for i in by]
-    n, rest, t = run["n"].astype(np.int64), run["rest"].astype(np.int64), law.percent
+    maps, firsts = [maps[i] for i in by], [firsts[i] for i in by]
+    n, key = run["n"].astype(np.int64), run["key"][0]
     out_a, out_b = [], []
     folded: dict[int, tuple[int, np.ndarray]] = {}
     for size in np.unique(sizes):
@@ -326,53 +330,71 @@ def _pairs_of(run: dict[str, np.ndarray], maps: list[bytes], across: bool, law:
         folded[int(size)] = (from_row, _folded(maps[from_row:], int(size)))
     for i in range(len(n) - 1):
         # partners of row i: not smaller, and at most n / t
-        end = int(np.searchsorted(n, n[i] * 100 // t, side="right"))
+        end = int(np.searchsorted(n, n[i] * 100 // law.percent, side="right"))
         j = np.arange(i + 1, end)
         j = j[run["comp"][j] != run["comp"][i]]
         if across:
             j = j[run["side"][j] != run["side"][i]]
-        if not len(j):
-            continue
-        total = n[i] + n[j]
-        need = -(-t * total // (100 + t))
-        j = j[np.minimum(rest[i], rest[j]) + 2 >= need]
         if not len(j):
             continue
         start, rows = folded[int(sizes[i])]
-        differing = np.bitwise_count(rows[j - start] ^ rows[i - start]).sum(axis=1)
-        j = j[differing * (100 + t) <= (n[i] + n[j]) * (100 - t)]
-        out_a.append(np.full(len(j), run["id"][i]))
-        out_b.append(run["id"][j])
-    if not out_a:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def _rest_pairs(lists: DataFrame, comps: DataFrame, maps: DataFrame, law: Law) -> DataFrame:
-    """Pairs of different components that may link, from lists that span several."""
+        differing = np.bitwise_count(rows[j - start] ^ rows[i - start]).sum(axis=1, dtype=np.int64)
+        for k in j[_few_bits(differing, n[i] + n[j], law)]:
+            shared = np.intersect1d(firsts[i], firsts[k], assume_unique=True)
+            if not len(shared) or shared[0] == key:
+                out_a.append(int(min(run["id"][i], run["id"][k])))
+                out_b.append(int(max(run["id"][i], run["id"][k])))
+    return out_a, out_b
+
+
+def _near(pairs: DataFrame, maps: DataFrame, law: Law) -> DataFrame:
+    """The pairs ``a, b`` whose bitmaps let them link."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("bits_a", "bits_b"))
+            differing = np.zeros(batch.num_rows, dtype=np.int64)
+            for i, (p, q) in enumerate(zip(x, y, strict=True)):
+                both = _folded([p, q], min(len(p), len(q)))
+                differing[i] = np.bitwise_count(both[0] ^ both[1]).sum()
+            total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+            yield batch.filter(pa.array(_few_bits(differing, total, law))).select(["a", "b"])
+
+    for c in ("a", "b"):
+        pairs = pairs.join(maps.select(F.col("id").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")), c)
+    return pairs.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(near, "a long, b long")
+
+
+def _short_pairs(lists: DataFrame, law: Law) -> DataFrame:
+    """Pairs of different components and fitting sizes from short lists."""
+    x, y = (lists.select("key", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("comp").alias(f"comp{c}")) for c in ("a", "b"))
+    fit = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * law.percent
+    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("compa") != F.col("compb")) & fit).select("a", "b").distinct()
+
+
+def _long_pairs(lists: DataFrame, maps: DataFrame, law: Law) -> DataFrame:
+    """Pairs of different components that may link from long lists, in blocks."""
     spark = lists.sparkSession
-    labelled = lists.join(maps, "id").join(comps.withColumnRenamed("label", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = labelled.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = lists.join(maps.drop("n"), "id").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
-        "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "n", "rest", "comp",
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "bits")
+        "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "n", "comp",
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "bits", "firsts")
     dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
 
-        def close():
+        def close() -> pa.RecordBatch | None:
             rows = pa.Table.from_batches(held)
-            run = {c: rows.column(c).to_numpy() for c in ("id", "n", "rest", "comp", "side")}
-            across = rows.column("x")[0] != rows.column("y")[0]
+            run = {c: rows.column(c).to_numpy() for c in ("key", "id", "n", "comp", "side")}
             if (run["comp"] == run["comp"][0]).all():
                 return None
-            a, b = _pairs_of(run, rows.column("bits").to_pylist(), across, law)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
+            firsts = [np.array(f, dtype=np.int64) for f in rows.column("firsts").to_pylist()]
+            a, b = _pairs_of(run, rows.column("bits").to_pylist(), firsts, last[1] != last[2], law)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if a else None
 
         for batch in batches:
             if not batch.num_rows:
@@ -390,7 +412,7 @@ def _rest_pairs(lists: DataFrame, comps: DataFrame, maps: DataFrame, law: Law) -
         if held and (got := close()) is not None:
             yield got
 
-    return dealt.mapInArrow(joined, "a long, b long").distinct()
+    return dealt.mapInArrow(joined, "a long, b long")
 
 
 def nodes(docs: DataFrame, size: int, carry: list[Column], schema: str, text: str = "text") -> DataFrame:
@@ -411,15 +433,22 @@ def nodes(docs: DataFrame, size: int, carry: list[Column], schema: str, text: st
 def labels(docs: DataFrame, size: int, percent: int, text: str = "text") -> DataFrame:
     """``id, label`` of the nodes that link with another one."""
     law = Law(percent)
-    lists = _postings(docs, text, size, law, _frequent(docs, text, size, law))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text, size, law))
+    lists = _postings(docs, text, size, law, frequent)
     stars = written(_star_pairs(lists, law), "star-pairs")
     found = written(_verified(docs, text, size, stars, law), "star-links")
-    first = components(found, "a", "b")
-    comp = F.coalesce("label", "id")
-    open_keys = lists.join(first, "id", "left").groupBy("key").agg(F.min(comp).alias("lo"), F.max(comp).alias("hi")).where("lo <> hi").select("key")
-    left = written(lists.join(open_keys, "key", "left_semi"), "open-lists")
-    maps = _chosen(docs, text, size, left.select("id").distinct(), lambda node, tokens: ([node], [bitmap(tokens)]), "id long, bits binary")
-    rest = _rest_pairs(left, first, maps, law).join(stars, ["a", "b"], "left_anti")
+    labelled = lists.join(components(found, "a", "b").withColumnRenamed("label", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    several = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    left = written(labelled.join(several, "key", "left_semi"), "open-lists")
+
+    def described(node: int, tokens: np.ndarray):
+        keys = _signed(law.keys(tokens, _is_in(tokens, frequent.value)))
+        return [node], [bitmap(tokens)], [len(tokens)], [np.sort(keys)[:FIRST_KEYS]]
+
+    maps = written(_chosen(docs, text, size, left.select("id").distinct(), described, "id long, bits binary, n int, firsts array<long>"), "bitmaps")
+    short = _short_pairs(left.where(F.col("members") <= SMALL), law).join(stars, ["a", "b"], "left_anti")
+    long = _long_pairs(left.where(F.col("members") > SMALL), maps, law)
+    rest = _near(short, maps, law).unionByName(long).distinct().join(stars, ["a", "b"], "left_anti")
     more = _verified(docs, text, size, written(rest, "rest-pairs"), law)
     return components(found.unionByName(more), "a", "b")
 
