@@ -36,6 +36,7 @@ from uuid import uuid4
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,8 @@ from .common import let, table, written
 
 MARK = "▁"
 MOST_WORDS = 200_000
-MEMO = 300_000
+#: Words, and runs between spaces, that a worker remembers.
+MEMO = 200_000
 #: Words longer than this are folded in the task that meets them; it bounds the edges of a word.
 LONGEST_WORD = 64
 _COARSE = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
@@ -136,6 +138,10 @@ class Pieces:
                 offer(before[a])
         return [word[a:end[a]] for a in range(n) if alive[a]]
 
+    def packed(self, parts: list[str]) -> bytes:
+        """The parts' ids as little-endian 32-bit integers."""
+        return np.array([i for p in parts for i in self.ids_of(p)], dtype="<i4").tobytes()
+
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.names.__getitem__, ids))
         return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
@@ -242,49 +248,70 @@ def frequent_words(docs: DataFrame, pieces: Pieces, text: str = "text", most: in
 
 
 class Coder:
-    """What a worker needs: the pieces, the table of frequent words and a memo for the others."""
-
-    def __init__(self, pieces: Pieces, known: dict[str, list[int]]):
-        self.pieces, self.known, self.memo = pieces, known, {}
-
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        known, memo = self.known, self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in self.pieces.split(text):
-            ids = known.get(w) or memo.get(w)
+    """What a worker needs: the pieces, the table of frequent words, and memos of the
+    other words and of what stands between single spaces."""
+
+    def __init__(self, pieces: Pieces, known: dict[str, bytes]):
+        self.pieces, self.known = pieces, known
+        self.other: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _by_words(self, marked: str) -> bytes:
+        out = []
+        for w in self.pieces.words.findall(marked):
+            ids = self.known.get(w) or self.other.get(w)
             if ids is None:
-                ids = memo[w] = self.pieces.encode_word(w)
-            out += ids
-        return out
-
-
-def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, text: str = "text", most: int = MOST_WORDS) -> DataFrame:
-    """The ``carry`` columns (typed by ``schema``) with ``ids``, ``n_tokens``, ``ids_sha256``
-    (of the ids as little-endian 32-bit integers) and ``decoded_ok``."""
+                if len(self.other) > MEMO:
+                    self.other.clear()
+                ids = self.other[w] = np.array(self.pieces.encode_word(w), dtype="<i4").tobytes()
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> bytes:
+        """The text's ids as little-endian 32-bit integers."""
+        if not text:
+            return b""
+        if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
+            return self._by_words(MARK + text.replace(" ", MARK))
+        runs, memo = text.split(" "), self.runs  # each is preceded by one space mark, which begins a word
+        try:
+            return b"".join(list(map(memo.__getitem__, runs)))
+        except KeyError:
+            if len(memo) > MEMO:
+                memo.clear()
+            for r in [r for r in set(runs) if r not in memo]:
+                memo[r] = self._by_words(MARK + r)
+            return b"".join(list(map(memo.__getitem__, runs)))
+
+
+def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, text: str = "text", most: int = MOST_WORDS, with_ids: bool = True) -> DataFrame:
+    """The ``carry`` columns (typed by ``schema``) with ``ids`` (unless left out), ``n_tokens``,
+    ``ids_sha256`` (of the ids as little-endian 32-bit integers) and ``decoded_ok``."""
     parts = encode_words(frequent_words(docs, pieces, text, most), pieces).toArrow()  # at most ``most`` words
-    known = {w: [i for p in ps for i in pieces.ids_of(p)] for w, ps in zip(parts.column("word").to_pylist(), parts.column("parts").to_pylist(), strict=True)}
+    known = {w: pieces.packed(ps) for w, ps in zip(parts.column("word").to_pylist(), parts.column("parts").to_pylist(), strict=True)}
     shipped, version = docs.sparkSession.sparkContext.broadcast((pieces, known)), uuid4().hex
 
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if version not in _WORKER:
             _WORKER.clear()
             _WORKER[version] = Coder(*shipped.value)
         coder = _WORKER[version]
         for whole in batches:
-            for at in range(0, len(whole), 1000):  # ids take more room than texts
-                b = whole.iloc[at:at + 1000].copy()
-                texts = b.pop("_text")
-                ids = [coder.encode(t) for t in texts]
-                rows = [np.array(x, dtype="<i4") for x in ids]
-                b["ids"], b["n_tokens"] = rows, [len(x) for x in ids]
-                b["ids_sha256"] = [hashlib.sha256(r.tobytes()).hexdigest() for r in rows]
-                b["decoded_ok"] = [coder.pieces.decode(x) == (t or "").replace(MARK, " ") for x, t in zip(ids, texts, strict=True)]
-                yield b
-
-    return docs.select(*carry, F.col(text).alias("_text")).mapInPandas(
-        coded, f"{schema}, ids array<int>, n_tokens long, ids_sha256 string, decoded_ok boolean")
+            for at in range(0, whole.num_rows, 500):  # ids take more room than texts
+                b = whole.slice(at, 500)
+                texts = b.column(b.num_columns - 1).to_pylist()
+                packed = [coder.encode(t) for t in texts]
+                sizes = np.array([len(x) // 4 for x in packed], dtype=np.int64)
+                same = [coder.pieces.decode(np.frombuffer(x, dtype="<i4").tolist()) == (t or "").replace(MARK, " ") for x, t in zip(packed, texts, strict=True)]
+                columns = {n: c for n, c in zip(b.schema.names[:-1], b.columns[:-1], strict=True)}
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+                columns |= {"n_tokens": pa.array(sizes), "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()), "decoded_ok": pa.array(same, pa.bool_())}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    ids = "ids array<int>, " if with_ids else ""
+    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(coded, f"{schema}, {ids}n_tokens long, ids_sha256 string, decoded_ok boolean")
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -306,4 +333,4 @@ def model_path() -> str:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: every whole text of ``documents``."""
-    return encode(table(spark, sf_dir, "documents"), load(model_path()), [F.col("doc_id")], "doc_id long").drop("ids")
+    return encode(table(spark, sf_dir, "documents"), load(model_path()), [F.col("doc_id")], "doc_id long", with_ids=False)
