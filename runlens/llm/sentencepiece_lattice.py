@@ -45,7 +45,7 @@ from .common import let, table, written
 MARK = "▁"
 MOST_WORDS = 200_000
 #: Words, and runs between spaces, that a worker remembers.
-MEMO = 200_000
+MEMO = 120_000
 #: Words longer than this are folded in the task that meets them; it bounds the edges of a word.
 LONGEST_WORD = 64
 _COARSE = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
@@ -64,6 +64,8 @@ class Pieces:
     def __init__(self, entries: list[tuple[str, int, float]], bytes_: dict[int, int], viterbi: bool, names: list[bytes], unknown: int = 0):
         self.entries, self.viterbi, self.names, self.unknown = entries, viterbi, names, unknown
         self.edges = {p: (score, i) for p, i, score in entries}
+        self.ranks = {p: -score for p, _, score in entries}
+        self.four = {p: i.to_bytes(4, "little") for p, i, _ in entries}
         self.bytes = bytes_
         self.longest = max((len(p) for p, _, _ in entries), default=1)
         pairs = {(a, b) for p, _, _ in entries for a, b in zip(p, p[1:], strict=False)}
@@ -90,8 +92,10 @@ class Pieces:
 
     def encode_word(self, word: str) -> list[int]:
         """The lattice and fold of one word."""
-        parts = self._best_path(word) if self.viterbi else self._merged(word)
-        return [i for p in parts for i in self.ids_of(p)]
+        return [i for p in self.parts(word) for i in self.ids_of(p)]
+
+    def parts(self, word: str) -> list[str]:
+        return self._best_path(word) if self.viterbi else self._merged(word)
 
     def _best_path(self, word: str) -> list[str]:
         best = [(0.0, 0)] + [(UNREACHED, 0)] * len(word)
@@ -108,6 +112,23 @@ class Pieces:
         return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _merged(self, word: str) -> list[str]:
+        """The best-scored neighbours are joined first, the leftmost of equals."""
+        if len(word) > LONGEST_WORD:
+            return self._merged_long(word)
+        parts, rank = list(word), self.ranks.get
+        ranks = [rank(a + b, np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < np.inf:
+            i = ranks.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], np.inf)
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], np.inf)
+        return parts
+
+    def _merged_long(self, word: str) -> list[str]:
+        """The same over a heap, for words of any length."""
         import heapq
 
         n = len(word)
@@ -140,7 +161,8 @@ class Pieces:
 
     def packed(self, parts: list[str]) -> bytes:
         """The parts' ids as little-endian 32-bit integers."""
-        return np.array([i for p in parts for i in self.ids_of(p)], dtype="<i4").tobytes()
+        four = self.four
+        return b"".join([four.get(p) or b"".join(i.to_bytes(4, "little") for i in self.ids_of(p)) for p in parts])
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.names.__getitem__, ids))
@@ -247,25 +269,36 @@ def frequent_words(docs: DataFrame, pieces: Pieces, text: str = "text", most: in
     return counts.where(few & (F.length("word") <= LONGEST_WORD)).select("word")
 
 
+class Memo(dict):
+    """Values by key, made at need; of two generations, so that what is in use stays
+    when the older one goes."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
+
+
 class Coder:
     """What a worker needs: the pieces, the table of frequent words, and memos of the
     other words and of what stands between single spaces."""
 
     def __init__(self, pieces: Pieces, known: dict[str, bytes]):
         self.pieces, self.known = pieces, known
-        self.other: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.other = Memo(lambda w: pieces.packed(pieces.parts(w)), MEMO)
+        self.runs = Memo(lambda r: self._by_words(MARK + r), MEMO)
 
     def _by_words(self, marked: str) -> bytes:
-        out = []
-        for w in self.pieces.words.findall(marked):
-            ids = self.known.get(w) or self.other.get(w)
-            if ids is None:
-                if len(self.other) > MEMO:
-                    self.other.clear()
-                ids = self.other[w] = np.array(self.pieces.encode_word(w), dtype="<i4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+        known, other = self.known, self.other
+        return b"".join([known.get(w) or other[w] for w in self.pieces.words.findall(marked)])
 
     def encode(self, text: str | None) -> bytes:
         """The text's ids as little-endian 32-bit integers."""
@@ -273,15 +306,8 @@ class Coder:
             return b""
         if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
             return self._by_words(MARK + text.replace(" ", MARK))
-        runs, memo = text.split(" "), self.runs  # each is preceded by one space mark, which begins a word
-        try:
-            return b"".join(list(map(memo.__getitem__, runs)))
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            for r in [r for r in set(runs) if r not in memo]:
-                memo[r] = self._by_words(MARK + r)
-            return b"".join(list(map(memo.__getitem__, runs)))
+        # each run is preceded by one space mark, which begins a word
+        return b"".join([self.runs[r] for r in text.split(" ")])
 
 
 def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, text: str = "text", most: int = MOST_WORDS, with_ids: bool = True) -> DataFrame:
