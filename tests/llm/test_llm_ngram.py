@@ -104,11 +104,14 @@ def test_number_of_keys_grows_with_the_prefix():
         assert len(keys) <= 12 * N.Law(90).prefix(n)
 
 
-def test_components_of_chains_and_stars(spark):
-    links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5, 5)]
-    got = {r.id: r.label for r in components.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
-    assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(80)}
-    assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+@pytest.mark.parametrize("block", [None, 20])
+def test_components_of_chains_and_stars(spark, block):
+    links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5, 5), (7, 3), (-4, -9)]
+    random.Random(1).shuffle(links)
+    found = components.components(spark.createDataFrame(links, "a long, b long").repartition(16), "a", "b", block).collect()
+    assert {r.id: r.label for r in found} == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(80)} | {-4: -9, -9: -9}
+    assert len(found) == len({r.id for r in found})
+    assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b", block).count() == 0
 
 
 def test_edges(spark):
