@@ -6,6 +6,7 @@ import io
 import pytest
 
 import __spark_entry__ as E
+from runlens.plans import catalog as C
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("SortAggregate", "BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython")
@@ -18,9 +19,9 @@ def _plan(df) -> str:
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(C.QUERIES))
 def test_plan_has_no_unscalable_operators(spark, name):
-    plan = _plan(E.queries()[name](spark, SF))
+    plan = _plan(C.QUERIES[name](spark, SF))
     found = [f for f in FORBIDDEN if f in plan]
     assert not found, f"{name}: {found}"
 

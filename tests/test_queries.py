@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from runlens.plans import catalog as C  # the llm queries have tests of their own
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -35,14 +36,15 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(C.QUERIES) == set(C.ORACLE)
+    assert set(C.QUERIES) <= set(E.queries()) and set(C.ORACLE) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(C.QUERIES))
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF)
+    df = C.QUERIES[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
-    cur = duck.execute(E.oracle_sql()[name])
+    cur = duck.execute(C.ORACLE[name])
     dcols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(dcols)
     assert _rows(df.columns, srows) == _rows(dcols, cur.fetchall())
@@ -58,10 +60,10 @@ SPARK_TO_DUCK = {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "
                  "BooleanType": "BOOLEAN", "TimestampNTZType": "TIMESTAMP"}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(C.QUERIES))
 def test_column_types_match_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF)
+    df = C.QUERIES[name](spark, SF)
     spark_types = {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__)
                    for f in df.schema.fields}
-    duck_types = {d[0]: str(d[1]) for d in duck.execute(E.oracle_sql()[name]).description}
+    duck_types = {d[0]: str(d[1]) for d in duck.execute(C.ORACLE[name]).description}
     assert spark_types == duck_types
