@@ -254,9 +254,10 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 def frequent_words(docs: DataFrame, pieces: Pieces, text: str = "text", most: int = MOST_WORDS) -> DataFrame:
     """The words that occur most often, whole count classes up to ``most`` words."""
-    marked = F.concat(F.lit(MARK), F.replace(F.col(text), F.lit(" "), F.lit(MARK)))
-    words = docs.where(F.length(text) > 0).select(F.explode(F.regexp_extract_all(marked, F.lit(pieces.words_java), F.lit(0))).alias("word"))
-    counts = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "word-counts")
+    # runs between spaces are counted first, so only distinct ones go through the words' expression
+    runs = docs.select(F.explode(F.split(F.col(text), " ", -1)).alias("run")).where("run <> ''").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    words = runs.select(F.explode(F.regexp_extract_all(F.concat(F.lit(MARK), F.col("run")), F.lit(pieces.words_java), F.lit(0))).alias("word"), "n")
+    counts = written(words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > 1), "word-counts")
     # classes of counts, eight to an octave: a few hundred rows
     octave = F.floor(F.log2("n") * 8).cast("int")
     sizes = {r.o: r.c for r in counts.groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("c")).collect()}
