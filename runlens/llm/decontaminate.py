@@ -28,14 +28,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import has_at_most
-from .common import table
+from ..operators.joins import has_at_most, small_side
+from .common import table, written
 
 SPAN, SHIFT = 9, 2
 #: The positions of a window that each mask keeps.
 MASKS = tuple(tuple(p for p in range(SPAN) if p % 3 != phase) for phase in range(3))
 SHARE = 60  # percent of the item's words
 BROADCAST_SEEDS = 400_000
+BROADCAST_KEYS = 500_000
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -106,7 +107,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_SEEDS) -
 
 def clean(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_SEEDS) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns."""
-    bad = hits(docs, benchmark, bound).select(F.col("key").alias("_bad")).distinct()
+    bad = written(hits(docs, benchmark, bound).select(F.col("key").alias("_bad")).distinct(), "leaks")
+    bad = small_side(bad, BROADCAST_KEYS)  # beyond it, the texts are exchanged by key
     return docs.join(bad, content_key(docs["text"]) == bad["_bad"], "left_anti")
 
 
