@@ -45,7 +45,7 @@ from .common import let, table, written
 MARK = "▁"
 MOST_WORDS = 200_000
 #: Words, and runs between spaces, that a worker remembers.
-MEMO = 120_000
+MEMO = 20_000
 #: Words longer than this are folded in the task that meets them; it bounds the edges of a word.
 LONGEST_WORD = 64
 _COARSE = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
