@@ -17,13 +17,14 @@ ceil(t n) tokens with the other.
    buckets by hash, so one bucket holds two shared tokens: the index takes the 2-token
    combinations inside the buckets, about 3 p of them, not p^2.  b follows the size
    class of n; sets near the upper end of a class are indexed for the next one too.
-3. *Stars.*  In every list, the pairs of its largest set with the others are verified
-   on the whole sets; the links give first components.
+3. *Stars.*  In every list, the largest set is paired with the others.  The sizes and a
+   bitmap of the tokens (differing bits bound the symmetric difference from below) leave
+   the pairs that can link; these are verified on the whole sets, and the links give
+   first components.
 4. *The rest.*  Lists that still span several components are gone through pair by
    pair: short ones by a join, longer ones in blocks of bounded size dealt over the
-   tasks.  Pairs of one component need no proof; of the others, the sizes and a bitmap
-   of the tokens (differing bits bound the symmetric difference from below) leave those
-   that can link, and these are verified on the whole sets.  A pair that shares several
+   tasks.  Pairs of one component need no proof; of the others, those that sizes and
+   bitmaps leave are verified on the whole sets.  A pair that shares several
    lists is given in the one of its least shared key, as far as the ``FIRST_KEYS``
    least keys of both tell.  No link between components can be missed, so the
    components are exact.
@@ -247,7 +248,7 @@ def _frequent(docs: DataFrame, text: str, size: int, law: Law) -> np.ndarray:
     """The frequent tokens, ascending."""
 
     def early(node: int, tokens: np.ndarray):
-        return (_signed(tokens[:2 * law.prefix(len(tokens)) + 8]),)
+        return (_signed(tokens[:3 * law.prefix(len(tokens)) // 2 + 8]),)
 
     counted = _over_sets(docs, text, size, early, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     often = written(counted.where(F.col("n") > LEAST_FREQUENT), "token-counts")
@@ -435,17 +436,17 @@ def labels(docs: DataFrame, size: int, percent: int, text: str = "text") -> Data
     law = Law(percent)
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text, size, law))
     lists = _postings(docs, text, size, law, frequent)
-    stars = written(_star_pairs(lists, law), "star-pairs")
-    found = written(_verified(docs, text, size, stars, law), "star-links")
-    labelled = lists.join(components(found, "a", "b").withColumnRenamed("label", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    several = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = written(labelled.join(several, "key", "left_semi"), "open-lists")
 
     def described(node: int, tokens: np.ndarray):
         keys = _signed(law.keys(tokens, _is_in(tokens, frequent.value)))
         return [node], [bitmap(tokens)], [len(tokens)], [np.sort(keys)[:FIRST_KEYS]]
 
-    maps = written(_chosen(docs, text, size, left.select("id").distinct(), described, "id long, bits binary, n int, firsts array<long>"), "bitmaps")
+    maps = written(_chosen(docs, text, size, lists.select("id").distinct(), described, "id long, bits binary, n int, firsts array<long>"), "bitmaps")
+    stars = written(_near(_star_pairs(lists, law), maps, law), "star-pairs")
+    found = written(_verified(docs, text, size, stars, law), "star-links")
+    labelled = lists.join(components(found, "a", "b").withColumnRenamed("label", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    several = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    left = written(labelled.join(several, "key", "left_semi"), "open-lists")
     short = _short_pairs(left.where(F.col("members") <= SMALL), law).join(stars, ["a", "b"], "left_anti")
     long = _long_pairs(left.where(F.col("members") > SMALL), maps, law)
     rest = _near(short, maps, law).unionByName(long).distinct().join(stars, ["a", "b"], "left_anti")
