@@ -107,6 +107,35 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
+def _hashed(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the texts that begin at ``at`` (its last entry is the end), and
+    where each text's begin among them."""
+    inside = ~_SPACE[raw]
+    # one place more, so that texts without bytes do no harm
+    before, after = np.zeros(len(raw) + 1, dtype=bool), np.zeros(len(raw) + 1, dtype=bool)
+    before[1:], after[:-1] = inside, inside
+    before[at], after[at] = False, False  # no word runs on from the text before
+    begin = np.flatnonzero(inside & ~before[:-1])
+    end = np.flatnonzero(inside & ~after[1:]) + 1
+    h = _mixed(_ranges(_LOWER[raw], begin, end, _BASE) ^ (end - begin).astype(np.uint64) * _MIX)
+    return h, np.searchsorted(begin, at)
+
+
+def _hashed_long(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one long text, in pieces that end between words."""
+    parts, at = [], 0
+    while at < len(raw):
+        end = min(at + CHUNK, len(raw))
+        while end < len(raw) and not _SPACE[raw[at:end]].any():
+            end = min(end + CHUNK, len(raw))  # a word longer than a piece
+        if end < len(raw):
+            end = at + int(np.flatnonzero(_SPACE[raw[at:end]])[-1]) + 1
+        parts.append(_hashed(raw[at:end], np.array([0, end - at]))[0])
+        at = end
+    h = np.concatenate(parts)
+    return h, np.array([0, len(h)])
+
+
 def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """The texts as word hashes, some at a time: the first one's place, all their word
     hashes, where each one's begin (and the last one's end), and each one's node."""
@@ -118,15 +147,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, side="right")) - 1)
         at = offsets[first:last + 1] - offsets[first]
         raw = data[offsets[first]:offsets[last]]
-        inside = ~_SPACE[raw]
-        # one place more on either side, so that texts without bytes do no harm
-        before, after = np.zeros(len(raw) + 1, dtype=bool), np.zeros(len(raw) + 1, dtype=bool)
-        before[1:], after[:-1] = inside, inside
-        before[at], after[at] = False, False  # no word runs on from the text before
-        begin = np.flatnonzero(inside & ~before[:-1])
-        end = np.flatnonzero(inside & ~after[1:]) + 1
-        h = _mixed(_ranges(_LOWER[raw], begin, end, _BASE) ^ (end - begin).astype(np.uint64) * _MIX)
-        of = np.searchsorted(begin, at)
+        h, of = _hashed_long(raw) if len(raw) > CHUNK else _hashed(raw, at)
         node = _mixed(_ranges(h, of[:-1], of[1:], _WORD_BASE) ^ np.diff(of).astype(np.uint64) * _MIX)
         yield first, h, of, _signed(node)
         first = last

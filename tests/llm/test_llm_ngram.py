@@ -131,3 +131,16 @@ def test_keep_one(spark):
     assert sorted(texts) == sorted({r[1] for r in rows() if r[1] and r[1].split()})
     assert sum(not (r.text or "").split() for r in kept.collect()) == sum(not (r[1] or "").split() for r in rows())
     assert N.keep_one(empty_docs(spark)).count() == 0
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "B", "é", " ", "\n", "  "]) for _ in range(rng.randrange(300))) for _ in range(50)]
+    texts += ["x" * 500 + " y", " " * 400, "z" * 900, "", None, "tail " * 100]
+    whole = [(h[of[i]:of[i + 1]].tolist(), int(n)) for _, h, of, node in N.chunks(pa.array(texts)) for i, n in enumerate(node)]
+    assert [len(w) for w, _ in whole] == [len((t or "").encode().split()) for t in texts]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(ngram_join, "CHUNK", size)
+        assert [(h[of[i]:of[i + 1]].tolist(), int(n)) for _, h, of, node in N.chunks(pa.array(texts)) for i, n in enumerate(node)] == whole
