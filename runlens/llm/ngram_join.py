@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.joins import has_at_most
-from .common import table, written
+from .common import release, table, written
 from .components import components
 
 LEAST_FREQUENT, MOST_FREQUENT = 1, 4_000_000
@@ -261,6 +261,9 @@ def _over_sets(docs: DataFrame, text: str, size: int, make, schema: str, wanted=
                         out, room = [], 0
                 if out:
                     yield batch_of(out)
+        batch = h = of = nodes = out = None
+        _POWERS.clear()
+        release()
 
     return docs.select(F.col(text).alias("t")).where("t IS NOT NULL").mapInArrow(mapped, schema)
 
@@ -448,6 +451,9 @@ def nodes(docs: DataFrame, size: int, carry: list[Column], schema: str, text: st
                 n[first:first + len(found)] = [len(shingles(h[i:j], size)) for i, j in zip(of[:-1], of[1:], strict=True)]
             columns = [*b.columns[:-1], pa.array(ids, mask=n == 0), pa.array(n)]
             yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-1], "id", "n_shingles"])
+        b = columns = h = of = found = None
+        _POWERS.clear()
+        release()
 
     return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(rows, f"{schema}, id long, n_shingles long")
 

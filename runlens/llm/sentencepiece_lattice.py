@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table, written
+from .common import let, release, table, written
 
 MARK = "▁"
 MOST_WORDS = 200_000
@@ -297,6 +297,11 @@ class Coder:
         self.other = Memo(lambda w: pieces.packed(pieces.parts(w)), MEMO)
         self.runs = Memo(lambda r: self._by_words(MARK + r), MEMO)
 
+    def forget(self) -> None:
+        for memo in (self.other, self.runs):
+            memo.clear()
+            memo.older = {}
+
     def _by_words(self, marked: str) -> bytes:
         known, other = self.known, self.other
         return b"".join([known.get(w) or other[w] for w in self.pieces.words.findall(marked)])
@@ -336,6 +341,9 @@ def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, te
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
                 columns |= {"n_tokens": pa.array(sizes), "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()), "decoded_ok": pa.array(same, pa.bool_())}
                 yield pa.RecordBatch.from_pydict(columns)
+        whole = b = texts = packed = columns = None
+        coder.forget()
+        release()
 
     ids = "ids array<int>, " if with_ids else ""
     return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(coded, f"{schema}, {ids}n_tokens long, ids_sha256 string, decoded_ok boolean")
