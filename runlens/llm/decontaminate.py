@@ -8,11 +8,17 @@ all windows of the items meet those of all windows of the documents; around each
 the whole item is laid over the document on the hit's diagonal and the
 words that agree are counted, where a word off the diagonal by up to ``SHIFT``
 counts if a neighbour agrees at the same shift (a word was put in or left out).
-A document holds an item if the agreeing words are ``SHARE`` of it or more.
+The diagonals of a (text, item) are united: an item position counts if it agrees on
+any of them with most of the words beside it, so words put in anywhere between two
+hits lose nothing, and lone words that agree by chance on one of many diagonals add
+nothing.  A document holds an item if the agreeing words are ``SHARE`` of it or more,
+or if ``RUN`` of them lie within ``REACH`` neighbouring positions of the item, whatever
+its length.  A moved piece without a hit of its own (under ``SPAN`` words) counts only
+by ``SHIFT``.
 
 Plan: the document side is not exchanged.  Its seeds are made, probed against the
-broadcast benchmark seeds and verified inside one stage, and only verified
-(text key, item) rows leave it.  The benchmark side is broadcast if it has at most
+broadcast benchmark seeds and verified inside one stage, and only narrow rows
+(text key, item, agreeing positions), one per run of hits, leave it.  The benchmark side is broadcast if it has at most
 ``BROADCAST_SEEDS`` seeds, a count that is taken first; a larger one is
 joined by an exchange of narrow seed rows, and hits go back to the texts by key.
 
@@ -29,12 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import has_at_most, small_side
-from .common import table, written
+from .common import let, table, written
 
 SPAN, SHIFT = 9, 2
 #: The positions of a window that each mask keeps.
 MASKS = tuple(tuple(p for p in range(SPAN) if p % 3 != phase) for phase in range(3))
 SHARE = 60  # percent of the item's words
+RUN, REACH = 24, 30
+#: A position counts in the union if so many of the ``2 * BESIDE + 1`` around it agree on the diagonal.
+BESIDE, SUPPORT = 4, 5
 BROADCAST_SEEDS = 400_000
 BROADCAST_KEYS = 500_000
 _NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -59,7 +68,8 @@ def _windows(df: DataFrame, at: str) -> DataFrame:
 
 
 def _agreeing(doc: Column, item: Column, diagonal: Column) -> Column:
-    """How many of the item's words agree with the document's around the diagonal."""
+    """``n``, how many of the item's words agree with the document's around the
+    diagonal, and ``at``, the positions among them that agree with most words beside them."""
 
     def same(k: Column, shift: int) -> Column:
         return F.coalesce(F.get(doc, diagonal + k + shift) == F.get(item, k), F.lit(False))
@@ -70,26 +80,52 @@ def _agreeing(doc: Column, item: Column, diagonal: Column) -> Column:
             out = out | (same(k, s) & (same(k - 1, s) | same(k + 1, s)))
         return out
 
+    def counted(a: Column) -> Column:
+        def supported(k: Column) -> Column:
+            beside = sum((F.coalesce(F.get(a, k + j), F.lit(0)) for j in range(-BESIDE, BESIDE + 1)), F.lit(0))
+            return (F.get(a, k) == 1) & (beside >= SUPPORT)
+
+        n = F.aggregate(a, F.lit(0), lambda x, y: x + y)
+        return F.struct(n.alias("n"), F.filter(places, supported).alias("at"))
+
     places = F.sequence(F.lit(0), F.size(item) - 1)
-    return F.size(F.filter(places, near))
+    return let(F.transform(places, lambda k: near(k).cast("int")), counted)
+
+
+def _begins(doc: Column, item: Column, q: Column, p: Column) -> Column:
+    """Whether the windows just before do not hit: one row per run of hits on a diagonal is enough."""
+    same = [F.coalesce(F.get(doc, q - 1 + j) == F.get(item, p - 1 + j), F.lit(False)) for j in range(SPAN)]
+    before = F.lit(False)
+    for mask in MASKS:
+        every = F.lit(True)
+        for j in mask:
+            every = every & same[j]
+        before = before | every
+    return ~(before & (q > 0) & (p > 0))
 
 
 def _verified(hits: DataFrame) -> DataFrame:
-    """``key, item_id, matched, n_words`` of hits with ``key, _h, item_id, _b, diagonal``."""
-    m = hits.select("key", "item_id", _agreeing(F.col("_h"), F.col("_b"), F.col("diagonal")).alias("matched"), F.size("_b").alias("n_words"))
-    return m.where(F.col("matched") * 100 >= F.col("n_words") * SHARE).groupBy("key", "item_id", "n_words").agg(F.max("matched").alias("matched"))
+    """``key, item_id, matched, n_words`` of hits with ``key, _h, item_id, _k, _b, diagonal``."""
+    m = hits.select("key", "item_id", "_k", F.size("_b").alias("n_words"), _agreeing(F.col("_h"), F.col("_b"), F.col("diagonal")).alias("v"))
+    m = m.groupBy("key", "item_id", "_k", "n_words").agg(F.max("v.n").alias("most"), F.collect_set("v.at").alias("_at"))
+    m = m.withColumn("_at", F.sort_array(F.array_distinct(F.flatten("_at"))))
+    m = m.withColumn("matched", F.greatest("most", F.size("_at")))
+    close = F.exists(F.sequence(F.lit(0), F.size("_at") - RUN), lambda i: F.get("_at", i + RUN - 1) - F.get("_at", i) < REACH)
+    held = (F.col("matched") * 100 >= F.col("n_words") * SHARE) | F.when(F.size("_at") >= RUN, close).otherwise(F.lit(False))
+    return m.where(held).groupBy("key", "item_id", "n_words").agg(F.max("matched").alias("matched"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_SEEDS) -> DataFrame:
     """Verified overlaps by content: ``key, item_id, n_words, matched``."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("_h"))
     seeds = _windows(items, "_p").select("seed", "item_id", "_p").distinct()
-    items = items.where(F.size("_h") >= SPAN).select("item_id", F.col("_h").alias("_b"))
+    # rows of one item_id with other words are items of their own
+    items = items.where(F.size("_h") >= SPAN).select("item_id", F.xxhash64("_h").alias("_k"), F.col("_h").alias("_b")).distinct()
     texts = docs.select(content_key(F.col("text")).alias("key"), word_hashes(F.col("text")).alias("_h"))
     found = _windows(texts, "_q")
     if has_at_most(seeds, bound):
-        near = found.join(F.broadcast(seeds), "seed").withColumn("diagonal", F.col("_q") - F.col("_p"))
-        return _verified(near.join(F.broadcast(items), "item_id"))
+        near = found.join(F.broadcast(seeds), "seed").withColumn("diagonal", F.col("_q") - F.col("_p")).join(F.broadcast(items), "item_id")
+        return _verified(near.where(_begins(F.col("_h"), F.col("_b"), F.col("_q"), F.col("_p"))))
     # narrow rows only; the texts are met again by key
     near = (found.select("key", "seed", "_q").join(seeds, "seed")
             .select("key", "item_id", (F.col("_q") - F.col("_p")).alias("diagonal")).distinct())

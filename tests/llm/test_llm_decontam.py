@@ -67,6 +67,25 @@ def test_a_large_benchmark_gives_the_same(spark):
     assert pairs(D.leaks(docs, items, bound=0)) == leaks
 
 
+def test_diagonals_are_united_and_long_parts_count(spark):
+    w = lambda a, n: [f"w{a}x{k}" for k in range(n)]
+    item = {1: w(1, 38), 2: w(2, 59), 3: [*w(3, 9), *["the", "of"] * 20]}
+    docs = {
+        0: [*item[1][:19], "put", "in", "here", *item[1][19:]],  # halves on two diagonals
+        1: [*w(7, 30), *item[1][:13], *w(8, 40), *item[1][13:26], *w(9, 5), *item[1][26:]],
+        2: [*w(7, 5), *item[2][10:45], *w(8, 5)],  # 35 of 59 words
+        3: [*w(7, 5), *item[2][:20], *w(8, 5)],  # a third
+        4: [x for k in range(40) for x in [*item[3][:9], *["the", f"z{k}", f"y{k}", "of", f"v{k}"] * 2, *["a"] * (k % 5)]],  # lone words agree by chance
+        5: item[1][:19],
+    }
+    a = spark.createDataFrame([(d, " ".join(x)) for d, x in docs.items()], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in item.items()], "item_id long, text string")
+    for bound in (D.BROADCAST_SEEDS, 0):
+        got = {(r.doc_id, r.item_id): (r.matched, r.n_words) for r in D.leaks(a, b, bound).collect()}
+        assert got == {(0, 1): (38, 38), (1, 1): (38, 38), (2, 2): (35, 59)}
+    assert {r.doc_id for r in D.clean(a, b).collect()} == {3, 4, 5}
+
+
 def test_masks_tolerate_any_one_change():
     for changed in range(D.SPAN):
         assert any(changed not in m for m in D.MASKS)
