@@ -2,7 +2,9 @@
 
 ``measures`` computes length, symbol, stop-word and line measures of every whole
 text; ``RULES`` holds one row per limit, and ``assess`` compiles the rows into
-columns of the same projection.  No user function, join, exchange or aggregate:
+columns of the same projection.  ``RULES`` is the table of the registered query, whose
+SQL fixes it; ``keep``, the pipeline's stage, goes by ``KEEP_RULES``, which judges
+repeated lines by their share of the text.  No user function, join, exchange or aggregate:
 the work is one pass over the scan, so a hot source or a group of copies costs
 no more than other rows.
 
@@ -35,7 +37,7 @@ WINDOW = 5
 @dataclass(frozen=True)
 class Rule:
     """Fails a text when ``100 * measure`` is beyond ``percent * per``; texts with
-    fewer than ``from_words`` words are not judged by the rule."""
+    fewer than ``from_words`` words or ``from_lines`` lines are not judged by the rule."""
 
     name: str
     measure: str
@@ -44,6 +46,7 @@ class Rule:
     per: str  # a measure, or "one"
     base: bool = False
     from_words: int = 0
+    from_lines: int = 0
 
 
 RULES = (
@@ -56,6 +59,10 @@ RULES = (
     Rule("few_stop_words", "n_stop_words", "below", 1, "n_words", from_words=100),
 )
 
+#: One short line that stands twice among a few lines says nothing of a text: the characters decide, from four lines on.
+KEEP_RULES = tuple(
+    Rule("repeated_lines", "n_dup_line_chars", "above", 30, "n_line_chars", from_lines=4) if r.name == "repeated_lines" else r for r in RULES)
+
 
 def repeated_words(ws: Column, window: int = WINDOW) -> Column:
     """Words inside ``window``-word windows that occur twice or more in the text.
@@ -89,6 +96,7 @@ def repeated_words(ws: Column, window: int = WINDOW) -> Column:
 def measures(docs: DataFrame, text: str = "text") -> list[Column]:
     """Measure columns over ``_words``, ``_lines`` and ``_text``."""
     ws, lines, t = F.col("_words"), F.col("_lines"), F.col("_text")
+    chars = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
     stop = sorted({x for w in STOP_WORDS for x in (w, w.capitalize())})
     return [
         F.size(ws).cast("long").alias("n_words"),
@@ -97,6 +105,8 @@ def measures(docs: DataFrame, text: str = "text") -> list[Column]:
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeated_words(ws).cast("long").alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
+        chars(lines).alias("n_line_chars"),
+        (chars(lines) - chars(F.array_distinct(lines))).alias("n_dup_line_chars"),
         F.size(F.filter(ws, lambda w: w.isin(stop))).cast("long").alias("n_stop_words"),
     ]
 
@@ -108,7 +118,7 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> list[Column]:
         per = F.lit(1) if r.per == "one" else F.col(r.per)
         left, right = F.col(r.measure) * 100, per * r.percent
         beyond = left > right if r.side == "above" else left < right
-        return (beyond & (F.col("n_words") >= r.from_words)).alias(f"fails_{r.name}")
+        return (beyond & (F.col("n_words") >= r.from_words) & (F.col("n_lines") >= r.from_lines)).alias(f"fails_{r.name}")
 
     return [flag(r) for r in rules]
 
@@ -137,7 +147,7 @@ def assess(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tupl
     return _judged(docs, [F.col(key)], text, rules)
 
 
-def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = KEEP_RULES) -> DataFrame:
     """The documents that pass, with their own columns."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     return _judged(docs, [whole], text, rules).where("kept").select("_row.*")

@@ -52,3 +52,21 @@ def test_rules_table_is_what_decides(spark):
     lax = tuple(r for r in Q.RULES if r.name != "too_few_words")
     assert [r.kept for r in Q.assess(df).collect()] == [False]
     assert [r.kept for r in Q.assess(df, rules=lax).collect()] == [True]
+
+
+def test_clean_documents_with_a_repeated_short_line_stay(spark):
+    line = lambda a, n: " ".join(["the", *(f"w{a}x{k}" for k in range(n))])
+    texts = {
+        1: "\n".join([line(1, 4), line(1, 4), line(2, 100)]),  # 1 of 3 lines, few of the words
+        2: "\n".join([line(1, 3), line(1, 3), line(2, 40), line(1, 3), line(3, 40)]),
+        3: "\n".join([line(k // 2, 3) for k in range(40)]),  # half of the text twice
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rules = tuple(r for r in Q.KEEP_RULES if not r.base)
+    assert sorted(r.doc_id for r in Q.keep(df, rules=rules).collect()) == [1, 2]
+
+    sf = "/root/testdata/sf0.1"
+    clean = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id").distinct()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(clean, "doc_id", "left_semi")
+    base = {r.doc_id for r in Q.assess(docs).where("NOT base_failed").collect()}
+    assert {30, 3314, 3326} <= base and {r.doc_id for r in Q.keep(docs).collect()} == base
