@@ -1,3 +1,3 @@
 """Training-data operators: language id, sharding, token counts, subword encoding,
 secret and personal-data scans, near-duplicate joins, chat formatting, benchmark
-decontamination and quality rules.  Nothing else in the library imports this package."""
+decontamination, quality rules, periodic runs, embedding whitening and SimHash links.  Nothing else in the library imports this package."""

@@ -7,12 +7,15 @@ from . import (
     decontaminate,
     language_id,
     ngram_join,
+    period_runs,
     pii,
     quality_rules,
     secret_scan,
     sentencepiece_lattice,
     sharding,
+    simhash,
     token_counts,
+    whitening,
 )
 
 QUERIES = {
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_chat_format": chat_format.query,
     "op9_decontamination": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_period_runs": period_runs.query,
+    "op12_whitening": whitening.query,
+    "op13_simhash": simhash.query,
 }
 
 ORACLE = {

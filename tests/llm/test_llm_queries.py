@@ -18,6 +18,9 @@ COLUMNS = {
     "op8_chat_format": {"conv_id": "bigint", "n_turns": "bigint", "turns_sha256": "string", "loss_chars": "bigint", "loss_sha256": "string", "formatted_chars": "bigint"},
     "op9_decontamination": {"doc_id": "bigint", "item_id": "bigint", "matched": "bigint", "n_words": "bigint"},
     "op10_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op11_period_runs": {"doc_id": "bigint", "n_runs": "bigint", "start": "bigint", "length": "bigint", "period": "bigint", "exponent_milli": "bigint", "runs_sha256": "string", "collapsed_sha256": "string"},
+    "op12_whitening": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
+    "op13_simhash": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
 }
 
 
@@ -42,11 +45,11 @@ def test_query_matches_sql(spark, duck, name):
 def test_columns_and_rows(spark, name):
     df = E.queries()[name](spark, SF)
     assert COLUMNS[name].items() <= dict(df.dtypes).items()
-    n = {"op8_chat_format": lambda: spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count() + 1}
+    n = {"op12_whitening": lambda: 16 * spark.read.parquet(f"{SF}/embeddings.parquet").count(), "op8_chat_format": lambda: spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count() + 1}
     if name != "op9_decontamination":  # a row per document and item found
         assert df.count() == n.get(name, lambda: spark.read.parquet(f"{SF}/documents.parquet").count())()
 
 
 def test_all_are_registered():
     assert set(catalog.QUERIES) | {"pipeline"} <= set(E.queries())
-    assert sorted(int(k[2:].split("_")[0]) for k in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in catalog.QUERIES) == list(range(1, 14))
