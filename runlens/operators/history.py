@@ -6,11 +6,11 @@ Inputs:
 * ``generations`` (run_id, gen, accuracy DOUBLE[, success BOOLEAN])
 * ``metrics``     long rows (run_id, gen, key, num DOUBLE[, str STRING, kind STRING])
 
-Windows here are partitioned by run: a run is a sequential loop bounded by
-its configured maximum generations, so a window group is bounded by
-construction (the data that grows -- answers, turns, tokens -- is keyed by
-question and never windowed whole).  Each operator keeps the run partitioning
-from its first exchange to its output: window, then aggregate, no self-joins.
+A run may hold any share of all rows, so nothing here sorts a run in one task: running and
+previous values are segmented scans (``segments``), best and last generations are grouped
+aggregates combined before their exchange, and ranks are distributed row numbers.  The
+operators that scan take a table or ``Segments`` of the run in the order of ``gen``, so
+several of them can share one cut.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import parse_percent
+from .segments import Segments, plain, segments
+from .sequence import ordinal
 
 RUN = ["run_id"]
 
@@ -40,9 +42,9 @@ def metric_value(df: DataFrame) -> Column:
     return num
 
 
-def run_summary(generations: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+def run_summary(generations: DataFrame | Segments, runs: DataFrame | None = None) -> DataFrame:
     """Generation count and best accuracy (NULLs ignored) per run."""
-    agg = generations.groupBy(*RUN).agg(
+    agg = plain(generations).groupBy(*RUN).agg(
         F.count(F.lit(1)).cast("bigint").alias("num_generations"),
         F.max("accuracy").alias("best_accuracy"),
     )
@@ -56,62 +58,74 @@ def runs_newest_first(summary: DataFrame) -> DataFrame:
     return summary.orderBy(F.col("run_id").desc())
 
 
-def run_finals(generations: DataFrame, run: list[str] | None = None) -> DataFrame:
+def run_finals(generations: DataFrame | Segments, run: list[str] | None = None) -> DataFrame:
     """Totals, best generation (strict > so the earliest tie wins), first to
     last accuracy change.  Generations without a metric never become "best".
 
-    One exchange: the run's best accuracy is a window over the run, and the
-    aggregate that follows reuses the run partitioning (hash aggregate only).
+    Rows are first summed by (run, accuracy), which spreads a hot run, then by run: an accuracy
+    is then one row of its run, so ``max_by`` meets no ties.  Hash aggregates only, both
+    combined before their exchange.
     """
+    generations = plain(generations)
     success = F.coalesce(F.col("success"), F.lit(True)) if "success" in generations.columns else F.lit(True)
-    acc = F.col("accuracy")
     run = run or RUN
-    g = generations.withColumn("_best", F.max(acc).over(Window.partitionBy(*run)))
-    return g.groupBy(*run).agg(
-        F.count(F.lit(1)).cast("bigint").alias("total_generations"),
-        F.count_if(success).cast("bigint").alias("successful_generations"),
-        F.min("gen").alias("first_gen"),
-        F.max("gen").alias("last_gen"),
-        F.min(F.when(acc == F.col("_best"), F.col("gen"))).alias("best_gen"),
+    by_value = generations.groupBy(*run, "accuracy").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(success).alias("_ok"), F.min("gen").alias("_from"), F.max("gen").alias("_to"))
+    acc = F.col("accuracy")
+    return by_value.groupBy(*run).agg(
+        F.sum("_n").cast("bigint").alias("total_generations"),
+        F.sum("_ok").cast("bigint").alias("successful_generations"),
+        F.min("_from").alias("first_gen"),
+        F.max("_to").alias("last_gen"),
+        F.max_by("_from", acc).alias("best_gen"),
         F.max(acc).alias("best_accuracy"),
-        F.min_by(acc, "gen").alias("first_accuracy"),
-        F.max_by(acc, "gen").alias("last_accuracy"),
+        F.min_by(acc, "_from").alias("first_accuracy"),
+        F.max_by(acc, "_to").alias("last_accuracy"),
     ).withColumn("accuracy_gain", _r(F.col("last_accuracy") - F.col("first_accuracy")))
 
 
-def accuracy_series(generations: DataFrame) -> DataFrame:
+def accuracy_series(generations: DataFrame | Segments) -> DataFrame:
     """(gen, accuracy) points per run and the chart's upper bound
-    ``max(50, max accuracy of the run)`` (a window over the run's generations)."""
-    top = F.max("accuracy").over(Window.partitionBy(*RUN))
-    bound = F.greatest(F.lit(C.ACCURACY_AXIS_FLOOR), F.coalesce(top, F.lit(C.ACCURACY_AXIS_FLOOR)))
-    return generations.select(*RUN, "gen", "accuracy", bound.alias("y_max"))
-
-
-def best_so_far(generations: DataFrame) -> DataFrame:
+    ``max(50, max accuracy of the run)`` (an aggregate joined back; the points of a hot run
+    are on the side that Spark may split)."""
+    generations = plain(generations)
+    top = generations.groupBy(*[F.col(c).alias(f"_{c}") for c in RUN]).agg(F.max("accuracy").alias("_top"))
+    same = F.lit(True)
+    for c in RUN:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    bound = F.greatest(F.lit(C.ACCURACY_AXIS_FLOOR), F.coalesce(F.col("_top"), F.lit(C.ACCURACY_AXIS_FLOOR)))
+    return generations.join(top, same).select(*RUN, "gen", "accuracy", bound.alias("y_max"))
+
+
+def best_so_far(generations: DataFrame | Segments) -> DataFrame:
     """Running best accuracy along a run."""
-    w = Window.partitionBy(*RUN).orderBy("gen").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return generations.select(*RUN, "gen", "accuracy", F.max("accuracy").over(w).alias("best_so_far"))
+    cut = segments(generations, RUN, ["gen"]).derive(lambda g: g.select(*RUN, "gen", "accuracy", "_pid", "_loc"))
+    return cut.scan(best={"best_so_far": "accuracy"})
 
 
-def latest_generation(generations: DataFrame) -> DataFrame:
-    """T-5: the latest generation of each run (the default selection)."""
-    w = Window.partitionBy(*RUN).orderBy(F.col("gen").desc())
-    return generations.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+def latest_generation(generations: DataFrame | Segments) -> DataFrame:
+    """T-5: the latest generation of each run (the default selection).  Of several
+    with the run's last index (T27), the first by its other columns."""
+    rows = plain(generations)
+    last = rows.groupBy(*RUN).agg(F.max("gen").alias("gen"))
+    rest = [c for c in rows.columns if c not in (*RUN, "gen")]
+    ties = Window.partitionBy(*RUN, "gen").orderBy(*(rest or ["gen"]))
+    return rows.join(last, [*RUN, "gen"], "left_semi").withColumn("_rn", F.row_number().over(ties)) \
+        .where(F.col("_rn") == 1).drop("_rn")
 
 
-def _paired(metrics: DataFrame, run: list[str] | None = None) -> DataFrame:
+def _paired(metrics: DataFrame | Segments, run: list[str] | None = None) -> DataFrame:
     """Each metric row in two roles -- "current" at its generation and
     "previous" at the run's next generation -- grouped per (run, gen, key).
 
-    The next generation is a RANGE window (the smallest gen above this one);
-    the first generation of a run takes no role as current.  Every step keeps
-    the run partitioning: one exchange in total, no self-join.
+    The next generation (the smallest gen above this one) and the run's first come from one
+    segmented scan; the first generation of a run takes no role as current.  The grouping
+    spreads a run over its generations; no self-join.
     """
     RUN_ = run or RUN
-    vals = metrics.select(*RUN_, "gen", "key", metric_value(metrics).alias("value"))
-    by_run = Window.partitionBy(*RUN_)
-    nxt = F.min("gen").over(by_run.orderBy("gen").rangeBetween(1, Window.unboundedFollowing))
-    v = vals.select("*", nxt.alias("next_gen"), F.min("gen").over(by_run).alias("first_gen"))
+    value = metric_value(metrics.rows if isinstance(metrics, Segments) else metrics)
+    cut = segments(metrics, RUN_, ["gen"]).derive(lambda m: m.select(*RUN_, "gen", "key", value.alias("value"), "_pid", "_loc"))
+    v = cut.scan(following={"next_gen": "gen"}, first={"first_gen": "gen"})
     roles = F.array(
         F.struct(F.col("gen").alias("at"), F.lit(True).alias("cur"), F.col("value").alias("v"),
                  F.lit(None).cast(v.schema["gen"].dataType).alias("pg")),
@@ -129,7 +143,7 @@ def _paired(metrics: DataFrame, run: list[str] | None = None) -> DataFrame:
     )
 
 
-def metric_deltas(metrics: DataFrame, run: list[str] | None = None) -> DataFrame:
+def metric_deltas(metrics: DataFrame | Segments, run: list[str] | None = None) -> DataFrame:
     """Per key present in a generation *and* the immediately previous one,
     ``current - previous`` when both are numeric."""
     p = _paired(metrics, run)
@@ -139,7 +153,7 @@ def metric_deltas(metrics: DataFrame, run: list[str] | None = None) -> DataFrame
         _r(F.col("curr_value") - F.col("prev_value")).alias("delta"))
 
 
-def metric_comparison(metrics: DataFrame, run: list[str] | None = None) -> DataFrame:
+def metric_comparison(metrics: DataFrame | Segments, run: list[str] | None = None) -> DataFrame:
     """W2 + U1: every key of a generation or its predecessor; values missing on
     one side are NULL with a presence flag; delta only when both are numeric."""
     p = _paired(metrics, run)
@@ -147,14 +161,13 @@ def metric_comparison(metrics: DataFrame, run: list[str] | None = None) -> DataF
                     _r(F.col("curr_value") - F.col("prev_value")).alias("delta"))
 
 
-def code_growth(versions: DataFrame, run: list[str] | None = None) -> DataFrame:
+def code_growth(versions: DataFrame | Segments, run: list[str] | None = None) -> DataFrame:
     """W3 (+P15 on the input): bytes percent change and line delta to the
     previous generation; a zero previous size gives NULL, not an error."""
     run = run or RUN
-    w = Window.partitionBy(*run).orderBy("gen")
-    prev_size = F.lag("size").over(w)
-    prev_lines = F.lag("lines").over(w)
-    return versions.select(
+    cut = segments(versions, run, ["gen"]).derive(lambda v: v.select(*run, "gen", "size", "lines", "_pid", "_loc"))
+    prev_size, prev_lines = F.col("_prev_size"), F.col("_prev_lines")
+    return cut.scan(previous={"_prev_size": "size", "_prev_lines": "lines"}).select(
         *run, "gen", "size", "lines",
         _r(F.try_divide((F.col("size") - prev_size) * 100.0, prev_size.cast("double"))).alias("size_pct"),
         (F.col("lines") - prev_lines).alias("lines_delta"),
@@ -175,6 +188,6 @@ def resolve_metrics(*sources: DataFrame) -> DataFrame:
 def leaderboard(summary: DataFrame, metric: str = "accuracy", partition: list[str] | None = None) -> DataFrame:
     """T-6: every generation of every run with its score and rank within the run
     (best first, earliest generation on ties)."""
-    part = partition or RUN
-    w = Window.partitionBy(*part).orderBy(F.col(metric).desc_nulls_last(), F.col("gen").asc())
-    return summary.withColumn("rank_in_run", F.row_number().over(w))
+    order = [F.col(metric).desc_nulls_last(), F.col("gen").asc()]
+    names = [F.col(c).asc() for c in summary.columns if c in ("run_name", "gen_name")]  # T27: indexes may be shared
+    return ordinal(summary, partition or RUN, order + names, "rank_in_run")

@@ -1,54 +1,23 @@
-"""Skew-safe row numbering within groups (the distributed ``row_number``).
+"""Numbering and choosing rows within groups without one task per group.
 
-``row_number() OVER (PARTITION BY g ORDER BY o)`` sorts a whole group in one
-task; a group holding a third of the rows becomes a third of the job on one
-core.  ``ordinal`` instead:
-
-1. range-partitions on ``(g, o)`` with an explicit partition count, so a hot
-   group is split across partitions by sampled bounds (AQE keeps the count);
-2. sorts within partitions and takes each row's position inside its partition
-   from ``monotonically_increasing_id`` (partition id in the high bits, local
-   index in the low 33);
-3. counts rows per (group, partition) -- at most #groups + #partitions rows --
-   and turns the counts into offsets with a window over one group's segments
-   (a group spans at most every partition, so that window is bounded);
-4. joins the offsets back on (group, partition).
-
-Steps 3 and 4 read the rows of step 2 twice.  Two reads of a sampled range
-exchange are not guaranteed to split rows the same way (each read may plan its
-own exchange with its own sample), so the numbered rows are written once with
-``checkpoint()`` to the cluster's shared checkpoint folder: both reads then see
-the same partition ids, and a lost executor re-reads files instead of
-re-sampling.  ``order`` must be a total order within a group (add a unique
-tie-break).
+``ordinal`` is ``row_number() OVER (PARTITION BY g ORDER BY o)`` as a segmented scan
+(``segments``): a group that holds a third of the rows is numbered by a third of the
+tasks.  ``top_k_per_group`` ranks in two salted stages; ``first_per_group`` is for groups
+that are small by nature.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
-LOCAL_BITS = 33
+from .segments import Segments
 
 
-def ordinal(df: DataFrame, group: list[str], order: list[str], name: str = "ordinal",
+def ordinal(df: DataFrame, group: list[str], order: list[str | Column], name: str = "ordinal",
             partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    s = df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order) \
-        .withColumn("_mid", F.monotonically_increasing_id())
-    s = s.withColumn("_pid", F.shiftright("_mid", LOCAL_BITS)) \
-        .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << LOCAL_BITS) - 1)))
-    ensure_checkpoint_dir(spark)
-    s = s.checkpoint(eager=True)
-    seg = s.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_first"))
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.select(*group, "_pid", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = s.join(seg, group + ["_pid"])
-    pos = (F.col("_off") + F.col("_loc") - F.col("_first") + 1).cast("bigint")
-    return out.withColumn(name, pos).drop("_mid", "_pid", "_loc", "_first", "_off")
+    """``df`` with each row's number in its group; ``order`` is a total order within one."""
+    return Segments.of(df, group, order, partitions).scan(number=name)
 
 
 def first_per_group(df: DataFrame, group: list[str], order: list) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.solution import extract_solution, solution_from_json
-from ..operators.sequence import ordinal
+from ..operators.segments import PID, LOC, Segments
 
 N_RUNS = 5        # runs answering every multiple-choice question
 N_GENS = 4        # generations per run
@@ -166,30 +166,38 @@ def b_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("item_id").alias("pos"), F.col("text").alias("label"))
 
 
-def b_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as generations: run = user, gen = event order within the user.
-
-    Numbered with the skew-safe ordinal (range partitioning + per-segment
-    offsets): a user holding a large share of all events is spread over many
-    tasks instead of being sorted in one.
-    """
+def b_history(spark: SparkSession, sf_dir: str) -> Segments:
+    """Events as generations in segments of their run: run = user, gen = event order
+    within the user (a distributed row number, so a user holding a large share of all
+    events is spread over many tasks)."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    numbered = ordinal(ev, ["user_id"], ["ts", "event_id"], name="gen")
-    return numbered.select(
-        F.col("user_id").alias("run_id"),
-        F.col("gen").cast("bigint").alias("gen"),
-        "event_id", "ts", "event_type",
+    runs = ev.withColumnRenamed("user_id", "run_id")
+    return Segments.of(runs, ["run_id"], ["ts", "event_id"]).numbered("gen").derive(lambda e: e.select(
+        "run_id", "gen", "event_id", "ts", "event_type",
         F.col("value").alias("accuracy"),
-        (F.col("event_type") != "error").alias("success"),
-    )
+        (F.col("event_type") != "error").alias("success"), PID, LOC,
+    ))
+
+
+def b_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generations of ``b_history`` as a table."""
+    return b_history(spark, sf_dir).df
+
+
+def _metric_pairs():
+    return F.inline(F.array(F.struct(F.lit("accuracy").alias("key"), F.col("accuracy").alias("num")),
+                            F.struct(F.col("event_type").alias("key"), F.col("accuracy").alias("num"))))
 
 
 def b_metrics(spark: SparkSession, sf_dir: str, gens: DataFrame | None = None) -> DataFrame:
     """Long metrics: ('accuracy', value) for every generation and (event_type, value)."""
     g = gens if gens is not None else b_generations(spark, sf_dir)
-    pairs = F.array(F.struct(F.lit("accuracy").alias("key"), F.col("accuracy").alias("num")),
-                    F.struct(F.col("event_type").alias("key"), F.col("accuracy").alias("num")))
-    return g.select("run_id", "gen", F.inline(pairs))
+    return g.select("run_id", "gen", _metric_pairs())
+
+
+def b_metric_history(spark: SparkSession, sf_dir: str) -> Segments:
+    """The same in the segments of the generations."""
+    return b_history(spark, sf_dir).derive(lambda g: g.select("run_id", "gen", _metric_pairs(), PID, LOC))
 
 
 def b_log_lines(spark: SparkSession, sf_dir: str, gens: DataFrame | None = None) -> DataFrame:

@@ -76,7 +76,7 @@ SELECT run_id, gen, accuracy,
 FROM gens
 """)
 def best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.best_so_far(B.b_generations(spark, sf_dir))
+    return H.best_so_far(B.b_history(spark, sf_dir))
 
 
 @register("latest_generation", f"""
@@ -96,7 +96,7 @@ FROM mv c JOIN mv p ON c.run_id = p.run_id AND c.rank = p.rank + 1 AND c.key = p
 WHERE c.num IS NOT NULL AND p.num IS NOT NULL
 """)
 def metric_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.metric_deltas(B.b_metrics(spark, sf_dir))
+    return H.metric_deltas(B.b_metric_history(spark, sf_dir))
 
 
 @register("metric_comparison", f"""
@@ -112,7 +112,7 @@ SELECT fo.run_id, r.gen, fo.key, fo.prev_value, fo.curr_value, fo.in_prev, fo.in
 FROM fo JOIN ranks r ON fo.run_id = r.run_id AND fo.rank = r.rank WHERE r.rank > 1
 """)
 def metric_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.metric_comparison(B.b_metrics(spark, sf_dir))
+    return H.metric_comparison(B.b_metric_history(spark, sf_dir))
 
 
 def _cents_text(col: str) -> str:

@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from .. import config as C
 from ..functions.json import accuracy_percent, strict_json
 from ..functions.logs import log_metrics_struct
+from ..operators.segments import Segments
 from ..sources.tree import BINARY_FILE_SCHEMA, _layout
 
 # Directory names are the keys (T27); the indexes ride along.
@@ -122,13 +123,12 @@ def history_sink(table_path: str):
 
 def read_history(spark: SparkSession, table_path: str) -> DataFrame:
     """The appended history: each generation with its delta to the previous
-    generation of the run and the running best (windows over one run's rows)."""
-    from pyspark.sql import Window
-
+    generation of the run and the running best (one segmented scan, so a run of any length
+    is spread over tasks)."""
     h = spark.read.parquet(table_path).drop("batch")
-    run = [c for c in RUN if c in h.columns]
-    w = Window.partitionBy(*run).orderBy("gen")
-    prev = F.lag("accuracy").over(w)
-    best = F.max("accuracy").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return h.select(*[c for c in GEN if c in h.columns], "accuracy", prev.alias("prev_accuracy"),
-                    F.round(F.col("accuracy") - prev, 6).alias("delta"), best.alias("best_so_far"))
+    keys = [c for c in GEN if c in h.columns]
+    run = [c for c in RUN if c in keys]
+    names = [c for c in keys if c == "gen_name"]  # T27: indexes may be shared
+    scanned = Segments.of(h.select(*keys, "accuracy"), run, ["gen", *names]).scan(
+        previous={"prev_accuracy": "accuracy"}, best={"best_so_far": "accuracy"})
+    return scanned.select(*keys, "accuracy", "prev_accuracy", F.round(F.col("accuracy") - F.col("prev_accuracy"), 6).alias("delta"), "best_so_far")
