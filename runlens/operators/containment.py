@@ -1,18 +1,19 @@
 """Containment join: the first class, in list order, contained in a text.
 
 A nested-loop ``contains(text, class)`` join touches every (text, class) pair.
-This operator is an exact k-gram index join instead:
-
-* every non-empty class has length ``>= m``; with gram length ``k = min(m, 8)``
-  and stride ``S = min(16, m - k + 1)``, any occurrence of a class covers some
-  text window starting at ``1 + j*S`` whose ``k`` characters equal the class
-  gram at offset ``o = window - start`` (``0 <= o < S``);
-* texts emit one row per stride window (``len/S`` rows, never a copy of the
-  text), carrying only a context slice long enough to verify any class that
-  window can anchor (``S - 1 + M`` characters, ``M`` the longest class);
-* classes emit ``S`` anchor grams each; windows join anchors on the gram
-  (broadcast when the anchor table passes the size check, a shuffle join
-  otherwise), and each candidate is verified exactly on its context slice.
+This operator is an exact k-gram index join instead, in which no text is exchanged:
+
+* every non-empty class has length ``>= m``; with gram length ``k = min(m, 16)`` and
+  stride ``S <= m - k + 1``, any occurrence of a class covers some text window starting
+  at ``1 + j*S`` whose ``k`` characters equal the class gram at offset
+  ``o = window - start`` (``0 <= o < S``);
+* a text is cut once into chunks of ``S`` characters (a linear scan) and its windows'
+  gram hashes are looked up in the anchors, ``S`` gram hashes a class, without leaving its
+  task: anchors and class texts are broadcast, both bounded in bytes (``S`` shrinks until
+  the anchors fit).  A candidate is verified on the few chunks that its class covers, which
+  are still at hand, so only ``(key, pass, position)`` leaves the task;
+* where the class texts are beyond the bound, positional postings (text key, gram hash)
+  are joined to the anchors, and only the texts with a candidate are met again.
 
 Work is linear in total text length; hot grams only add candidates, which the
 verification discards.  Empty classes match every text and are handled as a
@@ -31,10 +32,12 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import py_strip
-from .joins import DEFAULT_BROADCAST_ROWS
 
-MAX_GRAM = 8
+MAX_GRAM = 16
 MAX_STRIDE = 64
+#: Bytes of class texts, and of anchors, that are broadcast.
+MAX_BYTES = 64 << 20
+ANCHOR_BYTES = 64       # of one anchor in a hashed relation
 
 
 def clean_text(text: Column) -> Column:
@@ -51,14 +54,14 @@ def clean_class(label: Column) -> Column:
 
 
 def class_stats(patterns: DataFrame) -> dict:
-    """One small aggregate over the class patterns: shortest and longest
-    non-empty length, row count, empty-pattern presence and the first class."""
+    """One small aggregate over the class patterns: shortest non-empty
+    length, row count, bytes, empty-pattern presence and the first class."""
     n = F.length("pattern")
     p1 = F.col("pass") == 1
     row = patterns.agg(
         F.min(F.when(n > 0, n)).alias("m"),
-        F.max(n).alias("M"),
         F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(F.octet_length("pattern") + F.lit(64)), F.lit(0)).alias("bytes"),
         F.count_if(n == 0).alias("empty"),
         F.min_by(F.when(p1, F.col("pattern")), F.when(p1, F.col("pos"))).alias("first_label"),
         F.min(F.when(p1, F.col("pos"))).alias("first_pos"),
@@ -66,55 +69,61 @@ def class_stats(patterns: DataFrame) -> dict:
     return row.asDict()
 
 
+def grams(stats: dict, max_bytes: int) -> tuple[int, int]:
+    """Gram length and stride: the longest stride whose anchors stay within the bound."""
+    k = min(stats["m"], MAX_GRAM)
+    most = max(1, max_bytes // (ANCHOR_BYTES * max(stats["rows"], 1)))
+    return k, max(1, min(MAX_STRIDE, stats["m"] - k + 1, most))
+
+
+def _anchors(classes: DataFrame, k: int, stride: int) -> DataFrame:
+    """``h, pass, pos, o``: hashes of each class's grams at the offsets below the stride."""
+    at = classes.where(F.length("pattern") > 0).select("pass", "pos", "pattern", F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("o"))
+    return at.select(F.xxhash64(F.col("pattern").substr(F.col("o") + 1, F.lit(k))).alias("h"), "pass", "pos", "o")
+
+
+def _windows(texts: DataFrame, keys: list[str], k: int, stride: int) -> DataFrame:
+    """``keys, passes, c, j, h``: the gram hash of each window ``j``, beside the text's chunks ``c``."""
+    chunks = F.regexp_extract_all(F.col("t"), F.lit("(?s).{1,%d}" % stride), 0)
+    cut = texts.where(F.length("t") >= k).select(*keys, "passes", chunks.alias("c"))
+    whole = F.col("chunk") if k <= stride else F.array_join(F.slice("c", F.col("j") + 1, -(-k // stride)), "")
+    # outer: no text here is without chunks, and no filter on their number is inferred that would cut them twice
+    each = cut.select(*keys, "passes", "c", F.posexplode_outer("c").alias("j", "chunk"))
+    return each.select(*keys, "passes", "c", "j", F.xxhash64(F.substring(whole, 1, k)).alias("h"))
+
+
 def contains_first(texts: DataFrame, classes: DataFrame, keys: list[str], stats: dict | None = None,
-                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   max_bytes: int | None = None) -> DataFrame:
     """For each text row, the best (pass, pos) of a class contained in it.
 
-    ``texts``: keys + ``variant`` + ``passes`` (array<int>) + ``t`` -- one row per
-    distinct text variant of a key; ``classes``: ``pass``, ``pos``, ``pattern``.
+    ``texts``: keys + ``passes`` (array<int>) + ``t`` -- one row per distinct text variant
+    of a key, whose passes do not meet; ``classes``: ``pass``, ``pos``, ``pattern``.
     Returns keys + ``best`` (struct<pass, pos>) for texts with any match.
     """
     stats = stats or class_stats(classes)
-    m, M = stats["m"] or 0, stats["M"] or 0
+    max_bytes = MAX_BYTES if max_bytes is None else max_bytes
     empty = classes.where(F.length("pattern") == 0).groupBy("pass").agg(F.min("pos").alias("pos"))
     parts = []
-    if m > 0:
-        k = min(m, MAX_GRAM)
-        stride = max(1, min(MAX_STRIDE, m - k + 1))
-        ctx_len = stride - 1 + M
-        anchors = classes.where(F.length("pattern") > 0).select(
-            "pass", "pos", "pattern", F.explode(F.sequence(F.lit(0), F.lit(stride - 1))).alias("o")
-        ).select("pass", "pos", "pattern", "o", F.col("pattern").substr(F.col("o") + 1, F.lit(k)).alias("gram"))
-        # Cut each text once into stride-sized chunks (a linear scan); grams and
-        # context slices are then built from a few neighbouring chunks, so no
-        # step indexes into the long text by character position.
-        chunks = F.regexp_extract_all(F.col("t"), F.lit("(?s).{1,%d}" % stride), 0)
-        n_windows = F.floor((F.length("t") - k) / stride)
-        gram_chunks = -(-k // stride)
-        ctx_chunks = 1 + -(-(stride + M) // stride)
-
-        def window(j):
-            q = j * stride + 1
-            prev = F.greatest(F.lit(0), j - 1)
-            return F.struct(
-                q.alias("q"),
-                F.substring(F.array_join(F.slice("c", j + 1, gram_chunks), ""), 1, k).alias("gram"),
-                (prev * stride + 1).alias("cs"),
-                F.array_join(F.slice("c", prev + 1, ctx_chunks), "").alias("ctx"),
-            )
-
-        win = texts.where(F.length("t") >= k).select(*keys, "passes", chunks.alias("c"), n_windows.alias("nw")) \
-            .select(*keys, "passes", F.explode(F.transform(F.sequence(F.lit(0), F.col("nw").cast("int")), window))
-                    .alias("w")) \
-            .select(*keys, "passes", "w.*")
-        # The anchor table has exactly rows * stride rows: its size is known.
-        fits = stats["rows"] * stride <= max_broadcast_rows
-        cand = win.join(F.broadcast(anchors) if fits else anchors, ["gram"], "inner")
-        start = F.col("q") - F.col("o")
-        hit = F.array_contains("passes", F.col("pass")) & (start >= 1) & (
-            F.col("ctx").substr(start - F.col("cs") + 1, F.length("pattern")) == F.col("pattern")
-        )
-        parts.append(cand.where(hit).select(*keys, "pass", "pos"))
+    if stats["m"]:
+        k, stride = grams(stats, max_bytes)
+        anchors, windows = _anchors(classes, k, stride), _windows(texts, keys, k, stride)
+        of_pass = F.array_contains("passes", F.col("pass"))
+        patterns = classes.where(F.length("pattern") > 0).select(F.col("pass").alias("_pass"), F.col("pos").alias("_pos"), "pattern")
+        same = (F.col("pass") == F.col("_pass")) & (F.col("pos") == F.col("_pos"))
+        if stats["bytes"] <= max_bytes and stats["rows"] * stride * ANCHOR_BYTES <= max_bytes:
+            found = windows.join(F.broadcast(anchors), "h").where(of_pass)
+            start = F.col("j") * stride - F.col("o")          # of the class, from 0
+            head = F.floor(start / stride).cast("int")        # its chunk
+            size = F.length("pattern")
+            span = F.array_join(F.slice("c", F.greatest(head, F.lit(0)) + 1, (size / stride).cast("int") + 2), "")
+            hit = (start >= 0) & (F.substring(span, (start - head * stride + 1).cast("int"), size) == F.col("pattern"))
+            hits = found.join(F.broadcast(patterns), same & hit)
+        else:
+            found = windows.drop("c").join(anchors, "h").where(of_pass).select(*keys, "pass", "pos").distinct()
+            met = found.join(patterns, same).drop("_pass", "_pos")
+            bodies = texts.select(*keys, "t", F.explode("passes").alias("pass"))
+            hits = bodies.join(met, [*keys, "pass"]).where(F.col("t").contains(F.col("pattern")))
+        parts.append(hits.select(*keys, "pass", "pos"))
     if stats["empty"]:
         parts.append(
             texts.select(*keys, F.explode("passes").alias("pass")).join(F.broadcast(empty), "pass")
@@ -157,7 +166,7 @@ def extract_label(texts: DataFrame, classes: DataFrame, keys: list[str], text_co
     )
     stats = class_stats(patterns)
     best = contains_first(variants, patterns, keys, stats)
-    lookup = F.broadcast(cls) if stats["rows"] <= DEFAULT_BROADCAST_ROWS else cls
+    lookup = F.broadcast(cls) if stats["bytes"] <= MAX_BYTES else cls
     labels = best.select(*keys, "best.pass", "best.pos").join(lookup, "pos", "left")
     out = texts.select(*keys).join(labels, keys, "left")
     # Texts without a match take the first class of the list (one known value).
