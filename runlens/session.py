@@ -31,6 +31,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.driver.memory", os.environ.get("RUNLENS_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
@@ -42,11 +44,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
-    On a cluster the folder is set by the deployment (a shared filesystem);
-    it is only filled in here when unset, which happens in local tests.
+    On a cluster the folder is set by the deployment (a shared filesystem); where it is
+    unset there, this is an error, since other machines could not read a local folder.
+    Only a local master (tests, the bench) gets a folder of its own.
     """
     current = spark.conf.get(CHECKPOINT_CONF, None)
     if not current:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="runlens-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, current)
     try:

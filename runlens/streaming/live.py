@@ -8,18 +8,16 @@ and checkpoints live under the session's shared ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import config as C
 from ..functions.json import accuracy_percent, strict_json
 from ..functions.logs import log_metrics_struct
 from ..operators.segments import Segments
 from ..sources.tree import BINARY_FILE_SCHEMA, _layout
+from .history import HistoryTable
+from .processors import BOARD_OUTPUT, STOP_OUTPUT, EarlyStop, Leaderboard, needs_disk_state
 
 # Directory names are the keys (T27); the indexes ride along.
 GEN = ["run_name", "run_id", "gen_name", "gen"]
@@ -47,13 +45,15 @@ def evaluated_generations(stream: DataFrame) -> DataFrame:
 def live_leaderboard(generations: DataFrame) -> DataFrame:
     """ST1: per run, evaluated generations and best accuracy, kept current.
 
-    Re-delivered files do not inflate the count: generations are counted as a
-    set per run (bounded by the run's maximum generations).
+    A generation's accuracy is that of its result file of first priority (S4), so the
+    stream agrees with the batch summary (A6) in whatever order files arrive or arrive
+    again.  (The file source gives a path once: a file rewritten in place is not seen again.)
+    Each batch gives a row per run that had files; the one of greatest ``version`` is current.
     """
-    return generations.groupBy(*RUN).agg(
-        F.size(F.collect_set("gen_name")).cast("bigint").alias("num_generations"),
-        F.max("accuracy").alias("best_accuracy"),
-    )
+    needs_disk_state(generations.sparkSession)
+    rank = F.array_position(F.array(*(F.lit(n) for n in C.EVAL_RESULT_NAMES)), F.col("rel_path")).cast("int")
+    rows = generations.select(*RUN, "gen_name", rank.alias("file_rank"), "mtime", "accuracy")
+    return rows.groupBy(*RUN).transformWithState(Leaderboard(), BOARD_OUTPUT, "Update", "None")
 
 
 def log_metric_stream(spark: SparkSession, logs_dir: str) -> DataFrame:
@@ -67,56 +67,21 @@ def log_metric_stream(spark: SparkSession, logs_dir: str) -> DataFrame:
     return m.select("path", "line", "m.*").where(any_metric)
 
 
-STOP_STATE = "stop_gen int"
-STOP_OUTPUT = "run_name string, run_id int, gen int, name string, status string"
-
-
-def _early_stop(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """ST3 state machine of one run: a COMPLETED marker in gen g stops the run
-    after g-1; files of generations >= g seen afterwards are ``after_stop``."""
-    stop = state.get[0] if state.exists else None
-    batch = pd.concat(list(pdfs), ignore_index=True)
-    batch = batch.assign(_m=(batch["name"] == C.COMPLETED_MARKER).astype(int)).sort_values(
-        ["_m", "gen"], ascending=[False, True])
-    out = []
-    for row in batch.itertuples(index=False):
-        if row.name == C.COMPLETED_MARKER:
-            stop = row.gen if stop is None else min(stop, row.gen)
-            out.append((key[0], key[1], row.gen, row.name, "stop"))
-        elif stop is not None and row.gen >= stop:
-            out.append((key[0], key[1], row.gen, row.name, "after_stop"))
-        else:
-            out.append((key[0], key[1], row.gen, row.name, "ok"))
-    if stop is not None:
-        state.update((int(stop),))
-    yield pd.DataFrame(out, columns=["run_name", "run_id", "gen", "name", "status"])
-
-
-def early_stop(stream: DataFrame) -> DataFrame:
-    """ST3: flag files by whether their run had already been stopped."""
-    rows = stream.where(F.col("gen").isNotNull()).select("run_name", "run_id", "gen", F.col("rel_path").alias("name"))
-    return rows.groupBy("run_name", "run_id").applyInPandasWithState(
-        _early_stop, STOP_OUTPUT, STOP_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def history_sink(table_path: str):
-    """ST4: a ``foreachBatch`` function appending each finished generation once.
-
-    Idempotent two ways: a re-run of the same micro-batch overwrites its own
-    ``batch=<id>`` folder, and a generation already in the table (re-delivered
-    file) is dropped by an anti join on ``(run_id, gen)``.
-    """
+def early_stop(stream: DataFrame, idle_after_ms: int | None = None) -> DataFrame:
+    """ST3: flag files by whether their run had already been stopped; with ``idle_after_ms``, also
+    runs that have had no file for that long (see ``processors.EarlyStop``)."""
+    needs_disk_state(stream.sparkSession)
+    rows = stream.where(F.col("gen").isNotNull()).select(*RUN, "gen", F.col("rel_path").alias("name"))
+    time = "None" if idle_after_ms is None else "ProcessingTime"
+    return rows.groupBy(*RUN).transformWithState(EarlyStop(idle_after_ms), STOP_OUTPUT, "Append", time)
+
+
+def history_sink(table_path: str, keys: list[str] | None = None, compact_after: int = 16):
+    """ST4: a ``foreachBatch`` function that appends each finished generation once, whatever is
+    delivered again (see ``history.HistoryTable``)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        keys = [c for c in GEN if c in batch.columns]
-        rows = batch.dropDuplicates(keys)
-        try:
-            existing = spark.read.parquet(table_path).where(F.col("batch") != batch_id).select(*keys)
-            rows = rows.join(existing, keys, "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            pass
-        rows.write.mode("overwrite").parquet(f"{table_path.rstrip('/')}/batch={batch_id}")
+        HistoryTable(table_path, keys or [c for c in GEN if c in batch.columns], compact_after).append(batch, batch_id)
 
     return write
 
@@ -125,7 +90,9 @@ def read_history(spark: SparkSession, table_path: str) -> DataFrame:
     """The appended history: each generation with its delta to the previous
     generation of the run and the running best (one segmented scan, so a run of any length
     is spread over tasks)."""
-    h = spark.read.parquet(table_path).drop("batch")
+    h = HistoryTable(table_path, []).read(spark)
+    if h is None:
+        raise ValueError(f"no history was committed to {table_path}")
     keys = [c for c in GEN if c in h.columns]
     run = [c for c in RUN if c in keys]
     names = [c for c in keys if c == "gen_name"]  # T27: indexes may be shared
