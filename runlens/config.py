@@ -9,8 +9,8 @@ from __future__ import annotations
 # ---------------------------------------------------------------------------
 # Size caps (bytes).  A file whose size equals the cap is kept.
 # ---------------------------------------------------------------------------
-MAX_CONTEXT_FILE_SIZE = 10 * 1024 * 1024
-MAX_EXECUTION_LOG_SIZE = 50 * 1024 * 1024
+MAX_CONTEXT_FILE_SIZE = 10_000_000
+MAX_EXECUTION_LOG_SIZE = 50_000_000
 
 # ---------------------------------------------------------------------------
 # Preview limits (characters) and the marker appended on a cut.
@@ -36,6 +36,7 @@ AGENT_EXECUTION_JSON = "agent_execution.json"
 OPENHANDS_DIR = "openhands_trajectory"
 COMPLETED_MARKER = "COMPLETED"
 EVAL_LOG = "evaluation.log"
+EVALUATOR_TIMEOUT = 600   # seconds
 
 # Known text artefacts of a generation: label -> file name.
 TEXT_ARTIFACTS = {
@@ -84,9 +85,8 @@ ACCURACY_AXIS_FLOOR = 50.0
 # ---------------------------------------------------------------------------
 LOG_METRIC_PATTERNS = {
     "accuracy": [
+        # "final accuracy" and "test accuracy" hold this one, so it decides for them too
         r"accuracy[:\s=]+(\d+\.?\d*)\s*%?",
-        r"final\s+accuracy[:\s=]+(\d+\.?\d*)\s*%?",
-        r"test\s+accuracy[:\s=]+(\d+\.?\d*)\s*%?",
     ],
     "validation": [
         r"validation[:\s=]+(\d+\.?\d*)",

@@ -44,6 +44,18 @@ def json_kind(v: Column) -> Column:
     )
 
 
+def json_truthy(v: Column) -> Column:
+    """Whether Python counts a JSON value as true; an absent one is false."""
+    kind = json_kind(v)
+    number = F.try_variant_get(v, "$", "double")
+    return F.coalesce(
+        F.when(kind == "bool", F.try_variant_get(v, "$", "boolean"))
+        .when(kind.isin("int", "float"), number != 0)
+        .when(kind == "string", F.try_variant_get(v, "$", "string") != "")
+        .when(kind == "array", F.size(variant_elements(v)) > 0)
+        .when(kind == "object", F.size(variant_entries(v)) > 0), F.lit(False))
+
+
 def json_bad_reason(text: Column) -> Column:
     """Why a document did not parse: NULL when it did."""
     parsed = strict_json(text)

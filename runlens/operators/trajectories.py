@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.json import json_kind, json_truthy
 from .sequence import top_k_per_group
 
 
@@ -69,20 +70,20 @@ def trajectory_outcomes(executions: DataFrame, keys: list[str]) -> DataFrame:
     """successful = a JSON array; failed = an object with a truthy ``error``.
 
     On the executions table (S6) a trajectory file that was too large or not
-    valid JSON is an error object, so it counts as failed, and ``count``
+    valid JSON is an error object, so it counts as failed (``{}``, ``[]``, 0, false, null and
+    "" are falsy errors, every other string is truthy), and ``count``
     covers every trajectory file, errors included.  Other kinds count in
     neither column.
     """
-    kind = F.schema_of_variant("doc")
-    err = F.try_variant_get("doc", "$.error", "string")
-    failed = kind.startswith("OBJECT") & err.isNotNull() & (err != "") & (err != "false") & (err != "0")
+    kind = json_kind(F.col("doc"))
+    failed = (kind == "object") & json_truthy(F.try_variant_get("doc", "$.error", "variant"))
     rows = executions
     if "status" in executions.columns:
         rows = executions.where(F.col("is_multi") & F.col("file").isNotNull())
-        failed = failed | F.col("status").isin("too_large", "bad_json")
+        failed = F.coalesce(failed, F.lit(False)) | F.col("status").isin("too_large", "bad_json")
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("bigint").alias("count"),
-        F.count_if(kind.startswith("ARRAY")).cast("bigint").alias("successful"),
+        F.count_if(kind == "array").cast("bigint").alias("successful"),
         F.count_if(failed).cast("bigint").alias("failed"),
     )
 

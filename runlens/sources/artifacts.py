@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
+from ..functions.csv import csv_fields, csv_records
 from ..functions.json import json_kind, strict_json, variant_elements, variant_entries
 from ..functions.solution import py_str_of_json, solution_from_json
 from ..functions.text import py_strip
@@ -201,8 +202,8 @@ def label_submissions(spark: SparkSession, files: DataFrame, root: str) -> DataF
     Every file keeps its own column choice (``label`` if present, else the last
     column), so one job reads generations whose files differ.  Rows:
     run_id, gen, file, id, pred_label, bad_reason (``NO_ID_COLUMN``, ``EMPTY``,
-    ``UNREADABLE``; NULL when fine).  Plain comma-separated values only (no
-    quoted commas).
+    ``UNREADABLE``; NULL when fine).  Quoted fields may hold commas, quotes
+    and line ends (``functions.csv``).
     """
     from . import tree as S
 
@@ -211,9 +212,8 @@ def label_submissions(spark: SparkSession, files: DataFrame, root: str) -> DataF
         F.col("gen").isNotNull() & F.col("rel_path").isin(*names))
     rank = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("rel_path"))
     t = first_per_group(cand, TREE_GEN, [rank])
-    lines = F.filter(F.split(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\r\n?", "\n"), "\n"),
-                     lambda x: x != "")
-    header = F.transform(F.split(F.try_element_at(lines, F.lit(1)), ","), lambda x: py_strip(x))
+    lines = csv_records(F.col("text"))
+    header = F.transform(csv_fields(F.try_element_at(lines, F.lit(1))), lambda x: py_strip(x))
     label_ix = F.coalesce(F.nullif(F.array_position(header, F.lit("label")), F.lit(0)), F.size(header))
     id_ix = F.coalesce(F.array_position(header, F.lit("id")), F.lit(0))
     parsed = t.select(*TREE_GEN, F.col("rel_path").alias("file"), lines.alias("lines"), label_ix.alias("li"),
@@ -225,7 +225,8 @@ def label_submissions(spark: SparkSession, files: DataFrame, root: str) -> DataF
         reason.alias("bad_reason"))
     rows = parsed.where(~F.col("unreadable") & (F.col("ii") > 0)).select(
         *TREE_GEN, "file", "li", "ii", F.explode(F.slice("lines", 2, 1 << 30)).alias("line"))
-    cells = F.split(F.col("line"), ",")
+    rows = rows.select(*TREE_GEN, "file", "li", "ii", csv_fields(F.col("line")).alias("cells"))
+    cells = F.col("cells")
     good = rows.select(
         *TREE_GEN, "file", _int_key(F.try_element_at(cells, F.col("ii").cast("int"))).alias("id"),
         F.nullif(F.try_element_at(cells, F.col("li").cast("int")), F.lit("")).alias("pred_label"),

@@ -80,7 +80,9 @@ def binary_files(spark: SparkSession, root: str, name_glob: str | None = None) -
         r = r.option("pathGlobFilter", name_glob)
     try:
         return r.load(root.rstrip("/") + "/run_*")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # a wrong scheme or no permission is no empty tree
+            raise
         return spark.createDataFrame([], BINARY_FILE_SCHEMA)
 
 
@@ -424,12 +426,42 @@ def domain_stats_from_details(details: DataFrame) -> DataFrame:
         .withColumn("accuracy_percent", F.round(F.col("correct") * 100.0 / F.col("total"), 6))
 
 
-def evaluation_outcome(files: DataFrame) -> DataFrame:
-    """Per generation, ``skipped`` when the evaluator never ran (no
-    ``evaluation.log``), ``success`` when it left ``results.json``, else
-    ``warning`` (it ran but wrote nothing the loop reads)."""
+def evaluation_outcome(spark: SparkSession, files: DataFrame, root: str, has_evaluator: bool = True,
+                       timeout: int = C.EVALUATOR_TIMEOUT) -> DataFrame:
+    """Per generation, how its evaluation ended, and why.
+
+    * ``skipped`` -- the task has no evaluator (``has_evaluator=False``), or nothing of the
+      generation shows that one ran: no ``evaluation.log`` and no ``results.json``;
+    * ``error`` -- it ran and failed.  The log is what the evaluator printed: one that ends in
+      an uncaught exception (a traceback header and, as its last line, an exception's name), or
+      names a non-zero exit, is ``exit``.  An evaluator that is stopped writes no log, so a
+      generation without log or results whose submission is older by more than ``timeout``
+      seconds than its newest file is ``timeout``;
+    * ``success`` -- it did not fail and ``results.json`` is there;
+    * ``warning`` -- it ran to its end and left no ``results.json``.
+
+    Rows: the generation's keys, ``status``, ``reason``.
+    """
     rel = F.col("rel_path")
-    has = files.where(F.col("gen").isNotNull()).groupBy(*GEN).agg(
-        F.bool_or(rel == "results.json").alias("has_results"), F.bool_or(rel == C.EVAL_LOG).alias("ran"))
-    return has.select(*GEN, F.when(~F.col("ran") & ~F.col("has_results"), "skipped")
-                      .when(F.col("has_results"), "success").otherwise("warning").alias("status"))
+    here = files.where(F.col("gen").isNotNull())
+    seconds = F.col("mtime").cast("timestamp").cast("double")
+    submission = rel.rlike(_glob("submission*")) | rel.rlike(_glob("predictions*")) | (rel == C.OPEN_TASK_RESPONSES)
+    facts = here.groupBy(*GEN).agg(
+        F.max(F.when(rel == "results.json", seconds)).alias("results_at"),
+        F.max(F.when(rel == C.EVAL_LOG, seconds)).alias("log_at"),
+        F.min(F.when(submission, seconds)).alias("submitted_at"), F.max(seconds).alias("last_at"))
+    # the zero-byte log of a silent evaluator is not listed, so a log that is there has text
+    logs = named_texts(spark, files, root, (C.EVAL_LOG,)).where(F.col("gen").isNotNull() & (rel == C.EVAL_LOG))
+    last = py_strip(F.element_at(F.split(py_strip(F.col("text")), "\n"), -1))
+    raised = F.col("text").contains("Traceback (most recent call last):") & last.rlike(r"^[A-Za-z_][\w.]*(Error|Exception|Exit|Interrupt|Warning)\b(:|$)")
+    exited = F.regexp_extract("text", r"(?i)exit(?:ed with)?\s+(?:code|status)[:\s=]+(-?[0-9]+)", 1)
+    ends = logs.select("run_name", "gen_name", F.coalesce(raised | ~exited.isin("", "0"), F.lit(False)).alias("failed"))
+    j = facts.join(ends, ["run_name", "gen_name"], "left")
+    ran, has = F.col("log_at").isNotNull(), F.col("results_at").isNotNull()
+    stuck = ~ran & ~has & (F.col("last_at") - F.col("submitted_at") > timeout)
+    reason = (F.when(F.lit(not has_evaluator), "no evaluator").when(F.coalesce(F.col("failed"), F.lit(False)), "exit")
+              .when(F.coalesce(stuck, F.lit(False)), "timeout").when(~ran & ~has, "not run")
+              .when(ran & ~has, "no results"))
+    status = (F.when(F.col("reason").isin("no evaluator", "not run"), "skipped").when(F.col("reason").isin("exit", "timeout"), "error")
+              .when(F.col("reason") == "no results", "warning").otherwise("success"))
+    return j.select(*GEN, reason.alias("reason")).select(*GEN, status.alias("status"), "reason")

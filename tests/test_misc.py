@@ -1,18 +1,25 @@
 """Smaller operators: flatten, evaluators, outcomes, tool pairing, events, sinks, loaders."""
 
+import csv
+import io
 import json
 import os
+import random
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from runlens.functions.flatten import flatten_rows
+from runlens import config as C
+from runlens.functions.csv import csv_fields, csv_records
+from runlens.functions.flatten import flatten_rows, js_number
 from runlens.functions.json import strict_json
 from runlens.functions.text import parse_percent, tail_lines
 from runlens.operators import evaluators as X
 from runlens.operators.trajectories import tool_calls, trajectory_outcomes
 from runlens.sources import sinks as K
 from runlens.sources import tree as S
-from runlens.sources.artifacts import block_text, load_label_submission, load_truth_label, resolve_label_column
+from runlens.sources.artifacts import block_text, label_submissions, load_label_submission, load_truth_label, resolve_label_column
 
 
 def write(path, text):
@@ -21,6 +28,123 @@ def write(path, text):
         f.write(text)
 
 
+def _recursed(value, prefix=""):
+    """Rows by plain recursion (small depths), numbers as they are in the tests' own table."""
+    out = []
+    for k, v in value.items():
+        key = f"{prefix}.{k}" if prefix else k
+        if v is None or v == "":
+            continue
+        if isinstance(v, dict):
+            out += _recursed(v, key)
+        else:
+            out.append((key, _printed(v, ", ")))
+    return out
+
+
+def _printed(v, by=","):
+    if isinstance(v, list):
+        return by.join("" if x is None else _printed(x) for x in v)
+    if isinstance(v, dict):
+        return "[object Object]"
+    return {True: "true", False: "false"}[v] if isinstance(v, bool) else str(v)
+
+
+def test_flatten_equals_recursion_at_any_depth(spark):
+    rng = random.Random(12)
+
+    def value(depth):
+        kind = rng.randrange(9)
+        if kind < 3 and depth:
+            return {rng.choice("abckv") + str(i): value(depth - 1) for i in range(rng.randrange(4))}
+        if kind == 3 and depth:
+            return [value(depth - 1) for _ in range(rng.randrange(4))]
+        return rng.choice([None, "", "x y", 7, -3, True, False, "é\"q\n"])
+
+    docs = [{f"r{i}": value(7) for i in range(4)} for _ in range(60)]
+    deep = "leaf"
+    for i in range(600):
+        deep = {f"k{i}": deep}
+    docs.append(deep)
+    df = spark.createDataFrame([(i, f"c{i}", json.dumps(d)) for i, d in enumerate(docs)], "k int, v string, j string")
+    got = {}
+    for r in flatten_rows(df.select("k", "v", strict_json(F.col("j")).alias("_doc")), "_doc", ["k", "v"]).collect():
+        assert r.v == f"c{r.k}"
+        got.setdefault(r.k, []).append((r.key, r.value))
+    for i, d in enumerate(docs[:-1]):
+        assert sorted(got.get(i, [])) == sorted(_recursed(d)), d
+    assert got[60] == [(".".join(f"k{i}" for i in reversed(range(600))), "leaf")]
+    others = spark.createDataFrame([("[1]",), ("null",), ("3",), (None,)], "j string").select(strict_json(F.col("j")).alias("d"))
+    assert flatten_rows(others, "d", []).collect() == []
+
+
+def test_numbers_as_a_browser_prints_them():
+    """Literal values from the language's number-to-string rules."""
+    table = {"50.0": "50", "-0.0": "0", "0.1": "0.1", "1e21": "1e+21", "123456789012345680000": "123456789012345680000", "1e-7": "1e-7",
+             "0.000001": "0.000001", "1.5e300": "1.5e+300", "-2.50": "-2.5", "12345678901234567890": "12345678901234567000", "1e5": "100000"}
+    assert {k: js_number(k) for k in table} == table
+
+
+def test_default_caps_and_timeout():
+    assert (C.MAX_CONTEXT_FILE_SIZE, C.MAX_EXECUTION_LOG_SIZE, C.EVALUATOR_TIMEOUT) == (10_000_000, 50_000_000, 600)
+
+
+def test_truth_of_error_values(spark):
+    """An error is one that Python counts as true."""
+    values = {"{}": 0, "[]": 0, '""': 0, "0": 0, "0.0": 0, "false": 0, "null": 0, '"0"': 1, '"false"': 1, '"x"': 1, "1": 1,
+              "-0.5": 1, "true": 1, '{"a": null}': 1, "[0]": 1}
+    rows = [(i, '{"error": %s}' % v) for i, v in enumerate(values)] + [(90, "{}"), (91, "[1]"), (92, '"error"')]
+    df = spark.createDataFrame(rows, "id int, j string").select("id", strict_json(F.col("j")).alias("doc"))
+    got = {r.id: (r.failed, r.successful) for r in trajectory_outcomes(df, ["id"]).collect()}
+    assert got == {i: (n, 0) for i, n in enumerate(values.values())} | {90: (0, 0), 91: (0, 1), 92: (0, 0)}
+
+
+def test_four_outcomes_of_an_evaluation(spark, tmp_root):
+    root = os.path.join(tmp_root, "runs")
+    g = lambda n, f: os.path.join(root, "run_1", f"gen_{n}", f)
+    trace = "Traceback (most recent call last):\n  File \"evaluate.py\", line 3, in <module>\n"
+    write(g(1, "evaluation.log"), "fine")
+    write(g(1, "results.json"), "{}")
+    write(g(2, "evaluation.log"), "no results today")
+    write(g(3, "target_agent.py"), "x")
+    write(g(4, "evaluation.log"), trace + "ValueError: bad row\n")
+    write(g(4, "results.json"), "{}")                    # left from before: it failed all the same
+    write(g(5, "evaluation.log"), "evaluate.py exited with code 2")
+    write(g(6, "evaluation.log"), trace + "ValueError: handled\ncontinuing\n")  # caught and printed
+    write(g(6, "results.json"), "{}")
+    write(g(7, "submission.csv"), "id,label\n")
+    write(g(7, "late.txt"), "x")
+    os.utime(g(7, "submission.csv"), (1_000_000, 1_000_000))
+    os.utime(g(7, "late.txt"), (1_000_601, 1_000_601))
+    write(g(8, "submission.csv"), "id,label\n")
+    write(g(8, "late.txt"), "x")
+    os.utime(g(8, "submission.csv"), (1_000_000, 1_000_000))
+    os.utime(g(8, "late.txt"), (1_000_600, 1_000_600))   # not over the limit: may still run
+    write(g(9, "evaluation.log"), "done, exit code 0")
+    files = S.scan_runs(spark, root)
+    got = {r.gen: (r.status, r.reason) for r in S.evaluation_outcome(spark, files, root).collect()}
+    assert got == {1: ("success", None), 2: ("warning", "no results"), 3: ("skipped", "not run"), 4: ("error", "exit"), 5: ("error", "exit"),
+                   6: ("success", None), 7: ("error", "timeout"), 8: ("skipped", "not run"), 9: ("warning", "no results")}
+    assert {r.status for r in S.evaluation_outcome(spark, files, root, has_evaluator=False).collect()} == {"skipped"}
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text('a,"\n\r x', max_size=25), min_size=8, max_size=30))
+def test_csv_equals_pythons(spark, texts):
+    """Any text: records and fields as Python's reader gives them."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.r for r in rows.select("i", F.transform(csv_records(F.col("t")), csv_fields).alias("r")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [r for r in csv.reader(io.StringIO(t, newline="")) if r], t
+
+
+def test_quoted_label_submission(spark, tmp_root):
+    root = os.path.join(tmp_root, "runs")
+    write(os.path.join(root, "run_1", "gen_1", "submission.csv"), '"id","note, free",label\r\n1,"a, ""b""\nc",x\n2,,"y, z"\n\n3,"q",')
+    got = sorted((r.id, r.pred_label) for r in label_submissions(spark, S.scan_runs(spark, root), root).collect())
+    assert got == [(1, "x"), (2, "y, z"), (3, None)]
+
+
 def test_flatten_rows(spark):
     doc = {"name": "meta", "model": {"id": "m1", "params": {"t": 0.5, "top": None}, "tags": ["a", "b"]},
            "empty": "", "n": 50.0, "ok": True, "none": None}
@@ -87,7 +211,7 @@ def test_outcome_events_and_sinks(spark, tmp_root):
         for n in names:
             write(os.path.join(g1, "openhands_trajectory", s, "events", n), json.dumps({"id": n}) if n != "1.json" else "[1]")
     files = S.scan_runs(spark, root)
-    status = {r.gen: r.status for r in S.evaluation_outcome(files).collect()}
+    status = {r.gen: r.status for r in S.evaluation_outcome(spark, files, root).collect()}
     assert status == {1: "success", 2: "warning", 3: "skipped"}
     ev = [(r.session, r.event_file, r.ord) for r in S.agent_events(spark, files, root).orderBy("session", "ord").collect()]
     assert ev == [("s1", "0.json", 1), ("s2", "2.json", 1)]
