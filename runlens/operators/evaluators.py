@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grading as G
+from . import metrics as M
 
 Evaluator = Callable[[DataFrame, DataFrame], DataFrame]
 _REGISTRY: dict[str, tuple[Evaluator, Callable[[DataFrame], DataFrame]]] = {}
@@ -60,3 +61,36 @@ def _mc_summary(graded: DataFrame) -> DataFrame:
 register_evaluator("multiple_choice", _mc_summary)(lambda answers, truth: G.grade_mc(truth, answers))
 register_evaluator("label", G.summarize_label)(lambda answers, truth: G.grade_label(truth, answers))
 register_evaluator("open", G.summarize_open)(lambda answers, truth: G.grade_open(truth, answers))
+
+
+def _matched(answers: DataFrame, truth: DataFrame) -> DataFrame:
+    """Answers with their question's truth; an answer to an unknown question has none."""
+    return answers.join(truth, ["task", "question_id"], "left")
+
+
+def _mean(column: str):
+    def summarize(graded: DataFrame) -> DataFrame:
+        return graded.groupBy(*G.GEN_KEYS).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(column), 6).alias(column))
+
+    return summarize
+
+
+def _rouge(answers: DataFrame, truth: DataFrame) -> DataFrame:
+    return M.rouge_l(_matched(answers, truth), [*G.GEN_KEYS, "question_id"])
+
+
+def _silhouette(answers: DataFrame, truth: DataFrame) -> DataFrame:
+    return M.silhouette(_matched(answers, truth), G.GEN_KEYS)
+
+
+def _dice_summary(graded: DataFrame) -> DataFrame:
+    return graded.groupBy(*G.GEN_KEYS).agg(F.count(F.lit(1)).alias("classes"), F.round(F.avg("dice"), 6).alias("macro_dice"))
+
+
+# Answers and truth meet on (task, question_id).  roc_auc: score / positive; rmse: value / expected;
+# dice: pred_label / label; rouge_l: text / expected; silhouette: cluster / features.
+register_evaluator("roc_auc", lambda graded: M.roc_auc(graded, G.GEN_KEYS))(_matched)
+register_evaluator("rmse", lambda graded: M.rmse(graded, G.GEN_KEYS))(_matched)
+register_evaluator("dice", _dice_summary)(lambda answers, truth: M.dice(_matched(answers, truth), G.GEN_KEYS))
+register_evaluator("rouge_l", _mean("f1"))(_rouge)
+register_evaluator("silhouette", _mean("silhouette"))(_silhouette)

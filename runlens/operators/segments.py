@@ -63,7 +63,8 @@ class Segments:
         return Segments(change(self.rows), self.group, self.partitions, self.placed)
 
     def scan(self, number: str | None = None, previous: dict[str, str] | None = None, best: dict[str, str] | None = None,
-             following: dict[str, str] | None = None, first: dict[str, str] | None = None, places: bool = False) -> DataFrame:
+             following: dict[str, str] | None = None, first: dict[str, str] | None = None,
+             before: dict[str, str] | None = None, places: bool = False) -> DataFrame:
         """The rows with scanned columns, each given as ``{new column: column}``:
 
         * ``number`` -- the row's number in its group, from 1;
@@ -71,15 +72,17 @@ class Segments:
         * ``best`` -- the greatest value so far, nulls passed over;
         * ``following`` -- the least value greater than the row's own (the column the
           segments are ordered by; an integer);
-        * ``first`` -- the least value of the group, nulls passed over.
+        * ``first`` -- the least value of the group, nulls passed over;
+        * ``before`` -- the sum of the rows before this one, 0 for the first.
 
         ``places`` keeps the columns of places.
         """
-        previous, best, following, first = (x or {} for x in (previous, best, following, first))
+        previous, best, following, first, before = (x or {} for x in (previous, best, following, first, before))
         g = self.group
         inside = Window.partitionBy(*g, PID)
         local = inside.orderBy(LOC)
         upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        short_of = local.rowsBetween(Window.unboundedPreceding, -1)
         across = Window.partitionBy(*g).orderBy(PID)
         earlier = across.rowsBetween(Window.unboundedPreceding, -1)
 
@@ -87,12 +90,14 @@ class Segments:
         summary |= {f"_p_{k}": F.max_by(c, LOC) for k, c in previous.items()}
         summary |= {f"_b_{k}": F.max(c) for k, c in best.items()}
         summary |= {f"_f_{k}": F.min(c) for k, c in (following | first).items()}
+        summary |= {f"_s_{k}": F.sum(c) for k, c in before.items()}
         parts = self.rows.groupBy(*g, PID).agg(*[v.alias(k) for k, v in summary.items()])
         carried = {"_c_n": F.coalesce(F.sum("_n").over(earlier), F.lit(0))}
         carried |= {f"_c_{k}": F.lag(f"_p_{k}").over(across) for k in previous}
         carried |= {f"_c_{k}": F.max(f"_b_{k}").over(earlier) for k in best}
         carried |= {f"_c_{k}": F.lead(f"_f_{k}").over(across) for k in following}
         carried |= {f"_c_{k}": F.min(f"_f_{k}").over(Window.partitionBy(*g)) for k in first}
+        carried |= {f"_c_{k}": F.sum(f"_s_{k}").over(earlier) for k in before}
         carry = parts.select(
             *[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], F.col(PID).alias("_gp"),
             F.count(F.lit(1)).over(Window.partitionBy(*g)).alias("_parts"), *[v.alias(k) for k, v in carried.items()])
@@ -103,6 +108,7 @@ class Segments:
         scanned |= {f"_l_{k}": F.max(c).over(upto) for k, c in best.items()}
         scanned |= {f"_l_{k}": F.min(c).over(inside.orderBy(c).rangeBetween(1, Window.unboundedFollowing)) for k, c in following.items()}
         scanned |= {f"_l_{k}": F.min(c).over(inside) for k, c in first.items()}
+        scanned |= {f"_l_{k}": F.sum(c).over(short_of) for k, c in before.items()}
         rows = self.rows if self.placed else self.rows.repartitionById(self.partitions, PID)
         rows = rows.select("*", *[v.alias(k) for k, v in scanned.items()])
         same = F.col(PID) == F.col("_gp")
@@ -117,6 +123,7 @@ class Segments:
         out |= {k: F.greatest(f"_l_{k}", f"_c_{k}") for k in best}
         out |= {k: F.coalesce(f"_l_{k}", f"_c_{k}") for k in following}
         out |= {k: F.coalesce(f"_c_{k}", f"_l_{k}") for k in first}
+        out |= {k: F.coalesce(f"_l_{k}", F.lit(0)) + F.coalesce(f"_c_{k}", F.lit(0)) for k in before}
         kept = [c for c in self.rows.columns if places or c not in (PID, LOC)]
         return rows.select(*kept, *[v.alias(k) for k, v in out.items()])
 

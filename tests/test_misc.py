@@ -164,7 +164,7 @@ def test_parse_percent_and_tail(spark):
 
 
 def test_evaluator_registry(spark):
-    assert X.evaluators() == ["label", "multiple_choice", "open"]
+    assert X.evaluators() == ["dice", "label", "multiple_choice", "open", "rmse", "roc_auc", "rouge_l", "silhouette"]
     truth = spark.createDataFrame([("t", 1, "A", "d", "s"), ("t", 2, "B", "d", "s")],
                                   "task string, question_id bigint, correct_answer string, domain string, subdomain string")
     answers = spark.createDataFrame([("t", 1, 1, 1, "a", 0)],
