@@ -88,6 +88,18 @@ def trajectory_outcomes(executions: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def tool_messages(messages: DataFrame, msg: str) -> DataFrame:
+    """Message objects (a VARIANT column) as what ``tool_calls`` pairs: their call list, the id of
+    the call they answer, and their text."""
+    from ..sources.artifacts import normalize_turn
+
+    calls = "array<struct<id: string, function: struct<name: string, arguments: string>>>"
+    rest = [c for c in messages.columns if c != msg]
+    return messages.select(
+        *rest, F.try_variant_get(msg, "$.tool_calls", calls).alias("tool_calls"),
+        F.try_variant_get(msg, "$.tool_call_id", "string").alias("tool_call_id"), normalize_turn(F.col(msg))["text"].alias("text"))
+
+
 def tool_calls(messages: DataFrame, keys: list[str]) -> DataFrame:
     """Pair each tool call with its result by call id (LEFT: unanswered calls stay)."""
     calls = messages.where(F.col("tool_calls").isNotNull()).select(

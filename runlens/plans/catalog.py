@@ -231,4 +231,4 @@ def open_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Further registrations live in sibling modules (imported for their side effect).
-from . import q_extra, q_history, q_metrics, q_traces  # noqa: E402,F401
+from . import q_extra, q_history, q_metrics, q_traces, q_variant  # noqa: E402,F401
