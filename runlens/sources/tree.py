@@ -95,15 +95,33 @@ def scan_runs(spark: SparkSession, root: str) -> DataFrame:
     return _layout(binary_files(spark, root), root)
 
 
+#: Paths that one scan is given; more make several scans of one union.
+MAX_PATHS = 50_000
+
+
+def _literal_path(path: str) -> str:
+    """A path as a load path: glob characters stand for themselves."""
+    return "".join("\\" + ch if ch in "\\*?[]{}^" else ch for ch in path)
+
+
 def with_content(spark: SparkSession, files: DataFrame, root: str, max_bytes: int) -> DataFrame:
-    """Attach ``content`` to file rows, reading only files within the cap.
+    """Attach ``content`` to file rows, reading only those files, within the cap, once.
 
-    The cap is a pushed ``length`` filter on a second scan of the same root, and
-    rows are matched back on ``path`` -- chosen files first, bytes second.
+    The chosen paths become the file list of the scan (which the driver holds for any
+    file scan), so nothing else is opened; rows meet their bytes by a broadcast of the
+    same list, so no exchange carries ``content``.  Files over the cap have none.
     """
-    raw = binary_files(spark, root)
-    body = raw.where(F.col("length") <= max_bytes).select("path", "content")
-    return files.join(body.hint("shuffle_hash"), "path", "left")
+    small = files.where(F.col("length") <= max_bytes)
+    paths = sorted(set(small.select("path").toArrow().column(0).to_pylist()))
+    out = files.where(F.col("length").isNull() | (F.col("length") > max_bytes)).withColumn("content", F.lit(None).cast("binary"))
+    for at in range(0, len(paths), MAX_PATHS):
+        part = paths[at:at + MAX_PATHS]
+        read = spark.read.format("binaryFile").load([_literal_path(p) for p in part])
+        body = read.where(F.col("length") <= max_bytes).select(F.col("path").alias("_path"), "content")
+        chosen = small if len(paths) <= MAX_PATHS else small.where(F.col("path").between(part[0], part[-1]))
+        met = body.join(F.broadcast(chosen), F.col("_path") == F.col("path"))
+        out = out.unionByName(met.select(*files.columns, "content"))
+    return out
 
 
 def read_text_capped(spark: SparkSession, files: DataFrame, root: str,
@@ -111,6 +129,10 @@ def read_text_capped(spark: SparkSession, files: DataFrame, root: str,
     """UTF-8 text (malformed bytes replaced) of files up to the cap; above
     it ``text`` is NULL and ``bad_reason`` is ``TOO_LARGE``.  A file exactly at
     the cap is kept."""
+    if "text" in files.columns:  # the ingested table
+        names = [c for c in files.columns if c not in ("text", "bad_reason")]
+        over = F.col("length") > max_bytes
+        return files.select(*names, F.when(~over, F.col("text")).alias("text"), F.when(over, F.lit("TOO_LARGE")).alias("bad_reason"))
     t = with_content(spark, files, root, max_bytes)
     return t.select(
         *files.columns,
@@ -166,7 +188,7 @@ def read_json_capped(spark: SparkSession, files: DataFrame, root: str,
     """S3: parsed JSON (VARIANT) or NULL with a reason: too large, unreadable, invalid."""
     t = read_text_capped(spark, files, root, max_bytes)
     return t.select(
-        *files.columns,
+        *[c for c in files.columns if c not in ("text", "bad_reason")],
         strict_json(F.col("text")).alias("doc"),
         F.coalesce(F.col("bad_reason"), json_bad_reason(F.col("text"))).alias("bad_reason"),
     )

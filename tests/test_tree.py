@@ -378,3 +378,30 @@ def test_label_leaderboard_keeps_run_names_apart(spark, tmp_root):
     got = {r.run_name: (r.run_id, r.gen, r.accuracy, r.rank_in_run) for r in
            label_leaderboard(spark, root, truth, "law").collect()}
     assert got == {"run_7": (7, 1, 1.0, 1), "run_07": (7, 1, 0.5, 1)}
+
+
+def test_chosen_files_are_one_scan(spark, tmp_root, monkeypatch):
+    """Only chosen files are listed and opened, and no exchange carries their bytes."""
+    import contextlib
+    import io
+
+    root = os.path.join(tmp_root, "runs")
+    for i in range(6):
+        write(os.path.join(root, "run_1", f"gen_{i}", "a.json"), json.dumps({"i": i}))
+        write(os.path.join(root, "run_1", f"gen_{i}", "other.json"), "{broken")
+    write(os.path.join(root, "run_1", "gen_9", "a[1]{x}*.json"), '{"i": 9}')
+    files = S.scan_runs(spark, root).where(~F.col("name").startswith("other"))
+    for most in (50_000, 2):
+        monkeypatch.setattr(S, "MAX_PATHS", most)
+        got = S.read_json_capped(spark, files, root)
+        rows = {r.gen: r.i for r in got.select("gen", F.try_variant_get("doc", "$.i", "int").alias("i"), "bad_reason").collect()}
+        assert rows == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 9: 9}
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            got.explain()
+        lines = buf.getvalue().splitlines()
+        assert not [line for line in lines if " Exchange " in line]
+        assert not [line for line in lines if "BroadcastExchange" in line and "content" in lines[lines.index(line) + 1]]
+    monkeypatch.setattr(S, "MAX_PATHS", 50_000)
+    capped = {r.gen: r.bad_reason for r in S.read_text_capped(spark, files, root, 7).collect()}
+    assert set(capped.values()) == {"TOO_LARGE"}
