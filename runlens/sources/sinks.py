@@ -23,25 +23,33 @@ def _overwrite_partitions(df: DataFrame, path: str, cols: list[str], fmt: str =
     w.format(fmt).save(path)
 
 
+def _by(df: DataFrame, level: str) -> list[str]:
+    """Partition columns of a run or generation: the directory names where the table has
+    them, since indexes may be shared (T27), else the indexes."""
+    if level == "run":
+        return ["run_name"] if "run_name" in df.columns else ["run_id"]
+    return ["run_name", "gen_name"] if {"run_name", "gen_name"} <= set(df.columns) else ["run_id", "gen"]
+
+
 def write_eval(graded: DataFrame, path: str, fmt: str = "parquet") -> None:
     """K1: per-question evaluation rows (and/or summaries), one partition per generation."""
-    _overwrite_partitions(graded, path, ["run_id", "gen"], fmt)
+    _overwrite_partitions(graded, path, _by(graded, "gen"), fmt)
 
 
 def write_submission(preds: DataFrame, path: str) -> None:
     """K2: ``id,label`` CSV with a header, one folder per generation."""
-    _overwrite_partitions(preds.select("run_id", "gen", "id", F.col("pred_label").alias("label")),
-                          path, ["run_id", "gen"], "csv", header="true")
+    keys = _by(preds, "gen")
+    _overwrite_partitions(preds.select(*keys, "id", F.col("pred_label").alias("label")), path, keys, "csv", header="true")
 
 
 def write_trajectories(turns: DataFrame, path: str) -> None:
     """K3: trajectories as one partitioned table, not one file per question."""
-    _overwrite_partitions(turns, path, ["run_id", "gen"])
+    _overwrite_partitions(turns, path, _by(turns, "gen"))
 
 
 def write_history(history: DataFrame, path: str) -> None:
     """K4: one row per generation plus the run finals, partitioned by run."""
-    _overwrite_partitions(history, path, ["run_id"])
+    _overwrite_partitions(history, path, _by(history, "run"))
 
 
 def ingest(spark: SparkSession, root: str, out: str, max_bytes: int = C.MAX_EXECUTION_LOG_SIZE) -> DataFrame:
@@ -61,7 +69,8 @@ def ingest(spark: SparkSession, root: str, out: str, max_bytes: int = C.MAX_EXEC
     laid = _layout(ok.unionByName(big), root, extra=("content",))
     rows = laid.select(*FILES_COLUMNS, F.decode("content", "UTF-8").alias("text"),
                        F.when(F.col("length") > max_bytes, F.lit("TOO_LARGE")).alias("bad_reason"))
-    _overwrite_partitions(rows.repartition("run_id"), out, ["run_id"])
+    # rebalanced, not repartitioned: a run of any size is written by as many tasks as it fills
+    _overwrite_partitions(rows.hint("rebalance", "run_id"), out, ["run_id"])
     return spark.read.parquet(out)
 
 

@@ -336,3 +336,14 @@ def test_eval_document_layouts_round_trip(spark, tmp_root):
         None, "nested")
     d = json.loads(nested.collect()[0].json)
     assert d["summary"]["accuracy_percent"] == 100.0 and d["results"] is None
+
+
+def test_sinks_keep_names_that_share_an_index_apart(spark, tmp_root):
+    """run_7 and run_07 are written by separate jobs; neither overwrites the other."""
+    out = os.path.join(tmp_root, "named")
+    rows = lambda run, gen, v: spark.createDataFrame([(run, 7, gen, 1, v)], "run_name string, run_id int, gen_name string, gen int, v int")
+    for i, (run, gen) in enumerate([("run_7", "gen_1"), ("run_07", "gen_1"), ("run_7", "gen_01"), ("run_7", "gen_1")]):
+        K.write_eval(rows(run, gen, i), out)
+        K.write_history(rows(run, gen, i), out + "-h")
+    assert {(r.run_name, r.gen_name, r.v) for r in spark.read.parquet(out).collect()} == {("run_7", "gen_1", 3), ("run_07", "gen_1", 1), ("run_7", "gen_01", 2)}
+    assert {(r.run_name, r.v) for r in spark.read.parquet(out + "-h").collect()} == {("run_7", 3), ("run_07", 1)}
