@@ -30,7 +30,8 @@ ceil(t n) tokens with the other.
    components are exact.
 
 Copies (equal word sequences) are one node from the first step on.  Nodes, words and
-shingles are told apart by 64-bit hashes.
+shingles are told apart by 64-bit hashes; words and nodes mix a polynomial modulo 2^64
+with one modulo a prime, so that no pattern of letters or words collides by structure.
 
 Defined results: null text and text without words have an empty set, link with
 nothing and are components of their own; with fewer words than a shingle has, the
@@ -69,6 +70,8 @@ MEMO = 500_000
 CHUNK = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE, _WORD_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F  # odd, so they have inverses modulo 2^64
+_PRIME, _PRIME_BASE = 2**31 - 1, 1_395_628_743
+_P31 = np.uint64(_PRIME)
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 _LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
 _POWERS: dict[int, np.ndarray] = {}
@@ -89,6 +92,29 @@ def _ranges(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -
     return (sums[end] - sums[begin]) * _powers(pow(base, -1, 2**64), len(values) + 1)[begin]
 
 
+def _prime_ranges(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The same modulo a prime of 31 bits, from a fixed base: sequences that
+    collide modulo 2^64 whatever the base (Thue-Morse patterns) do not collide here."""
+    n = len(values)
+    if _PRIME not in _POWERS or len(_POWERS[_PRIME]) < 2 * (n + 1):
+        _POWERS[_PRIME] = _prime_powers(max(n, CHUNK) + 1)
+    powers, inverses = np.split(_POWERS[_PRIME], 2)
+    # values stay under 2^31, so sums of fewer than 2^33 of them fit
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values % _P31 * powers[:n] % _P31, dtype=np.uint64)])
+    return (sums[end] - sums[begin]) % _P31 * inverses[begin] % _P31
+
+
+def _prime_powers(n: int) -> np.ndarray:
+    """The powers of the base and of its inverse modulo the prime, by doubling."""
+    out = []
+    for base in (_PRIME_BASE, pow(_PRIME_BASE, -1, _PRIME)):
+        p = np.ones(1, dtype=np.uint64)
+        while len(p) < n:
+            p = np.concatenate([p, p * np.uint64(pow(base, len(p), _PRIME)) % _P31])
+        out.append(p[:n])
+    return np.concatenate(out)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -107,6 +133,12 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
+def _both(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """64-bit hashes of the ranges from both polynomials and their lengths."""
+    first = _ranges(values, begin, end, base) ^ (end - begin).astype(np.uint64) * _MIX
+    return _mixed(first ^ _mixed(_prime_ranges(values, begin, end) * _MIX + np.uint64(1)))
+
+
 def _hashed(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the texts that begin at ``at`` (its last entry is the end), and
     where each text's begin among them."""
@@ -117,7 +149,7 @@ def _hashed(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before[at], after[at] = False, False  # no word runs on from the text before
     begin = np.flatnonzero(inside & ~before[:-1])
     end = np.flatnonzero(inside & ~after[1:]) + 1
-    h = _mixed(_ranges(_LOWER[raw], begin, end, _BASE) ^ (end - begin).astype(np.uint64) * _MIX)
+    h = _both(_LOWER[raw], begin, end, _BASE)
     return h, np.searchsorted(begin, at)
 
 
@@ -148,7 +180,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
         at = offsets[first:last + 1] - offsets[first]
         raw = data[offsets[first]:offsets[last]]
         h, of = _hashed_long(raw) if len(raw) > CHUNK else _hashed(raw, at)
-        node = _mixed(_ranges(h, of[:-1], of[1:], _WORD_BASE) ^ np.diff(of).astype(np.uint64) * _MIX)
+        node = _both(h, of[:-1], of[1:], _WORD_BASE)
         yield first, h, of, _signed(node)
         first = last
 

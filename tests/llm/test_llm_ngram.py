@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures_llm import edge_docs, empty_docs, rows
 from runlens.llm import components, ngram_join
@@ -73,6 +74,21 @@ def test_components_match_brute_force(spark, monkeypatch, size, percent, frequen
     assert len({c for _, c in want.values()}) < len(texts) - 60
 
 
+def test_thue_morse_texts_are_told_apart(spark):
+    """Letters and words in patterns that collide under any polynomial modulo 2^64."""
+    def tm(n, pair):
+        return [pair[bin(i).count("1") % 2] for i in range(n)]
+
+    letters = ["".join(tm(1024, p)) for p in ("ab", "ba")]
+    sequences = [" ".join(tm(4096, p)) for p in (("x", "yy"), ("yy", "x"))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(letters + sequences)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in N.with_components(df, 3, 90).collect()}
+    assert got[0] == 0 and got[1] == 1
+    assert N.keep_one(df.where("doc_id < 2"), 3, 90).count() == 2
+    nodes = [int(n[0]) for t in sequences for _, _, _, n in N.chunks(pa.array([t]))]
+    assert nodes[0] != nodes[1]
+
+
 def test_index_keys_meet_for_every_similar_pair():
     """The law of prefixes and combinations, without Spark."""
     rng = np.random.default_rng(3)
