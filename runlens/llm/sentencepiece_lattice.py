@@ -15,11 +15,12 @@ crosses the ends of: space marks with the letters, or the other characters, that
 follow them (with a model whose pieces mix the two, all up to the next space mark).
 
 ``encode`` counts the words of all texts, keeps those that occur most often (as many
-count classes as fit in ``MOST_WORDS``, so their encodings can be broadcast), folds
-them in Spark, and tasks put whole texts together from that table.  The words
-beyond the bound, a tail that grows with the corpus, go through the same lattice and
-fold inside the task that meets them (``Pieces.encode_word``), which exchanges no
-text and no occurrence.
+count classes as fit in ``MOST_WORDS``, so their encodings can be broadcast) and have at
+most ``LONGEST_WORD`` characters, folds them in Spark, and tasks put whole texts together
+from that table.  All other words, most of the distinct ones and a tail that grows with the
+corpus, do not go through the lattice: the task that meets one applies the model's merges to
+it in a plain loop (``Pieces.encode_word``).  Ids are the same either way; no text and no
+occurrence is exchanged.
 
 Defined results: null and empty texts have no pieces and decode to the empty text;
 repeated rows are encoded row by row; an empty table gives an empty table.  Extra
