@@ -149,11 +149,13 @@ class Scorer:
 def sample(labelled: DataFrame, per_lang: int = TRAIN_DOCS) -> DataFrame:
     """At most ``per_lang`` different texts of each language, by a hash: ``lang, text, h``."""
     rows = labelled.select("lang", "text", F.xxhash64("text").alias("h"))
-    # a row per language: broadcast if they are as few as languages are, so no text is exchanged by language
-    counts = small_side(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), MOST_LANGS)
-    # first a share of about twice the bound by the hash alone; copies then meet in one row; the window sees no more
+    # a row per language: broadcast if they are as few as languages are, so no text is exchanged by language.  Different
+    # texts are counted, as copies share a hash and would thin the others out; sketches, so no hash is exchanged either
+    counts = small_side(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), MOST_LANGS)
+    # first a share of about twice the bound by the hash alone (twice, as a sketch may be some percent off); copies then
+    # meet in one row; the window sees no more
     share = F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("n")) * (1 << 30)
-    few = rows.join(counts, "lang").where(F.pmod(F.col("h"), F.lit(1 << 30)) < share).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    few = rows.join(counts.where("n > 0"), "lang").where(F.pmod(F.col("h"), F.lit(1 << 30)) < share).groupBy("lang", "h").agg(F.first("text").alias("text"))
     return written(few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("r") <= per_lang).drop("r"), "lang-sample")
 
 

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from fixtures_llm import edge_docs, empty_docs, rows
 from pyspark.sql import functions as F
@@ -56,6 +58,59 @@ def test_sample_is_bounded_and_deduplicated(spark):
     assert {r.lang: r["count"] for r in got}["en"] <= 50 and {r.lang: r["count"] for r in got}["de"] == 1
 
 
+def test_copies_do_not_thin_out_the_sample(spark):
+    rows_ = [("en", f"text number {i}") for i in range(300)] + [("en", "the same text")] * 8000 + [("de", "ein text")] * 8000
+    got = L.sample(spark.createDataFrame(rows_, "lang string, text string"), per_lang=50).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in got} == {"en": 50, "de": 1}
+
+
+def brute_entropies(texts, word):
+    """Cross-entropy of ``word`` by the definition of interpolated Kneser-Ney, from plain dictionaries."""
+    top = L.ORDER
+    counts = {}
+    for lang, words in texts.items():
+        raw = [Counter() for _ in range(top + 1)]
+        for w in words:
+            s = "\x02" * (top - 1) + w + L._END
+            for i in range(top - 1, len(s)):
+                for n in range(1, top + 1):
+                    raw[n][s[i - n + 1:i + 1]] += 1
+        used = [None, *({} for _ in range(top))]
+        for n in range(1, top + 1):
+            for g, c in raw[n].items():
+                before = {x[0] for x in raw[n + 1] if x[1:] == g} if n < top else ()
+                used[n][g] = c if n == top or g[0] == "\x02" else len(before)
+        counts[lang] = used
+    floor = 1 / (len({g for u in counts.values() for g in u[1]}) + 1)
+    out = {}
+    for lang, used in counts.items():
+        def p(g, used=used):
+            if not g:
+                return floor
+            level = used[len(g)]
+            once, twice = (sum(v == k for v in level.values()) for k in (1, 2))
+            cut = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+            beside = {x: v for x, v in level.items() if x[:-1] == g[:-1]}
+            if not beside:
+                return p(g[1:])
+            total = sum(beside.values())
+            return max(beside.get(g, 0) - cut, 0) / total + cut * len(beside) / total * p(g[1:])
+
+        s = "\x02" * (top - 1) + word + L._END
+        out[lang] = -sum(np.log(p(s[i - top + 1:i + 1])) for i in range(top - 1, len(s))) / (len(word) + 1)
+    return out
+
+
+def test_entropies_match_the_definition(spark):
+    texts = {"en": "the then there other mother hot".split(), "de": "der den dem oder mutter heiss".split()}
+    chosen = spark.createDataFrame([(lang, " ".join(w), 1024) for lang, w in texts.items()], "lang string, text string, h long")
+    scorer = L.Scorer(L.estimate(L._counts(chosen)))
+    for word in ("the", "mother", "oder", "mutter", "zebra", "x", "heisst"):
+        want = brute_entropies(texts, word)
+        got = dict(zip(scorer.model.langs, scorer.entropies(word), strict=True))
+        assert all(np.isclose(got[x], want[x], rtol=1e-4) for x in want), (word, got, want)
+
+
 def test_edges(spark):
     model = L.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("lang", "text"))
     got = L.predict(edge_docs(spark), model, carry=(F.col("doc_id"), F.col("key")), schema="doc_id long, key string").collect()
