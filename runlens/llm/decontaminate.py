@@ -16,15 +16,19 @@ or if ``RUN`` of them lie within ``REACH`` neighbouring positions of the item, w
 its length.  A moved piece without a hit of its own (under ``SPAN`` words) counts only
 by ``SHIFT``.
 
+Items of fewer than ``SPAN`` words have no window of a seed.  They are found whole: the
+item's word hashes in order are its key, joined to the documents' windows of the same
+number of words.  ``least`` is the number of words from which an item is looked for (1:
+every item that has a word); a caller whose benchmark holds one-word answers may raise it.
+
 Plan: the document side is not exchanged.  Its seeds are made, probed against the
 broadcast benchmark seeds and verified inside one stage, and only narrow rows
 (text key, item, agreeing positions), one per run of hits, leave it.  The benchmark side is broadcast if it has at most
 ``BROADCAST_SEEDS`` seeds, a count that is taken first; a larger one is
 joined by an exchange of narrow seed rows, and hits go back to the texts by key.
 
-Defined results: null text and texts shorter than ``SPAN`` words hold nothing;
-items shorter than ``SPAN`` words, null ones included, are no evidence and are left
-out; copies and repeated rows are found one by one; with an empty table on either
+Defined results: null text and text without a word hold nothing, and items without a
+word, null ones included, are held by nothing; copies and repeated rows are found one by one; with an empty table on either
 side nothing is found.  Only ``doc_id``, ``item_id`` and ``text`` are read, so extra
 columns cannot clash; ``clean`` returns its input's columns.
 """
@@ -115,9 +119,29 @@ def _verified(hits: DataFrame) -> DataFrame:
     return m.where(held).groupBy("key", "item_id", "n_words").agg(F.max("matched").alias("matched"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_SEEDS) -> DataFrame:
+def _whole(docs: DataFrame, items: DataFrame, bound: int, least: int) -> DataFrame | None:
+    """Items of fewer than ``SPAN`` words that stand in a text word by word: ``key, item_id, n_words, matched``."""
+    short = items.where((F.size("_h") >= least) & (F.size("_h") < SPAN)).select("item_id", F.col("_h").alias("_w")).distinct()
+    sizes = sorted(r.n for r in short.select(F.size("_w").alias("n")).distinct().collect())  # fewer than SPAN numbers
+    if not sizes:
+        return None
+    d = docs.select(content_key(F.col("text")).alias("key"), word_hashes(F.col("text")).alias("_h")).withColumn("_n", F.explode(F.array(*map(F.lit, sizes))))
+    n = F.size("_h")
+    d = d.withColumn("_q", F.explode(F.when(n >= F.col("_n"), F.sequence(F.lit(0), n - F.col("_n")))))
+    d = d.select("key", F.slice("_h", F.col("_q") + 1, F.col("_n")).alias("_w"))
+    near = d.join(F.broadcast(short) if has_at_most(short, bound) else short, "_w")
+    return near.select("key", "item_id", F.size("_w").alias("n_words"), F.size("_w").alias("matched")).distinct()
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_SEEDS, least: int = 1) -> DataFrame:
     """Verified overlaps by content: ``key, item_id, n_words, matched``."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("_h"))
+    short, long = _whole(docs, items, bound, least), _seeded(docs, items.where(F.size("_h") >= least), bound)
+    # rows of one item_id may hold a short and a long text
+    return long if short is None else long.unionByName(short).groupBy("key", "item_id", "n_words").agg(F.max("matched").alias("matched"))
+
+
+def _seeded(docs: DataFrame, items: DataFrame, bound: int) -> DataFrame:
     seeds = _windows(items, "_p").select("seed", "item_id", "_p").distinct()
     # rows of one item_id with other words are items of their own
     items = items.where(F.size("_h") >= SPAN).select("item_id", F.xxhash64("_h").alias("_k"), F.col("_h").alias("_b")).distinct()
@@ -134,16 +158,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_SEEDS) ->
     return _verified(whole.join(items, "item_id"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_SEEDS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_SEEDS, least: int = 1) -> DataFrame:
     """One row per document and item that it holds: ``doc_id, item_id, matched, n_words``."""
     ids = docs.select("doc_id", content_key(F.col("text")).alias("key"))
-    return ids.join(hits(docs, benchmark, bound), "key").select(
+    return ids.join(hits(docs, benchmark, bound, least), "key").select(
         "doc_id", "item_id", F.col("matched").cast("long").alias("matched"), F.col("n_words").cast("long").alias("n_words"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_SEEDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_SEEDS, least: int = 1) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns."""
-    bad = written(hits(docs, benchmark, bound).select(F.col("key").alias("_bad")).distinct(), "leaks")
+    bad = written(hits(docs, benchmark, bound, least).select(F.col("key").alias("_bad")).distinct(), "leaks")
     bad = small_side(bad, BROADCAST_KEYS)  # beyond it, the texts are exchanged by key
     return docs.join(bad, content_key(docs["text"]) == bad["_bad"], "left_anti")
 

@@ -86,6 +86,22 @@ def test_diagonals_are_united_and_long_parts_count(spark):
     assert {r.doc_id for r in D.clean(a, b).collect()} == {3, 4, 5}
 
 
+def test_short_items_are_found_whole(spark):
+    rng = random.Random(21)
+    items = [(i, [rng.choice("abcdef") for _ in range(rng.randrange(1, D.SPAN))]) for i in range(30)] + [(90, []), (91, [f"z{k}" for k in range(20)])]
+    docs = [(d, [rng.choice("abcdefgh") for _ in range(rng.randrange(60))]) for d in range(80)] + [(500, items[-1][1])]
+    want = {(d, i) for d, t in docs for i, w in items if w and any(t[k:k + len(w)] == w for k in range(len(t) - len(w) + 1))}
+    a = spark.createDataFrame([(d, " ".join(t).upper()) for d, t in docs] + [(600, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, "; ".join(w)) for i, w in items] + [(92, None)], "item_id long, text string")
+    for bound in (D.BROADCAST_SEEDS, 0):
+        assert pairs(D.leaks(a, b, bound)) == want
+    n = {i: len(w) for i, w in items}
+    assert pairs(D.leaks(a, b, least=5)) == {(d, i) for d, i in want if n[i] >= 5}
+    assert {r.doc_id for r in D.clean(a, b, least=5).collect()} == {d for d, _ in docs} - {d for d, i in want if n[i] >= 5} | {600}
+    plan = D.leaks(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "NestedLoop"))
+
+
 def test_masks_tolerate_any_one_change():
     for changed in range(D.SPAN):
         assert any(changed not in m for m in D.MASKS)
