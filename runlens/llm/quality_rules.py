@@ -4,7 +4,10 @@
 text; ``RULES`` holds one row per limit, and ``assess`` compiles the rows into
 columns of the same projection.  ``RULES`` is the table of the registered query, whose
 SQL fixes it; ``keep``, the pipeline's stage, goes by ``KEEP_RULES``, which judges
-repeated lines by their share of the text.  No user function, join, exchange or aggregate:
+repeated lines by their share of the text, and stop words without case and outer
+punctuation and only in texts that look like a language of the list: nine letters of ten
+are of its alphabets, and one word of twenty has an ending that is common there.  A text
+that does not (another language, a table of numbers) is not judged by its stop words.  No user function, join, exchange or aggregate:
 the work is one pass over the scan, so a hot source or a group of copies costs
 no more than other rows.
 
@@ -30,6 +33,10 @@ STOP_WORDS = (
     "le la les de et un une des est que qui du dans pour pas "
     "el los las y en por con una se del lo no para"
 ).split()
+#: Letters of those languages, and common endings of their words.
+ALPHABET = "a-zäöüßàâçéèêëîïôùûœæñáíóú"
+ENDINGS = "ing ion ers est ent ung ich eit sch ten den ait ant eux ado ida ión nte".split()
+PUNCTUATION = ".,;:!?\"'()[]«»“”„…-"
 SYMBOLS = r"[^#*$%&|<>]+"
 WINDOW = 5
 
@@ -37,7 +44,8 @@ WINDOW = 5
 @dataclass(frozen=True)
 class Rule:
     """Fails a text when ``100 * measure`` is beyond ``percent * per``; texts with
-    fewer than ``from_words`` words or ``from_lines`` lines are not judged by the rule."""
+    fewer than ``from_words`` words or ``from_lines`` lines, or without the Boolean
+    measure ``only``, are not judged by the rule."""
 
     name: str
     measure: str
@@ -47,6 +55,7 @@ class Rule:
     base: bool = False
     from_words: int = 0
     from_lines: int = 0
+    only: str = ""
 
 
 RULES = (
@@ -60,8 +69,11 @@ RULES = (
 )
 
 #: One short line that stands twice among a few lines says nothing of a text: the characters decide, from four lines on.
-KEEP_RULES = tuple(
-    Rule("repeated_lines", "n_dup_line_chars", "above", 30, "n_line_chars", from_lines=4) if r.name == "repeated_lines" else r for r in RULES)
+_KEEP = {
+    "repeated_lines": Rule("repeated_lines", "n_dup_line_chars", "above", 30, "n_line_chars", from_lines=4),
+    "few_stop_words": Rule("few_stop_words", "n_function_words", "below", 1, "n_words", from_words=100, only="listed_language"),
+}
+KEEP_RULES = tuple(_KEEP.get(r.name, r) for r in RULES)
 
 
 def repeated_words(ws: Column, window: int = WINDOW) -> Column:
@@ -93,6 +105,14 @@ def repeated_words(ws: Column, window: int = WINDOW) -> Column:
     return let(F.transform(ws, lambda w: F.xxhash64(w)), over)
 
 
+def _listed(text: Column, ws: Column) -> Column:
+    """Whether a text looks like a language of the stop-word list, by its letters and its words' endings."""
+    foreign = F.length(F.regexp_replace(F.lower(text), rf"[{ALPHABET}]+|[^\p{{L}}]+", ""))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    ended = F.size(F.filter(ws, lambda w: F.right(F.rtrim(F.lower(w), F.lit(PUNCTUATION)), F.lit(3)).isin(ENDINGS)))
+    return (foreign * 10 <= letters) & (ended * 20 >= F.size(ws))
+
+
 def measures(docs: DataFrame, text: str = "text") -> list[Column]:
     """Measure columns over ``_words``, ``_lines`` and ``_text``."""
     ws, lines, t = F.col("_words"), F.col("_lines"), F.col("_text")
@@ -108,6 +128,9 @@ def measures(docs: DataFrame, text: str = "text") -> list[Column]:
         chars(lines).alias("n_line_chars"),
         (chars(lines) - chars(F.array_distinct(lines))).alias("n_dup_line_chars"),
         F.size(F.filter(ws, lambda w: w.isin(stop))).cast("long").alias("n_stop_words"),
+        F.size(F.filter(ws, lambda w: F.lower(F.btrim(w, F.lit(PUNCTUATION))).isin(sorted(set(STOP_WORDS))))).cast("long").alias("n_function_words"),
+        # short texts are judged by no rule that asks for it
+        F.when(F.size(ws) >= 100, _listed(t, ws)).otherwise(F.lit(False)).alias("listed_language"),
     ]
 
 
@@ -118,7 +141,8 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> list[Column]:
         per = F.lit(1) if r.per == "one" else F.col(r.per)
         left, right = F.col(r.measure) * 100, per * r.percent
         beyond = left > right if r.side == "above" else left < right
-        return (beyond & (F.col("n_words") >= r.from_words) & (F.col("n_lines") >= r.from_lines)).alias(f"fails_{r.name}")
+        judged = (F.col("n_words") >= r.from_words) & (F.col("n_lines") >= r.from_lines) & (F.col(r.only) if r.only else F.lit(True))
+        return (beyond & judged).alias(f"fails_{r.name}")
 
     return [flag(r) for r in rules]
 

@@ -70,3 +70,19 @@ def test_clean_documents_with_a_repeated_short_line_stay(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").join(clean, "doc_id", "left_semi")
     base = {r.doc_id for r in Q.assess(docs).where("NOT base_failed").collect()}
     assert {30, 3314, 3326} <= base and {r.doc_id for r in Q.keep(docs).collect()} == base
+
+
+def test_clean_texts_of_other_languages_and_in_capitals_stay(spark):
+    polish = ("Każdego ranka stary rybak wypływa łodzią na spokojne jezioro, gdzie mgła powoli znika nad wodą. Jego syn naprawia sieci, "
+              "liczy złowione ryby i opowiada sąsiadom, jaka pogoda będzie jutro. ")
+    russian = "Каждое утро старый рыбак выходит на озеро, чинит сети и рассказывает соседям, какая погода будет завтра. "
+    finnish = "Vanha kalastaja lähtee joka aamu järvelle, korjaa verkkoja ja kertoo naapureille, millainen sää huomenna tulee. "
+    english = "The old man walks to the river in the morning, and he is mending nets for the boats that were lost at sea. "
+    numbered = lambda t, n: " ".join(f"{t}{i}" for i in range(n))
+    vary = lambda t, k: " ".join(f"{w}" if i % 4 else f"{w} {numbered('x', 0)}{chr(97 + (i * 7 + j) % 26)}{chr(97 + (i + 5 * j) % 26)}" for j in range(k) for i, w in enumerate(t.split()))
+    salad = " ".join(f"{a}{b}{c}ing" for a in "bdfgk" for b in "aeiou" for c in ("rt", "nd", "lk", "mp", "st"))
+    texts = {1: vary(polish, 7), 2: vary(russian, 12), 3: vary(finnish, 12), 4: vary(english, 8).upper(), 5: salad, 6: vary(english, 8)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert all(len(t.split()) >= 100 for t in texts.values())
+    rules = tuple(r for r in Q.KEEP_RULES if not r.base)
+    assert sorted(r.doc_id for r in Q.keep(df, rules=rules).collect()) == [1, 2, 3, 4, 6]
