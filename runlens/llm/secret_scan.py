@@ -6,8 +6,12 @@ r"""Secret scan over a trigram inverted index; DataFrame functions only.
    queries name.  The content key is the MD5 of the text, so copies share postings.
 3. ``candidates`` intersects postings: a clause holds for a key that has all of its
    trigrams, a rule holds if a clause does.
-4. Texts are joined to the rules whose query holds and only those rules' regular
-   expressions run.  Only texts with a posting carry their text into that join.
+4. Texts meet the rules whose query holds, and only those rules' regular expressions
+   run.  The admitted keys, counted first, are broadcast up to ``BROADCAST_KEYS``, so no
+   text is exchanged.  Beyond that bound a text travels only if it holds, for some clause, the
+   trigram of the clause that has the fewest postings: without it the clause cannot hold.
+
+The postings and the admitted keys are written once to the shared checkpoint folder.
 
 Spans are cut natively: the pieces between matches (``split``) and the matches
 (``regexp_extract_all``) give the positions, in code points.  A match that fails
@@ -25,7 +29,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table
+from ..operators.joins import has_at_most
+from .common import let, table, written
 from .trigrams import ANY, needed, trigram_query
 
 
@@ -47,6 +52,8 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 20),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
 )
+#: Keys and rule numbers: at most some 50 bytes a row.
+BROADCAST_KEYS = 500_000
 SPAN = "array<struct<start:int,kind_no:int,kind:string,end:int>>"
 
 
@@ -86,7 +93,8 @@ def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     """Postings ``(trigram, key)``: trigram by its number in the rules' list."""
     t = F.coalesce(F.col(text), F.lit(""))
     names = needed([r.pattern for r in rules])
-    present = _present(F.lower(t), names) if names else F.array().cast("array<int>")
+    # bound, as a generator's argument would lower the text once for each trigram
+    present = let(F.lower(t), lambda low: _present(low, names)) if names else F.array().cast("array<int>")
     return (docs.select(_key(t).alias("key"), F.explode(present).alias("trigram"))
             .groupBy("trigram", "key").agg(F.count(F.lit(1)).alias("copies")).select("trigram", "key"))
 
@@ -106,23 +114,34 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     return held.groupBy("key").agg(F.collect_set("rule").alias("admitted"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _rarest(postings: DataFrame, rules: tuple[Rule, ...]) -> list[str]:
+    """Of each clause the trigram with the fewest postings; as many numbers reach the driver as the rules have trigrams."""
+    names = needed([r.pattern for r in rules])
+    held = {names[r.trigram]: r.n for r in postings.groupBy("trigram").agg(F.count(F.lit(1)).alias("n")).collect()}
+    clauses = [c for r in rules if trigram_query(r.pattern) != ANY for c in trigram_query(r.pattern)]
+    return sorted({min(sorted(c), key=lambda t: held.get(t, 0)) for c in clauses})
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", carry: tuple[str, ...] = ("doc_id",), bound: int = BROADCAST_KEYS) -> DataFrame:
     """``carry`` and ``spans`` (``SPAN``), by start and then by the rules' order."""
     queries = [trigram_query(r.pattern) for r in rules]
+    postings = written(index(docs, rules, text), "postings")
+    admitted = written(candidates(postings, rules), "admitted")
+    near = has_at_most(admitted, bound)
     t = F.coalesce(F.col(text), F.lit(""))
     hit = F.lit(False)
-    for x in needed([r.pattern for r in rules]):
+    for x in _rarest(postings, rules):
         hit = hit | F.contains(F.col("_low"), F.lit(x))
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")
     d = docs.select(carried, t.alias("_text"), F.lower(t).alias("_low")).withColumn("_hit", hit)
     full = [spans_of(F.col("_text"), r, no) for no, (r, q) in enumerate(zip(rules, queries, strict=True)) if q == ANY]
-    # rows without a posting need no candidates: their key only spreads them; "_held" is a name
+    # a row that cannot be admitted needs no key but to spread it in an exchange; "_held" is a name
     # of its own, as an alias "_text" would also be met inside the lambdas beside it
+    other = F.lit(None).cast("binary") if near else F.unhex(F.hex(F.xxhash64("_row", "_text")))
     d = d.select(
-        "_row", F.when(F.col("_hit"), F.col("_text")).alias("_held"),
-        F.when(F.col("_hit"), _key(F.col("_text"))).otherwise(F.unhex(F.hex(F.xxhash64("_row", "_text")))).alias("key"),
+        "_row", F.when(F.col("_hit"), F.col("_text")).alias("_held"), F.when(F.col("_hit"), _key(F.col("_text"))).otherwise(other).alias("key"),
         F.concat(F.array().cast(SPAN), *full).alias("_full"))
-    d = d.join(candidates(index(docs, rules, text), rules), "key", "left")
+    d = d.join(F.broadcast(admitted) if near else admitted, "key", "left")
     some = [F.when(F.array_contains("admitted", no), spans_of(F.col("_held"), r, no)).otherwise(F.array().cast(SPAN))
             for no, (r, q) in enumerate(zip(rules, queries, strict=True)) if q != ANY]
     return d.select("_row.*", F.sort_array(F.concat("_full", *some)).alias("spans"))

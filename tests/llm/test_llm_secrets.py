@@ -34,6 +34,18 @@ def test_spans_match_brute_force(spark):
     assert sum(len(s) for _, s in got) > 200
 
 
+def test_many_admitted_keys_give_the_same(spark):
+    ts = some_texts()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ts * 2)], "doc_id long, text string")
+    assert found(S.scan(df, bound=0)) == [(i, brute(t)) for i, t in enumerate(ts * 2)]
+
+
+def test_no_text_is_exchanged(spark):
+    docs = spark.createDataFrame(list(enumerate(some_texts())), "doc_id long, text string")
+    plan = S.scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_trigram_queries_never_lose_a_match():
     for t in some_texts():
         for r in S.RULES:
