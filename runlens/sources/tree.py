@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from .. import config as C
 from ..functions.json import json_bad_reason, strict_json
 from ..functions.text import WS_CLASS, line_count, py_strip
+from ..operators.joins import small_side
 from ..operators.sequence import first_per_group
 
 BINARY_FILE_SCHEMA = T.StructType([
@@ -95,6 +96,8 @@ def scan_runs(spark: SparkSession, root: str) -> DataFrame:
     return _layout(binary_files(spark, root), root)
 
 
+#: Paths of trajectory files that are broadcast with their numbers (some 200 bytes each).
+MAX_BROADCAST_PATHS = 500_000
 #: Paths that one scan is given; more make several scans of one union.
 MAX_PATHS = 50_000
 
@@ -242,11 +245,12 @@ def load_executions(spark: SparkSession, files: DataFrame, root: str,
     traj = in_dir.where(F.col("name").rlike(r"^execution_q[^/]*\.json$") & (F.size(F.split(rel, "/")) == 2))
     traj_t = named_texts(spark, files, root, pattern="execution_q*.json", max_bytes=max_bytes).where(
         F.col("gen").isNotNull() & rel.startswith(C.AGENT_EXECUTION_DIR + "/") & (F.size(F.split(rel, "/")) == 2))
+    # paths alone are numbered, so no document is sorted; broadcast behind a count, so none is exchanged either
     w = Window.partitionBy(*GEN).orderBy("name")
+    ords = small_side(traj.select("path", F.row_number().over(w).alias("ord")), MAX_BROADCAST_PATHS)
     doc = strict_json(F.col("text"))
-    multi = traj_t.select(
-        *GEN, F.lit(True).alias("is_multi"), F.col("name").alias("file"),
-        F.row_number().over(w).alias("ord"), doc.alias("doc"),
+    multi = traj_t.join(ords, "path").select(
+        *GEN, F.lit(True).alias("is_multi"), F.col("name").alias("file"), "ord", doc.alias("doc"),
         F.when(F.col("bad_reason") == "TOO_LARGE", "too_large").when(doc.isNull(), "bad_json")
         .otherwise("ok").alias("status"),
         F.col("length").alias("size"), F.lit(None).cast("string").alias("raw_preview"),

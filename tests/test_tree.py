@@ -2,11 +2,13 @@
 
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from runlens.plans.tree_plans import run_history, run_overview
+from runlens.sources import sinks
 from runlens.sources import tree as S
 from runlens.sources.artifacts import trajectory_turns
 
@@ -400,3 +402,15 @@ def test_chosen_files_are_one_scan(spark, tmp_root, monkeypatch):
     monkeypatch.setattr(S, "MAX_PATHS", 50_000)
     capped = {r.gen: r.bad_reason for r in S.read_text_capped(spark, files, root, 7).collect()}
     assert set(capped.values()) == {"TOO_LARGE"}
+
+
+def test_numbering_trajectories_moves_no_document(spark, runs_root):
+    files = sinks.ingest(spark, runs_root, os.path.join(os.path.dirname(runs_root), "numbered"))
+    ex = S.load_executions(spark, files, runs_root).where("is_multi AND status = 'ok'")
+    plan = spark._jvm.PythonSQLUtils.explainString(ex._jdf.queryExecution(), "formatted")
+    moved = [part for part in plan.split("\n\n") if re.match(r"\(\d+\) (Window|Sort|Exchange)", part.strip())]
+    assert any("Window" in part for part in moved) and not any("text#" in part or "doc#" in part for part in moved)
+    got = {}
+    for r in ex.select("run_name", "gen_name", "file", "ord").collect():
+        got.setdefault((r.run_name, r.gen_name), []).append((r.ord, r.file))
+    assert got and all([o for o, _ in sorted(v)] == list(range(1, len(v) + 1)) and [f for _, f in sorted(v)] == sorted(f for _, f in v) for v in got.values())
