@@ -17,6 +17,7 @@ ceil(t n) tokens with the other.
    buckets by hash, so one bucket holds two shared tokens: the index takes the 2-token
    combinations inside the buckets, about 3 p of them, not p^2.  b follows the size
    class of n; sets near the upper end of a class are indexed for the next one too.
+   Members of a list are counted where its key is; the lists of hot keys lie in parts.
 3. *Stars.*  In every list, the largest set is paired with the others.  The sizes and a
    bitmap of the tokens (differing bits bound the symmetric difference from below) leave
    the pairs that can link; these are verified on the whole sets, and the links give
@@ -51,11 +52,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.joins import has_at_most
+from ..operators.joins import has_at_most, small_side
 from .common import release, table, written
 from .components import components
 
 LEAST_FREQUENT, MOST_FREQUENT = 1, 4_000_000
+#: A key of about ``HOT`` rows or more, by one node of ``PROBE``, is spread over the tasks; broadcast up to ``MOST_HOT`` such keys.
+HOT, PROBE, MOST_HOT = 1_000_000, 64, 500_000
 #: Node ids that may be broadcast to choose the sets that verification needs (8 bytes each).
 MOST_IDS = 4_000_000
 #: Lists of up to so many members are paired by a join, longer ones in blocks with bitmaps.
@@ -331,11 +334,18 @@ def _postings(docs: DataFrame, text: str, size: int, law: Law, frequent) -> Data
         keys = law.keys(tokens, _is_in(tokens, frequent.value))
         return _signed(keys), np.full(len(keys), node, dtype=np.int64), np.full(len(keys), len(tokens), dtype=np.int32)
 
-    rows = _over_sets(docs, text, size, indexed, "key long, id long, n int")
+    rows = written(_over_sets(docs, text, size, indexed, "key long, id long, n int"), "entries")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # keys that one node of PROBE shows to be long; which keys they are changes where rows are counted, not what
+    seen = rows.where(F.pmod(F.xxhash64("id"), F.lit(PROBE)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    hot = small_side(written(seen.where(F.col("c") * PROBE >= HOT).select("key"), "hot-keys"), MOST_HOT)
     # one exchange, by key; equal rows of copies in several tasks then meet, and members are counted where they are
-    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").distinct()
-    rows = rows.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    return written(rows.where("members > 1"), "postings")
+    cool = rows.join(hot, "key", "left_anti").repartition(parts, "key").distinct()
+    cool = cool.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    # a hot key is spread by its nodes and counted in parts
+    spread = written(rows.join(hot, "key", "left_semi").repartition(parts, "key", "id").distinct(), "hot-entries")
+    sums = small_side(spread.groupBy("key").agg(F.count(F.lit(1)).alias("members")), MOST_HOT)
+    return written(cool.unionByName(spread.join(sums, "key").select(*cool.columns)).where("members > 1"), "postings")
 
 
 def _chosen(docs: DataFrame, text: str, size: int, ids: DataFrame, make, schema: str) -> DataFrame:

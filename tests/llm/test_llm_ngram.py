@@ -61,8 +61,10 @@ def corpus(n=260, seed=6):
     return out + [(n + i, out[i][1]) for i in range(20)]
 
 
-@pytest.mark.parametrize(("size", "percent", "frequent"), [(3, 90, 1), (2, 80, 3)])
-def test_components_match_brute_force(spark, monkeypatch, size, percent, frequent):
+@pytest.mark.parametrize(("size", "percent", "frequent", "hot", "probe"), [(3, 90, 1, 1_000_000, 64), (2, 80, 3, 1, 1), (2, 80, 1, 8, 2)])
+def test_components_match_brute_force(spark, monkeypatch, size, percent, frequent, hot, probe):
+    monkeypatch.setattr(ngram_join, "HOT", hot)  # no key is hot, all are, some are
+    monkeypatch.setattr(ngram_join, "PROBE", probe)
     monkeypatch.setattr(ngram_join, "LEAST_FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     monkeypatch.setattr(ngram_join, "SMALL", 3)
