@@ -22,13 +22,17 @@ ceil(t n) tokens with the other.
    bitmap of the tokens (differing bits bound the symmetric difference from below) leave
    the pairs that can link; these are verified on the whole sets, and the links give
    first components.
-4. *The rest.*  Lists that still span several components are gone through pair by
-   pair: short ones by a join, longer ones in blocks of bounded size dealt over the
-   tasks.  Pairs of one component need no proof; of the others, those that sizes and
-   bitmaps leave are verified on the whole sets.  A pair that shares several
-   lists is given in the one of its least shared key, as far as the ``FIRST_KEYS``
-   least keys of both tell.  No link between components can be missed, so the
-   components are exact.
+4. *Forests.*  Of the longer lists that still span several components, in blocks of
+   bounded size dealt over the tasks, each block gives a forest of the pairs that sizes
+   and bitmaps leave, fewer pairs than it has members, so a large group of near copies
+   is not paired member by member.  They are verified, and joined components
+   go round again while that finds links (``ROUNDS`` at most).
+5. *The rest.*  Lists that then still span several components are gone through pair by
+   pair: short ones by a join, longer ones in the blocks.  Pairs of one component need
+   no proof; of the others, those that sizes and bitmaps leave are verified on the
+   whole sets.  A pair that shares several lists is given in the one of its least
+   shared key, as far as the ``FIRST_KEYS`` least keys of both tell.  No link between
+   components can be missed, so the components are exact.
 
 Copies (equal word sequences) are one node from the first step on.  Nodes, words and
 shingles are told apart by 64-bit hashes; words and nodes mix a polynomial modulo 2^64
@@ -66,6 +70,8 @@ SMALL = 8
 #: Members of one side of a block.
 BLOCK = 2048
 BITS, MOST_BITS = 16, 16_384
+#: Forests of the longer lists that are verified before all pairs between components are.
+ROUNDS = 4
 #: Keys that a member carries to tell in which of its lists a pair is given.
 FIRST_KEYS = 64
 MEMO = 500_000
@@ -359,11 +365,15 @@ def _chosen(docs: DataFrame, text: str, size: int, ids: DataFrame, make, schema:
     return rows.groupBy("id").agg(*[F.first(c).alias(c) for c in rest])
 
 
-def _verified(docs: DataFrame, text: str, size: int, pairs: DataFrame, law: Law) -> DataFrame:
-    """The pairs ``(a, b)`` whose whole sets reach the threshold."""
+def _sets(docs: DataFrame, text: str, size: int, pairs: DataFrame) -> DataFrame:
+    """``id, tokens`` of the pairs' nodes."""
     ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
     sets = _chosen(docs, text, size, ids, lambda node, tokens: ([node], [_signed(tokens)]), "id long, tokens array<long>")
-    sets = written(sets, "sets")
+    return written(sets, "sets")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, law: Law) -> DataFrame:
+    """The pairs ``(a, b)`` whose whole sets reach the threshold."""
     x, y = (sets.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}")) for c in ("a", "b"))
     both = F.size(F.array_intersect("ta", "tb"))
     return pairs.join(x, "a").join(y, "b").where(
@@ -382,15 +392,11 @@ def _few_bits(differing: np.ndarray, total: np.ndarray, law: Law) -> np.ndarray:
     return differing * (100 + law.percent) <= total * (100 - law.percent)
 
 
-def _pairs_of(run: dict[str, np.ndarray], maps: list[bytes], firsts: list[np.ndarray], across: bool, law: Law) -> tuple[list, list]:
-    """The pairs of one block that may link and are given in its list; ``across``: only
-    between the block's two sides."""
-    by = np.argsort(run["n"], kind="stable")
-    run = {k: v[by] for k, v in run.items()}
-    sizes = np.array([len(m) for m in maps])[by]
-    maps, firsts = [maps[i] for i in by], [firsts[i] for i in by]
-    n, key = run["n"].astype(np.int64), run["key"][0]
-    out_a, out_b = [], []
+def _partners(run: dict[str, np.ndarray], maps: list[bytes], across: bool, law: Law) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per row of a block (by ascending ``n``), the later rows that may link with it and the
+    bits that differ; ``across``: only between the block's two sides."""
+    n = run["n"].astype(np.int64)
+    sizes = np.array([len(m) for m in maps])
     folded: dict[int, tuple[int, np.ndarray]] = {}
     for size in np.unique(sizes):
         from_row = int(np.searchsorted(sizes, size))  # sizes follow n, so they ascend
@@ -406,7 +412,23 @@ def _pairs_of(run: dict[str, np.ndarray], maps: list[bytes], firsts: list[np.nda
             continue
         start, rows = folded[int(sizes[i])]
         differing = np.bitwise_count(rows[j - start] ^ rows[i - start]).sum(axis=1, dtype=np.int64)
-        for k in j[_few_bits(differing, n[i] + n[j], law)]:
+        few = _few_bits(differing, n[i] + n[j], law)
+        yield i, j[few], differing[few]
+
+
+def _by_size(run: dict[str, np.ndarray], *others: list) -> tuple:
+    by = np.lexsort((run["id"], run["n"]))
+    return {k: v[by] for k, v in run.items()}, *([o[i] for i in by] for o in others)
+
+
+def _pairs_of(run: dict[str, np.ndarray], maps: list[bytes], firsts: list[np.ndarray], across: bool, law: Law) -> tuple[list, list]:
+    """The pairs of one block that may link and are given in its list; ``across``: only
+    between the block's two sides."""
+    run, maps, firsts = _by_size(run, maps, firsts)
+    key = run["key"][0]
+    out_a, out_b = [], []
+    for i, j, _ in _partners(run, maps, across, law):
+        for k in j:
             shared = np.intersect1d(firsts[i], firsts[k], assume_unique=True)
             if not len(shared) or shared[0] == key:
                 out_a.append(int(min(run["id"][i], run["id"][k])))
@@ -414,6 +436,30 @@ def _pairs_of(run: dict[str, np.ndarray], maps: list[bytes], firsts: list[np.nda
     return out_a, out_b
 
 
+def _forest_of(run: dict[str, np.ndarray], maps: list[bytes], across: bool, law: Law, round_: int) -> tuple[list, list]:
+    """A forest of the block's pairs that may link.  The first round's is over the members and
+    touches each that has such a pair; later ones are over components and take other pairs."""
+    run, maps = _by_size(run, maps)
+    _, group = np.unique(run["comp" if round_ else "id"], return_inverse=True)
+    alike = [set() for _ in range(int(group.max()) + 1)]  # joined here so far: one set object each
+    for g, x in enumerate(alike):
+        x.add(g)
+    out_a, out_b = [], []
+    for i, j, differing in _partners(run, maps, across, law):
+        # nearest first; a later round begins at another place
+        by = np.roll(np.argsort(differing, kind="stable"), -(round_ * len(j) // ROUNDS)) if len(j) else j
+        for k in j[by]:
+            mine, other = alike[group[i]], alike[group[k]]
+            if mine is not other:
+                out_a.append(int(min(run["id"][i], run["id"][k])))
+                out_b.append(int(max(run["id"][i], run["id"][k])))
+                small, large = sorted((mine, other), key=len)
+                large |= small
+                for g in small:
+                    alike[g] = large
+    return out_a, out_b
+
+
 def _near(pairs: DataFrame, maps: DataFrame, law: Law) -> DataFrame:
     """The pairs ``a, b`` whose bitmaps let them link."""
 
@@ -439,8 +485,9 @@ def _short_pairs(lists: DataFrame, law: Law) -> DataFrame:
     return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("compa") != F.col("compb")) & fit).select("a", "b").distinct()
 
 
-def _long_pairs(lists: DataFrame, maps: DataFrame, law: Law) -> DataFrame:
-    """Pairs of different components that may link from long lists, in blocks."""
+def _long_pairs(lists: DataFrame, maps: DataFrame, law: Law, forest: int | None = None) -> DataFrame:
+    """Pairs of different components that may link from long lists, in blocks; only a forest
+    of each block where ``forest``, the round, is given."""
     spark = lists.sparkSession
     dealt = lists.join(maps.drop("n"), "id").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -459,8 +506,11 @@ def _long_pairs(lists: DataFrame, maps: DataFrame, law: Law) -> DataFrame:
             run = {c: rows.column(c).to_numpy() for c in ("key", "id", "n", "comp", "side")}
             if (run["comp"] == run["comp"][0]).all():
                 return None
-            firsts = [np.array(f, dtype=np.int64) for f in rows.column("firsts").to_pylist()]
-            a, b = _pairs_of(run, rows.column("bits").to_pylist(), firsts, last[1] != last[2], law)
+            bits, across = rows.column("bits").to_pylist(), last[1] != last[2]
+            if forest is not None:
+                a, b = _forest_of(run, bits, across, law, forest)
+            else:
+                a, b = _pairs_of(run, bits, [np.array(f, dtype=np.int64) for f in rows.column("firsts").to_pylist()], across, law)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if a else None
 
         for batch in batches:
@@ -512,15 +562,41 @@ def labels(docs: DataFrame, size: int, percent: int, text: str = "text") -> Data
 
     maps = written(_chosen(docs, text, size, lists.select("id").distinct(), described, "id long, bits binary, n int, firsts array<long>"), "bitmaps")
     stars = written(_near(_star_pairs(lists, law), maps, law), "star-pairs")
-    found = written(_verified(docs, text, size, stars, law), "star-links")
-    labelled = lists.join(components(found, "a", "b").withColumnRenamed("label", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    found = written(_verified(_sets(docs, text, size, stars), stars, law), "star-links")
+    left = written(_open(lists, found), "open-lists")
+    short = _near(_short_pairs(left.where(F.col("members") <= SMALL), law).join(stars, ["a", "b"], "left_anti"), maps, law)
+    short = written(short, "short-pairs")
+    # every node that may link in a longer list is in the first forest, so the others go
+    long = written(_long_pairs(left.where(F.col("members") > SMALL), maps, law, 0).distinct(), "forest")
+    sets = _sets(docs, text, size, short.unionByName(long))
+    touched = long.select(F.col("a").alias("id")).unionByName(long.select(F.col("b").alias("id"))).distinct()
+    lists = written(left.where(F.col("members") > SMALL).drop("comp").join(touched, "id", "left_semi"), "open-lists")
+    more, tried = written(_verified(sets, short.unionByName(long).distinct(), law), "links"), stars.unionByName(short).unionByName(long)
+    found = found.unionByName(more)
+    for k in range(1, ROUNDS):
+        if more.isEmpty():
+            break
+        left = written(_open(lists, found), "open-lists")
+        lists = left.drop("comp")
+        here = _long_pairs(left, maps, law, k).distinct().join(tried, ["a", "b"], "left_anti")
+        here = written(here, "forest")
+        more = written(_verified(sets, here, law), "links")
+        found, tried = found.unionByName(more), tried.unionByName(here)
+    rest = _long_pairs(_open(lists, found), maps, law).distinct().join(tried, ["a", "b"], "left_anti")
+    return components(found.unionByName(_verified(sets, written(rest, "rest-pairs"), law)), "a", "b")
+
+
+def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists with ``comp``, each member's component by the links so far."""
+    known = components(links, "a", "b").withColumnRenamed("label", "comp")
+    return lists.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def _open(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """Lists that span several components, with ``comp``."""
+    labelled = _labelled(lists, links)
     several = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = written(labelled.join(several, "key", "left_semi"), "open-lists")
-    short = _short_pairs(left.where(F.col("members") <= SMALL), law).join(stars, ["a", "b"], "left_anti")
-    long = _long_pairs(left.where(F.col("members") > SMALL), maps, law)
-    rest = _near(short, maps, law).unionByName(long).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(docs, text, size, written(rest, "rest-pairs"), law)
-    return components(found.unionByName(more), "a", "b")
+    return labelled.join(several, "key", "left_semi")
 
 
 def with_components(docs: DataFrame, size: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:

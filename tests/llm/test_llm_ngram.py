@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from fixtures_llm import edge_docs, empty_docs, rows
+from pyspark.sql import functions as F
 from runlens.llm import components, ngram_join
 from runlens.llm import ngram_join as N
 
@@ -76,6 +77,46 @@ def test_components_match_brute_force(spark, monkeypatch, size, percent, frequen
     assert len({c for _, c in want.values()}) < len(texts) - 60
 
 
+def test_a_group_of_near_copies_is_not_paired_member_by_member(spark, monkeypatch):
+    """Every list's largest set links with nothing in it, so the stars find no link."""
+    monkeypatch.setattr(ngram_join, "LEAST_FREQUENT", 200)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    texts = [(i, " ".join([*base, f"own{i}", f"odd{rng.randrange(10**6)}"])) for i in range(120)]
+    texts += [(1000 + i, " ".join([*base[i:i + 40], *(f"x{i}y{k}" for k in range(139))])) for i in range(0, 111)]
+    pairs, plain = Counter(), ngram_join.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        pairs[name] += out.count() if name in ("star-pairs", "short-pairs", "forest", "rest-pairs") else 0
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    monkeypatch.setattr(ngram_join, "_star_pairs", lambda lists, law: lists.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.with_components(spark.createDataFrame(texts, "doc_id long, text string"), 3, 90).collect()}
+    assert got == brute(texts, 3, 90) and len({c for d, (_, c) in got.items() if d < 1000}) == 1
+    assert sum(pairs.values()) < 3 * len(texts), pairs  # 7,140 pairs of the group before
+
+
+def test_a_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(7)
+    law, maps, sets = N.Law(80), [], []
+    for _ in range(6):
+        tokens = np.unique(rng.integers(0, 2**63, 100).astype(np.uint64))
+        sets += [np.delete(tokens, rng.choice(len(tokens), 5, replace=False)) for _ in range(25)]
+    maps = [N.bitmap(x) for x in sets]
+    n = np.array([len(x) for x in sets], dtype=np.int32)
+    run = {"key": np.zeros(len(sets), dtype=np.int64), "id": rng.permutation(len(sets)).astype(np.int64), "n": n, "side": np.arange(len(sets)) % 2}
+    run["comp"] = run["id"] // 2
+    for across in (False, True):
+        every = set(zip(*N._pairs_of(run, maps, [np.zeros(0, dtype=np.int64)] * len(sets), across, law), strict=True))
+        for k in range(N.ROUNDS):
+            some = set(zip(*N._forest_of(run, maps, across, law, k), strict=True))
+            assert some <= every and len(some) < len(sets) < len(every)
+            if k == 0:
+                assert {x for p in some for x in p} == {x for p in every for x in p}
+
+
 def test_thue_morse_texts_are_told_apart(spark):
     """Letters and words in patterns that collide under any polynomial modulo 2^64."""
     def tm(n, pair):
