@@ -3,13 +3,14 @@ r"""Chat formatting: prefix-target expansion.
 Every assistant turn becomes an example of its own whose context is all earlier
 turns and whose only trainable part is that reply.
 
-The formatted text of a conversation is written once; an example is a prefix of
-it.  ``examples`` explodes the assistant turns into rows ``(conv_id, example,
-loss_start, loss_end)``: the input of the example is ``formatted[0:loss_end]``
-and the loss mask is ``[loss_start, loss_end)``, code points.  So the output
-grows with the conversation and not with its square; ``materialise`` cuts the
-inputs out where a trainer wants them as text.  The registered query makes all example
-rows (``expanded``) and reads the conversations back from them (``gathered``).
+``expanded`` explodes the assistant turns of a formatted conversation into example
+rows ``(conv_id, example, input, loss_start, loss_end)``: the input holds all earlier
+turns and the reply, ``formatted[0:loss_end]``, and the loss mask is ``[loss_start,
+loss_end)``, code points.  The inputs of a conversation grow with the square of its
+turns; they are made row by row and no exchange carries them.  The registered query
+makes all example rows and reads the conversations back from them (``gathered``): the
+turns from the longest input and what follows it, the trainable text from each
+example's own input under its own mask.
 
 Template: each turn is ``<|im_start|>`` role ``\n`` text ``<|im_end|>\n``.
 Control strings inside texts get a backslash after their first character, and one
@@ -79,40 +80,45 @@ def formatted(conversations: DataFrame) -> DataFrame:
 
 
 def expanded(form: DataFrame) -> DataFrame:
-    """One row per assistant turn, ``conv_id, example, loss_start, loss_end, text``, where
-    ``text``, the formatted conversation, stands in its first row only; a conversation
-    without assistant turns has one row with a null ``example``."""
-    rows = form.select("conv_id", "formatted", F.posexplode_outer("targets").alias("example", "s"))
+    """One row per assistant turn, ``conv_id, example, input, loss_start, loss_end, rest``:
+    ``input`` is all that stands before the end of the reply, and ``rest``, in the last
+    example's row only, all that follows it; a conversation without assistant turns has one
+    row with a null ``example`` and ``input`` and all its text as ``rest``."""
+    rows = form.select("conv_id", "formatted", F.size("targets").alias("n"), F.posexplode_outer("targets").alias("example", "s"))
+    end = F.coalesce(F.col("s.loss_end"), F.lit(0))
     return rows.select(
-        "conv_id", "example", F.col("s.loss_start").alias("loss_start"), F.col("s.loss_end").alias("loss_end"),
-        F.when(F.coalesce("example", F.lit(0)) == 0, F.col("formatted")).alias("text"))
+        "conv_id", "example", F.when(F.col("example").isNotNull(), F.substring("formatted", F.lit(1), end)).alias("input"),
+        F.col("s.loss_start").alias("loss_start"), F.col("s.loss_end").alias("loss_end"),
+        F.when(F.coalesce("example", F.col("n") - 1) == F.col("n") - 1, F.substring("formatted", end + 1, F.lit(2**31 - 1))).alias("rest"))
 
 
 def examples(form: DataFrame) -> DataFrame:
     """One row per assistant turn: ``conv_id, example, loss_start, loss_end``."""
-    return expanded(form).where("example IS NOT NULL").drop("text")
+    return expanded(form).where("example IS NOT NULL").drop("input", "rest")
 
 
 def gathered(rows: DataFrame) -> DataFrame:
-    """The rows of ``expanded`` back by conversation: ``conv_id``, ``formatted`` and
-    ``targets``, the masked spans of its examples by their order."""
-    span = F.when(F.col("example").isNotNull(), F.struct("example", "loss_start", "loss_end"))
-    convs = rows.groupBy("conv_id").agg(F.first("text", ignorenulls=True).alias("formatted"), F.sort_array(F.collect_list(span)).alias("es"))
+    """The rows of ``expanded`` back by conversation: ``conv_id``, ``formatted`` (the longest
+    input and what follows it), ``targets``, the masked spans of its examples by their order,
+    and ``replies``, what each example's input holds under its mask."""
+    reply = F.substring("input", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))
+    span = F.when(F.col("example").isNotNull(), F.struct("example", "loss_start", "loss_end", reply.alias("reply")))
+    convs = rows.groupBy("conv_id").agg(
+        F.max_by("input", "example").alias("longest"), F.first("rest", ignorenulls=True).alias("rest"), F.sort_array(F.collect_list(span)).alias("es"))
     spans = F.transform("es", lambda e: F.struct(e["loss_start"].alias("loss_start"), e["loss_end"].alias("loss_end")))
-    return convs.select("conv_id", "formatted", spans.alias("targets"))
+    whole = F.concat(F.coalesce("longest", F.lit("")), F.coalesce("rest", F.lit("")))
+    return convs.select("conv_id", whole.alias("formatted"), spans.alias("targets"), F.transform("es", lambda e: e["reply"]).alias("replies"))
 
 
 def materialise(form: DataFrame) -> DataFrame:
-    """The examples as text: ``conv_id, example, input, loss_start, loss_end``.  Its
-    size is the sum over assistant turns of everything before them."""
-    return form.select("conv_id", "formatted", F.posexplode("targets").alias("example", "s")).select(
-        "conv_id", "example", F.substring("formatted", F.lit(1), F.col("s.loss_end")).alias("input"),
-        F.col("s.loss_start").alias("loss_start"), F.col("s.loss_end").alias("loss_end"))
+    """The examples alone: ``conv_id, example, input, loss_start, loss_end``."""
+    return expanded(form).where("example IS NOT NULL").drop("rest")
 
 
 def read_back(form: DataFrame) -> DataFrame:
-    """Per conversation, from the formatted text and the masked spans alone: the
-    ``turns`` as array<struct<role, text>> and ``loss``, all trainable text."""
+    """Per conversation, from the formatted text and the masked spans alone (or the
+    examples' ``replies``, where gathered): the ``turns`` as array<struct<role, text>> and
+    ``loss``, all trainable text."""
 
     def turn(x: Column) -> Column:
         body = F.substring(x, len(START) + 1, 2**31 - 1)
@@ -120,7 +126,10 @@ def read_back(form: DataFrame) -> DataFrame:
         return F.struct(unescape_role(F.left(body, cut - 1)).alias("role"), unescape(F.substring(body, cut + 1, F.lit(2**31 - 1))).alias("text"))
 
     pieces = F.split("formatted", r"<\|im_end\|>\n", -1)
-    masked = F.transform("targets", lambda s: unescape(F.substring(F.col("formatted"), s["loss_start"] + 1, s["loss_end"] - s["loss_start"])))
+    if "replies" in form.columns:
+        masked = F.transform("replies", unescape)
+    else:
+        masked = F.transform("targets", lambda s: unescape(F.substring(F.col("formatted"), s["loss_start"] + 1, s["loss_end"] - s["loss_start"])))
     return form.select(
         "conv_id", "formatted",
         let(pieces, lambda p: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), turn)).alias("turns"),

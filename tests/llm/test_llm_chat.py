@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
 from runlens.llm import chat_format as C
 
 SCHEMA = "conv_id long, turn long, role string, text string, formatted string"
@@ -59,6 +60,23 @@ def test_the_query_goes_through_its_examples(spark, monkeypatch):
     assert before.keys() == after.keys() and any(after[c] < before[c] for c in before)  # a missed example shows
 
 
+def test_the_query_reads_the_inputs_of_its_examples(spark, monkeypatch):
+    rows = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "q2"), (1, 3, "assistant", "a2"), (1, 4, "user", "q3"), (2, 0, "user", "alone")]
+    got = {(r.conv_id, r.example): r for r in C.expanded(C.formatted(frame(spark, rows))).collect()}
+    first, second, alone = got[1, 0], got[1, 1], got[2, None]
+    assert second.input.startswith(first.input) and first.input.endswith("a1") and second.input.endswith("a2") and "q3" in second.rest
+    assert first.rest is None and alone.input is None and "alone" in alone.rest
+    gathered = {r.conv_id: r for r in C.gathered(C.expanded(C.formatted(frame(spark, rows)))).collect()}
+    assert gathered[1].replies == ["a1", "a2"] and gathered[2].replies == []
+
+    sf = "/root/testdata/sf0.001"
+    before = {r.conv_id: r for r in C.query(spark, sf).collect()}
+    plain = C.expanded
+    monkeypatch.setattr(C, "expanded", lambda f: plain(f).withColumn("input", F.replace("input", F.lit("a"), F.lit("?"))))
+    after = {r.conv_id: r for r in C.query(spark, sf).collect()}
+    assert any(after[c].loss_sha256 != r.loss_sha256 for c, r in before.items()) and any(after[c].turns_sha256 != r.turns_sha256 for c, r in before.items())
+
+
 def escaped(x):
     return re.sub(r"([<\[])(\\*)(?=\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\]|/?SYS>>)", r"\1\\\2", x)
 
