@@ -4,13 +4,15 @@ Generators propose overlapping spans with high recall: everything that the base
 rules match, digit groups in many notations, and spelled-out addresses.  Each
 candidate has format features (digits, separators, groups, checksums, ranges) and
 context features (neighbouring characters and cue words before it).  The trees are
-fitted on a bounded sample of candidates (``TRAIN_CANDIDATES``, from
-``TRAIN_DOCS`` documents in expectation, both chosen by hash).  Base spans are
+fitted on the candidates of all different texts, by histograms: equal feature vectors
+are counted, values are binned at cuts of all of them, and each level of a tree is one
+pass over the counted bins whose tasks give sums of gradients by node, feature and bin;
+the driver sees only those sums (integers, so the same in any order).  Base spans are
 positives.  A generator's candidate has a label of its own, by ``evidence``: its format
 and the cue words before it.  So that there are such candidates for every kind the
 corpus holds, each base span is also rewritten in place into other notations
 (``rewritten``), near misses among them.  On the generators' candidates of a held-back
-fifth each kind gets the lowest threshold that still reaches ``PRECISION``; a kind that
+fifth of the texts each kind gets the lowest threshold that still reaches ``PRECISION``; a kind that
 never does, or has fewer than ``LEAST_CALIBRATION`` of them, adds nothing.
 
 Selection: the base spans stay, always; a further candidate at or above its kind's
@@ -19,8 +21,8 @@ threshold is added unless it overlaps a base span or a better addition.
 Limits of the generators (the base rules have none): digit groups of 7 to 25 digits, spelled-out
 addresses with up to 40 characters before the mark and up to four labels after the first.
 
-Texts are handled whole, one at a time, in Arrow batches; there is no exchange, so
-neither a hot source nor copies gather anywhere.
+Texts are handled whole, one at a time, in Arrow batches; no exchange carries texts, and
+the candidates of copies are put into one before theirs.
 
 Defined results: null text counts as empty (no spans); repeated rows are scanned
 row by row; an empty table gives an empty table.
@@ -35,15 +37,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, table
+from .common import release, table, written
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS, TRAIN_CANDIDATES = 20_000, 20_000
 PRECISION, LEAST_CALIBRATION = 0.99, 50
 ROUNDS, DEPTH, RATE, BINS = 24, 3, 0.3, 16
+#: Gradients are summed as whole multiples of 1 / ``UNIT``.
+UNIT = 2**30
 
 _EMAIL_AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -228,47 +231,77 @@ class Trees:
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.start)
-        rows = np.arange(len(x))
         for which, cuts, leaves in self.splits:
-            node = np.zeros(len(x), dtype=np.int64)
-            for _ in range(DEPTH):
-                node = 2 * node + 1 + (x[rows, which[node]] > cuts[node])
-            out += leaves[node - (2**DEPTH - 1)]
+            out += leaves[_below(x, which, cuts, DEPTH) - (2**DEPTH - 1)]
         return out
 
 
+def _below(x: np.ndarray, which: np.ndarray, cuts: np.ndarray, levels: int) -> np.ndarray:
+    """The node of one tree that each row reaches after so many levels."""
+    node, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+    for _ in range(levels):
+        node = 2 * node + 1 + (x[rows, which[node]] > cuts[node])
+    return node
+
+
+def _bins(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """Per value the number of its feature's cuts below it: it is greater than cut ``c`` if its bin is."""
+    return np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T, strict=True)], axis=1).astype(np.uint8)
+
+
+def _sums(bins: np.ndarray, y: np.ndarray, n: np.ndarray, trees: Trees, which: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
+    """Gradients and curvatures of ``n`` rows each, summed by node of the level, feature and bin."""
+    p = 1 / (1 + np.exp(-trees.margin(bins)))
+    node = _below(bins, which, cut, level) - (2**level - 1)
+    out = np.zeros((2, 2**level, bins.shape[1], 2 * BINS), dtype=np.int64)
+    for k, v in enumerate((y - p, p * (1 - p))):
+        whole = np.rint(v * UNIT).astype(np.int64) * n
+        for j in range(bins.shape[1]):
+            np.add.at(out[k], (node, j, bins[:, j]), whole)
+    return out
+
+
+def _start(share: float) -> float:
+    share = float(np.clip(share, 1e-3, 1 - 1e-3))
+    return float(np.log(share / (1 - share)))
+
+
+def boosted(share: float, cuts: list[np.ndarray], sums) -> Trees:
+    """Second-order boosting with a logistic loss; ``sums(trees, which, cut, level)`` gives
+    the histograms of a level, with ``trees`` and ``cut`` over bins."""
+    trees, binned = Trees(_start(share)), Trees(_start(share))
+    inner = 2**DEPTH - 1
+    for _ in range(ROUNDS):
+        which, cut, at = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf), np.full(inner, np.inf)
+        leaves = np.zeros(2**DEPTH)
+        for level in range(DEPTH):
+            got = sums(binned, which, at, level) / UNIT
+            for k in range(2**level):
+                n, (g, h) = 2**level - 1 + k, got[:, k]
+                left, total = np.cumsum(np.stack([g, h]), axis=2), (g[0].sum(), h[0].sum())
+                best, sides = 1e-6, ((*total,), (0.0, 0.0))
+                for j, c in enumerate(cuts):
+                    for b in range(len(c)):
+                        (gl, hl), (gr, hr) = left[:, j, b], total - left[:, j, b]
+                        gain = gl * gl / (hl + 1) + gr * gr / (hr + 1) - total[0] ** 2 / (total[1] + 1)
+                        if gain > best:
+                            best, which[n], cut[n], at[n], sides = gain, j, c[b], b, ((gl, hl), (gr, hr))
+                if level == DEPTH - 1:
+                    leaves[2 * k:2 * k + 2] = [RATE * a / (b + 1) for a, b in sides]
+        trees.splits.append((which, cut, leaves))
+        binned.splits.append((which, at, leaves))
+    return trees
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Second-order boosting with a logistic loss and quantile cuts."""
-    share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
-    trees = Trees(float(np.log(share / (1 - share))))
+    """Trees of rows at hand, with quantile cuts."""
     if len(y) < 20 or y.min() == y.max():
-        return trees
+        return Trees(_start(float(y.mean()) if len(y) else 0.5))
     cuts = [np.unique(v) for v in x.T]
     # all cuts of a feature with few values, so that a rare one can be told apart
     cuts = [u[:-1] if len(u) <= 2 * BINS else np.unique(np.quantile(v, np.linspace(0, 1, BINS + 1)[1:-1])) for u, v in zip(cuts, x.T, strict=True)]
-    margin = np.full(len(y), trees.start)
-    for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-margin))
-        g, h = y - p, p * (1 - p)
-        inner = 2**DEPTH - 1
-        which, cut, node = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf), np.zeros(len(y), dtype=np.int64)
-        for n in range(inner):
-            rows = np.flatnonzero(node == n)
-            best = 1e-6
-            for j, at in enumerate(cuts):
-                for c in at:
-                    right = x[rows, j] > c
-                    gr, hr = g[rows][right].sum(), h[rows][right].sum()
-                    gl, hl = g[rows].sum() - gr, h[rows].sum() - hr
-                    gain = gl * gl / (hl + 1) + gr * gr / (hr + 1) - (gl + gr) ** 2 / (hl + hr + 1)
-                    if gain > best:
-                        best, which[n], cut[n] = gain, j, c
-            node[rows] = 2 * n + 1 + (x[rows, which[n]] > cut[n])
-        leaf = node - inner
-        leaves = np.array([RATE * g[leaf == k].sum() / (h[leaf == k].sum() + 1) for k in range(2**DEPTH)])
-        trees.splits.append((which, cut, leaves))
-        margin += leaves[leaf]
-    return trees
+    bins, ones = _bins(x, cuts), np.ones(len(y), dtype=np.int64)
+    return boosted(float(y.mean()), cuts, lambda *tree: _sums(bins, y, ones, *tree))
 
 
 @dataclass
@@ -294,41 +327,95 @@ class Model:
 def _candidate_rows(docs: DataFrame, text: str) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(h, *c) for h, t in zip(b["h"], b["t"], strict=True) for c in examples(t)]
-            yield pd.DataFrame(out, columns=["h", "at", "kind", "base", "label", "x"])
+            out = [(h, i, *c[1:]) for h, t in zip(b["h"], b["t"], strict=True) for i, c in enumerate(examples(t))]
+            yield pd.DataFrame(out, columns=["h", "i", "kind", "base", "label", "x"])
         b = out = None
         release()
 
     return docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("t")).where("t IS NOT NULL").mapInPandas(
-        rows, "h long, at int, kind string, base boolean, label boolean, x array<double>")
+        rows, "h long, i int, kind string, base boolean, label boolean, x array<double>")
+
+
+def _cuts(vectors: DataFrame) -> list[np.ndarray]:
+    """Per feature, all its values but the greatest where there are few, or quantiles of all."""
+    values = vectors.select(F.posexplode("x").alias("j", "v"), "n").groupBy("j", "v").agg(F.sum("n").alias("n"))
+    at = ", ".join(f"{k / BINS}D" for k in range(1, BINS))
+    found = values.groupBy("j").agg(
+        F.count(F.lit(1)).alias("c"), F.slice(F.sort_array(F.collect_list("v")), 1, 2 * BINS).alias("few"), F.expr(f"percentile(v, array({at}), n)").alias("q"))
+    by = {r.j: r for r in found.collect()}  # one row a feature
+    return [np.array(by[j].few[:-1]) if by[j].c <= 2 * BINS else np.unique(by[j].q) for j in range(FEATURES)]
+
+
+def _binned(vectors: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """``vectors`` with ``x`` as one byte per feature, equal rows counted."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                b["x"] = [r.tobytes() for r in _bins(np.stack(b["x"].to_numpy()), cuts)]
+                yield b
+
+    got = vectors.mapInPandas(rows, "kind string, base boolean, label boolean, back boolean, x binary, n long")
+    return got.groupBy("kind", "base", "label", "back", "x").agg(F.sum("n").alias("n"))
+
+
+def _matrix(x: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(x), dtype=np.uint8).reshape(-1, FEATURES)
+
+
+def _level(bins: DataFrame):
+    """``boosted``'s ``sums`` over ``bins``; a task gives one row of a fixed size."""
+
+    def sums(trees: Trees, which: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = 0
+            for b in batches:
+                if len(b):
+                    out = out + _sums(_matrix(b["x"]), b["label"].to_numpy().astype(float), b["n"].to_numpy(), trees, which, cut, level)
+            if not isinstance(out, int):
+                yield pd.DataFrame({"s": [out.tobytes()]})
+
+        got = bins.select("label", "x", "n").mapInPandas(rows, "s binary").toArrow().column("s").to_pylist()
+        return sum(np.frombuffer(x, dtype=np.int64) for x in got).reshape(2, 2**level, FEATURES, 2 * BINS)
+
+    return sums
+
+
+def _precise(held: DataFrame, trees: Trees) -> dict[str, float]:
+    """Per kind the lowest margin of the ``held`` candidates from which on they reach ``PRECISION``."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                b["m"] = trees.margin(np.stack(b["x"].to_numpy()))
+                yield b[["kind", "label", "n", "m"]]
+
+    right = F.sum(F.when(F.col("label"), F.col("n")).otherwise(0))
+    by = held.select("kind", "label", "n", "x").mapInPandas(rows, "kind string, label boolean, n long, m double").groupBy("kind", "m").agg(
+        F.sum("n").alias("n"), right.alias("r"))
+    # one row for each margin that the trees give; a few leaves in each of them
+    upward = Window.partitionBy("kind").orderBy(F.desc("m"))
+    seen = by.withColumn("precision", F.sum("r").over(upward) / F.sum("n").over(upward))
+    good = F.min(F.when((F.col("precision") >= PRECISION) & (F.col("m") > 0), F.col("m")))
+    found = seen.groupBy("kind").agg(F.sum("n").alias("n"), good.alias("m")).collect()  # a row a kind
+    return {r.kind: r.m for r in found if r.n >= LEAST_CALIBRATION and r.m is not None}
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
-    # different texts are counted and copies meet in one row, so that a text with many copies fills neither sample
-    n = docs.agg(F.approx_count_distinct(F.xxhash64(text)).alias("n")).first().n
-    share = min(1.0, TRAIN_DOCS / max(n, 1))
-    few = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else docs
-    few = few.groupBy(F.xxhash64(text).alias("_h")).agg(F.first(text).alias(text)).select(text)
-    # sorted by hash, so the same rows whatever the partitions; at most TRAIN_CANDIDATES reach the driver
-    got = _candidate_rows(few, text).orderBy("h", "at", "kind", "base", "label", "x").limit(TRAIN_CANDIDATES).toArrow().to_pandas()
+    # copies give the same candidates, which are put into one, so that a text with many copies has no more weight
+    different = _candidate_rows(docs, text).dropDuplicates(["h", "i"])
+    back = F.pmod(F.shiftright("h", 24), F.lit(5)) == 0
+    vectors = written(different.groupBy("kind", "base", "label", back.alias("back"), "x").agg(F.count(F.lit(1)).alias("n")), "pii-vectors")
+    n, right = vectors.where("NOT back").agg(F.sum("n"), F.sum(F.when(F.col("label"), F.col("n")))).first()
     none = dict.fromkeys(KINDS, np.inf)
-    if not len(got):
-        return Model(Trees(), none)
-    x, y = np.stack(got["x"].to_numpy()), got["label"].to_numpy().astype(float)
-    back = ((got["h"].to_numpy() >> 24) % 5 == 0)
-    trees = fit(x[~back], y[~back])
-    thresholds = dict(none)
-    margin = trees.margin(x)
-    for kind in KINDS:
-        rows = back & (got["kind"] == kind).to_numpy() & ~got["base"].to_numpy(dtype=bool)
-        if rows.sum() >= LEAST_CALIBRATION:
-            by = np.argsort(-margin[rows])
-            m, right = margin[rows][by], y[rows][by]
-            precision = np.cumsum(right) / np.arange(1, len(right) + 1)
-            good = np.flatnonzero((precision >= PRECISION) & (m > 0) & np.append(m[1:] != m[:-1], True))
-            if len(good):
-                thresholds[kind] = float(m[good[-1]])
-    return Model(trees, thresholds)
+    n, right = n or 0, right or 0
+    if n < 20 or right in (0, n):
+        trees = Trees(_start(right / n if n else 0.5))
+    else:
+        cuts = _cuts(vectors.where("NOT back"))
+        bins = written(_binned(vectors.where("NOT back"), cuts), "pii-bins")
+        trees = boosted(right / n, cuts, _level(bins))
+    return Model(trees, none | _precise(vectors.where("back AND NOT base"), trees))
 
 
 def _applied(docs: DataFrame, model: Model, carry: list, schema: str, row) -> DataFrame:

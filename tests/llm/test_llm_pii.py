@@ -100,6 +100,19 @@ def test_copies_do_not_fill_the_sample(spark):
     assert many.thresholds == once.thresholds and many.trees.start == once.trees.start and len(many.trees.splits) == P.ROUNDS
 
 
+def test_all_candidates_are_fitted(spark):
+    """More of them than the 20,000 that were taken before; the trees are those of all rows at hand."""
+    texts = [f"{t} no {i}, write to u{i}@mail.org, (212) 555-{i % 10000:04d}" for i, t in enumerate(some_texts(4500))]
+    model = P.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    h = [r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("xxhash64(t) AS h").collect()]
+    rows = [c for x, t in zip(h, texts, strict=True) if (x >> 24) % 5 for c in P.examples(t)]
+    assert len(rows) > 30_000
+    x, y = np.array([c[4] for c in rows], dtype=float), np.array([c[3] for c in rows], dtype=float)
+    plain = P.fit(x, y)
+    assert model.trees.start == plain.start and len(model.trees.splits) == P.ROUNDS
+    assert np.allclose(model.trees.margin(x), plain.margin(x))
+
+
 def test_features_have_a_fixed_width():
     assert {len(P.features(t, a, b, k)) for t in some_texts(100) for a, b, k, _ in P.proposals(t)} == {P.FEATURES}
 
