@@ -472,6 +472,8 @@ def _near(pairs: DataFrame, maps: DataFrame, law: Law) -> DataFrame:
                 differing[i] = np.bitwise_count(both[0] ^ both[1]).sum()
             total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
             yield batch.filter(pa.array(_few_bits(differing, total, law))).select(["a", "b"])
+        batch = x = y = None
+        release()
 
     for c in ("a", "b"):
         pairs = pairs.join(maps.select(F.col("id").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n").alias(f"n_{c}")), c)
@@ -528,6 +530,8 @@ def _long_pairs(lists: DataFrame, maps: DataFrame, law: Law, forest: int | None
                 last = this
         if held and (got := close()) is not None:
             yield got
+        held = batch = got = None
+        release()
 
     return dealt.mapInArrow(joined, "a long, b long")
 

@@ -354,6 +354,8 @@ def _binned(vectors: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
             if len(b):
                 b["x"] = [r.tobytes() for r in _bins(np.stack(b["x"].to_numpy()), cuts)]
                 yield b
+        b = None
+        release()
 
     got = vectors.mapInPandas(rows, "kind string, base boolean, label boolean, back boolean, x binary, n long")
     return got.groupBy("kind", "base", "label", "back", "x").agg(F.sum("n").alias("n"))
@@ -374,6 +376,8 @@ def _level(bins: DataFrame):
                     out = out + _sums(_matrix(b["x"]), b["label"].to_numpy().astype(float), b["n"].to_numpy(), trees, which, cut, level)
             if not isinstance(out, int):
                 yield pd.DataFrame({"s": [out.tobytes()]})
+            b = out = None
+            release()
 
         got = bins.select("label", "x", "n").mapInPandas(rows, "s binary").toArrow().column("s").to_pylist()
         return sum(np.frombuffer(x, dtype=np.int64) for x in got).reshape(2, 2**level, FEATURES, 2 * BINS)
@@ -389,6 +393,8 @@ def _precise(held: DataFrame, trees: Trees) -> dict[str, float]:
             if len(b):
                 b["m"] = trees.margin(np.stack(b["x"].to_numpy()))
                 yield b[["kind", "label", "n", "m"]]
+        b = None
+        release()
 
     right = F.sum(F.when(F.col("label"), F.col("n")).otherwise(0))
     by = held.select("kind", "label", "n", "x").mapInPandas(rows, "kind string, label boolean, n long, m double").groupBy("kind", "m").agg(
