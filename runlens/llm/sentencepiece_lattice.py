@@ -14,13 +14,14 @@ Characters without a piece become byte pieces.  A word is a run that no piece
 crosses the ends of: space marks with the letters, or the other characters, that
 follow them (with a model whose pieces mix the two, all up to the next space mark).
 
-``encode`` counts the words of all texts, keeps those that occur most often (as many
-count classes as fit in ``MOST_WORDS``, so their encodings can be broadcast) and have at
-most ``LONGEST_WORD`` characters, folds them in Spark, and tasks put whole texts together
-from that table.  All other words, most of the distinct ones and a tail that grows with the
-corpus, do not go through the lattice: the task that meets one applies the model's merges to
-it in a plain loop (``Pieces.encode_word``).  Ids are the same either way; no text and no
-occurrence is exchanged.
+Every distinct word goes through the lattice.  ``encode`` counts the words of all texts and
+folds those that occur most often first (as many count classes as fit in ``MOST_WORDS``); their
+encodings are broadcast.  The other words, a tail that grows with the corpus, are named by the
+tasks that meet them, with the rows they stand in; each is folded once, and its pieces go back
+to its rows by a join.  Tasks put whole texts together from both; no occurrence of a frequent
+word is exchanged, each row is once.  Words of at most ``LONGEST_WORD`` characters are folded by
+``aggregate``, whose steps grow with the square of a word, longer ones by a heap over the same
+grouped edges.
 
 Defined results: null and empty texts have no pieces and decode to the empty text;
 repeated rows are encoded row by row; an empty table gives an empty table.  Extra
@@ -30,8 +31,9 @@ columns are carried along untouched.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import numpy as np
@@ -47,7 +49,7 @@ MARK = "▁"
 MOST_WORDS = 200_000
 #: Words, and runs between spaces, that a worker remembers.
 MEMO = 20_000
-#: Words longer than this are folded in the task that meets them; it bounds the edges of a word.
+#: Longer words are exploded chunk by chunk and their edges folded by a heap.
 LONGEST_WORD = 64
 _COARSE = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
 _FINE_JAVA = rf"{MARK}*(?:[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}{MARK}]+)|{MARK}+"
@@ -92,7 +94,7 @@ class Pieces:
         return [self.bytes.get(b, self.unknown) for b in part.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
     def encode_word(self, word: str) -> list[int]:
-        """The lattice and fold of one word."""
+        """The ids of one word by itself, without Spark."""
         return [i for p in self.parts(word) for i in self.ids_of(p)]
 
     def parts(self, word: str) -> list[str]:
@@ -130,35 +132,8 @@ class Pieces:
 
     def _merged_long(self, word: str) -> list[str]:
         """The same over a heap, for words of any length."""
-        import heapq
-
-        n = len(word)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # neighbouring parts, by where they begin
-        end = list(range(1, n + 1))
-        heap: list[tuple[float, int, int, int]] = []
-
-        def offer(a: int) -> None:
-            b = end[a]
-            if b < n:
-                hit = self.edges.get(word[a:end[b]]) if end[b] - a <= self.longest else None
-                if hit:
-                    heapq.heappush(heap, (-hit[0], a, b, end[b]))
-
-        for a in range(n):
-            offer(a)
-        alive = [True] * n
-        while heap:
-            _, a, b, e = heapq.heappop(heap)
-            if not (alive[a] and b < n and alive[b] and end[a] == b and end[b] == e):
-                continue
-            end[a], alive[b] = e, False
-            after[a] = e
-            if e < n:
-                before[e] = a
-            offer(a)
-            if before[a] >= 0:
-                offer(before[a])
-        return [word[a:end[a]] for a in range(n) if alive[a]]
+        cuts = merged_cuts(len(word), lambda a, b: self.edges.get(word[a:b], (None,))[0] if b - a <= self.longest else None)
+        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def packed(self, parts: list[str]) -> bytes:
         """The parts' ids as little-endian 32-bit integers."""
@@ -170,6 +145,50 @@ class Pieces:
         return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
+def merged_cuts(n: int, score: Callable[[int, int], float | None]) -> list[int]:
+    """Cuts of ``n`` characters after all merges; ``score`` gives that of an edge, if there is one."""
+    before = list(range(-1, n - 1))  # neighbouring parts, by where they begin
+    end = list(range(1, n + 1))
+    heap: list[tuple[float, int, int, int]] = []
+
+    def offer(a: int) -> None:
+        b = end[a]
+        if b < n:
+            hit = score(a, end[b])
+            if hit is not None:
+                heapq.heappush(heap, (-hit, a, b, end[b]))
+
+    for a in range(n):
+        offer(a)
+    alive = [True] * n
+    while heap:
+        _, a, b, e = heapq.heappop(heap)
+        if not (alive[a] and alive[b] and end[a] == b and end[b] == e):
+            continue
+        end[a], alive[b] = e, False
+        if e < n:
+            before[e] = a
+        offer(a)
+        if before[a] >= 0:
+            offer(before[a])
+    return [a for a in range(n) if alive[a]] + [n]
+
+
+def best_cuts(n: int, edges: dict[tuple[int, int], float]) -> list[int]:
+    """Cuts of ``n`` characters on the best-scored path; a character without a piece costs much."""
+    into: dict[int, list[tuple[int, float]]] = {}
+    for (a, b), score in edges.items():
+        into.setdefault(b, []).append((a, score))
+    best = [(0.0, 0)]
+    for end in range(1, n + 1):
+        ways = [*into.get(end, []), (end - 1, UNREACHED / 1e6)]
+        best.append(max(((best[a][0] + score, a) for a, score in ways), key=lambda x: (x[0], -x[1])))
+    cuts = [n]
+    while cuts[-1]:
+        cuts.append(best[cuts[-1]][1])
+    return cuts[::-1]
+
+
 def load(path: str) -> Pieces:
     """The piece table of a model file, on the driver."""
     from sentencepiece import SentencePieceProcessor
@@ -196,32 +215,59 @@ def load(path: str) -> Pieces:
     return Pieces(entries, bytes_, spec.trainer_spec.model_type == 1, names, sp.unk_id())
 
 
+def keyed(words: DataFrame) -> DataFrame:
+    """``words`` dealt by a ``key``: the ``word`` itself, or the digest of a long one."""
+    key = F.when(F.length("word") <= LONGEST_WORD, F.col("word")).otherwise(F.concat(F.lit(" "), F.sha2("word", 256)))  # no word has a space
+    return words.withColumn("key", key).repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+
+
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``word`` and its ``edges``, from the substrings of distinct ``word`` rows that are pieces."""
+    """``keyed`` rows of distinct words with their ``edges``, the substrings that are pieces."""
     spark = words.sparkSession
     # as many rows as the model has pieces
-    piece_table = F.broadcast(spark.createDataFrame(pd.DataFrame(pieces.entries, columns=["piece", "id", "score"]), "piece string, id int, score double"))
-    n = F.length("word")
-    spans = words.select("word", F.explode(F.sequence(F.lit(1), n)).alias("start")).select(
-        "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("start") + 1))).alias("size"))
-    cut = spans.withColumn("piece", F.substring("word", F.col("start"), F.col("size")))
-    edge = F.struct((F.col("start") - 1).alias("a"), (F.col("start") - 1 + F.col("size")).alias("b"), "score", "id")
+    piece_table = F.broadcast(spark.createDataFrame(pd.DataFrame(pieces.entries, columns=["piece", "id", "score"]), "piece string, id int, score double").drop("id"))
+    # a long word is cut into chunks that overlap by a piece, and only its first substring carries the row
+    chunks = words.select("key", F.struct(*(c for c in words.columns if c != "key")).alias("row"), F.explode(
+        F.sequence(F.lit(0), F.length("word") - 1, F.lit(LONGEST_WORD))).alias("at"))
+    chunks = chunks.select("key", "at", F.when(F.col("at") == 0, F.col("row")).alias("row"), F.substring(
+        "row.word", F.col("at") + 1, F.lit(LONGEST_WORD + pieces.longest - 1)).alias("chunk"))
+    starts = chunks.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("chunk")))).alias("start"))
+    starts = starts.withColumn("row", F.when(F.col("start") == 1, F.col("row")))
+    spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("chunk") - F.col("start") + 1))).alias("size"))
+    cut = spans.select(
+        "key", F.when(F.col("size") == 1, F.col("row")).alias("row"), (F.col("at") + F.col("start") - 1).alias("a"), "size",
+        F.substring("chunk", F.col("start"), F.col("size")).alias("piece"))
+    # no merge gives a single character
+    is_edge = F.col("score").isNotNull() & (F.lit(pieces.viterbi) | (F.col("size") > 1))
+    edge = F.struct("a", (F.col("a") + F.col("size")).alias("b"), "score")
     # a word without any edge is all bytes
-    return cut.join(piece_table, "piece", "left").groupBy("word").agg(
-        F.collect_list(F.when(F.col("id").isNotNull(), edge)).alias("edges"))
+    return cut.join(piece_table, "piece", "left").where(is_edge | F.col("row").isNotNull()).groupBy("key").agg(
+        F.first("row", ignorenulls=True).alias("row"), F.collect_list(F.when(is_edge, edge)).alias("edges")).select("row.*", "edges")
 
 
 def _merges(word: Column, edges: Column) -> Column:
     """Cuts of the word after all merges, by the model's order."""
+    # an edge is ready when one cut is left between its ends, and goes when an end is no cut any more
+    begin = F.struct(
+        F.sequence(F.lit(0), F.length(word)).alias("cuts"),
+        F.transform(edges, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), e["score"].alias("score"), (e["b"] - e["a"] - 1).alias("between"))).alias("edges"))
 
-    def step(cuts: Column, _: Column) -> Column:
-        between = lambda e: F.size(F.filter(cuts, lambda x: (x > e["a"]) & (x < e["b"])))
-        whole = lambda e: F.array_contains(cuts, e["a"]) & F.array_contains(cuts, e["b"])
-        ready = F.filter(edges, lambda e: whole(e) & (between(e) == 1))
+    def step(state: Column, _: Column) -> Column:
+        ready = F.filter(state["edges"], lambda e: e["between"] == 1)
         best = F.array_max(F.transform(ready, lambda e: F.struct(e["score"].alias("score"), (-e["a"]).alias("left"), e["b"].alias("b"))))
-        return let(best, lambda m: F.when(m.isNull(), cuts).otherwise(F.filter(cuts, lambda x: (x <= -m["left"]) | (x >= m["b"]))))
+        joined = lambda m: F.get(F.filter(state["cuts"], lambda x: (x > -m["left"]) & (x < m["b"])), F.lit(0))
+
+        def without(c: Column) -> Column:
+            left = F.filter(state["edges"], lambda e: (e["a"] != c) & (e["b"] != c) & ~((e["between"] == 1) & (e["a"] < c) & (e["b"] > c)))
+            return F.struct(
+                F.filter(state["cuts"], lambda x: x != c).alias("cuts"),
+                F.transform(left, lambda e: F.struct(
+                    e["a"].alias("a"), e["b"].alias("b"), e["score"].alias("score"),
+                    (e["between"] - F.when((e["a"] < c) & (e["b"] > c), 1).otherwise(0)).alias("between"))).alias("edges"))
+
+        return let(let(best, joined), lambda c: F.when(c.isNull(), state).otherwise(without(c)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), F.sequence(F.lit(0), F.length(word)), step)
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), begin, step, lambda state: state["cuts"])
 
 
 def _viterbi(word: Column, edges: Column) -> Column:
@@ -241,34 +287,47 @@ def _viterbi(word: Column, edges: Column) -> Column:
 
 
 def fold(grouped: DataFrame, pieces: Pieces) -> DataFrame:
-    """``word`` and its ``parts``, from the grouped edges."""
-    cuts = (_viterbi if pieces.viterbi else _merges)(F.col("word"), F.col("edges"))
-    parts = let(cuts, lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda a, i: F.substring(
+    """The rows with their words' ``parts``, from the grouped edges."""
+    viterbi = pieces.viterbi
+
+    @F.pandas_udf("array<int>")
+    def over_heap(n: pd.Series, edges: pd.Series) -> pd.Series:
+        def cuts(k, found):
+            scores = {(e["a"], e["b"]): e["score"] for e in found}
+            return best_cuts(int(k), scores) if viterbi else merged_cuts(int(k), lambda a, b: scores.get((a, b)))
+
+        return pd.Series([None if e is None else cuts(k, e) for k, e in zip(n, edges, strict=True)], dtype=object)
+
+    long = F.length("word") > LONGEST_WORD
+    short = (_viterbi if viterbi else _merges)(F.col("word"), F.col("edges"))
+    folded = grouped.withColumn("cuts", over_heap(F.when(long, F.length("word")), F.when(long, F.col("edges"))))
+    parts = let(F.when(long, F.col("cuts")).otherwise(short), lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda a, i: F.substring(
         F.col("word"), a + 1, F.get(c, i + 1) - a)))
-    return grouped.select("word", parts.alias("parts"))
+    return folded.withColumn("parts", parts).drop("edges", "cuts")
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``word, parts`` of distinct ``word`` rows, all in Spark."""
-    return fold(lattice(words, pieces), pieces)
+    """Rows of distinct ``word`` with their ``parts``."""
+    return fold(lattice(keyed(words), pieces), pieces)
 
 
 def frequent_words(docs: DataFrame, pieces: Pieces, text: str = "text", most: int = MOST_WORDS) -> DataFrame:
-    """The words that occur most often, whole count classes up to ``most`` words."""
+    """The words that occur most often, whole count classes up to ``most`` words; one of more
+    than ``LONGEST_WORD`` characters counts as several."""
     # runs between spaces are counted first, so only distinct ones go through the words' expression
     runs = docs.select(F.explode(F.split(F.col(text), " ", -1)).alias("run")).where("run <> ''").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
     words = runs.select(F.explode(F.regexp_extract_all(F.concat(F.lit(MARK), F.col("run")), F.lit(pieces.words_java), F.lit(0))).alias("word"), "n")
     counts = written(words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > 1), "word-counts")
     # classes of counts, eight to an octave: a few hundred rows
     octave = F.floor(F.log2("n") * 8).cast("int")
-    sizes = {r.o: r.c for r in counts.groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    sizes = {r.o: r.c for r in counts.groupBy(octave.alias("o")).agg(F.sum(F.ceil(F.length("word") / LONGEST_WORD)).alias("c")).collect()}
     total, least = 0, None
     for o in sorted(sizes, reverse=True):
         if total + sizes[o] > most:
             break
         total, least = total + sizes[o], o
     few = F.lit(False) if least is None else octave >= least
-    return counts.where(few & (F.length("word") <= LONGEST_WORD)).select("word")
+    return counts.where(few).select("word")
 
 
 class Memo(dict):
@@ -290,64 +349,112 @@ class Memo(dict):
 
 
 class Coder:
-    """What a worker needs: the pieces, the table of frequent words, and memos of the
-    other words and of what stands between single spaces."""
+    """What a worker needs: the pieces, the table of frequent words, and memos of what
+    stands between single spaces."""
 
     def __init__(self, pieces: Pieces, known: dict[str, bytes]):
         self.pieces, self.known = pieces, known
-        self.other = Memo(lambda w: pieces.packed(pieces.parts(w)), MEMO)
         self.runs = Memo(lambda r: self._by_words(MARK + r), MEMO)
+        self.rare_in_run = Memo(lambda r: self._rare(MARK + r), MEMO)
+        self.tail: dict[str, bytes] | None = None
 
     def forget(self) -> None:
-        for memo in (self.other, self.runs):
+        self.tail = None
+        for memo in (self.runs, self.rare_in_run):
             memo.clear()
             memo.older = {}
 
-    def _by_words(self, marked: str) -> bytes:
-        known, other = self.known, self.other
-        return b"".join([known.get(w) or other[w] for w in self.pieces.words.findall(marked)])
+    def _rare(self, marked: str) -> list[str]:
+        return [w for w in self.pieces.words.findall(marked) if w not in self.known]
 
-    def encode(self, text: str | None) -> bytes:
-        """The text's ids as little-endian 32-bit integers."""
+    def rare(self, text: str | None) -> set[str]:
+        """The text's words that are not in the table."""
+        if not text:
+            return set()
+        if _by_runs(text):
+            return {w for r in set(text.split(" ")) for w in self.rare_in_run[r]}
+        return set(self._rare(MARK + text.replace(" ", MARK)))
+
+    def _by_words(self, marked: str) -> bytes:
+        known, words = self.known, self.pieces.words.findall(marked)
+        if self.tail is None:
+            return b"".join([known.get(w) or self.pieces.packed(self.pieces.parts(w)) for w in words])
+        return b"".join([known.get(w) or self.tail[w] for w in words])
+
+    def encode(self, text: str | None, tail: str | None = None) -> bytes:
+        """The text's ids as little-endian 32-bit integers; ``tail`` has the folded words that
+        are not in the table; without it they are encoded one by one."""
         if not text:
             return b""
-        if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
+        self.tail = None
+        if tail is not None:
+            split = [w.split(" ") for w in tail.split("  ") if w]
+            self.tail = {"".join(parts): self.pieces.packed(parts) for parts in split}
+        if not _by_runs(text):
             return self._by_words(MARK + text.replace(" ", MARK))
         # each run is preceded by one space mark, which begins a word
         return b"".join([self.runs[r] for r in text.split(" ")])
 
 
+def _by_runs(text: str) -> bool:
+    return not ("  " in text or MARK in text or text[0] == " " or text[-1] == " ")
+
+
 def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, text: str = "text", most: int = MOST_WORDS, with_ids: bool = True) -> DataFrame:
     """The ``carry`` columns (typed by ``schema``) with ``ids`` (unless left out), ``n_tokens``,
     ``ids_sha256`` (of the ids as little-endian 32-bit integers) and ``decoded_ok``."""
+    spark = docs.sparkSession
     parts = encode_words(frequent_words(docs, pieces, text, most), pieces).toArrow()  # at most ``most`` words
     known = {w: pieces.packed(ps) for w, ps in zip(parts.column("word").to_pylist(), parts.column("parts").to_pylist(), strict=True)}
-    shipped, version = docs.sparkSession.sparkContext.broadcast((pieces, known)), uuid4().hex
+    shipped, version = spark.sparkContext.broadcast((pieces, known)), uuid4().hex
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coder_of_worker() -> Coder:
         if version not in _WORKER:
             _WORKER.clear()
             _WORKER[version] = Coder(*shipped.value)
-        coder = _WORKER[version]
+        return _WORKER[version]
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = coder_of_worker()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                found = [(row, w) for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in coder.rare(t)]
+                yield pa.RecordBatch.from_pydict({"row": pa.array([r for r, _ in found], pa.int64()), "word": pa.array([w for _, w in found], pa.string())})
+        whole = b = found = None
+        coder.forget()
+        release()
+
+    # rows are named by their values: a name that several share gets the words of all of them
+    rows = docs.select(*carry, F.col(text).alias("_text"))
+    named = rows.withColumn("_row", F.xxhash64(*(F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString())))
+    tail = keyed(named.select("_row", "_text").mapInArrow(rare, "row long, word string")).groupBy("key").agg(
+        F.first("word").alias("word"), F.collect_list("row").alias("rows"))
+    # words and parts have no spaces
+    folded = fold(lattice(tail, pieces), pieces).select(F.explode("rows").alias("_row"), F.array_join("parts", " ").alias("word"))
+    tails = folded.groupBy("_row").agg(F.array_join(F.collect_list("word"), "  ").alias("_tail"))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = coder_of_worker()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):  # ids take more room than texts
                 b = whole.slice(at, 500)
-                texts = b.column(b.num_columns - 1).to_pylist()
-                packed = [coder.encode(t) for t in texts]
+                texts, rest = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+                packed = [coder.encode(t, r or "") for t, r in zip(texts, rest, strict=True)]
                 sizes = np.array([len(x) // 4 for x in packed], dtype=np.int64)
                 same = [coder.pieces.decode(np.frombuffer(x, dtype="<i4").tolist()) == (t or "").replace(MARK, " ") for x, t in zip(packed, texts, strict=True)]
-                columns = {n: c for n, c in zip(b.schema.names[:-1], b.columns[:-1], strict=True)}
+                columns = {n: c for n, c in zip(b.schema.names[:-2], b.columns[:-2], strict=True)}
                 if with_ids:
                     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
                 columns |= {"n_tokens": pa.array(sizes), "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()), "decoded_ok": pa.array(same, pa.bool_())}
                 yield pa.RecordBatch.from_pydict(columns)
-        whole = b = texts = packed = columns = None
+        whole = b = texts = rest = packed = columns = None
         coder.forget()
         release()
 
     ids = "ids array<int>, " if with_ids else ""
-    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(coded, f"{schema}, {ids}n_tokens long, ids_sha256 string, decoded_ok boolean")
+    return named.join(tails, "_row", "left").drop("_row").mapInArrow(coded, f"{schema}, {ids}n_tokens long, ids_sha256 string, decoded_ok boolean")
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "text") -> DataFrame:

@@ -79,3 +79,30 @@ def test_edges(spark, pieces, library):
     want = sorted(len(library.encode(r[1] or "")) for r in rows())
     assert sorted(r.n_tokens for r in got) == want and all(r.decoded_ok for r in got)
     assert S.encode(empty_docs(spark), pieces, [F.col("doc_id")], "doc_id long").count() == 0
+
+
+@pytest.mark.parametrize("most", [0, S.MOST_WORDS])
+def test_every_word_goes_through_the_lattice(spark, library, most):
+    rng = random.Random(11)
+    pieces = S.load(S.model_path())
+    pieces.parts = None  # no task can encode a word by itself
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    long = [letters(n, "etaoin") for n in (64, 65, 79, 80, 128, 129, 700)] + ["a" * 1000, "=" * 300, "日本語の" * 40, "é" * 65]
+    once = [f"rare{letters(9, 'abcdefgh')} the" for _ in range(30)]
+    texts = [*once, " ".join(long), *(f"the {w}  {w} x" for w in long), f"twice {long[0]}", "the the the", "", None]
+    data = [(i // 2 if i % 3 else None, t) for i, t in enumerate(texts)] + [(7, once[0])] * 3
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = S.encode(docs, pieces, [F.col("doc_id"), F.col("text").alias("whole")], "doc_id long, whole string", most=most).collect()
+    assert sorted((str(r.doc_id), str(r.whole)) for r in got) == sorted((str(d), str(t)) for d, t in data)
+    assert all(list(r.ids) == library.encode(r.whole or "") and r.decoded_ok for r in got)
+
+
+def test_long_words_are_folded_over_their_edges(spark, pieces):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinsh") for _ in range(n)) for n in (63, 64, 65, 66, 127, 128, 129, 143, 144, 145, 3000)]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {r.word: r.parts for r in S.encode_words(df, pieces).collect()}
+    assert got == {w: pieces.parts(w) for w in words}
+    unigram = S.Pieces([(p, i, -float(len(p)) ** 0.5 - i / 97) for i, p in enumerate(["e", "t", "a", "o", "et", "ta", "eta", "oin", "in", "ao", "sh"])], {}, True, [], unknown=99)
+    got = {r.word: r.parts for r in S.encode_words(df, unigram).collect()}
+    assert got == {w: unigram.parts(w) for w in words}
