@@ -8,7 +8,8 @@ group into pieces with Spark's higher-order ``aggregate``:
 * byte-pair models (the installed one): a best-sum path is not what the library
   gives, so the fold takes the edges in the model's merge order instead: while an edge
   spans exactly two neighbouring parts, the best-scored one (the leftmost of
-  equals) joins them.
+  equals) joins them.  One pass over the edges in that order does it, unless the word
+  has an edge that is ``Pieces.late``; then each step looks for the first that is ready.
 
 Characters without a piece become byte pieces.  A word is a run that no piece
 crosses the ends of: space marks with the letters, or the other characters, that
@@ -17,10 +18,10 @@ follow them (with a model whose pieces mix the two, all up to the next space mar
 Every distinct word goes through the lattice.  ``encode`` counts the words of all texts and
 folds those that occur most often first (as many count classes as fit in ``MOST_WORDS``); their
 encodings are broadcast.  The other words, a tail that grows with the corpus, are named by the
-tasks that meet them, with the rows they stand in; each is folded once, and its pieces go back
-to its rows by a join.  Tasks put whole texts together from both; no occurrence of a frequent
-word is exchanged, each row is once.  Words of at most ``LONGEST_WORD`` characters are folded by
-``aggregate``, whose steps grow with the square of a word, longer ones by a heap over the same
+tasks that meet them, with the bucket of rows they stand in; each is folded once, and its pieces
+go to its buckets, where the compressed texts go too.  Tasks put whole texts together from both;
+no occurrence of a frequent word is exchanged by itself, each text is once.  Words of at most
+``LONGEST_WORD`` characters are folded by ``aggregate``, longer ones by a heap over the same
 grouped edges.
 
 Defined results: null and empty texts have no pieces and decode to the empty text;
@@ -33,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from uuid import uuid4
 
@@ -49,11 +51,18 @@ MARK = "▁"
 MOST_WORDS = 200_000
 #: Words, and runs between spaces, that a worker remembers.
 MEMO = 20_000
-#: Longer words are exploded chunk by chunk and their edges folded by a heap.
+#: Distinct runs that a task counts at a time; those met once go when there are more.
+MOST_RUNS = 200_000
+#: (bucket, word) pairs that a task gathers before it gives them on.
+MOST_PAIRS = 100_000
+#: Characters of text to a bucket of rows, about, and the least buckets to a partition.
+BUCKET_CHARS, LEAST_BUCKETS = 1 << 20, 8
+#: Longer words are exploded chunk by chunk and their edges folded by a heap; the cuts of
+#: shorter ones are the bits of a long.
 LONGEST_WORD = 64
+#: An edge of a byte-pair model is a long: rank, first character, size, late or not.
+RANK_BIT, AT_BIT, SIZE_BIT = 44, 13, 1
 _COARSE = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
-_FINE_JAVA = rf"{MARK}*(?:[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}{MARK}]+)|{MARK}+"
-_COARSE_JAVA = rf"{MARK}*[^{MARK}]+|{MARK}+"
 _LETTER = re.compile(r"[^\W\d_]")
 #: So many odd letters are kept apart; a model with more of them is cut at space marks only.
 FEW = 32
@@ -80,9 +89,11 @@ class Pieces:
         if len(joined) <= FEW and not torn:
             odd = re.escape("".join(sorted(joined)))
             self.words = re.compile(rf"{MARK}*(?:[^\W\d_{odd}]+|(?:[^\w{MARK}]|[\d_{odd}])+)|{MARK}+")
-            self.words_java = _FINE_JAVA
         else:
-            self.words, self.words_java = _COARSE, _COARSE_JAVA
+            self.words = _COARSE
+        self.late = set() if viterbi else {p for p in self.edges if len(p) > 2 and self._is_late(p)}
+        if self.longest >= 1 << (AT_BIT - SIZE_BIT) or len(entries) >= 1 << (63 - RANK_BIT):
+            raise ValueError("models with so many or so long pieces are not supported")
 
     def split(self, text: str | None) -> list[str]:
         return self.words.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -130,6 +141,29 @@ class Pieces:
                 ranks[i - 1] = rank(parts[i - 1] + parts[i], np.inf)
         return parts
 
+    def _is_late(self, piece: str) -> bool:
+        """Whether the piece by itself is made after a merge that scores no better than it.
+
+        What is merged inside a piece's span, before a merge crosses the span's ends, is what is
+        merged in the piece by itself.  So only a late piece can become ready, in any word, after
+        its turn in the order of the edges, and words without one need one pass over that order."""
+        parts, ranks, worst = list(piece), self.ranks, -np.inf
+        while len(parts) > 1:
+            at = [ranks.get(a + b, np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+            if (best := min(at)) == np.inf:
+                return False
+            i = at.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            if len(parts) == 1:
+                return worst >= best
+            worst = max(worst, best)
+        return False
+
+    def codes(self) -> list[tuple[str, int]]:
+        """The pieces with what is the same in all edges that are this piece."""
+        rank = {score: i for i, score in enumerate(sorted({s for _, _, s in self.entries}, reverse=True))}
+        return [(p, rank[s] << RANK_BIT | len(p) << SIZE_BIT | (p in self.late)) for p, _, s in self.entries]
+
     def _merged_long(self, word: str) -> list[str]:
         """The same over a heap, for words of any length."""
         cuts = merged_cuts(len(word), lambda a, b: self.edges.get(word[a:b], (None,))[0] if b - a <= self.longest else None)
@@ -216,21 +250,33 @@ def load(path: str) -> Pieces:
 
 
 def keyed(words: DataFrame) -> DataFrame:
-    """``words`` dealt by a ``key``: the ``word`` itself, or the digest of a long one."""
-    key = F.when(F.length("word") <= LONGEST_WORD, F.col("word")).otherwise(F.concat(F.lit(" "), F.sha2("word", 256)))  # no word has a space
-    return words.withColumn("key", key).repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    """``words`` dealt by a ``key``: the word itself, or the digest of a long ``word``; a short one is left out."""
+    is_long = F.length("word") > LONGEST_WORD
+    key = F.when(is_long, F.concat(F.lit(" "), F.sha2("word", 256))).otherwise(F.col("word"))  # no word has a space
+    rest = [c for c in words.columns if c != "word"]
+    return words.select(key.alias("key"), F.when(is_long, F.col("word")).alias("word"), *rest).repartition(partitions(words), "key")
+
+
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     """``keyed`` rows of distinct words with their ``edges``, the substrings that are pieces."""
     spark = words.sparkSession
     # as many rows as the model has pieces
-    piece_table = F.broadcast(spark.createDataFrame(pd.DataFrame(pieces.entries, columns=["piece", "id", "score"]), "piece string, id int, score double").drop("id"))
+    if pieces.viterbi:
+        table = spark.createDataFrame(pd.DataFrame([(p, s) for p, _, s in pieces.entries], columns=["piece", "score"]), "piece string, score double")
+        edge = F.struct("a", (F.col("a") + F.col("size")).alias("b"), "score")
+    else:
+        table = spark.createDataFrame(pd.DataFrame(pieces.codes(), columns=["piece", "score"]), "piece string, score long")
+        edge = F.col("score").bitwiseOR(F.shiftleft(F.col("a").cast("long"), AT_BIT))
     # a long word is cut into chunks that overlap by a piece, and only its first substring carries the row
-    chunks = words.select("key", F.struct(*(c for c in words.columns if c != "key")).alias("row"), F.explode(
-        F.sequence(F.lit(0), F.length("word") - 1, F.lit(LONGEST_WORD))).alias("at"))
+    word = F.coalesce("word", "key")
+    chunks = words.select("key", F.struct(*(c for c in words.columns if c != "key")).alias("row"), word.alias("whole"), F.explode(
+        F.sequence(F.lit(0), F.length(word) - 1, F.lit(LONGEST_WORD))).alias("at"))
     chunks = chunks.select("key", "at", F.when(F.col("at") == 0, F.col("row")).alias("row"), F.substring(
-        "row.word", F.col("at") + 1, F.lit(LONGEST_WORD + pieces.longest - 1)).alias("chunk"))
+        "whole", F.col("at") + 1, F.lit(LONGEST_WORD + pieces.longest - 1)).alias("chunk"))
     starts = chunks.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("chunk")))).alias("start"))
     starts = starts.withColumn("row", F.when(F.col("start") == 1, F.col("row")))
     spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("chunk") - F.col("start") + 1))).alias("size"))
@@ -239,35 +285,35 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
         F.substring("chunk", F.col("start"), F.col("size")).alias("piece"))
     # no merge gives a single character
     is_edge = F.col("score").isNotNull() & (F.lit(pieces.viterbi) | (F.col("size") > 1))
-    edge = F.struct("a", (F.col("a") + F.col("size")).alias("b"), "score")
+    rest = [f"row.{c}" for c in words.columns if c not in ("key", "word")]
     # a word without any edge is all bytes
-    return cut.join(piece_table, "piece", "left").where(is_edge | F.col("row").isNotNull()).groupBy("key").agg(
-        F.first("row", ignorenulls=True).alias("row"), F.collect_list(F.when(is_edge, edge)).alias("edges")).select("row.*", "edges")
+    return cut.join(F.broadcast(table), "piece", "left").where(is_edge | F.col("row").isNotNull()).groupBy("key").agg(
+        F.first("row", ignorenulls=True).alias("row"), F.collect_list(F.when(is_edge, edge)).alias("edges")).select(
+            F.coalesce("row.word", "key").alias("word"), *rest, "edges")
 
 
 def _merges(word: Column, edges: Column) -> Column:
     """Cuts of the word after all merges, by the model's order."""
-    # an edge is ready when one cut is left between its ends, and goes when an end is no cut any more
-    begin = F.struct(
-        F.sequence(F.lit(0), F.length(word)).alias("cuts"),
-        F.transform(edges, lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"), e["score"].alias("score"), (e["b"] - e["a"] - 1).alias("between"))).alias("edges"))
-
-    def step(state: Column, _: Column) -> Column:
-        ready = F.filter(state["edges"], lambda e: e["between"] == 1)
-        best = F.array_max(F.transform(ready, lambda e: F.struct(e["score"].alias("score"), (-e["a"]).alias("left"), e["b"].alias("b"))))
-        joined = lambda m: F.get(F.filter(state["cuts"], lambda x: (x > -m["left"]) & (x < m["b"])), F.lit(0))
-
-        def without(c: Column) -> Column:
-            left = F.filter(state["edges"], lambda e: (e["a"] != c) & (e["b"] != c) & ~((e["between"] == 1) & (e["a"] < c) & (e["b"] > c)))
-            return F.struct(
-                F.filter(state["cuts"], lambda x: x != c).alias("cuts"),
-                F.transform(left, lambda e: F.struct(
-                    e["a"].alias("a"), e["b"].alias("b"), e["score"].alias("score"),
-                    (e["between"] - F.when((e["a"] < c) & (e["b"] > c), 1).otherwise(0)).alias("between"))).alias("edges"))
-
-        return let(let(best, joined), lambda c: F.when(c.isNull(), state).otherwise(without(c)))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), begin, step, lambda state: state["cuts"])
+    at = lambda e: F.shiftright(e, AT_BIT).bitwiseAND(F.lit((1 << (RANK_BIT - AT_BIT)) - 1)).cast("int")
+    size = lambda e: F.shiftright(e, SIZE_BIT).bitwiseAND(F.lit((1 << (AT_BIT - SIZE_BIT)) - 1)).cast("int")
+    shifted = lambda value, n: F.call_function("shiftleft", F.lit(value).cast("long"), n)
+    bit = lambda i: shifted(1, i)
+    bits = lambda n, start: F.call_function("shiftleft", F.bitwise_not(shifted(-1, n)), start)
+    # the cut before character i is bit i - 1; that before character 0 is bit 63 (shifts go by their last six bits), which no edge spans
+    spans = F.transform(F.sort_array(edges), lambda e: F.struct(
+        bits(size(e) - 1, at(e)).alias("inner"), bit(at(e) - 1).bitwiseOR(bit(at(e) + size(e) - 1)).alias("ends")))
+    ready = lambda cuts, e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)
+    joined = lambda cuts, e: cuts.bitwiseAND(F.bitwise_not(e["inner"]))
+    all_cuts = F.lit(-1).cast("long")
+    in_order = F.aggregate(spans, all_cuts, lambda cuts, e: F.when(ready(cuts, e), joined(cuts, e)).otherwise(cuts))
+
+    def step(spans: Column) -> Callable[[Column, Column], Column]:
+        return lambda cuts, _: let(F.get(F.filter(spans, lambda e: ready(cuts, e)), F.lit(0)), lambda e: F.when(e.isNull(), cuts).otherwise(joined(cuts, e)))
+
+    one_by_one = let(spans, lambda s: F.aggregate(F.sequence(F.lit(1), F.length(word)), all_cuts, step(s)))
+    is_late = F.exists(edges, lambda e: e.bitwiseAND(F.lit(1).cast("long")) == 1)
+    return let(F.when(is_late, one_by_one).otherwise(in_order), lambda cuts: F.filter(
+        F.sequence(F.lit(0), F.length(word)), lambda i: (i == 0) | (i == F.length(word)) | (cuts.bitwiseAND(bit(i - 1)) != 0)))
 
 
 def _viterbi(word: Column, edges: Column) -> Column:
@@ -293,8 +339,12 @@ def fold(grouped: DataFrame, pieces: Pieces) -> DataFrame:
     @F.pandas_udf("array<int>")
     def over_heap(n: pd.Series, edges: pd.Series) -> pd.Series:
         def cuts(k, found):
-            scores = {(e["a"], e["b"]): e["score"] for e in found}
-            return best_cuts(int(k), scores) if viterbi else merged_cuts(int(k), lambda a, b: scores.get((a, b)))
+            if viterbi:
+                return best_cuts(int(k), {(e["a"], e["b"]): e["score"] for e in found})
+            codes = np.asarray(found, dtype=np.int64)
+            at, size = codes >> AT_BIT & (1 << (RANK_BIT - AT_BIT)) - 1, codes >> SIZE_BIT & (1 << (AT_BIT - SIZE_BIT)) - 1
+            scores = dict(zip(zip(at.tolist(), (at + size).tolist(), strict=True), (-(codes >> RANK_BIT)).tolist(), strict=True))
+            return merged_cuts(int(k), lambda a, b: scores.get((a, b)))
 
         return pd.Series([None if e is None else cuts(k, e) for k, e in zip(n, edges, strict=True)], dtype=object)
 
@@ -311,13 +361,50 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     return fold(lattice(keyed(words), pieces), pieces)
 
 
-def frequent_words(docs: DataFrame, pieces: Pieces, text: str = "text", most: int = MOST_WORDS) -> DataFrame:
+def word_counts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
+    """``word, n``: how often words occur, by tasks that leave out a run between spaces that they
+    meet but once, or once among ``MOST_RUNS`` distinct ones; and the texts' characters under ''.
+
+    The counts only choose the words that are folded first, not what becomes of any word."""
+    shipped = docs.sparkSession.sparkContext.broadcast(pieces.words)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chars, runs = 0, Counter()
+
+        def by_words() -> pa.RecordBatch:
+            n_of: Counter = Counter()
+            for r, n in runs.items():
+                if n > 1 and r:
+                    for w in shipped.value.findall(MARK + r):
+                        n_of[w] += n
+            runs.clear()
+            words = sorted(n_of)  # neighbours that begin alike take less room
+            return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.array([n_of[w] for w in words], pa.int64())})
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 100):
+                for t in whole.column(0).slice(at, 100).to_pylist():
+                    if t:
+                        chars += len(t)
+                        runs.update(t.split(" "))
+                if len(runs) > MOST_RUNS:
+                    often = {r: n for r, n in runs.items() if n > 1}
+                    if 2 * len(often) > MOST_RUNS:
+                        yield by_words()
+                    else:
+                        runs = Counter(often)
+        yield by_words()
+        yield pa.RecordBatch.from_pydict({"word": pa.array([""], pa.string()), "n": pa.array([chars], pa.int64())})
+        whole = runs = None
+        release()
+
+    return written(docs.select(text).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def frequent_words(counts: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     """The words that occur most often, whole count classes up to ``most`` words; one of more
     than ``LONGEST_WORD`` characters counts as several."""
-    # runs between spaces are counted first, so only distinct ones go through the words' expression
-    runs = docs.select(F.explode(F.split(F.col(text), " ", -1)).alias("run")).where("run <> ''").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    words = runs.select(F.explode(F.regexp_extract_all(F.concat(F.lit(MARK), F.col("run")), F.lit(pieces.words_java), F.lit(0))).alias("word"), "n")
-    counts = written(words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > 1), "word-counts")
+    counts = counts.where("word <> ''")
     # classes of counts, eight to an octave: a few hundred rows
     octave = F.floor(F.log2("n") * 8).cast("int")
     sizes = {r.o: r.c for r in counts.groupBy(octave.alias("o")).agg(F.sum(F.ceil(F.length("word") / LONGEST_WORD)).alias("c")).collect()}
@@ -353,7 +440,8 @@ class Coder:
     stands between single spaces."""
 
     def __init__(self, pieces: Pieces, known: dict[str, bytes]):
-        self.pieces, self.known = pieces, known
+        # a word that begins with a space mark is known by the run that it is by itself
+        self.pieces, self.known = pieces, {_run(w): ids for w, ids in known.items()}
         self.runs = Memo(lambda r: self._by_words(MARK + r), MEMO)
         self.rare_in_run = Memo(lambda r: self._rare(MARK + r), MEMO)
         self.tail: dict[str, bytes] | None = None
@@ -365,35 +453,44 @@ class Coder:
             memo.older = {}
 
     def _rare(self, marked: str) -> list[str]:
-        return [w for w in self.pieces.words.findall(marked) if w not in self.known]
+        return [w for w in self.pieces.words.findall(marked) if _run(w) not in self.known]
 
     def rare(self, text: str | None) -> set[str]:
         """The text's words that are not in the table."""
         if not text:
             return set()
         if _by_runs(text):
-            return {w for r in set(text.split(" ")) for w in self.rare_in_run[r]}
+            return {w for r in set(text.split(" ")).difference(self.known) for w in self.rare_in_run[r]}
         return set(self._rare(MARK + text.replace(" ", MARK)))
 
     def _by_words(self, marked: str) -> bytes:
         known, words = self.known, self.pieces.words.findall(marked)
         if self.tail is None:
-            return b"".join([known.get(w) or self.pieces.packed(self.pieces.parts(w)) for w in words])
-        return b"".join([known.get(w) or self.tail[w] for w in words])
+            return b"".join([known.get(_run(w)) or self.pieces.packed(self.pieces.parts(w)) for w in words])
+        return b"".join([known.get(_run(w)) or self.tail[w] for w in words])
 
-    def encode(self, text: str | None, tail: str | None = None) -> bytes:
-        """The text's ids as little-endian 32-bit integers; ``tail`` has the folded words that
-        are not in the table; without it they are encoded one by one."""
+    def learn(self, tail: str) -> None:
+        """Takes folded words that are not in the table, two spaces between words, one between parts."""
+        if self.tail is None:
+            self.tail = {}
+        for w in tail.split("  "):
+            parts = w.split(" ")
+            self.tail["".join(parts)] = self.pieces.packed(parts)
+
+    def encode(self, text: str | None) -> bytes:
+        """The text's ids as little-endian 32-bit integers; words neither in the table nor learnt
+        are encoded one by one if none was learnt at all."""
         if not text:
             return b""
-        self.tail = None
-        if tail is not None:
-            split = [w.split(" ") for w in tail.split("  ") if w]
-            self.tail = {"".join(parts): self.pieces.packed(parts) for parts in split}
         if not _by_runs(text):
             return self._by_words(MARK + text.replace(" ", MARK))
         # each run is preceded by one space mark, which begins a word
-        return b"".join([self.runs[r] for r in text.split(" ")])
+        known, runs = self.known.get, self.runs
+        return b"".join([known(r) or runs[r] for r in text.split(" ")])
+
+
+def _run(word: str) -> str:
+    return word[1:] if word[0] == MARK else " " + word
 
 
 def _by_runs(text: str) -> bool:
@@ -404,9 +501,12 @@ def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, te
     """The ``carry`` columns (typed by ``schema``) with ``ids`` (unless left out), ``n_tokens``,
     ``ids_sha256`` (of the ids as little-endian 32-bit integers) and ``decoded_ok``."""
     spark = docs.sparkSession
-    parts = encode_words(frequent_words(docs, pieces, text, most), pieces).toArrow()  # at most ``most`` words
+    counts = word_counts(docs, pieces, text)
+    parts = encode_words(frequent_words(counts, most), pieces).toArrow()  # at most ``most`` words
     known = {w: pieces.packed(ps) for w, ps in zip(parts.column("word").to_pylist(), parts.column("parts").to_pylist(), strict=True)}
     shipped, version = spark.sparkContext.broadcast((pieces, known)), uuid4().hex
+    chars = counts.where("word = ''").agg(F.sum("n")).first()[0] or 0
+    buckets = LEAST_BUCKETS * partitions(docs) + chars // BUCKET_CHARS
 
     def coder_of_worker() -> Coder:
         if version not in _WORKER:
@@ -415,46 +515,104 @@ def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, te
         return _WORKER[version]
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of_worker()
+        coder, found = coder_of_worker(), set()
+
+        def named() -> pa.RecordBatch:
+            pairs = sorted(found)  # neighbours that begin alike take less room
+            found.clear()
+            return pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in pairs], pa.string()), "bucket": pa.array([b for _, b in pairs], pa.int32())})
+
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                found = [(row, w) for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in coder.rare(t)]
-                yield pa.RecordBatch.from_pydict({"row": pa.array([r for r, _ in found], pa.int64()), "word": pa.array([w for _, w in found], pa.string())})
-        whole = b = found = None
+                for bucket, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    found.update([(w, bucket) for w in coder.rare(t)])
+                if len(found) > MOST_PAIRS:
+                    yield named()
+        yield named()
+        whole = b = None
         coder.forget()
         release()
 
-    # rows are named by their values: a name that several share gets the words of all of them
+    # a row's bucket hangs on its values, so every reading of the table gives the same
     rows = docs.select(*carry, F.col(text).alias("_text"))
-    named = rows.withColumn("_row", F.xxhash64(*(F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString())))
-    tail = keyed(named.select("_row", "_text").mapInArrow(rare, "row long, word string")).groupBy("key").agg(
-        F.first("word").alias("word"), F.collect_list("row").alias("rows"))
+    names = [f.name for f in rows.schema.fields[:-1]]
+    values = (F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString())
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*values), F.lit(buckets)).cast("int"))
+    tail = keyed(dealt.select("_bucket", "_text").mapInArrow(rare, "word string, bucket int")).groupBy("key").agg(
+        F.first("word").alias("word"), F.collect_list("bucket").alias("buckets"))
+
+    def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[int, list[str]] = {}
+
+        def joined() -> pa.RecordBatch:
+            found = [("  ".join(ws), b) for b, ws in sorted(words.items())]
+            words.clear()
+            return pa.RecordBatch.from_pydict({"_tail": pa.array([x for x, _ in found], pa.string()), "_bucket": pa.array([b for _, b in found], pa.int32())})
+
+        n = 0
+        for whole in batches:
+            for to, w in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), strict=True):
+                n += len(to)
+                for b in to:
+                    words.setdefault(b, []).append(w)
+            if n > MOST_PAIRS:
+                yield joined()
+                n = 0
+        yield joined()
+        whole = None
+        release()
+
     # words and parts have no spaces
-    folded = fold(lattice(tail, pieces), pieces).select(F.explode("rows").alias("_row"), F.array_join("parts", " ").alias("word"))
-    tails = folded.groupBy("_row").agg(F.array_join(F.collect_list("word"), "  ").alias("_tail"))
+    folded = fold(lattice(tail, pieces), pieces).select("buckets", F.array_join("parts", " ").alias("word")).mapInArrow(by_bucket, "_tail string, _bucket int")
+
+    def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                raw = [None if t is None else t.encode() for t in b.column("_text").to_pylist()]
+                columns = dict(zip(b.schema.names, b.columns, strict=True))
+                columns["_text"] = pa.array([None if t is None else codec.compress(t, asbytes=True) for t in raw], pa.binary())
+                columns["_size"] = pa.array([None if t is None else len(t) for t in raw], pa.int64())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    texts = dealt.mapInArrow(packed_texts, f"{schema}, _text binary, _bucket int, _size long").withColumn("_tail", F.lit(None).cast("string"))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in texts.schema.fields if f.name not in ("_tail", "_bucket")]
+    # a bucket's folded words come before its texts
+    both = texts.unionByName(folded.select(*none, "_tail", "_bucket")).repartition(partitions(docs), "_bucket").sortWithinPartitions(
+        "_bucket", F.col("_tail").isNull())
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of_worker()
+        coder, now, codec = coder_of_worker(), None, pa.Codec("zstd")
         for whole in batches:
             for at in range(0, whole.num_rows, 500):  # ids take more room than texts
                 b = whole.slice(at, 500)
-                texts, rest = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-                packed = [coder.encode(t, r or "") for t, r in zip(texts, rest, strict=True)]
+                texts, packed = [], []
+                of_bucket = zip(*(b.column(n).to_pylist() for n in ("_bucket", "_tail", "_text", "_size")), strict=True)
+                for bucket, tail_words, text, size in of_bucket:
+                    if bucket != now:
+                        now, coder.tail = bucket, {}
+                    if tail_words is not None:
+                        coder.learn(tail_words)
+                        continue
+                    texts.append(codec.decompress(text, size, asbytes=True).decode() if text else "")
+                    packed.append(coder.encode(texts[-1]))
                 sizes = np.array([len(x) // 4 for x in packed], dtype=np.int64)
-                same = [coder.pieces.decode(np.frombuffer(x, dtype="<i4").tolist()) == (t or "").replace(MARK, " ") for x, t in zip(packed, texts, strict=True)]
-                columns = {n: c for n, c in zip(b.schema.names[:-2], b.columns[:-2], strict=True)}
+                same = [coder.pieces.decode(np.frombuffer(x, dtype="<i4").tolist()) == t.replace(MARK, " ") for x, t in zip(packed, texts, strict=True)]
+                of_texts = b.filter(b.column("_tail").is_null())
+                columns = {n: of_texts.column(n) for n in names}
                 if with_ids:
                     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
                 columns |= {"n_tokens": pa.array(sizes), "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()), "decoded_ok": pa.array(same, pa.bool_())}
                 yield pa.RecordBatch.from_pydict(columns)
-        whole = b = texts = rest = packed = columns = None
+        whole = b = texts = packed = columns = of_texts = of_bucket = None
         coder.forget()
         release()
 
     ids = "ids array<int>, " if with_ids else ""
-    return named.join(tails, "_row", "left").drop("_row").mapInArrow(coded, f"{schema}, {ids}n_tokens long, ids_sha256 string, decoded_ok boolean")
+    return both.mapInArrow(coded, f"{schema}, {ids}n_tokens long, ids_sha256 string, decoded_ok boolean")
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "text") -> DataFrame:
