@@ -42,6 +42,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,21 +50,21 @@ from .common import let, release, table, written
 
 MARK = "▁"
 MOST_WORDS = 200_000
-#: Words, and runs between spaces, that a worker remembers.
-MEMO = 20_000
 #: Distinct runs that a task counts at a time; those met once go when there are more.
 MOST_RUNS = 200_000
 #: (bucket, word) pairs that a task gathers before it gives them on.
 MOST_PAIRS = 100_000
 #: Characters of text to a bucket of rows, about, and the least buckets to a partition.
-BUCKET_CHARS, LEAST_BUCKETS = 1 << 20, 8
+BUCKET_CHARS, LEAST_BUCKETS = 1 << 20, 4
 #: Longer words are exploded chunk by chunk and their edges folded by a heap; the cuts of
 #: shorter ones are the bits of a long.
 LONGEST_WORD = 64
 #: An edge of a byte-pair model is a long: rank, first character, size, late or not.
 RANK_BIT, AT_BIT, SIZE_BIT = 44, 13, 1
 _COARSE = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters of the basic plane; the class of a pattern is searched much faster without others.
+_LETTERS = [c for c in map(chr, range(1 << 16)) if c.isalnum() and re.match(r"[^\W\d_]", c)]
+_LETTER = re.compile(f"[{''.join(_LETTERS)}]")
 #: So many odd letters are kept apart; a model with more of them is cut at space marks only.
 FEW = 32
 UNREACHED = -1e18
@@ -87,8 +88,8 @@ class Pieces:
         joined = {x for a, b in pairs if a != MARK and bool(_LETTER.match(a)) != bool(_LETTER.match(b)) for x in (a, b) if _LETTER.match(x)}
         torn = any((a in joined) != (b in joined) for a, b in pairs if _LETTER.match(a) and _LETTER.match(b))
         if len(joined) <= FEW and not torn:
-            odd = re.escape("".join(sorted(joined)))
-            self.words = re.compile(rf"{MARK}*(?:[^\W\d_{odd}]+|(?:[^\w{MARK}]|[\d_{odd}])+)|{MARK}+")
+            letters = "".join(c for c in _LETTERS if c not in joined)
+            self.words = re.compile(f"{MARK}*(?:[{letters}]+|[^{letters}{MARK}]+)|{MARK}+")
         else:
             self.words = _COARSE
         self.late = set() if viterbi else {p for p in self.edges if len(p) > 2 and self._is_late(p)}
@@ -417,84 +418,47 @@ def frequent_words(counts: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     return counts.where(few).select("word")
 
 
-class Memo(dict):
-    """Values by key, made at need; of two generations, so that what is in use stays
-    when the older one goes."""
+class Known(dict):
+    """Encodings of words, of frequent ones and of those that were learnt beside them."""
 
-    def __init__(self, make, most: int):
-        self.make, self.most, self.older = make, most, {}
+    def __init__(self, words: dict[str, bytes]):
+        super().__init__(words)
+        self.learnt: dict[str, bytes] | None = None
+        self.alone = None
 
-    def __missing__(self, key):
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
-        got = self.older.get(key)
-        if got is None:
-            got = self.make(key)
-        self[key] = got
-        return got
+    def __missing__(self, word: str) -> bytes:
+        return self.alone(word) if self.learnt is None else self.learnt[word]
 
 
 class Coder:
-    """What a worker needs: the pieces, the table of frequent words, and memos of what
-    stands between single spaces."""
+    """What a worker needs: the pieces and the table of frequent words."""
 
     def __init__(self, pieces: Pieces, known: dict[str, bytes]):
-        # a word that begins with a space mark is known by the run that it is by itself
-        self.pieces, self.known = pieces, {_run(w): ids for w, ids in known.items()}
-        self.runs = Memo(lambda r: self._by_words(MARK + r), MEMO)
-        self.rare_in_run = Memo(lambda r: self._rare(MARK + r), MEMO)
-        self.tail: dict[str, bytes] | None = None
+        self.pieces, self.known = pieces, Known(known)
+        self.known.alone = lambda w: pieces.packed(pieces.parts(w))
 
     def forget(self) -> None:
-        self.tail = None
-        for memo in (self.runs, self.rare_in_run):
-            memo.clear()
-            memo.older = {}
+        self.known.learnt = None
 
-    def _rare(self, marked: str) -> list[str]:
-        return [w for w in self.pieces.words.findall(marked) if _run(w) not in self.known]
-
-    def rare(self, text: str | None) -> set[str]:
+    def rare(self, text: str | None) -> list[str]:
         """The text's words that are not in the table."""
-        if not text:
-            return set()
-        if _by_runs(text):
-            return {w for r in set(text.split(" ")).difference(self.known) for w in self.rare_in_run[r]}
-        return set(self._rare(MARK + text.replace(" ", MARK)))
-
-    def _by_words(self, marked: str) -> bytes:
-        known, words = self.known, self.pieces.words.findall(marked)
-        if self.tail is None:
-            return b"".join([known.get(_run(w)) or self.pieces.packed(self.pieces.parts(w)) for w in words])
-        return b"".join([known.get(_run(w)) or self.tail[w] for w in words])
-
-    def learn(self, tail: str) -> None:
-        """Takes folded words that are not in the table, two spaces between words, one between parts."""
-        if self.tail is None:
-            self.tail = {}
+        known = self.known
+        return [w for w in set(self.pieces.split(text)) if w not in known]
+
+    def learn(self, tail: str = "") -> None:
+        """Takes folded words that are not in the table, two spaces between words, one between
+        parts, beside those learnt before; none: in their place."""
+        if not tail:
+            self.known.learnt = {}
+            return
+        learnt, packed = self.known.learnt, self.pieces.packed
         for w in tail.split("  "):
-            parts = w.split(" ")
-            self.tail["".join(parts)] = self.pieces.packed(parts)
+            learnt[w.replace(" ", "")] = packed(w.split(" "))
 
     def encode(self, text: str | None) -> bytes:
-        """The text's ids as little-endian 32-bit integers; words neither in the table nor learnt
-        are encoded one by one if none was learnt at all."""
-        if not text:
-            return b""
-        if not _by_runs(text):
-            return self._by_words(MARK + text.replace(" ", MARK))
-        # each run is preceded by one space mark, which begins a word
-        known, runs = self.known.get, self.runs
-        return b"".join([known(r) or runs[r] for r in text.split(" ")])
-
-
-def _run(word: str) -> str:
-    return word[1:] if word[0] == MARK else " " + word
-
-
-def _by_runs(text: str) -> bool:
-    return not ("  " in text or MARK in text or text[0] == " " or text[-1] == " ")
+        """The text's ids as little-endian 32-bit integers; words that are not in the table must
+        have been learnt, or if ``learn`` was never called are encoded one by one."""
+        return b"".join(map(self.known.__getitem__, self.pieces.split(text)))
 
 
 def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, text: str = "text", most: int = MOST_WORDS, with_ids: bool = True) -> DataFrame:
@@ -543,23 +507,27 @@ def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, te
         F.first("word").alias("word"), F.collect_list("bucket").alias("buckets"))
 
     def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[int, list[str]] = {}
+        gathered: list[pa.RecordBatch] = []
 
         def joined() -> pa.RecordBatch:
-            found = [("  ".join(ws), b) for b, ws in sorted(words.items())]
-            words.clear()
-            return pa.RecordBatch.from_pydict({"_tail": pa.array([x for x, _ in found], pa.string()), "_bucket": pa.array([b for _, b in found], pa.int32())})
+            t = pa.Table.from_batches(gathered).combine_chunks()
+            gathered.clear()
+            to = pc.list_flatten(t["buckets"]).to_numpy()
+            order = np.argsort(to, kind="stable")
+            words = t["word"].take(pc.list_parent_indices(t["buckets"]).take(pa.array(order))).combine_chunks()
+            found, starts = np.unique(to[order], return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(to)), pa.int32()), words)
+            return pa.RecordBatch.from_arrays([pc.binary_join(lists, "  "), pa.array(found, pa.int32())], names=["_tail", "_bucket"])
 
         n = 0
         for whole in batches:
-            for to, w in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), strict=True):
-                n += len(to)
-                for b in to:
-                    words.setdefault(b, []).append(w)
+            gathered.append(whole)
+            n += len(pc.list_flatten(whole.column(0)))
             if n > MOST_PAIRS:
                 yield joined()
                 n = 0
-        yield joined()
+        if n:
+            yield joined()
         whole = None
         release()
 
@@ -592,7 +560,8 @@ def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, te
                 of_bucket = zip(*(b.column(n).to_pylist() for n in ("_bucket", "_tail", "_text", "_size")), strict=True)
                 for bucket, tail_words, text, size in of_bucket:
                     if bucket != now:
-                        now, coder.tail = bucket, {}
+                        now = bucket
+                        coder.learn()
                     if tail_words is not None:
                         coder.learn(tail_words)
                         continue
