@@ -36,6 +36,7 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 from uuid import uuid4
 
 import numpy as np
@@ -176,7 +177,7 @@ class Pieces:
         return b"".join([four.get(p) or b"".join(i.to_bytes(4, "little") for i in self.ids_of(p)) for p in parts])
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.names.__getitem__, ids))
+        raw = b"".join(itemgetter(*ids)(self.names) if len(ids) > 1 else map(self.names.__getitem__, ids))
         return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
@@ -403,7 +404,7 @@ def word_counts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFram
 
 
 def frequent_words(counts: DataFrame, most: int = MOST_WORDS) -> DataFrame:
-    """The words that occur most often, whole count classes up to ``most`` words; one of more
+    """The words that occur most often, with ``n``, whole count classes up to ``most`` words; one of more
     than ``LONGEST_WORD`` characters counts as several."""
     counts = counts.where("word <> ''")
     # classes of counts, eight to an octave: a few hundred rows
@@ -415,7 +416,7 @@ def frequent_words(counts: DataFrame, most: int = MOST_WORDS) -> DataFrame:
             break
         total, least = total + sizes[o], o
     few = F.lit(False) if least is None else octave >= least
-    return counts.where(few).select("word")
+    return counts.where(few)
 
 
 class Known(dict):
@@ -443,7 +444,14 @@ class Coder:
     def rare(self, text: str | None) -> list[str]:
         """The text's words that are not in the table."""
         known = self.known
-        return [w for w in set(self.pieces.split(text)) if w not in known]
+        if not text:
+            return []
+        if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
+            words = self.pieces.split(text)
+        else:  # each run is preceded by one space mark, which begins a word; most runs are known words
+            runs = set((MARK + text.replace(" ", " " + MARK)).split(" "))
+            words = self.pieces.words.findall("".join([r for r in runs if r not in known]))
+        return [w for w in set(words) if w not in known]
 
     def learn(self, tail: str = "") -> None:
         """Takes folded words that are not in the table, two spaces between words, one between
@@ -466,7 +474,8 @@ def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, te
     ``ids_sha256`` (of the ids as little-endian 32-bit integers) and ``decoded_ok``."""
     spark = docs.sparkSession
     counts = word_counts(docs, pieces, text)
-    parts = encode_words(frequent_words(counts, most), pieces).toArrow()  # at most ``most`` words
+    # at most ``most`` words; the most frequent ones first, so that they lie close together in memory
+    parts = encode_words(frequent_words(counts, most), pieces).toArrow().sort_by([("n", "descending")])
     known = {w: pieces.packed(ps) for w, ps in zip(parts.column("word").to_pylist(), parts.column("parts").to_pylist(), strict=True)}
     shipped, version = spark.sparkContext.broadcast((pieces, known)), uuid4().hex
     chars = counts.where("word = ''").agg(F.sum("n")).first()[0] or 0

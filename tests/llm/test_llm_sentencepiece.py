@@ -106,3 +106,34 @@ def test_long_words_are_folded_over_their_edges(spark, pieces):
     unigram = S.Pieces([(p, i, -float(len(p)) ** 0.5 - i / 97) for i, p in enumerate(["e", "t", "a", "o", "et", "ta", "eta", "oin", "in", "ao", "sh"])], {}, True, [], unknown=99)
     got = {r.word: r.parts for r in S.encode_words(df, unigram).collect()}
     assert got == {w: unigram.parts(w) for w in words}
+
+
+def test_pieces_that_are_late_are_merged_step_by_step(spark):
+    # "abc" scores better than "ab", which is made before it, where "b" and "c" do not join
+    late = S.Pieces([(p, i, -float(i)) for i, p in enumerate(["cd", "abc", "ab", "aa", "aaa", "abcd", "dd"])], {}, False, [], unknown=99)
+    assert "abc" in late.late and "dd" not in late.late
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 12))) for _ in range(300)} | {"abc" * 21 + "d", "abcd" * 16, "abcd" * 17})
+    got = {r.word: r.parts for r in S.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), late).collect()}
+    assert got == {w: late.parts(w) for w in words}
+
+
+def test_pieces_of_equal_score_are_late(pieces, library):
+    assert pieces.late and all(set(p) == {S.MARK} for p in pieces.late)
+    assert all(pieces.encode_word(S.MARK * n) == library.encode(" " * (n - 1)) for n in range(2, 40))
+
+
+def test_letters_beyond_the_basic_plane_split_like_other_characters(spark, library):
+    texts = ["a\U00010400b \U00010400\U00010401 x", "\U0001D49Cé \U00020000語", "b\U00010400"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = S.encode(docs, S.load(S.model_path()), [F.col("doc_id")], "doc_id long", most=0).collect()
+    assert len(got) == len(texts) and all(list(r.ids) == library.encode(texts[r.doc_id]) and r.decoded_ok for r in got)
+
+
+def test_exchanged_bytes_stay_below_the_input(spark, pieces, tmp_path):
+    """Texts and tail words go compressed and by bucket: what is joined holds no plain text and few rows."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("etaoin") for _ in range(8)) for _ in range(200)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    plan = S.encode(docs, pieces, [F.col("doc_id")], "doc_id long", most=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_text" in plan and "Join LeftOuter, (_row" not in plan and "by_bucket" in plan
