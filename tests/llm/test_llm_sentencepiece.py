@@ -130,8 +130,8 @@ def test_letters_beyond_the_basic_plane_split_like_other_characters(spark, libra
     assert len(got) == len(texts) and all(list(r.ids) == library.encode(texts[r.doc_id]) and r.decoded_ok for r in got)
 
 
-def test_exchanged_bytes_stay_below_the_input(spark, pieces, tmp_path):
-    """Texts and tail words go compressed and by bucket: what is joined holds no plain text and few rows."""
+def test_texts_meet_their_words_by_bucket(spark, pieces):
+    """No join brings words to single rows; texts are exchanged as compressed bytes."""
     rng = random.Random(3)
     texts = [" ".join("".join(rng.choice("etaoin") for _ in range(8)) for _ in range(200)) for _ in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
