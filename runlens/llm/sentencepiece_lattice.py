@@ -34,13 +34,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 from operator import itemgetter
 from uuid import uuid4
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -62,7 +62,7 @@ BUCKET_CHARS, LEAST_BUCKETS = 1 << 20, 4
 LONGEST_WORD = 64
 #: An edge of a byte-pair model is a long: rank, first character, size, late or not.
 RANK_BIT, AT_BIT, SIZE_BIT = 44, 13, 1
-_COARSE = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
+_COARSE = re.compile(" *[^ ]+| +")
 #: Letters of the basic plane; the class of a pattern is searched much faster without others.
 _LETTERS = [c for c in map(chr, range(1 << 16)) if c.isalnum() and re.match(r"[^\W\d_]", c)]
 _LETTER = re.compile(f"[{''.join(_LETTERS)}]")
@@ -90,7 +90,7 @@ class Pieces:
         torn = any((a in joined) != (b in joined) for a, b in pairs if _LETTER.match(a) and _LETTER.match(b))
         if len(joined) <= FEW and not torn:
             letters = "".join(c for c in _LETTERS if c not in joined)
-            self.words = re.compile(f"{MARK}*(?:[{letters}]+|[^{letters}{MARK}]+)|{MARK}+")
+            self.words = re.compile(f" *(?:[{letters}]+|[^{letters} ]+)| +")
         else:
             self.words = _COARSE
         self.late = set() if viterbi else {p for p in self.edges if len(p) > 2 and self._is_late(p)}
@@ -98,7 +98,11 @@ class Pieces:
             raise ValueError("models with so many or so long pieces are not supported")
 
     def split(self, text: str | None) -> list[str]:
-        return self.words.findall(MARK + text.replace(" ", MARK)) if text else []
+        return [w.replace(" ", MARK) for w in self.spaced(text)]
+
+    def spaced(self, text: str | None) -> list[str]:
+        """The text's words with spaces for space marks: plain letters take half the room without a mark."""
+        return self.words.findall(" " + text.replace(MARK, " ")) if text else []
 
     def ids_of(self, part: str) -> list[int]:
         hit = self.edges.get(part)
@@ -180,6 +184,18 @@ class Pieces:
         raw = b"".join(itemgetter(*ids)(self.names) if len(ids) > 1 else map(self.names.__getitem__, ids))
         return raw.decode("utf-8", "replace").replace(MARK, " ")[1:]
 
+    def decode_all(self, packed: list[bytes]) -> list[str]:
+        """The same for many texts' ids at once, given as little-endian 32-bit integers."""
+        ids = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
+        if not len(ids):
+            return [""] * len(packed)
+        taken = pa.array(self.names, pa.large_binary()).take(ids)
+        _, starts, raw = taken.buffers()
+        ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])])
+        ends = np.frombuffer(starts, dtype=np.int64)[ends].tolist()
+        raw = memoryview(raw)
+        return [str(raw[a:b], "utf-8", "replace").replace(MARK, " ")[1:] for a, b in zip(ends, ends[1:], strict=False)]
+
 
 def merged_cuts(n: int, score: Callable[[int, int], float | None]) -> list[int]:
     """Cuts of ``n`` characters after all merges; ``score`` gives that of an edge, if there is one."""
@@ -265,6 +281,8 @@ def partitions(df: DataFrame) -> int:
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     """``keyed`` rows of distinct words with their ``edges``, the substrings that are pieces."""
+    import pandas as pd  # on the driver only: a worker is the smaller without
+
     spark = words.sparkSession
     # as many rows as the model has pieces
     if pieces.viterbi:
@@ -334,28 +352,39 @@ def _viterbi(word: Column, edges: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), first, step, lambda p: F.element_at(p, -1)["cuts"])
 
 
+def heap_cuts(n: int, edges: list, viterbi: bool) -> list[int]:
+    """Cuts of a long word from its grouped edges."""
+    if viterbi:
+        return best_cuts(n, {(e["a"], e["b"]): e["score"] for e in edges})
+    codes = np.asarray(edges, dtype=np.int64)
+    at, size = codes >> AT_BIT & (1 << (RANK_BIT - AT_BIT)) - 1, codes >> SIZE_BIT & (1 << (AT_BIT - SIZE_BIT)) - 1
+    scores = dict(zip(zip(at.tolist(), (at + size).tolist(), strict=True), (-(codes >> RANK_BIT)).tolist(), strict=True))
+    return merged_cuts(n, lambda a, b: scores.get((a, b)))
+
+
+def fold_short(grouped: DataFrame, pieces: Pieces) -> DataFrame:
+    """The rows with their words' ``parts``, from the grouped edges; a long word keeps its ``edges`` and has no parts."""
+    long = F.length("word") > LONGEST_WORD
+    cuts = (_viterbi if pieces.viterbi else _merges)(F.col("word"), F.col("edges"))
+    parts = let(cuts, lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda a, i: F.substring(F.col("word"), a + 1, F.get(c, i + 1) - a)))
+    return grouped.withColumn("parts", F.when(~long, parts)).withColumn("edges", F.when(long, F.col("edges")))
+
+
 def fold(grouped: DataFrame, pieces: Pieces) -> DataFrame:
     """The rows with their words' ``parts``, from the grouped edges."""
     viterbi = pieces.viterbi
 
-    @F.pandas_udf("array<int>")
-    def over_heap(n: pd.Series, edges: pd.Series) -> pd.Series:
-        def cuts(k, found):
-            if viterbi:
-                return best_cuts(int(k), {(e["a"], e["b"]): e["score"] for e in found})
-            codes = np.asarray(found, dtype=np.int64)
-            at, size = codes >> AT_BIT & (1 << (RANK_BIT - AT_BIT)) - 1, codes >> SIZE_BIT & (1 << (AT_BIT - SIZE_BIT)) - 1
-            scores = dict(zip(zip(at.tolist(), (at + size).tolist(), strict=True), (-(codes >> RANK_BIT)).tolist(), strict=True))
-            return merged_cuts(int(k), lambda a, b: scores.get((a, b)))
+    @F.arrow_udf("array<string>")
+    def over_heap(words: pa.Array, edges: pa.Array) -> pa.Array:
+        def parts(w, found):
+            cuts = heap_cuts(len(w), found, viterbi)
+            return [w[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-        return pd.Series([None if e is None else cuts(k, e) for k, e in zip(n, edges, strict=True)], dtype=object)
+        return pa.array([None if w is None else parts(w, e) for w, e in zip(words.to_pylist(), edges.to_pylist(), strict=True)], pa.list_(pa.string()))
 
-    long = F.length("word") > LONGEST_WORD
-    short = (_viterbi if viterbi else _merges)(F.col("word"), F.col("edges"))
-    folded = grouped.withColumn("cuts", over_heap(F.when(long, F.length("word")), F.when(long, F.col("edges"))))
-    parts = let(F.when(long, F.col("cuts")).otherwise(short), lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 1), lambda a, i: F.substring(
-        F.col("word"), a + 1, F.get(c, i + 1) - a)))
-    return folded.withColumn("parts", parts).drop("edges", "cuts")
+    folded = fold_short(grouped, pieces)
+    of_long = over_heap(F.when(F.col("parts").isNull(), F.col("word")), F.col("edges"))
+    return folded.withColumn("parts", F.coalesce("parts", of_long)).drop("edges")
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -371,33 +400,43 @@ def word_counts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFram
     shipped = docs.sparkSession.sparkContext.broadcast(pieces.words)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chars, runs = 0, Counter()
+        chars, met, n = 0, [], 0
+
+        def summed() -> pa.Table:
+            runs = pa.concat_tables(met).group_by("run", use_threads=False).aggregate([("n", "sum")]).rename_columns(["run", "n"])
+            met.clear()
+            return runs
 
-        def by_words() -> pa.RecordBatch:
+        def by_words(runs: pa.Table) -> pa.RecordBatch:
             n_of: Counter = Counter()
-            for r, n in runs.items():
+            for r, n in zip(*(runs.column(c).to_pylist() for c in ("run", "n")), strict=True):
                 if n > 1 and r:
-                    for w in shipped.value.findall(MARK + r):
+                    for w in shipped.value.findall(" " + r.replace(MARK, " ")):
                         n_of[w] += n
-            runs.clear()
             words = sorted(n_of)  # neighbours that begin alike take less room
-            return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.array([n_of[w] for w in words], pa.int64())})
+            return pa.RecordBatch.from_pydict({"word": pc.replace_substring(pa.array(words, pa.string()), " ", MARK), "n": pa.array([n_of[w] for w in words], pa.int64())})
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 100):
-                for t in whole.column(0).slice(at, 100).to_pylist():
-                    if t:
-                        chars += len(t)
-                        runs.update(t.split(" "))
-                if len(runs) > MOST_RUNS:
-                    often = {r: n for r, n in runs.items() if n > 1}
-                    if 2 * len(often) > MOST_RUNS:
-                        yield by_words()
-                    else:
-                        runs = Counter(often)
-        yield by_words()
+            for at in range(0, whole.num_rows, 500):
+                texts = whole.column(0).slice(at, 500)
+                chars += pc.sum(pc.utf8_length(texts)).as_py() or 0
+                found = pc.value_counts(pc.list_flatten(pc.split_pattern(texts, " ")))
+                met.append(pa.table({"run": found.field("values"), "n": found.field("counts")}))
+                n += len(found)
+                if n > 2 * MOST_RUNS:
+                    runs = summed()
+                    if len(runs) > MOST_RUNS:
+                        often = runs.filter(pc.greater(runs["n"], 1))
+                        if 2 * len(often) > MOST_RUNS:
+                            yield by_words(often)
+                            often = often.slice(0, 0)
+                        runs = often
+                    met.append(runs)
+                    n = len(runs)
+        if met:
+            yield by_words(summed())
         yield pa.RecordBatch.from_pydict({"word": pa.array([""], pa.string()), "n": pa.array([chars], pa.int64())})
-        whole = runs = None
+        whole = texts = found = runs = often = None
         release()
 
     return written(docs.select(text).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
@@ -420,36 +459,34 @@ def frequent_words(counts: DataFrame, most: int = MOST_WORDS) -> DataFrame:
 
 
 class Known(dict):
-    """Encodings of words, of frequent ones and of those that were learnt beside them."""
+    """Encodings of words, with spaces for space marks: of frequent ones and of those that were learnt beside them."""
 
-    def __init__(self, words: dict[str, bytes]):
-        super().__init__(words)
-        self.learnt: dict[str, bytes] | None = None
-        self.alone = None
+    pieces: Pieces | None = None
+    learnt: dict[str, bytes] | None = None
 
     def __missing__(self, word: str) -> bytes:
-        return self.alone(word) if self.learnt is None else self.learnt[word]
+        return self.pieces.packed(self.pieces.parts(word.replace(" ", MARK))) if self.learnt is None else self.learnt[word]
 
 
 class Coder:
-    """What a worker needs: the pieces and the table of frequent words."""
+    """What a worker needs: the pieces and the table of frequent words, which is not copied."""
 
     def __init__(self, pieces: Pieces, known: dict[str, bytes]):
-        self.pieces, self.known = pieces, Known(known)
-        self.known.alone = lambda w: pieces.packed(pieces.parts(w))
+        self.pieces, self.known = pieces, known if isinstance(known, Known) else Known(known)
+        self.known.pieces = pieces
 
     def forget(self) -> None:
         self.known.learnt = None
 
     def rare(self, text: str | None) -> list[str]:
-        """The text's words that are not in the table."""
+        """The text's words that are not in the table, with spaces for space marks."""
         known = self.known
         if not text:
             return []
-        if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
-            words = self.pieces.split(text)
-        else:  # each run is preceded by one space mark, which begins a word; most runs are known words
-            runs = set((MARK + text.replace(" ", " " + MARK)).split(" "))
+        if "  " in text or MARK in text or "\0" in text or text[0] == " " or text[-1] == " ":
+            words = self.pieces.spaced(text)
+        else:  # each run is preceded by one space, which begins a word; most runs are known words
+            runs = set((" " + text.replace(" ", "\0 ")).split("\0"))
             words = self.pieces.words.findall("".join([r for r in runs if r not in known]))
         return [w for w in set(words) if w not in known]
 
@@ -461,12 +498,12 @@ class Coder:
             return
         learnt, packed = self.known.learnt, self.pieces.packed
         for w in tail.split("  "):
-            learnt[w.replace(" ", "")] = packed(w.split(" "))
+            learnt[w.replace(" ", "").replace(MARK, " ")] = packed(w.split(" "))
 
     def encode(self, text: str | None) -> bytes:
         """The text's ids as little-endian 32-bit integers; words that are not in the table must
         have been learnt, or if ``learn`` was never called are encoded one by one."""
-        return b"".join(map(self.known.__getitem__, self.pieces.split(text)))
+        return b"".join(map(self.known.__getitem__, self.pieces.spaced(text)))
 
 
 def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, text: str = "text", most: int = MOST_WORDS, with_ids: bool = True) -> DataFrame:
@@ -476,7 +513,7 @@ def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, te
     counts = word_counts(docs, pieces, text)
     # at most ``most`` words; the most frequent ones first, so that they lie close together in memory
     parts = encode_words(frequent_words(counts, most), pieces).toArrow().sort_by([("n", "descending")])
-    known = {w: pieces.packed(ps) for w, ps in zip(parts.column("word").to_pylist(), parts.column("parts").to_pylist(), strict=True)}
+    known = Known({w.replace(MARK, " "): pieces.packed(ps) for w, ps in zip(parts.column("word").to_pylist(), parts.column("parts").to_pylist(), strict=True)})
     shipped, version = spark.sparkContext.broadcast((pieces, known)), uuid4().hex
     chars = counts.where("word = ''").agg(F.sum("n")).first()[0] or 0
     buckets = LEAST_BUCKETS * partitions(docs) + chars // BUCKET_CHARS
@@ -488,22 +525,28 @@ def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, te
         return _WORKER[version]
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, found = coder_of_worker(), set()
+        coder, found, n = coder_of_worker(), defaultdict(set), 0
 
         def named() -> pa.RecordBatch:
-            pairs = sorted(found)  # neighbours that begin alike take less room
+            words = pa.array(list(chain.from_iterable(found.values())), pa.string())
+            of = pa.array(np.repeat(np.array(list(found), dtype=np.int32), [len(x) for x in found.values()]))
             found.clear()
-            return pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in pairs], pa.string()), "bucket": pa.array([b for _, b in pairs], pa.int32())})
+            order = pc.sort_indices(words)  # neighbours that begin alike take less room
+            return pa.RecordBatch.from_arrays([pc.replace_substring(words.take(order), " ", MARK), of.take(order)], names=["word", "bucket"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 for bucket, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    found.update([(w, bucket) for w in coder.rare(t)])
-                if len(found) > MOST_PAIRS:
+                    words = found[bucket]
+                    n -= len(words)
+                    words.update(coder.rare(t))
+                    n += len(words)
+                if n > MOST_PAIRS:
                     yield named()
+                    n = 0
         yield named()
-        whole = b = None
+        whole = b = words = None
         coder.forget()
         release()
 
@@ -519,7 +562,7 @@ def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, te
         gathered: list[pa.RecordBatch] = []
 
         def joined() -> pa.RecordBatch:
-            t = pa.Table.from_batches(gathered).combine_chunks()
+            t = pa.concat_tables(gathered).combine_chunks()
             gathered.clear()
             to = pc.list_flatten(t["buckets"]).to_numpy()
             order = np.argsort(to, kind="stable")
@@ -528,20 +571,30 @@ def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, te
             lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(to)), pa.int32()), words)
             return pa.RecordBatch.from_arrays([pc.binary_join(lists, "  "), pa.array(found, pa.int32())], names=["_tail", "_bucket"])
 
+        def parts(word: str, edges: list) -> str:
+            cuts = heap_cuts(len(word), edges, viterbi)
+            return " ".join([word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+
         n = 0
         for whole in batches:
-            gathered.append(whole)
-            n += len(pc.list_flatten(whole.column(0)))
+            words, long = whole["parts"], whole["edges"].is_valid()
+            if whole["edges"].null_count < len(whole):
+                of_long = [parts(w, e) for w, e in zip(whole["word"].filter(long).to_pylist(), whole["edges"].filter(long).to_pylist(), strict=True)]
+                words = pc.replace_with_mask(words, long, pa.array(of_long, words.type))
+            gathered.append(pa.table({"buckets": whole["buckets"], "word": words}))
+            n += len(pc.list_flatten(whole["buckets"]))
             if n > MOST_PAIRS:
                 yield joined()
                 n = 0
         if n:
             yield joined()
-        whole = None
+        whole = words = long = None
         release()
 
-    # words and parts have no spaces
-    folded = fold(lattice(tail, pieces), pieces).select("buckets", F.array_join("parts", " ").alias("word")).mapInArrow(by_bucket, "_tail string, _bucket int")
+    # words and parts have no spaces; the worker that deals the words folds the long ones too, no other worker stands beside it
+    viterbi, long = pieces.viterbi, F.col("edges").isNotNull()
+    folded = fold_short(lattice(tail, pieces), pieces).select("buckets", F.when(long, F.col("word")).alias("word"), F.array_join("parts", " ").alias("parts"), "edges").mapInArrow(
+        by_bucket, "_tail string, _bucket int")
 
     def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 3)
@@ -577,7 +630,7 @@ def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, te
                     texts.append(codec.decompress(text, size, asbytes=True).decode() if text else "")
                     packed.append(coder.encode(texts[-1]))
                 sizes = np.array([len(x) // 4 for x in packed], dtype=np.int64)
-                same = [coder.pieces.decode(np.frombuffer(x, dtype="<i4").tolist()) == t.replace(MARK, " ") for x, t in zip(packed, texts, strict=True)]
+                same = [d == t.replace(MARK, " ") for d, t in zip(coder.pieces.decode_all(packed), texts, strict=True)]
                 of_texts = b.filter(b.column("_tail").is_null())
                 columns = {n: of_texts.column(n) for n in names}
                 if with_ids:
@@ -595,13 +648,11 @@ def encode(docs: DataFrame, pieces: Pieces, carry: list[Column], schema: str, te
 
 def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "text") -> DataFrame:
     """``encoded`` with the decoded ``text``."""
-    from pyspark.sql import types as T
-
     shipped = encoded.sparkSession.sparkContext.broadcast(pieces)
 
-    @F.pandas_udf(T.StringType())
-    def decoded(x: pd.Series) -> pd.Series:
-        return x.map(lambda i: "" if i is None else shipped.value.decode(list(i)))
+    @F.arrow_udf("string")
+    def decoded(x: pa.Array) -> pa.Array:
+        return pa.array(["" if i is None else shipped.value.decode(i) for i in x.to_pylist()], pa.string())
 
     return encoded.withColumn(text, decoded(F.col(ids)))
 

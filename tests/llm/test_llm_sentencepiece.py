@@ -1,6 +1,9 @@
 import hashlib
 import itertools
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -137,3 +140,28 @@ def test_texts_meet_their_words_by_bucket(spark, pieces):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     plan = S.encode(docs, pieces, [F.col("doc_id")], "doc_id long", most=0)._jdf.queryExecution().optimizedPlan().toString()
     assert "_text" in plan and "Join LeftOuter, (_row" not in plan and "by_bucket" in plan
+
+
+def test_one_worker_to_a_task_deals_and_folds_the_tail(spark, pieces):
+    """An executor holds a Python worker for each Python step of a stage and core, so a stage has one."""
+    docs = spark.createDataFrame([(1, "the rarest " + "x" * 80)], "doc_id long, text string")
+    plan = S.encode(docs, pieces, [F.col("doc_id")], "doc_id long", most=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan
+
+
+def test_workers_do_not_load_pandas():
+    code = "import sys, runlens.llm.sentencepiece_lattice; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(S.__file__).parents[2]).returncode == 0
+
+
+def test_many_texts_are_decoded_like_one(pieces, library):
+    texts = [*ODD, "a\0b \0", "", "퟿\U0001F642"]
+    packed = [np.array(library.encode(t), dtype="<i4").tobytes() for t in texts]
+    assert pieces.decode_all(packed) == [library.decode(library.encode(t)) if t else "" for t in texts]
+    assert pieces.decode_all([b"", b""]) == ["", ""] and pieces.decode_all([]) == []
+
+
+@pytest.mark.parametrize("text", ["a\0b c", "a  b", "a▁b", " a", "the the, x", "the\nthe"])
+def test_rare_words_are_those_that_encoding_asks_for(pieces, text):
+    coder = S.Coder(pieces, {" the": b"0000", " a": b"1111"})
+    assert sorted(coder.rare(text)) == sorted(set(pieces.spaced(text)) - {" the", " a"})
