@@ -34,7 +34,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import chain
 from operator import itemgetter
@@ -298,16 +298,20 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     chunks = chunks.select("key", "at", F.when(F.col("at") == 0, F.col("row")).alias("row"), F.substring(
         "whole", F.col("at") + 1, F.lit(LONGEST_WORD + pieces.longest - 1)).alias("chunk"))
     starts = chunks.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("chunk")))).alias("start"))
-    starts = starts.withColumn("row", F.when(F.col("start") == 1, F.col("row")))
-    spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("chunk") - F.col("start") + 1))).alias("size"))
+    starts = starts.withColumn("row", F.when(F.col("start") == 1, F.col("row"))).withColumn("left", F.length("chunk") - F.col("start") + 1)
+    # no merge gives a single character; the first one carries the row
+    least = F.when(F.lit(pieces.viterbi) | (F.col("start") == 1), 1).otherwise(2)
+    spans = starts.where(F.col("left") >= least).select("*", F.explode(F.sequence(least, F.least(F.lit(max(2, pieces.longest)), "left"))).alias("size"))
     cut = spans.select(
         "key", F.when(F.col("size") == 1, F.col("row")).alias("row"), (F.col("at") + F.col("start") - 1).alias("a"), "size",
         F.substring("chunk", F.col("start"), F.col("size")).alias("piece"))
-    # no merge gives a single character
-    is_edge = F.col("score").isNotNull() & (F.lit(pieces.viterbi) | (F.col("size") > 1))
+    # a join by one long is cheaper than by strings; other strings of the same hash are no edges
+    cut = cut.withColumn("hash", F.xxhash64("piece"))
+    table = table.select(F.xxhash64("piece").alias("hash"), F.col("piece").alias("found"), "score")
+    is_edge = (F.col("piece") == F.col("found")) & (F.lit(pieces.viterbi) | (F.col("size") > 1))
     rest = [f"row.{c}" for c in words.columns if c not in ("key", "word")]
     # a word without any edge is all bytes
-    return cut.join(F.broadcast(table), "piece", "left").where(is_edge | F.col("row").isNotNull()).groupBy("key").agg(
+    return cut.join(F.broadcast(table), "hash", "left").where(is_edge | F.col("row").isNotNull()).groupBy("key").agg(
         F.first("row", ignorenulls=True).alias("row"), F.collect_list(F.when(is_edge, edge)).alias("edges")).select(
             F.coalesce("row.word", "key").alias("word"), *rest, "edges")
 
@@ -408,19 +412,18 @@ def word_counts(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFram
             return runs
 
         def by_words(runs: pa.Table) -> pa.RecordBatch:
-            n_of: Counter = Counter()
-            for r, n in zip(*(runs.column(c).to_pylist() for c in ("run", "n")), strict=True):
-                if n > 1 and r:
-                    for w in shipped.value.findall(" " + r.replace(MARK, " ")):
-                        n_of[w] += n
-            words = sorted(n_of)  # neighbours that begin alike take less room
-            return pa.RecordBatch.from_pydict({"word": pc.replace_substring(pa.array(words, pa.string()), " ", MARK), "n": pa.array([n_of[w] for w in words], pa.int64())})
+            runs = runs.filter(pc.and_(pc.greater(runs["n"], 1), pc.not_equal(runs["run"], ""))).combine_chunks()
+            words = pa.array(shipped.value.findall("".join([" " + r for r in runs["run"].to_pylist()])), pa.string())
+            of_run = np.cumsum(pc.starts_with(words, " ").to_numpy(zero_copy_only=False)) - 1
+            met_in = pa.table({"word": words, "n": runs["n"].take(pa.array(of_run, pa.int64()))})
+            n_of = met_in.group_by("word", use_threads=False).aggregate([("n", "sum")]).sort_by("word").combine_chunks()  # neighbours that begin alike take less room
+            return pa.RecordBatch.from_pydict({"word": pc.replace_substring(n_of["word"], " ", MARK).combine_chunks(), "n": n_of["n_sum"].combine_chunks()})
 
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 texts = whole.column(0).slice(at, 500)
                 chars += pc.sum(pc.utf8_length(texts)).as_py() or 0
-                found = pc.value_counts(pc.list_flatten(pc.split_pattern(texts, " ")))
+                found = pc.value_counts(pc.list_flatten(pc.split_pattern(pc.replace_substring(texts, MARK, " "), " ")))
                 met.append(pa.table({"run": found.field("values"), "n": found.field("counts")}))
                 n += len(found)
                 if n > 2 * MOST_RUNS:

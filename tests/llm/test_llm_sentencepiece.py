@@ -165,3 +165,10 @@ def test_many_texts_are_decoded_like_one(pieces, library):
 def test_rare_words_are_those_that_encoding_asks_for(pieces, text):
     coder = S.Coder(pieces, {" the": b"0000", " a": b"1111"})
     assert sorted(coder.rare(text)) == sorted(set(pieces.spaced(text)) - {" the", " a"})
+
+
+def test_runs_are_counted_by_their_words(spark, pieces):
+    docs = spark.createDataFrame([("the the, the▁x  x.",), ("once",), ("",), (None,), ("x the",)], "text string").coalesce(1)
+    got = {r.word: r.n for r in S.word_counts(docs, pieces).collect()}
+    assert got == {"▁the": 3, "▁x": 2, "": 27}  # "the," and "x." are met but once
+    assert {r.word: r.n for r in S.word_counts(docs.limit(0), pieces).collect()}.get("", 0) == 0
